@@ -8,7 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .embed_dedup import embedding_duplicates
+from .langid import identify_languages
 from .minhash import near_duplicates
+from .quality import grade_documents
+from .secrets import scan_secrets
 from .topk import top_inner_products
 
 
@@ -24,14 +27,42 @@ def op3_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_inner_products(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5, scale=256)
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify_languages(_table(spark, sf_dir, "documents"), F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(3)) == 1)
+
+
 def op5_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"), words=3, percent=85)
 
 
+def ratings(labels: DataFrame) -> DataFrame:
+    """Grades from labels: 0 toxic, 1 poor, 2 good."""
+    return labels.select("doc_id", F.when(F.col("toxic") == 1, 0).when(F.col("quality") == 0, 1).when(F.col("quality") == 1, 2).alias("grade"))
+
+
+def op8_quality_grade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    graded = grade_documents(_table(spark, sf_dir, "documents"), ratings(_table(spark, sf_dir, "labels")))
+    return graded.withColumn("kept", F.col("tail_probability") >= 0.5)
+
+
+def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = scan_secrets(_table(spark, sf_dir, "documents"))
+
+    def joined(spans: F.Column) -> F.Column:
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+
+    counts = [F.size(F.filter("secrets", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}") for kind in ("assign", "access", "hex")]
+    base = F.filter("secrets", lambda s: s["kind"] != "random")
+    return found.select("doc_id", *counts, F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("secrets")).alias("spans"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_embedding_dedup": op1_embedding_dedup,
     "op3_exact_topk": op3_exact_topk,
+    "op4_language_id": op4_language_id,
     "op5_minhash_dedup": op5_minhash_dedup,
+    "op8_quality_grade": op8_quality_grade,
+    "op9_secret_scan": op9_secret_scan,
 }
 
 #: DuckDB SQL for the queries that SQL can express; the others are held against brute force in tests/llm.
