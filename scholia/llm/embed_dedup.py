@@ -2,8 +2,8 @@
 
 cosine >= c is Euclidean distance <= r = sqrt(2 - 2c) between unit vectors. Pivots partition the vectors into cells
 (nearest pivot). By the triangle inequality a vector b can have a partner in cell p only if
-d(b, p) <= d(b, home pivot) + 2r and d(b, p) <= radius(p) + r, so b is replicated to those cells and no others, and
-every cell is joined on its own: its home vectors against all that were sent to it. Cells are cut into chunks, so a
+d(b, p) <= d(b, home pivot) + 2r and d(b, p) <= radius(p) + r, so b is replicated to those cells (of each two cells, the lower-numbered does
+the work) and every cell is joined on its own: its home vectors against all that were sent to it. Cells are cut into chunks, so a
 cell that holds a third of all rows is many tasks. A chunk pair returns one count per home vector and a spanning forest of
 its links; pairs never leave the task.
 """
@@ -35,6 +35,11 @@ def _unit(rows) -> np.ndarray:
     return x / np.sqrt((x * x).sum(axis=1))[:, None]
 
 
+def _matrix(packed: pd.Series) -> np.ndarray:
+    """Unit vectors packed as bytes of doubles."""
+    return np.frombuffer(b"".join(packed), np.float64).reshape(len(packed), -1)
+
+
 def _distances(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(0.0, 2.0 - 2.0 * (x @ pivots.T)))
 
@@ -43,65 +48,82 @@ def _homes(batches, pivots: np.ndarray):
     for batch in batches:
         for low in range(0, len(batch), TILE):
             part = batch.iloc[low : low + TILE]
-            d = _distances(_unit(part["embedding"]), pivots)
+            x = _unit(part["embedding"])
+            d = _distances(x, pivots)
             home = d.argmin(axis=1)
-            yield pd.DataFrame({"vec_id": part["vec_id"].to_numpy(), "copies": part["copies"].to_numpy(), "embedding": part["embedding"].to_numpy(), "home": home, "away": d[np.arange(len(d)), home]})
+            yield pd.DataFrame({"vec_id": part["vec_id"].to_numpy(), "copies": part["copies"].to_numpy(), "unit": [row.tobytes() for row in x], "home": home, "away": d[np.arange(len(d)), home]})
 
 
-def _replicas(batches, pivots: np.ndarray, radii: np.ndarray, chunks: np.ndarray, sent_chunks: np.ndarray, reach: float):
-    """A row for each task that needs the vector: as home vector (side 0) of its cell, as sent vector (side 1) of every cell in reach."""
+def _in_reach(part: pd.DataFrame, pivots: np.ndarray, radii: np.ndarray, reach: float) -> np.ndarray:
+    """Which cells each vector is sent to: its own, and of those numbered below it the ones where the triangle inequality allows a partner.
+
+    A pair of two cells is found in the lower one alone, for both of its vectors.
+    """
+    home = part["home"].to_numpy(np.int64)
+    d = _distances(_matrix(part["unit"]), pivots)
     eps = 1e-9
-    for batch in batches:
-        for low in range(0, len(batch), TILE):
-            part = batch.iloc[low : low + TILE]
-            ids, home, away = part["vec_id"].to_numpy(np.int64), part["home"].to_numpy(np.int64), part["away"].to_numpy()
-            d = _distances(_unit(part["embedding"]), pivots)
-            sent = (d <= away[:, None] + 2 * reach + eps) & (d <= radii[None, :] + reach + eps)
-            sent[np.arange(len(part)), home] = True
-            salt = (ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)
-            row, cell, h, e, side = [], [], [], [], []
-            r, c = np.nonzero(sent)
-            for i in range(int(chunks.max(initial=1))):
-                m = chunks[c] > i
-                row.append(r[m]), cell.append(c[m]), h.append(np.full(m.sum(), i)), e.append((salt[r[m]] % sent_chunks[c[m]].astype(np.uint64)).astype(np.int64)), side.append(np.ones(m.sum(), np.int64))
-            for i in range(int(sent_chunks.max(initial=1))):
-                m = np.flatnonzero(sent_chunks[home] > i)
-                row.append(m), cell.append(home[m]), h.append((salt[m] % chunks[home[m]].astype(np.uint64)).astype(np.int64)), e.append(np.full(len(m), i)), side.append(np.zeros(len(m), np.int64))
-            at = np.concatenate(row)
-            out = part[["vec_id", "copies", "embedding"]].iloc[at].reset_index(drop=True)
-            yield out.assign(task=(np.concatenate(cell) << 32) + (np.concatenate(h) << 16) + np.concatenate(e), side=np.concatenate(side))
+    sent = (d <= part["away"].to_numpy()[:, None] + 2 * reach + eps) & (d <= radii[None, :] + reach + eps) & (np.arange(len(pivots)) < home[:, None])
+    sent[np.arange(len(part)), home] = True
+    return sent
 
 
 def _reach_counts(batches, pivots: np.ndarray, radii: np.ndarray, reach: float):
     """How many vectors each cell will be sent, summed per task."""
-    eps, total = 1e-9, np.zeros(len(pivots), np.int64)
+    total = np.zeros(len(pivots), np.int64)
     for batch in batches:
         for low in range(0, len(batch), TILE):
-            part = batch.iloc[low : low + TILE]
-            d = _distances(_unit(part["embedding"]), pivots)
-            total += ((d <= part["away"].to_numpy()[:, None] + 2 * reach + eps) & (d <= radii[None, :] + reach + eps)).sum(axis=0)
+            total += _in_reach(batch.iloc[low : low + TILE], pivots, radii, reach).sum(axis=0)
     yield pd.DataFrame({"home": np.arange(len(pivots)), "sent": total})
 
 
+def _replicas(batches, pivots: np.ndarray, radii: np.ndarray, chunks: np.ndarray, sent_chunks: np.ndarray, reach: float):
+    """A row for each task that needs the vector. side 0: home vector of the cell; 1: sent from the cell itself; 2: sent from another cell."""
+    for batch in batches:
+        for low in range(0, len(batch), TILE):
+            part = batch.iloc[low : low + TILE]
+            ids, home = part["vec_id"].to_numpy(np.int64), part["home"].to_numpy(np.int64)
+            salt = (ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)
+            row, task, side = [], [], []
+            r, c = np.nonzero(_in_reach(part, pivots, radii, reach))
+            e = (salt[r] % sent_chunks[c].astype(np.uint64)).astype(np.int64)
+            for i in range(int(chunks[c].max(initial=1))):
+                m = chunks[c] > i
+                row.append(r[m]), task.append((c[m] << 40) + (i << 20) + e[m]), side.append(np.where(c[m] == home[r[m]], 1, 2))
+            h = (salt % chunks[home].astype(np.uint64)).astype(np.int64)
+            for i in range(int(sent_chunks[home].max(initial=1))):
+                m = np.flatnonzero(sent_chunks[home] > i)
+                row.append(m), task.append((home[m] << 40) + (h[m] << 20) + i), side.append(np.zeros(len(m), np.int64))
+            out = part[["vec_id", "copies", "unit"]].iloc[np.concatenate(row)].reset_index(drop=True)
+            yield out.assign(task=np.concatenate(task), side=np.concatenate(side))
+
+
 def _join_chunk(rows: pd.DataFrame, least: float) -> pd.DataFrame:
-    """Links of one chunk pair: (a, b null, n) counts linked copies of home vector a; (a, b, 0) is an edge of the spanning forest."""
+    """Links of one chunk pair: (a, a, n) counts linked copies of vector a; (a, b, 0) is an edge of the spanning forest."""
     side = rows["side"].to_numpy()
-    ids, copies, x = rows["vec_id"].to_numpy(np.int64), rows["copies"].to_numpy(np.int64), _unit(rows["embedding"])
-    home, sent = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+    ids, copies, x = rows["vec_id"].to_numpy(np.int64), rows["copies"].to_numpy(np.int64), _matrix(rows["unit"])
+    home, sent = np.flatnonzero(side == 0), np.flatnonzero(side > 0)
     names, at = np.unique(ids, return_inverse=True)
-    labels, n = np.arange(len(names)), np.zeros(len(home), np.int64)
+    labels, n = np.arange(len(names)), np.zeros(len(names), np.int64)
+    rough = x.astype(np.float32)  # single precision proposes, with room for its error; double precision decides
     for i in range(0, len(home), TILE):
         for j in range(0, len(sent), 4 * TILE):
             a, b = home[i : i + TILE], sent[j : j + 4 * TILE]
-            linked = x[a] @ x[b].T >= least
-            p, q = np.nonzero(linked)
-            n[i : i + TILE] += np.bincount(p, weights=copies[b[q]], minlength=len(a)).astype(np.int64)
-            labels = unite(labels, at[a[p]], at[b[q]])
+            p, q = np.nonzero(rough[a] @ rough[b].T >= np.float32(least - 1e-4))
+            p, q = a[p], b[q]
+            for k in range(0, len(p), 1 << 18):
+                u, v = p[k : k + (1 << 18)], q[k : k + (1 << 18)]
+                linked = np.einsum("ij,ij->i", x[u], x[v]) >= least
+                u, v = u[linked], v[linked]
+                n += np.bincount(at[u], weights=copies[v], minlength=len(names)).astype(np.int64)
+                back = side[v] == 2  # the other vector is nobody's home vector here, so its count is made here too
+                n += np.bincount(at[v[back]], weights=copies[u[back]], minlength=len(names)).astype(np.int64)
+                labels = unite(labels, at[u], at[v])
     moved = np.flatnonzero(labels != np.arange(len(names)))
-    return pd.DataFrame({"a": np.concatenate([ids[home], names[moved]]), "b": np.concatenate([ids[home], names[labels[moved]]]), "n": np.concatenate([n, np.zeros(len(moved), np.int64)])})
+    some = np.flatnonzero(n)
+    return pd.DataFrame({"a": np.concatenate([names[some], names[moved]]), "b": np.concatenate([names[some], names[labels[moved]]]), "n": np.concatenate([n[some], np.zeros(len(moved), np.int64)])})
 
 
-def embedding_duplicates(embeddings: DataFrame, cosine: float = 0.9, vectors_per_cell: int = 2048, max_pivots: int = 1024, seed: str = "pivots") -> DataFrame:
+def embedding_duplicates(embeddings: DataFrame, cosine: float = 0.9, vectors_per_cell: int = 4096, max_pivots: int = 1024, seed: str = "pivots") -> DataFrame:
     """Groups of ``embeddings`` (vec_id, embedding) linked by cosine similarity >= ``cosine`` in double precision.
 
     Returns one row per input row: vec_id, n_links (other vectors linked directly), component_id (smallest vec_id that links reach, itself
@@ -125,7 +147,7 @@ def embedding_duplicates(embeddings: DataFrame, cosine: float = 0.9, vectors_per
     chosen = classes.select("vec_id", "embedding").orderBy(F.xxhash64("vec_id", F.lit(seed)), "vec_id").limit(wanted).collect()
     pivots = _unit(r["embedding"] for r in chosen) if chosen else np.zeros((1, 1))
 
-    placed = cut(classes.mapInPandas(partial(_homes, pivots=pivots), "vec_id long, copies long, embedding array<double>, home int, away double"))
+    placed = cut(classes.mapInPandas(partial(_homes, pivots=pivots), "vec_id long, copies long, unit binary, home int, away double"))
     radii, held = np.zeros(len(pivots)), np.zeros(len(pivots), np.int64)
     for r in placed.groupBy("home").agg(F.max("away").alias("radius"), F.count("*").alias("n")).collect():  # a row per pivot
         radii[r["home"]], held[r["home"]] = r["radius"], r["n"]
@@ -134,8 +156,7 @@ def embedding_duplicates(embeddings: DataFrame, cosine: float = 0.9, vectors_per
     for r in placed.mapInPandas(partial(_reach_counts, pivots=pivots, radii=radii, reach=reach), "home int, sent long").groupBy("home").agg(F.sum("sent").alias("sent")).collect():
         sent[r["home"]] = r["sent"]
     chunks, sent_chunks = np.maximum(1, -(-held // HOME_CHUNK)), np.maximum(1, -(-sent // SENT_CHUNK))
-    task = "vec_id long, copies long, embedding array<double>, task long, side int"
-    tasks = placed.mapInPandas(partial(_replicas, pivots=pivots, radii=radii, chunks=chunks, sent_chunks=sent_chunks, reach=reach), task).withColumn("embedding", F.col("embedding").cast("array<double>"))
+    tasks = placed.mapInPandas(partial(_replicas, pivots=pivots, radii=radii, chunks=chunks, sent_chunks=sent_chunks, reach=reach), "vec_id long, copies long, unit binary, task long, side int")
     joined = cut(
         tasks.repartition(max(parallelism(rows), int((chunks * sent_chunks).sum())), "task")
         .groupBy("task")
