@@ -4,15 +4,20 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .embed_dedup import embedding_duplicates
+from .html import extract_main_text
 from .langid import identify_languages
 from .minhash import near_duplicates
+from .mixing import mix_sources
+from .packing import pack_documents
 from .quality import grade_documents
 from .secrets import scan_secrets
 from .topk import top_inner_products
+from .urlfilter import filter_urls, host
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,6 +28,20 @@ def op1_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_duplicates(_table(spark, sf_dir, "embeddings"), cosine=0.9)
 
 
+def mixing_parameters(spark: SparkSession) -> dict:
+    """The mixture that the query and the pipeline aim at: four domains of sources, and English as two other languages."""
+    domain = F.concat(F.lit("d"), F.pmod(F.regexp_extract("source", r"(\d+)$", 1).cast("int"), F.lit(4)).cast("string"))
+    targets = [("d0", 4.0), ("d1", 3.0), ("d2", 2.0), ("d3", 1.0), *[(f"d{d}/en", 2.0) for d in range(4)]]
+    return {
+        "levels": {"domain": domain, "lang": F.col("lang"), "source": F.col("source")}, "tokens": F.ceil(F.octet_length("text") / 4),
+        "weights": spark.createDataFrame(targets, "path string, weight double"), "budget_share": 0.5, "max_epochs": 2,
+    }
+
+
+def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_sources(_table(spark, sf_dir, "documents"), **mixing_parameters(spark))
+
+
 def op3_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_inner_products(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5, scale=256)
 
@@ -35,6 +54,30 @@ def op5_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"), words=3, percent=85)
 
 
+def packing_parameters() -> dict:
+    return {"ranks_path": public_tokenizers.path("byte_bpe_50k.tiktoken"), "pattern": public_tokenizers.PATTERN, "length": 2048, "end": 0}
+
+
+def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(_table(spark, sf_dir, "documents"), **packing_parameters())
+
+
+def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages have no fetch times and there is no list table, so both are derived from pages: a day of 2024 by page_id, and lists of hosts and paths by their first and last page."""
+    pages = _table(spark, sf_dir, "pages").select("page_id", "url").withColumn("fetched_at", F.expr("date_add(date'2024-01-01', cast(page_id * 37 % 366 as int))"))
+    hosts = pages.groupBy(host(F.col("url")).alias("host")).agg(F.min("page_id").alias("a"), F.max("page_id").alias("z")).where("host != ''")
+    dated = {
+        "select 'hosts' as list, host as key, true as listed, cast(a % 150 as int) as day from {hosts} where a % 3 < 2",
+        "select 'hosts', host, false, cast(a % 150 + 60 + z % 60 as int) from {hosts} where z % 2 = 0",
+        "select 'hosts', host, true, cast(300 + a % 30 as int) from {hosts} where z % 5 = 0",
+        "select 'paths', concat(host, '/en'), true, cast(z % 366 as int) from {hosts} where z % 2 = 1",
+        "select distinct 'domains', regexp_extract(host, '([^.]+[.][^.]+)$', 1), true, 330 from {hosts} where z % 7 = 0",
+    }
+    entries = spark.sql(" union all ".join(sorted(dated)), hosts=hosts).select("list", "key", "listed", F.expr("date_add(date'2024-01-01', day)").alias("at"))
+    found = filter_urls(pages, entries)
+    return found.select("page_id", "url", "fetched_at", F.array_join("lists", ",").alias("lists"), "matched_key", "kept")
+
+
 def ratings(labels: DataFrame) -> DataFrame:
     """Grades from labels: 0 toxic, 1 poor, 2 good."""
     return labels.select("doc_id", F.when(F.col("toxic") == 1, 0).when(F.col("quality") == 0, 1).when(F.col("quality") == 1, 2).alias("grade"))
@@ -56,17 +99,50 @@ def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("secrets")).alias("spans"))
 
 
+def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_main_text(_table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_embedding_dedup": op1_embedding_dedup,
+    "op2_source_mixing": op2_source_mixing,
     "op3_exact_topk": op3_exact_topk,
     "op4_language_id": op4_language_id,
     "op5_minhash_dedup": op5_minhash_dedup,
+    "op6_best_fit_packing": op6_best_fit_packing,
+    "op7_url_filter": op7_url_filter,
     "op8_quality_grade": op8_quality_grade,
     "op9_secret_scan": op9_secret_scan,
+    "op10_html_extraction": op10_html_extraction,
 }
 
 #: DuckDB SQL for the queries that SQL can express; the others are held against brute force in tests/llm.
 ORACLE_SQL: dict[str, str] = {
+    "op7_url_filter": """
+with p as (
+    select page_id, url, date '2024-01-01' + cast(page_id * 37 % 366 as integer) as fetched_at,
+        lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)', 1)) as host,
+        rtrim(regexp_replace(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*(/[^?#]*)', 1), '/+', '/', 'g'), '/') as path
+    from pages
+), h as (select host, min(page_id) as a, max(page_id) as z from p where host <> '' group by host),
+e as (
+    select 'hosts' as list, host as key, true as listed, a % 150 as day from h where a % 3 < 2
+    union all select 'hosts', host, false, a % 150 + 60 + z % 60 from h where z % 2 = 0
+    union all select 'hosts', host, true, 300 + a % 30 from h where z % 5 = 0
+    union all select 'paths', host || '/en', true, z % 366 from h where z % 2 = 1
+    union all select distinct 'domains', regexp_extract(host, '([^.]+[.][^.]+)$', 1), true, 330 from h where z % 7 = 0
+), d as (select list, key, date '2024-01-01' + cast(day as integer) as since, bool_and(listed) as listed from e group by list, key, day),
+c as (select *, coalesce(lag(listed) over (partition by list, key order by since), false) as before from d),
+v as (select *, lead(since) over (partition by list, key order by since) as until from c where listed <> before),
+m as (
+    select distinct p.page_id, v.list, v.key from p join v on v.listed and v.since <= p.fetched_at and (v.until is null or p.fetched_at < v.until)
+        and (p.host = v.key or ends_with(p.host, '.' || v.key) or p.host || p.path = v.key or starts_with(p.host || p.path, v.key || '/'))
+    where p.host <> ''
+), g as (select page_id, string_agg(distinct list, ',' order by list) as lists from m group by page_id),
+k as (select page_id, key from (select page_id, key, row_number() over (partition by page_id order by length(key) desc, key) as n from m) where n = 1)
+select p.page_id, p.url, p.fetched_at, coalesce(g.lists, '') as lists, k.key as matched_key, g.lists is null as kept
+from p left join g on p.page_id = g.page_id left join k on p.page_id = k.page_id
+""",
     "op3_exact_topk": """
 with v as (
     select vec_id, list_transform(embedding, lambda x: cast(floor(256 * cast(x as double)) as bigint)) as v
