@@ -25,6 +25,7 @@ SLIDE_FIGURE = r"(?imu)^[ \t]*\[(?:FIGURE:\s*slide|ŞEKİL:\s*slayt)\s*(\d+)\s*\
 BOOK_FIGURE_LINE = r"(?imu)^[ \t]*\[(?:BOOKFIGURE|KŞEKİL):\s*([\d.]+?)\s*\][ \t]*$"
 BOOK_FIGURE_REF = r"(?iu)\[(?:BOOKFIGURE|KŞEKİL):\s*([\d.]+?)\s*\]"
 TICKED_MARKER = r"(?iu)`(\[(?:B|K|S|BOOKFIGURE|KŞEKİL|FIGURE|ŞEKİL):[^\]`]*\])`"
+SPACE = r"[\s\x1c-\x1f]"
 LINE_BREAK = r"\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029]"
 LEGACY_OPTIONS = {"özet": "summary", "standart": "standard", "derin": "deep", "analoji": "analogy", "örnek": "example", "soru": "quiz", "sözlük": "glossary"}
 ACCENTED = "àáâãäåāăąçćĉċčďèéêëēĕėęěĝğġģĥìíîïĩīĭįĵķĺļľñńņňòóôõöōŏőŕŗřśŝşšţťùúûüũūŭůűųŵýÿŷźżž"
@@ -33,7 +34,7 @@ UNACCENTED = "aaaaaaaaacccccdeeeeeeeeegggghiiiiiiiijklllnnnnoooooooorrrssssttuuu
 
 def py_strip(c: Column) -> Column:
     """Strip Unicode white space from both ends."""
-    return F.regexp_replace(F.regexp_replace(c, r"(?U)^\s+", ""), r"(?U)\s+$", "")
+    return F.regexp_replace(F.regexp_replace(c, f"(?U)^{SPACE}+", ""), f"(?U){SPACE}+$", "")
 
 
 def split_lines(c: Column) -> Column:
@@ -108,7 +109,7 @@ def card_query(title: Column, key_terms: Column, gaps: Column) -> Column:
 
 
 def _words(c: Column) -> Column:
-    return F.filter(F.split(F.regexp_replace(c, r"(?U)[^\w\s]", " "), r"(?U)\s+"), lambda w: w != "")
+    return F.filter(F.split(F.regexp_replace(c, r"(?U)[^\w\s]", " "), f"(?U){SPACE}+"), lambda w: w != "")
 
 
 def query_terms_or(c: Column, max_terms: int = 24) -> Column:
@@ -199,7 +200,7 @@ def stem(path: Column) -> Column:
 
 
 def excerpt(c: Column, length: int = 260) -> Column:
-    squeezed = F.array_join(F.split(py_strip(c), r"(?U)\s+"), " ")
+    squeezed = F.array_join(F.split(py_strip(c), f"(?U){SPACE}+"), " ")
     return F.concat(F.substring(squeezed, 1, length), F.lit("…"))
 
 

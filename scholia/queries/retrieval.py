@@ -9,6 +9,7 @@ from scholia.functions import text as T
 from scholia.operators import index as I
 from scholia.operators import search as S
 from scholia.plans import notes as N
+from scholia.sources.materialise import materialised
 
 from .roles import TOKENS, slides, table
 
@@ -85,6 +86,8 @@ def extractive_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     decks = sec.deck_sections(sec.section_deck(slides(spark, sf_dir)))
     cards = N.topic_cards(decks).withColumn("book_id", F.lit("library"))
     index = _index(spark, sf_dir, cards.select(F.col("query").alias("text")))
+    # aligning and retrieving both score the cards, so what they read is made once
+    index |= {name: materialised(index[name]) for name in ("postings", "doc_len", "corpus_stats")}
     requests = N.prepare_requests(decks, cards.select("deck_id", "book_id").distinct(), index, limit=3)
     return N.extractive_sections(requests).select("deck_id", "section_index", "title", "markdown", "citations", "slide_first", "slide_last")
 

@@ -51,10 +51,10 @@ def load_exam_text(pages: DataFrame, exams: DataFrame) -> DataFrame:
 
 def outline_schema(depth: int) -> str:
     """DDL of outline nodes nested ``depth`` deep."""
-    node = "title string, page_idx int"
+    node = "struct<title:string,page_idx:int>"
     for _ in range(depth - 1):
-        node = f"title string, page_idx int, children array<struct<{node.replace(' string', ': string').replace(' int', ': int').replace(' array', ': array')}>>"
-    return f"array<struct<{node.replace(' string', ': string').replace(' int', ': int').replace(' array', ': array')}>>"
+        node = f"struct<title:string,page_idx:int,children:array<{node}>>"
+    return f"array<{node}>"
 
 
 def read_outline(books: DataFrame, column: str = "outline", depth: int = 4) -> DataFrame:
