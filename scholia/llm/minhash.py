@@ -18,6 +18,7 @@ from functools import partial
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -25,8 +26,8 @@ from pyspark.sql import functions as F
 from .common import cut, parallelism
 from .graph import connected_components, unite
 
-#: Classes in one block of a candidate group; a task holds two blocks at a time.
-BLOCK = 512
+#: Classes in one block of a candidate group, and values of all its sets on average; a task holds two blocks at a time.
+BLOCK, BLOCK_VALUES = 512, 1 << 20
 #: Inverted lists up to this long make pairs; longer ones (whole groups of copies) go to block comparison.
 SHORT_LIST = 16
 
@@ -42,14 +43,14 @@ def required_overlap(k: int, similarity: float, miss: float = 1e-8) -> int:
     return k
 
 
-def shingle_hashes(text: str | None, words: int) -> np.ndarray:
+def shingle_hashes(text: str | bytes | None, words: int) -> np.ndarray:
     """Sorted distinct 64-bit hashes of a text's word shingles: A-Z lower-cased, split at \\x20 and \\x09-\\x0D.
 
     A text of fewer words is one shingle; no text or no words give an empty set.
     """
     if not text:
         return np.empty(0, np.uint64)
-    tokens = text.encode("utf-8", "surrogatepass").lower().split()
+    tokens = (text if isinstance(text, bytes) else text.encode("utf-8", "surrogatepass")).lower().split()
     if not tokens:
         return np.empty(0, np.uint64)
     each = np.fromiter(map(xxhash.xxh3_64_intdigest, tokens), np.uint64, len(tokens))
@@ -61,36 +62,62 @@ def shingle_hashes(text: str | None, words: int) -> np.ndarray:
     return np.unique(mixed)
 
 
-def _sketches(batches, words: int, k: int):
+_SLICE = 512  # rows that are turned into Python objects at a time
+
+
+def _sliced(batches):
+    """(doc ids, texts as UTF-8 bytes) of slices of Arrow batches: texts are never all Python objects at once."""
     for batch in batches:
-        rows = []
-        for doc_id, text in zip(batch["doc_id"], batch["text"]):
+        for low in range(0, batch.num_rows, _SLICE):
+            part = batch.slice(low, _SLICE)
+            yield part.column("doc_id"), (x.as_py() for x in part.column("text").cast(pa.binary()))
+
+
+def _sketches(batches, words: int, k: int):
+    for ids, texts in _sliced(batches):
+        sizes, first, second, kept = [], [], [], []
+        for text in texts:
             whole = shingle_hashes(text, words)
             spread = (whole ^ (whole >> np.uint64(31))) * np.uint64(0xD6E8FEB86659FD93)
-            rows.append((doc_id, len(whole), int(whole.sum().astype(np.int64)), int(np.bitwise_xor.reduce(spread).astype(np.int64)), whole[:k].astype(np.int64)))
-        yield pd.DataFrame(rows, columns=["doc_id", "n_shingles", "digest_a", "digest_b", "sketch"])
+            sizes.append(len(whole))
+            first.append(int(whole.sum().astype(np.int64)))
+            second.append(int(np.bitwise_xor.reduce(spread).astype(np.int64)))
+            kept.append(whole[:k].view(np.int64))
+        columns = [ids, pa.array(sizes, pa.int64()), pa.array(first, pa.int64()), pa.array(second, pa.int64()), pa.array(kept, pa.list_(pa.int64()))]
+        yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_shingles", "digest_a", "digest_b", "sketch"])
 
 
 def _whole_sets(batches, words: int):
-    for batch in batches:
-        yield pd.DataFrame({"doc_id": batch["doc_id"], "whole": [shingle_hashes(t, words).view(np.int64) for t in batch["text"]]})
+    for ids, texts in _sliced(batches):
+        sets = [np.sort(shingle_hashes(text, words).view(np.int64)) for text in texts]
+        yield pa.RecordBatch.from_arrays([ids, pa.array(sets, pa.list_(pa.int64()))], ["doc_id", "whole"])
+
+
+def _repeated(values: np.ndarray) -> np.ndarray:
+    """Distinct entries that occur more than once."""
+    values = np.sort(values)
+    again = values[1:][values[1:] == values[:-1]]
+    return again[np.concatenate([[True], again[1:] != again[:-1]])] if len(again) else again
 
 
-def _shared(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
-    """Sizes of all intersections, by a product of 0/1 matrices over the values that occur on both sides."""
-    both = np.intersect1d(np.concatenate(left), np.concatenate(right))
-    out = np.zeros((len(left), len(right)), np.float32)
+def _shared(left: list[np.ndarray], right: list[np.ndarray] | None) -> np.ndarray:
+    """Sizes of all intersections of left sets with right ones (or with each other), by a product of 0/1 matrices over the values that two sets can share."""
+    if right is None:
+        both = _repeated(np.concatenate(left))
+    else:
+        both = _repeated(np.concatenate([np.unique(np.concatenate(left)), np.unique(np.concatenate(right))]))
+    out = np.zeros((len(left), len(left if right is None else right)), np.float32)
     for low in range(0, len(both), 4096):
         part = both[low : low + 4096]
         matrices = []
-        for side in (left, right):
+        for side in (left,) if right is None else (left, right):
             m = np.zeros((len(side), len(part)), np.float32)
             for i, values in enumerate(side):
                 inside = values[np.searchsorted(values, part[0]) : np.searchsorted(values, part[-1], "right")]
                 at = np.searchsorted(part, inside)
                 m[i, at[part[np.minimum(at, len(part) - 1)] == inside]] = 1
             matrices.append(m)
-        out += matrices[0] @ matrices[1].T
+        out += matrices[0] @ matrices[-1].T
     return out
 
 
@@ -105,11 +132,10 @@ def _block_links(rows: pd.DataFrame, percent: int) -> tuple[np.ndarray, np.ndarr
         return (ids[:1], ids[1:]) if linked else (ids[:0], ids[:0])
     side = rows["side"].to_numpy()
     first, second = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-    if not len(second):
-        second = first
     sizes = np.array([len(x) for x in sets], np.int64)
     labels = np.arange(len(ids))
-    shared = _shared([sets[i] for i in first], [sets[i] for i in second]).astype(np.int64)
+    shared = _shared([sets[i] for i in first], [sets[i] for i in second] if len(second) else None).astype(np.int64)
+    second = second if len(second) else first
     linked = 100 * shared >= percent * (sizes[first][:, None] + sizes[second][None, :] - shared)
     x, y = np.nonzero(linked)
     labels = unite(labels, first[x], second[y])
@@ -183,7 +209,7 @@ def near_duplicates(documents: DataFrame, words: int = 5, percent: int = 80, k:
     """
     similarity = percent / 100
     documents = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
-    per_doc = cut(documents.mapInPandas(partial(_sketches, words=words, k=k), "doc_id long, n_shingles long, digest_a long, digest_b long, sketch array<long>"))
+    per_doc = cut(documents.mapInArrow(partial(_sketches, words=words, k=k), "doc_id long, n_shingles long, digest_a long, digest_b long, sketch array<long>"))
     known = per_doc.where("doc_id is not null and n_shingles > 0")
     digest = ["n_shingles", "digest_a", "digest_b"]
     reps = known.groupBy(*digest).agg(F.min("doc_id").alias("rep"))
@@ -192,12 +218,12 @@ def near_duplicates(documents: DataFrame, words: int = 5, percent: int = 80, k:
     classes = per_doc.join(chosen, ["doc_id", *digest], "left_semi").dropDuplicates(["doc_id", *digest]).select(F.col("doc_id").alias("rep"), "n_shingles", "sketch")
     groups = cut(_candidate_groups(classes, k, required_overlap(k, similarity), similarity))
 
-    # blocks: within a group, classes whose set sizes lie in one step of the similarity, dealt into chunks of BLOCK by hash
+    # blocks: within a group, classes whose set sizes lie in one step of the similarity, dealt into chunks by hash
     step = F.floor(F.log(F.col("n_shingles").cast("double")) / math.log(1 / similarity)).cast("int")
     placed = membership.where("doc_id = rep").select("rep", "n_shingles").distinct().join(groups, "rep").withColumn("step", step)
-    spans = placed.groupBy("grp").agg(F.count("*").alias("members"))
-    counts = placed.groupBy("grp", "step").agg(F.count("*").alias("n"))
-    chunks = counts.select("grp", "step", F.ceil(F.col("n") / BLOCK).cast("int").alias("chunks"))
+    spans = placed.groupBy("grp").agg(F.count("*").alias("members"), F.sum("n_shingles").alias("values"))
+    counts = placed.groupBy("grp", "step").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("v"))
+    chunks = counts.select("grp", "step", F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("v") / BLOCK_VALUES)).cast("int").alias("chunks"))
     chunked = placed.join(spans, "grp").join(chunks, ["grp", "step"])
     above = chunks.select("grp", (F.col("step") - 1).alias("step"), F.col("chunks").alias("above"))
     below = chunks.select("grp", (F.col("step") + 1).alias("step"), F.col("chunks").alias("below"))
@@ -205,7 +231,7 @@ def near_duplicates(documents: DataFrame, words: int = 5, percent: int = 80, k:
     chunked = chunked.join(above, ["grp", "step"], "left").join(below, ["grp", "step"], "left").withColumn("chunk", chunk).na.fill(0, ["above", "below"])
     # a small group is one block whatever its sizes; else a class meets its own chunk, its step's others and both neighbouring steps'
     meetings = F.when(
-        F.col("members") <= BLOCK,
+        (F.col("members") <= BLOCK) & (F.col("values") <= BLOCK_VALUES),
         F.expr("array(struct(0 as s1, 0 as c1, 0 as s2, 0 as c2, 0 as side))"),
     ).otherwise(
         F.expr(
@@ -218,7 +244,7 @@ def near_duplicates(documents: DataFrame, words: int = 5, percent: int = 80, k:
     meeting = chunked.select("rep", "n_shingles", "grp", F.explode(meetings).alias("m")).select("rep", "n_shingles", F.xxhash64("grp", "m.s1", "m.c1", "m.s2", "m.c2").alias("pair"), "m.side")
     # the texts of candidate classes alone are shingled again, whole
     wanted = documents.join(placed.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
-    sets = wanted.mapInPandas(partial(_whole_sets, words=words), "doc_id long, whole array<long>")
+    sets = wanted.mapInArrow(partial(_whole_sets, words=words), "doc_id long, whole array<long>")
     rows = meeting.join(sets.select(F.col("doc_id").alias("rep"), "whole"), "rep").where(F.size("whole") == F.col("n_shingles")).select("pair", "side", "rep", "whole")
     dealt = rows.repartition(parallelism(documents), "pair").sortWithinPartitions("pair")
     links = dealt.mapInPandas(partial(_compare_blocks, percent=percent), "u long, v long")

@@ -74,7 +74,7 @@ def mix_sources(
 
     A leaf's document is taken in an epoch if the tokens before it in that epoch's order lie below what the leaf still owes, so a leaf exceeds its quota by less than one
     document. Null levels are a leaf of their own. Documents without tokens cost nothing and are taken wherever their place in the order lies below the quota; repeated rows
-    are documents of their own, and their order among themselves doesn't matter, as they are equal. An empty table or a budget of 0 gives no rows.
+    are documents of their own, and their order among themselves doesn't matter, as they are equal. A leaf whose documents all have no tokens has no quota and gives none. An empty table or a budget of 0 gives no rows.
     """
     names = list(levels)
     placed = documents.select(*keep, *[F.coalesce(c.cast("string"), F.lit(NULL)).alias(f"_{n}") for n, c in levels.items()], F.greatest(F.lit(0), F.coalesce(tokens, F.lit(0))).cast("long").alias("n_tokens"), F.xxhash64(*[F.col(c) for c in keep], F.lit(seed)).alias("_key"))

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import operator
 import zlib
-from functools import partial
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -101,10 +101,15 @@ def _sampled(batches):
         yield pd.DataFrame({"grade": batch["grade"].to_numpy(), "index": [r[0].astype(np.int32).tobytes() for r in rows], "value": [r[1].astype(np.float32).tobytes() for r in rows]})
 
 
-def _graded(batches, model: Model, columns: list[str]):
-    for batch in batches:
-        out = [model.predict(t) for t in batch["text"]]
-        yield batch[columns].assign(expected_grade=[x[0] for x in out], tail_probability=[x[1] for x in out])
+def _grader(model: Model):
+    """The model as a column function: only texts go to Python, and two numbers come back."""
+
+    @F.pandas_udf("struct<expected_grade double, tail_probability double>")
+    def graded(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for batch in texts:
+            yield pd.DataFrame([model.predict(t) for t in batch], columns=["expected_grade", "tail_probability"], dtype=float)
+
+    return graded
 
 
 def train(documents: DataFrame, ratings: DataFrame, grade_count: int, documents_per_grade: int) -> Model:
@@ -131,8 +136,5 @@ def grade_documents(documents: DataFrame, ratings: DataFrame, grade_count: int =
     documents get the same middling grade. Repeated rows get equal results, and extra columns are passed through only if kept.
     """
     model = train(documents, ratings, grade_count, documents_per_grade)
-    columns = list(dict.fromkeys([*keep, "text"]))
-    rows = documents.select(*columns)
-    kinds = dict(rows.dtypes)
-    schema = ", ".join(f"`{c}` {kinds[c]}" for c in keep) + ", expected_grade double, tail_probability double"
-    return rows.mapInPandas(partial(_graded, model=model, columns=list(keep)), schema)
+    rows = documents.select(*dict.fromkeys([*keep, "text"])).withColumn("_graded", _grader(model)(F.col("text")))
+    return rows.select(*keep, "_graded.expected_grade", "_graded.tail_probability")
