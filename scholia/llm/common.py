@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
+import gc
 import tempfile
+from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,6 +40,33 @@ def parallelism(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
-def hashed_salt(column: str, salts) -> F.Column:
-    """A stable salt in [0, salts) from a column's value."""
-    return F.pmod(F.xxhash64(F.col(column), F.lit("salt")), salts)
+def release_memory() -> None:
+    """Give freed memory back to the system. Python workers outlive their tasks, and what an idle one holds is missing elsewhere in its executor."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def trimmed(run: Callable) -> Callable:
+    """Let a function of batches release its worker's memory when a task's batches are done."""
+
+    @functools.wraps(run)
+    def wrapped(batches, *args, **kwargs):
+        yield from run(batches, *args, **kwargs)
+        release_memory()
+
+    return wrapped
+
+
+def likely_sampled(group: F.Column, totals: dict, each: int) -> F.Column:
+    """Whether a row (by the hash of doc_id) can be among the ``each`` smallest hashes of its group; true for about twice as many, or for all of a small group.
+
+    Taken before ranking, it keeps what is ranked bounded however large a group is.
+    """
+    if not totals:
+        return F.lit(False)
+    rates = F.create_map(*[x for k, n in totals.items() for x in (F.lit(k), F.lit(min(1.0, (2 * each + 200) / max(1, n))))])
+    share = F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1 << 40)) / float(1 << 40)
+    return share < F.element_at(rates, group)

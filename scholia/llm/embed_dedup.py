@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, parallelism
+from .common import cut, parallelism, trimmed
 from .graph import connected_components, unite
 
 #: Vectors on either side of one task's comparison, and of one matrix product inside it.
@@ -44,6 +44,7 @@ def _distances(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(0.0, 2.0 - 2.0 * (x @ pivots.T)))
 
 
+@trimmed
 def _homes(batches, pivots: np.ndarray):
     for batch in batches:
         for low in range(0, len(batch), TILE):
@@ -67,6 +68,7 @@ def _in_reach(part: pd.DataFrame, pivots: np.ndarray, radii: np.ndarray, reach:
     return sent
 
 
+@trimmed
 def _reach_counts(batches, pivots: np.ndarray, radii: np.ndarray, reach: float):
     """How many vectors each cell will be sent, summed per task."""
     total = np.zeros(len(pivots), np.int64)
@@ -76,6 +78,7 @@ def _reach_counts(batches, pivots: np.ndarray, radii: np.ndarray, reach: float):
     yield pd.DataFrame({"home": np.arange(len(pivots)), "sent": total})
 
 
+@trimmed
 def _replicas(batches, pivots: np.ndarray, radii: np.ndarray, chunks: np.ndarray, sent_chunks: np.ndarray, reach: float):
     """A row for each task that needs the vector. side 0: home vector of the cell; 1: sent from the cell itself; 2: sent from another cell."""
     for batch in batches:

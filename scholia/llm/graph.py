@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, trimmed
 
 
 def unite(labels: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -30,6 +30,7 @@ def unite(labels: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
             labels = jumped
 
 
+@trimmed
 def _contract_locally(batches):
     """Replace a task's edges by (node, smallest node it reaches through this task's edges)."""
     held_u, held_v = np.empty(0, np.int64), np.empty(0, np.int64)

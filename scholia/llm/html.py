@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_BYTES, cut
+from .common import BROADCAST_BYTES, cut, trimmed
 
 # Element classes of the HTML standard.
 RAW = {"script", "style", "noscript", "template", "iframe", "noembed", "noframes", "svg", "math", "object", "canvas", "audio", "video", "select", "datalist"}
@@ -206,6 +206,7 @@ def _heading(page: str) -> int:
     return xxhash.xxh3_64_intdigest(m.group(1) if m else page) - (1 << 63)
 
 
+@trimmed
 def _subtrees(batches):
     for batch in batches:
         rows = []
@@ -216,6 +217,7 @@ def _subtrees(batches):
         yield pd.DataFrame({"host": [r[0] for r in rows], "digest": pd.array([r[1] for r in rows], "Int64"), "heading": [r[2] for r in rows]})
 
 
+@trimmed
 def _extracted(batches, others: list[str]):
     for batch in batches:
         texts = []

@@ -14,6 +14,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import likely_sampled, trimmed
+
 #: Hashed trigram space.
 DIMENSIONS = 4096
 _CHUNK = 256
@@ -116,6 +118,7 @@ class Model:
         return names, scores
 
 
+@trimmed
 def _sampled_features(batches):
     for batch in batches:
         for low in range(0, len(batch), _CHUNK):
@@ -124,6 +127,7 @@ def _sampled_features(batches):
             yield pd.DataFrame({"lang": part["lang"].to_numpy(), "x": [row.tobytes() for row in x]})
 
 
+@trimmed
 def _predictions(batches, model: Model):
     for batch in batches:
         for low in range(0, len(batch), _CHUNK):
@@ -139,11 +143,12 @@ def _predictions(batches, model: Model):
 def train(labelled: DataFrame, documents_in_all: int = 1200) -> Model:
     """Fit on a bounded sample of ``labelled`` (doc_id, text, lang): ``documents_in_all`` rows at most, equally many of each language, by smallest hash."""
     rows = labelled.where("text is not null and lang is not null").select("doc_id", "text", "lang")
-    languages = rows.select("lang").distinct().count()
-    share = max(2, documents_in_all // max(1, languages))
+    totals = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}  # a row per language
+    share = max(2, documents_in_all // max(1, len(totals)))
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id", F.lit("sample")), "doc_id")
-    # ranks come from narrow rows; the filter is pushed below their exchange
-    picked = rows.where(F.col("text").rlike("\\p{L}")).select("doc_id", "lang").withColumn("n", F.row_number().over(order)).where(F.col("n") <= share).select("doc_id", "lang").distinct()
+    # narrow rows are ranked, and of a large language only about twice as many as are wanted
+    likely = rows.where(likely_sampled(F.col("lang"), totals, share)).where(F.col("text").rlike("\\p{L}"))
+    picked = likely.select("doc_id", "lang").withColumn("n", F.row_number().over(order)).where(F.col("n") <= share).select("doc_id", "lang").distinct()
     sample = rows.join(F.broadcast(picked), ["doc_id", "lang"], "left_semi")  # at most documents_in_all narrow rows
     found = sample.select("lang", "text").mapInPandas(_sampled_features, "lang string, x binary").limit(2 * documents_in_all).collect()
     x = np.array([np.frombuffer(r["x"], np.float16) for r in found], np.float32).reshape(len(found), DIMENSIONS)

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, parallelism
+from .common import cut, parallelism, trimmed
 from .graph import connected_components, unite
 
 #: Classes in one block of a candidate group, and values of all its sets on average; a task holds two blocks at a time.
@@ -73,6 +73,7 @@ def _sliced(batches):
             yield part.column("doc_id"), (x.as_py() for x in part.column("text").cast(pa.binary()))
 
 
+@trimmed
 def _sketches(batches, words: int, k: int):
     for ids, texts in _sliced(batches):
         sizes, first, second, kept = [], [], [], []
@@ -87,6 +88,7 @@ def _sketches(batches, words: int, k: int):
         yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_shingles", "digest_a", "digest_b", "sketch"])
 
 
+@trimmed
 def _whole_sets(batches, words: int):
     for ids, texts in _sliced(batches):
         sets = [np.sort(shingle_hashes(text, words).view(np.int64)) for text in texts]
@@ -143,6 +145,7 @@ def _block_links(rows: pd.DataFrame, percent: int) -> tuple[np.ndarray, np.ndarr
     return ids[moved], ids[labels[moved]]
 
 
+@trimmed
 def _compare_blocks(batches, percent: int):
     """Walk a task's rows, sorted by block pair, and compare each block pair once its rows are complete."""
     held = None
@@ -212,9 +215,10 @@ def near_duplicates(documents: DataFrame, words: int = 5, percent: int = 80, k:
     per_doc = cut(documents.mapInArrow(partial(_sketches, words=words, k=k), "doc_id long, n_shingles long, digest_a long, digest_b long, sketch array<long>"))
     known = per_doc.where("doc_id is not null and n_shingles > 0")
     digest = ["n_shingles", "digest_a", "digest_b"]
-    reps = known.groupBy(*digest).agg(F.min("doc_id").alias("rep"))
-    membership = cut(known.select("doc_id", *digest).join(reps, digest).select("doc_id", "rep", *digest))
-    chosen = reps.select(F.col("rep").alias("doc_id"), *digest)
+    # equal sets are one class: only classes of several rows need a join, whose hot keys can be split
+    several = cut(known.groupBy(*digest).agg(F.min("doc_id").alias("rep"), F.count("*").alias("rows")).where("rows > 1").drop("rows"))
+    membership = cut(known.select("doc_id", *digest).join(several, digest, "left").select("doc_id", F.coalesce("rep", "doc_id").alias("rep"), *digest))
+    chosen = membership.where("doc_id = rep").select("doc_id", *digest)
     classes = per_doc.join(chosen, ["doc_id", *digest], "left_semi").dropDuplicates(["doc_id", *digest]).select(F.col("doc_id").alias("rep"), "n_shingles", "sketch")
     groups = cut(_candidate_groups(classes, k, required_overlap(k, similarity), similarity))
 

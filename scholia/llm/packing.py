@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, parallelism
+from .common import cut, parallelism, trimmed
 
 #: Pieces that one task packs.
 SHARD = 1 << 17
@@ -32,6 +32,7 @@ def _encoder(ranks_path: str, pattern: str):
     return tiktoken.Encoding("byte-level", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
 
+@trimmed
 def _pieces(batches, ranks_path: str, pattern: str, length: int, end: int, with_ids: bool):
     encode = _encoder(ranks_path, pattern).encode_ordinary
     for batch in batches:

@@ -15,8 +15,10 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import likely_sampled, release_memory, trimmed
+
 #: Hashed word space, character classes, and the bins of repetition that follow them in the weight vector.
-WORDS, CLASSES, BINS = 1 << 18, 16, 64
+WORDS, CLASSES, BINS, PREFIX = 1 << 18, 16, 64, 5
 STYLE = CLASSES**3
 DIMENSIONS = WORDS + STYLE + BINS
 
@@ -30,7 +32,9 @@ def features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     text = text or ""
     words = text.lower().split()
     distinct = {w.strip(_STRIP) for w in set(words)}
-    index = np.unique(np.fromiter((zlib.crc32(w.encode("utf-8", "surrogatepass")) & (WORDS - 1) for w in distinct), np.int64, len(distinct)))
+    # words and, since related words share it, the beginning of longer ones
+    keys = [w.encode("utf-8", "surrogatepass") for w in distinct] + [b"^" + p.encode("utf-8", "surrogatepass") for p in {w[:PREFIX] for w in distinct if len(w) > PREFIX}]
+    index = np.unique(np.fromiter((zlib.crc32(k) & (WORDS - 1) for k in keys), np.int64, len(keys)))
     raw = _CLASS[np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)]
     if len(raw):
         raw = raw[np.concatenate([[True], raw[1:] != raw[:-1]])]
@@ -53,16 +57,21 @@ def _logistic(z: np.ndarray) -> np.ndarray:
 class Model:
     """Weights of the features that were learned, and ordered thresholds."""
 
-    def __init__(self, rows: list[tuple[np.ndarray, np.ndarray]], grades: np.ndarray, weights: np.ndarray, grade_count: int, penalty: float = 2e-5, rounds: int = 300, rate: float = 0.1):
+    def __init__(self, rows: list[tuple[np.ndarray, np.ndarray]], grades: np.ndarray, weights: np.ndarray, grade_count: int, penalty: float = 5e-4, rounds: int = 200, rate: float = 0.1):
         self.weights = np.zeros(DIMENSIONS, np.float32)
         if not len(rows):
             self.thresholds = np.linspace(-1, 1, grade_count - 1)
             return
-        index, values = np.concatenate([r[0] for r in rows]), np.concatenate([r[1] for r in rows])
-        row = np.repeat(np.arange(len(rows)), [len(r[0]) for r in rows])
-        common = np.bincount(index, minlength=DIMENSIONS) >= 3
-        index, values, row = index[common[index]], values[common[index]], row[common[index]]
-        used, at = np.unique(index, return_inverse=True)
+        seen = np.zeros(DIMENSIONS, np.int32)
+        for index, _ in rows:
+            seen[index] += 1
+        used = np.flatnonzero(seen >= 3)
+        place = np.full(DIMENSIONS, -1, np.int32)
+        place[used] = np.arange(len(used))
+        kept = [place[index] >= 0 for index, _ in rows]
+        at = np.concatenate([place[index[k]] for (index, _), k in zip(rows, kept)])
+        values = np.concatenate([v[k] for (_, v), k in zip(rows, kept)])
+        row = np.repeat(np.arange(len(rows), dtype=np.int32), [int(k.sum()) for k in kept])
         share = weights / weights.sum()
         cumulative = np.clip(np.array([share[grades <= g].sum() for g in range(grade_count - 1)]), 1e-3, 1 - 1e-3)
         # thresholds are the first and the logs of the steps to the next, so that they stay ordered
@@ -95,6 +104,7 @@ class Model:
         return float(above.sum()), float(above[-1])
 
 
+@trimmed
 def _sampled(batches):
     for batch in batches:
         rows = [features(t) for t in batch["text"]]
@@ -108,6 +118,7 @@ def _grader(model: Model):
     def graded(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for batch in texts:
             yield pd.DataFrame([model.predict(t) for t in batch], columns=["expected_grade", "tail_probability"], dtype=float)
+        release_memory()
 
     return graded
 
@@ -117,10 +128,10 @@ def train(documents: DataFrame, ratings: DataFrame, grade_count: int, documents_
     ratings = ratings.where(f"doc_id is not null and grade between 0 and {grade_count - 1}").groupBy("doc_id").agg(F.min("grade").cast("int").alias("grade"))
     totals = {r["grade"]: r["count"] for r in ratings.groupBy("grade").count().collect()}  # a row per grade
     order = Window.partitionBy("grade").orderBy(F.xxhash64("doc_id", F.lit("sample")), "doc_id")
-    picked = ratings.withColumn("n", F.row_number().over(order)).where(F.col("n") <= documents_per_grade).select("doc_id", "grade")
+    picked = ratings.where(likely_sampled(F.col("grade"), totals, documents_per_grade)).withColumn("n", F.row_number().over(order)).where(F.col("n") <= documents_per_grade).select("doc_id", "grade")
     sample = documents.select("doc_id", "text").join(F.broadcast(picked), "doc_id")  # grade_count x documents_per_grade narrow rows at most
     found = sample.select("grade", "text").mapInPandas(_sampled, "grade int, index binary, value binary").limit(2 * grade_count * documents_per_grade).collect()
-    rows = [(np.frombuffer(r["index"], np.int32).astype(np.int64), np.frombuffer(r["value"], np.float32).astype(np.float64)) for r in found]
+    rows = [(np.frombuffer(r["index"], np.int32), np.frombuffer(r["value"], np.float32)) for r in found]
     grades = np.array([r["grade"] for r in found], np.int64)
     seen = np.maximum(1, np.bincount(grades, minlength=grade_count))
     weights = np.array([totals.get(g, 0) / seen[g] for g in grades], np.float64)

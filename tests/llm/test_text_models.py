@@ -42,12 +42,12 @@ def test_languages_of_odd_rows(spark, odd_documents):
 
 
 def test_grades_separate_good_poor_and_toxic(spark):
-    base = "/root/testdata/sf0.01"
+    base = "/root/testdata/sf0.1"  # half its labels are held out; smaller tables have too few toxic documents to tell anything
     docs, labels = spark.read.parquet(f"{base}/documents.parquet"), spark.read.parquet(f"{base}/labels.parquet")
     even, odd = labels.where("doc_id % 2 = 0"), labels.where("doc_id % 2 = 1")
     graded = grade_documents(docs, ratings(even)).join(ratings(odd), "doc_id").collect()
     kept = {g: np.mean([r["tail_probability"] >= 0.5 for r in graded if r["grade"] == g]) for g in (0, 1, 2)}
-    assert kept[2] >= 0.9 and kept[1] <= 0.2 and kept[0] <= 0.5
+    assert kept[2] >= 0.99 and kept[1] <= 0.15 and kept[0] <= 0.3
     means = [np.mean([r["expected_grade"] for r in graded if r["grade"] == g]) for g in (0, 1, 2)]
     assert means[0] < means[1] < means[2]
 
