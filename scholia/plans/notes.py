@@ -153,3 +153,17 @@ def practice_status(decks: DataFrame, exams: DataFrame, questions: DataFrame) ->
     rows = decks.select("deck_id").join(exams.select("deck_id", "exam_text"), "deck_id", "left").join(counted, "deck_id", "left")
     error = F.when(F.coalesce(F.trim("exam_text"), F.lit("")) == "", "the exam has no text").when(F.coalesce("questions", F.lit(0)) == 0, "no question was produced")
     return rows.select("deck_id", F.when(error.isNull(), "ok").otherwise("failed").alias("status"), error.alias("error"), F.coalesce("questions", F.lit(0)).alias("questions"))
+
+
+def practice_exam(slides: DataFrame, sections: DataFrame, titles: DataFrame, decks: DataFrame, exams: DataFrame, index: dict[str, DataFrame], fn: Callable[[list[str]], list[tuple[str, dict]]], language: str = "English", count: int = 0) -> tuple[DataFrame, DataFrame]:
+    """(questions, status) of one exam for every deck: cards, chunks of all sections, one request, coerced questions.
+
+    Decks without exam text ask for nothing and have failed; so has a deck whose answer holds no valid question. ``exams`` has deck_id and exam_text, ``decks`` deck_id and book_id.
+    """
+    usable = exams.where("trim(exam_text) != ''")
+    cards = topic_cards(sections).join(decks.select("deck_id", "book_id"), "deck_id").join(usable.select("deck_id"), "deck_id", "left_semi")
+    found = search.collect_chunks(index, cards.select("deck_id", "section_index", "book_id", F.col("query").alias("text"))).withColumnRenamed("position", "rank")
+    requests = R.practice_request(slides, titles.join(usable.select("deck_id"), "deck_id", "left_semi"), usable, R.offered_chunks(found, ["deck_id"]), language, count)
+    answers = generate(requests, "request", fn)
+    questions = results.coerce_questions(answers.select(F.col("deck_id").alias("exam_id"), F.col("generated.text").alias("json"))).withColumnRenamed("exam_id", "deck_id")
+    return questions, practice_status(decks, exams, questions)

@@ -10,7 +10,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 DELTA = "section:delta"
 EVENT_SCHEMA = "job_id string, seq bigint, type string, at timestamp, section_index int, text string, detail string, error string"
@@ -34,26 +34,23 @@ def live_text(events: DataFrame) -> DataFrame:
     return deltas.groupBy("job_id", "section_index").agg(F.array_join(F.transform(ordered, lambda x: x["text"]), "").alias("text"))
 
 
-class _DeltaBuffer(StatefulProcessor):
-    """Keeps a section's deltas by seq and emits the text so far. State ends an hour after the last delta."""
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.deltas = handle.getMapState("deltas", "seq bigint", "text string", ttlDurationMs=3_600_000)
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        for batch in rows:
-            for seq, text in zip(batch["seq"], batch["text"]):
-                self.deltas.updateValue((int(seq),), (text,))
-        joined = "".join(value[0] for _, value in sorted(self.deltas.iterator()))
-        yield pd.DataFrame({"job_id": [key[0]], "section_index": [key[1]], "text": [joined]})
-
-    def close(self) -> None:
-        pass
+def _buffered(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """Keep a section's deltas by seq and emit the text so far; state ends an hour after the last delta."""
+    if state.hasTimedOut:
+        state.remove()
+        return
+    deltas = dict(zip(*state.get)) if state.exists else {}
+    for batch in batches:
+        deltas.update(zip(batch["seq"].astype(int).tolist(), batch["text"]))
+    ordered = sorted(deltas.items())
+    state.update(([s for s, _ in ordered], [t for _, t in ordered]))
+    state.setTimeoutDuration(3_600_000)
+    yield pd.DataFrame({"job_id": [key[0]], "section_index": [key[1]], "text": ["".join(t for _, t in ordered)]})
 
 
 def stream_live_text(events: DataFrame) -> DataFrame:
     deltas = events.where(F.col("type") == DELTA).select("job_id", "section_index", "seq", "text")
-    return deltas.groupBy("job_id", "section_index").transformWithStateInPandas(_DeltaBuffer(), "job_id string, section_index int, text string", outputMode="Update", timeMode="ProcessingTime")
+    return deltas.groupBy("job_id", "section_index").applyInPandasWithState(_buffered, "job_id string, section_index int, text string", "seqs array<bigint>, texts array<string>", "update", GroupStateTimeout.ProcessingTimeTimeout)
 
 
 def job_state(events: DataFrame) -> DataFrame:

@@ -99,6 +99,11 @@ def test_stream_equals_batch(spark, tmp_path):
     assert sorted(map(str, got)) == sorted(map(str, J.job_state(batch).collect()))
 
 
+def test_streamed_text_equals_batch(spark, tmp_path):
+    got = streamed(spark, tmp_path, J.stream_live_text, "update", repeat=True)
+    assert sorted(map(tuple, got)) == sorted(map(tuple, J.live_text(spark.createDataFrame(feed(), J.EVENT_SCHEMA)).collect()))
+
+
 def test_stream_drops_repeated_events(spark, tmp_path):
     got = streamed(spark, tmp_path, lambda e: J.event_history(J.deduplicated(e)), "append", repeat=True)
     assert len(got) == len([r for r in feed() if r[2] != J.DELTA])

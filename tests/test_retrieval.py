@@ -115,3 +115,19 @@ def test_section_search_needs_all_terms_with_a_prefix(spark):
     assert [(r["query_id"], r["document_id"], r["section"]) for r in found] == [(1, "d1", 0), (4, "d1", 1)]
     assert "<mark>complement</mark>" in found[0]["snippet"] and "<mark>signed</mark>" in found[0]["snippet"] and found[0]["snippet"].endswith("…")
     assert found[0]["document_title"] == "Doc one"
+
+
+def test_practice_exam_needs_a_paper_and_questions(spark):
+    from scholia.operators import sections as X
+    from scholia.plans import notes as N
+
+    slides = spark.createDataFrame([(d, n, f"byte order {n}", "little endian address", False) for d in ("good", "mute", "bare") for n in (1, 2, 3)], "deck_id string, number int, title string, text string, is_visual boolean")
+    marked = X.mark_dividers(slides)
+    decks = spark.createDataFrame([(d, "b") for d in ("good", "mute", "bare")], "deck_id string, book_id string")
+    titles = decks.select("deck_id", F.col("deck_id").alias("title"))
+    exams = spark.createDataFrame([("good", "1. What is a byte?"), ("mute", "1. What?"), ("bare", " ")], "deck_id string, exam_text string")
+    answer = lambda texts: [('{"questions":[{"number":9,"prompt":"Why?"}]}' if "# COURSE: good" in t and "[B: " in t else "none", {}) for t in texts]
+    chunks = index_of(spark)["chunks"].withColumn("citation", F.lit("Storage, p. 70"))
+    questions, status = N.practice_exam(slides.withColumn("is_divider", F.lit(False)), X.deck_sections(X.section_deck(slides)), titles, decks, exams, I.build_bm25_index(chunks), answer)
+    assert marked.count() == 9 and [(r["deck_id"], r["number"], r["prompt"]) for r in questions.collect()] == [("good", 1, "Why?")]
+    assert {r["deck_id"]: (r["status"], r["error"]) for r in status.collect()} == {"good": ("ok", None), "mute": ("failed", "no question was produced"), "bare": ("failed", "the exam has no text")}
