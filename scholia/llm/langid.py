@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import likely_sampled, trimmed
+from .common import likely_sampled, release_memory, trimmed
 
 #: Hashed trigram space.
 DIMENSIONS = 4096
@@ -166,5 +166,6 @@ def identify_languages(documents: DataFrame, held_out: F.Column, documents_in_al
     """
     rows = documents.select(F.col("doc_id"), F.col("text"), F.col("lang")).withColumn("held_out", held_out)
     model = train(rows.where(~F.col("held_out")), documents_in_all)
+    release_memory()  # of the sample, on the driver
     kind = dict(documents.dtypes)["doc_id"]
     return rows.select("doc_id", "text", "held_out").mapInPandas(partial(_predictions, model=model), f"doc_id {kind}, held_out boolean, lang_pred string, score double")

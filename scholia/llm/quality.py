@@ -147,5 +147,6 @@ def grade_documents(documents: DataFrame, ratings: DataFrame, grade_count: int =
     documents get the same middling grade. Repeated rows get equal results, and extra columns are passed through only if kept.
     """
     model = train(documents, ratings, grade_count, documents_per_grade)
+    release_memory()  # of the sample, on the driver
     rows = documents.select(*dict.fromkeys([*keep, "text"])).withColumn("_graded", _grader(model)(F.col("text")))
     return rows.select(*keep, "_graded.expected_grade", "_graded.tail_probability")
