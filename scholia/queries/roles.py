@@ -37,10 +37,10 @@ def slides(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def long_slides(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Books as decks: pages are slides, every ninth opens with an agenda title."""
+    """Books as decks: pages are slides with their whole text, every ninth opens with an agenda title."""
     p = pages(spark, sf_dir)
-    title = F.when(F.col("page_no") % 9 == 5, F.lit("Today: next")).otherwise(F.substring(F.substring_index("text", "\n", 1), 1, 40))
-    return p.select(F.col("book_id").alias("deck_id"), F.col("page_no").alias("number"), title.alias("title"), F.substring("text", 1, 200).alias("text"), (F.length("text") % 5 == 0).alias("is_visual"))
+    title = F.when(F.col("page_no") % 9 == 5, F.lit("Today: next")).otherwise(F.substring_index("text", "\n", 1))
+    return p.select(F.col("book_id").alias("deck_id"), F.col("page_no").alias("number"), title.alias("title"), "text", (F.length("text") % 5 == 0).alias("is_visual"))
 
 
 PAGES_SQL = """pages as (
