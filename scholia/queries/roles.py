@@ -33,7 +33,7 @@ def page_counts(book_pages: DataFrame) -> DataFrame:
 def slides(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").where("conv_id is not null and turn is not null").withColumn("t", F.coalesce("text", F.lit("")))
     body = F.regexp_replace("t", r"^[^\n]*\n?", "")
-    return turns.select(F.col("conv_id").alias("deck_id"), (F.col("turn") + 1).cast("int").alias("number"), F.substring(F.substring_index("t", "\n", 1), 1, 60).alias("title"), body.alias("text"), (F.length("t") % 5 == 0).alias("is_visual"))
+    return turns.select(F.col("conv_id").alias("deck_id"), (F.col("turn") + 1).cast("int").alias("number"), F.substring_index("t", "\n", 1).alias("title"), body.alias("text"), (F.length("t") % 5 == 0).alias("is_visual"))
 
 
 def long_slides(spark: SparkSession, sf_dir: str) -> DataFrame:

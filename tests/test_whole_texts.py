@@ -2,7 +2,7 @@
 
 import pytest
 
-from scholia.queries import structure
+from scholia.queries import estimates, roles, structure
 
 START = "The same opening words stand at the head of every page of this book. " * 4
 
@@ -32,3 +32,12 @@ def test_books_are_sectioned_by_their_whole_pages(spark, long_pages):
     assert sorted(r["number"] for r in structure.split_large(spark, sf_dir).collect()) == [w[0] for w in want]
     decks = structure.section_decks(spark, sf_dir).collect()
     assert sum(r["n_slides"] for r in decks) == len(want) and sum(r["raw_chars"] for r in decks) > sum(len(texts[n]) for n, _, _ in want)
+
+
+def test_no_character_of_a_turn_is_lost(spark, tmp_path):
+    turns = {0: "first line " * 20, 1: "short\n" + "body\nline " * 9, 2: "x" * 200 + "\n" + "y" * 200, 3: "\nno title", 4: None}
+    spark.createDataFrame([(7, n, t) for n, t in turns.items()], "conv_id long, turn int, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = {r["number"] - 1: (r["title"], r["text"]) for r in roles.slides(spark, str(tmp_path)).collect()}
+    assert got == {n: tuple((t or "").partition("\n")[::2]) for n, t in turns.items()}
+    context = estimates.request_assembly(spark, str(tmp_path)).first()["context"]
+    assert all(line in context for t in turns.values() for line in (t or "").split("\n"))
