@@ -124,20 +124,22 @@ def _shared(left: list[np.ndarray], right: list[np.ndarray] | None) -> np.ndarra
 
 
 def _block_links(rows: pd.DataFrame, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Spanning forest of the links of one pair of blocks (or of one block with itself)."""
+    """Spanning forest of the links of one pair of blocks (or of one block with itself). Two blocks of which one is empty have no links."""
     ids = rows["rep"].to_numpy(np.int64)
+    itself, side = bool(rows["itself"].iloc[0]), rows["side"].to_numpy()
+    if not itself and (side == side[0]).all():
+        return ids[:0], ids[:0]
     sets = list(rows["whole"])
     if len(ids) == 2:
         a, b = sets
         inside = len(np.intersect1d(a, b, assume_unique=True))
         linked = 100 * inside >= percent * (len(a) + len(b) - inside)
         return (ids[:1], ids[1:]) if linked else (ids[:0], ids[:0])
-    side = rows["side"].to_numpy()
     first, second = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
     sizes = np.array([len(x) for x in sets], np.int64)
     labels = np.arange(len(ids))
-    shared = _shared([sets[i] for i in first], [sets[i] for i in second] if len(second) else None).astype(np.int64)
-    second = second if len(second) else first
+    shared = _shared([sets[i] for i in first], None if itself else [sets[i] for i in second]).astype(np.int64)
+    second = first if itself else second
     linked = 100 * shared >= percent * (sizes[first][:, None] + sizes[second][None, :] - shared)
     x, y = np.nonzero(linked)
     labels = unite(labels, first[x], second[y])
@@ -245,11 +247,11 @@ def near_duplicates(documents: DataFrame, words: int = 5, percent: int = 80, k:
             "if(below > 0, transform(sequence(0, greatest(below - 1, 0)), c -> struct(step - 1 as s1, c as c1, step as s2, chunk as c2, 1 as side)), array()))"
         )
     )
-    meeting = chunked.select("rep", "n_shingles", "grp", F.explode(meetings).alias("m")).select("rep", "n_shingles", F.xxhash64("grp", "m.s1", "m.c1", "m.s2", "m.c2").alias("pair"), "m.side")
+    meeting = chunked.select("rep", "n_shingles", "grp", F.explode(meetings).alias("m")).select("rep", "n_shingles", F.xxhash64("grp", "m.s1", "m.c1", "m.s2", "m.c2").alias("pair"), F.expr("m.s1 = m.s2 and m.c1 = m.c2").alias("itself"), "m.side")
     # the texts of candidate classes alone are shingled again, whole
     wanted = documents.join(placed.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
     sets = wanted.mapInArrow(partial(_whole_sets, words=words), "doc_id long, whole array<long>")
-    rows = meeting.join(sets.select(F.col("doc_id").alias("rep"), "whole"), "rep").where(F.size("whole") == F.col("n_shingles")).select("pair", "side", "rep", "whole")
+    rows = meeting.join(sets.select(F.col("doc_id").alias("rep"), "whole"), "rep").where(F.size("whole") == F.col("n_shingles")).select("pair", "itself", "side", "rep", "whole")
     dealt = rows.repartition(parallelism(documents), "pair").sortWithinPartitions("pair")
     links = dealt.mapInPandas(partial(_compare_blocks, percent=percent), "u long, v long")
 
