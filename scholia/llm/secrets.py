@@ -21,15 +21,23 @@ ACCESS = r"AKIA[A-Z0-9]{12,}"
 HEX = r"[0-9a-f]{32,}"
 KINDS = ("assign", "access", "hex", "random")
 
-#: Runs that the battery tests, and the alphabets in the order in which an encoding is inferred: the first that holds all characters.
+#: Runs of these are cut into the pieces that the battery tests: the longest of each class of characters, so that a name, a path or a parameter beside a key is not in the key's piece.
 RUN_CHARACTERS = "A-Za-z0-9+/_=-"
+PIECES = ("A-Za-z0-9+/", "A-Za-z0-9_-", "A-Za-z0-9")
+#: Characters of padding at most, those of base32.
+PADDING = 6
+#: The alphabets in the order in which an encoding is inferred: the first that holds all characters.
 _DIGITS, _LOWER, _UPPER = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 ALPHABETS = {
+    "digits": (r"^[0-9]+$", _DIGITS),
     "hex": (r"^[0-9a-f]+$", _DIGITS + "abcdef"),
     "HEX": (r"^[0-9A-F]+$", _DIGITS + "ABCDEF"),
+    "lower": (r"^[a-z]+$", _LOWER),
+    "UPPER": (r"^[A-Z]+$", _UPPER),
     "base32": (r"^[A-Z2-7]+$", _UPPER + "234567"),
     "base36": (r"^[0-9a-z]+$", _DIGITS + _LOWER),
     "BASE36": (r"^[0-9A-Z]+$", _DIGITS + _UPPER),
+    "letters": (r"^[A-Za-z]+$", _UPPER + _LOWER),
     "base62": (r"^[0-9A-Za-z]+$", _DIGITS + _UPPER + _LOWER),
     "base64": (r"^[0-9A-Za-z+/]+$", _UPPER + _LOWER + _DIGITS + "+/"),
     "base64url": (r"^[0-9A-Za-z_-]+$", _UPPER + _LOWER + _DIGITS + "-_"),
@@ -140,14 +148,14 @@ def _tested(candidates: Column) -> Column:
 
 
 def _scanned(documents: DataFrame, text: Column, least_run: int) -> DataFrame:
-    """All rows with base spans (assign, access, hex) and tested runs that no base span touches."""
+    """All rows with base spans (assign, access, hex) and tested pieces of runs that no base span touches."""
     assigns = text.rlike("[:=]") & text.rlike(ASSIGN)
     out = documents.withColumns({"_assign": _located(text, ASSIGN, assigns, 2, 8), "_access": _located(text, ACCESS, text.contains("AKIA")), "_hex": _located(text, HEX, text.rlike(HEX))})
     runs = f"[{RUN_CHARACTERS}]{{{least_run},}}"
-    # a key has digits and letters; that also spares long words and long numbers the battery
-    located = _located(text, runs, text.rlike(runs))
-    mixed = F.filter(located, lambda c: c["found"].rlike("[0-9]") & c["found"].rlike("[A-Za-z]"))
-    out = out.withColumn("_runs", mixed)
+    # '=' is in a piece only as padding at the end of its run
+    pieces = [f"(?=[{RUN_CHARACTERS}]{{{least_run}}})[{kind}]+(?:={{1,{PADDING}}}(?![{RUN_CHARACTERS}]))?" for kind in PIECES]
+    located = F.array_distinct(F.concat(*[_located(text, piece, text.rlike(runs), least=least_run) for piece in pieces]))
+    out = out.withColumn("_runs", F.filter(located, lambda c: F.length(F.rtrim(c["found"], F.lit("="))) >= 2))
     base = F.concat("_assign", "_access", "_hex")
     apart = F.filter("_runs", lambda c: ~F.exists(base, lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"])))
     return out.withColumn("_runs", apart).withColumn("_runs", F.when(F.size("_runs") > 0, _tested(F.col("_runs"))).otherwise(F.expr("cast(array() as array<struct<start:int,end:int,stratum:string,bin:int>>)")))
@@ -169,8 +177,8 @@ def scan_secrets(documents: DataFrame, fdr: float = 0.1, least_run: int = 20, ke
     """Secrets in every whole text of ``documents``: the columns named in ``keep`` and secrets array<struct<start, end, kind>>.
 
     Spans are in code points, end exclusive, ordered by start and then kind (assign, access, hex, random). Assignments need a value of 8
-    characters, access keys 16 characters and hexadecimal runs 32; random runs need ``least_run`` characters with digits and letters, no overlap with
-    a known shape, and a battery p-value above their stratum's threshold. Null and empty texts have no spans. Rows are never dropped or merged:
+    characters, access keys 16 characters and hexadecimal runs 32; random runs need ``least_run`` characters (padding counts), no overlap with
+    a known shape, and a battery p-value above their stratum's threshold; of accepted pieces of which one holds the other, the longer is the span. Null and empty texts have no spans. Rows are never dropped or merged:
     repeated rows get equal results, and extra columns pass through only if kept. The scan runs twice where texts are kept (once for the
     histogram), else its per-row result is materialised once.
     """
@@ -182,6 +190,7 @@ def scan_secrets(documents: DataFrame, fdr: float = 0.1, least_run: int = 20, ke
     if thresholds:
         lowest = F.create_map(*[x for k, v in sorted(thresholds.items()) for x in (F.lit(k), F.lit(v))])
         accepted = F.filter("_runs", lambda r: F.coalesce(r["bin"] >= F.element_at(lowest, r["stratum"]), F.lit(False)))
+        accepted = _let(accepted, lambda a: F.filter(a, lambda r: ~F.exists(a, lambda o: (o["start"] <= r["start"]) & (r["end"] <= o["end"]) & (o["end"] - o["start"] > r["end"] - r["start"]))))
     else:
         accepted = F.slice("_runs", 1, 0)
 
