@@ -26,10 +26,13 @@ TEXT_BLOCKS = {"p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "dt", "dd", "block
 BLOCKS = TEXT_BLOCKS | {"html", "body", "div", "article", "main", "section", "header", "footer", "nav", "aside", "form", "hr", "address", "details", "fieldset", "center", "dialog", "menu", "hgroup", "search", "title", "head"}
 CLOSES_P = BLOCKS - {"html", "body", "title", "head"}
 CLOSES_SAME = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table", "tbody", "thead", "tfoot"}, "td": {"tr"}, "th": {"tr"}, "option": {"select"}}
-# Words of class, id and role that mark furniture of a page.
+#: Elements that their class or role can mark as furniture, and those that an id can mark: a heading, paragraph or section with an anchor is text.
+CONTAINERS = (BLOCKS - TEXT_BLOCKS - {"html", "body", "article", "main", "title", "head", "hr"}) | {"ul", "ol", "dl", "table", "figure"}
+BY_ID = {"div", "ul", "ol"}
+# Words of class, id and role that mark furniture of a page; a name of several words is furniture if all of them are.
 FURNITURE = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|banner|sponsor\w*|promo\w*|cookies?|consent|gdpr|notices?|alert|popup|modal|overlay|nav|navbar|navigation|menu|breadcrumbs?|sidebar|side|rail|widget|footer|masthead|site-?header|page-?header|topbar|"
-    r"comments?|comment-?list|responses|replies|disqus|discussion|respond|share|sharing|social|related|recommend\w*|newsletter|subscribe|signup|login|search|toolbar|pagination|pager|skip-?link|complementary|contentinfo|paywall|copyright|legal)(?:$|[\s_-])",
+    r"(?<!\S)(?:(?:ads?|advert\w*|banner|sponsor\w*|promo\w*|cookies?|consent|gdpr|notices?|alert|popup|modal|overlay|nav|navbar|navigation|menu|breadcrumbs?|sidebar|side|rail|widget|footer|masthead|site-?header|page-?header|topbar|"
+    r"comments?|comment-?list|responses|replies|disqus|discussion|respond|share|sharing|social|related|recommend\w*|newsletter|subscribe|signup|login|search|toolbar|pagination|pager|skip-?link|complementary|contentinfo|paywall|copyright|legal)(?:[_-](?!\s|$)|(?!\S)))+(?!\S)",
     re.I,
 )
 
@@ -100,7 +103,8 @@ def parse(page: str) -> list[Node]:
             if found:
                 marks = " ".join(found.get(k, "") for k in ("class", "id", "role")).strip()
                 hidden = "hidden" in found or found.get("aria-hidden", "").lower() == "true" or re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", found.get("style", ""), re.I)
-                gone = gone or bool(hidden) or (tag not in ("html", "body", "article", "main") and bool(marks) and FURNITURE.search(marks) is not None)
+                names = " ".join(found.get(k, "") for k in (("class", "role", "id") if tag in BY_ID else ("class", "role")))
+                gone = gone or bool(hidden) or (tag in CONTAINERS and FURNITURE.search(names) is not None)
         inside = stack[-1].inside or tag in ("article", "main")
         node = Node(tag, marks, gone or (tag == "header" and not inside), inside)
         nodes.append(node)
