@@ -1,6 +1,6 @@
 """HTML extraction by site template removal.
 
-A page is cut into a tree of block elements. Every block outside running text has a digest of its subtree (tag, class and text); Spark counts, for each host,
+A page is cut into a tree of block elements. Every block but headings, entries and cells of an article has a digest of its subtree (tag, class and text); Spark counts, for each host,
 in how many different articles a digest occurs, and subtrees that recur across many of a host's articles are its template. They are deleted, with what
 its role already marks as no main text (menus, forms, scripts, notices, adverts, reader comments), and the blocks that are left are joined.
 """
@@ -24,6 +24,8 @@ DROPPED = RAW | {"head", "nav", "footer", "aside", "form", "button", "dialog", "
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 TEXT_BLOCKS = {"p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "dt", "dd", "blockquote", "pre", "td", "th", "caption", "figcaption", "summary", "tr", "table", "ul", "ol", "dl", "figure", "tbody", "thead", "tfoot"}
 BLOCKS = TEXT_BLOCKS | {"html", "body", "div", "article", "main", "section", "header", "footer", "nav", "aside", "form", "hr", "address", "details", "fieldset", "center", "dialog", "menu", "hgroup", "search", "title", "head"}
+#: Blocks of text that recur as a whole where they are a notice; headings, entries and cells recur in different articles.
+PASSAGES = {"p", "ul", "ol", "dl", "table", "figure", "blockquote", "pre"}
 CLOSES_P = BLOCKS - {"html", "body", "title", "head"}
 CLOSES_SAME = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table", "tbody", "thead", "tfoot"}, "td": {"tr"}, "th": {"tr"}, "option": {"select"}}
 #: Elements that their class or role can mark as furniture, and those that an id can mark: a heading, paragraph or section with an anchor is text.
@@ -122,7 +124,7 @@ def parse(page: str) -> list[Node]:
 
 
 def candidates(nodes: list[Node]) -> list[tuple[int, Node]]:
-    """Subtrees that a template can consist of, with digests: blocks outside article and main, and inside them containers but never running text.
+    """Subtrees that a template can consist of, with digests: blocks outside article and main, and inside them containers and whole passages but never headings, entries or cells.
 
     A digest covers tag, class and the digests of the children. Where a page has an article, what lies outside is hashed by its structure, with like
     neighbours taken as one (menus differ in their entries); inside it, and on pages without one, texts are hashed as well. Children come first, so
@@ -139,7 +141,7 @@ def candidates(nodes: list[Node]) -> list[tuple[int, Node]]:
             if part and (with_text or not parts or parts[-1] != part):
                 parts.append(part)
         digests[id(node)] = digest = xxhash.xxh3_64_intdigest("\0".join([node.tag, node.marks, *parts])) - (1 << 63)
-        if node.tag in BLOCKS and node.tag not in ("html", "body", "head", "title", "article", "main") and not (node.inside and node.tag in TEXT_BLOCKS):
+        if node.tag in BLOCKS and node.tag not in ("html", "body", "head", "title", "article", "main") and not (node.inside and node.tag in TEXT_BLOCKS - PASSAGES):
             out.append((digest, node))
     return out
 
@@ -204,10 +206,21 @@ def main_text(root: Node) -> str:
     return "\n".join(blocks)
 
 
-def _heading(page: str) -> int:
-    """Digest of what tells one article of a host from another: its first heading, or else its title."""
-    m = re.search(r"<h1\b[^>]*>(.*?)</h1", page, re.S | re.I) or re.search(r"<title\b[^>]*>(.*?)</title", page, re.S | re.I)
-    return xxhash.xxh3_64_intdigest(m.group(1) if m else page) - (1 << 63)
+def _article(nodes: list[Node], page: str) -> int:
+    """Digest of what tells one article of a host from another: the first headings inside article and main, or else the text there; on a page without
+    them its title and first headings. A heading of the page's header or of other furniture (a logo) doesn't count."""
+    shown, stack = [], [nodes[0]]
+    while stack:
+        node = stack.pop()
+        shown.append(node)
+        stack.extend(c for c in reversed(node.children) if isinstance(c, Node) and not c.gone)
+    inside = any(n.inside for n in shown)
+    parts = [main_text(n) for n in shown if n.tag == "h1" and (n.inside or not inside)]
+    if not inside:
+        parts += [" ".join("".join(c for c in n.children if isinstance(c, str)).split()) for n in nodes if n.tag == "title"][:1]
+    if not any(parts):
+        parts = [main_text(nodes[0]) or page]
+    return xxhash.xxh3_64_intdigest("\0".join(parts)) - (1 << 63)
 
 
 @trimmed
@@ -215,8 +228,9 @@ def _subtrees(batches):
     for batch in batches:
         rows = []
         for host, page in zip(batch["host"], batch["html"]):
-            heading = _heading(page)
-            rows.extend((host, d, heading) for d in {d for d, _ in candidates(parse(page))})
+            nodes = parse(page)
+            heading = _article(nodes, page)
+            rows.extend((host, d, heading) for d in {d for d, _ in candidates(nodes)})
             rows.append((host, None, heading))
         yield pd.DataFrame({"host": [r[0] for r in rows], "digest": pd.array([r[1] for r in rows], "Int64"), "heading": [r[2] for r in rows]})
 
@@ -244,7 +258,7 @@ def host_of(url: Column) -> Column:
 def site_templates(pages: DataFrame, share: float = 0.5, least_articles: int = 5) -> DataFrame:
     """(host, template): digests of the subtrees that occur in ``share`` of a host's different articles, and in ``least_articles`` at least.
 
-    ``pages`` has host and html. Counts are of distinct headings, so copies of one article are one article. A digest needs that share of the
+    ``pages`` has host and html. Counts are of distinct articles by their headings, so copies of one article are one article. A digest needs that share of the
     articles, so a host has no more of them than an article has subtrees, divided by the share.
     """
     seen = pages.select("host", "html").mapInPandas(_subtrees, "host string, digest long, heading long").distinct()

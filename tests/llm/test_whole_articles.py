@@ -9,3 +9,16 @@ def test_anchors_and_names_inside_an_article_are_text():
         assert H.main_text(H.parse(page)[0]) == "Side\nlaw\nRel\nalg\ntree"
     for gone in ("<div class='x ad'>", "<div id='comments'>", "<div class='cookie-notice'>", "<ul class='pagination'>", "<section class='comment-list'>", "<div class='newsletter'>", "<div role='navigation'>", "<div class='site-header'>"):
         assert H.main_text(H.parse(f"<article><p>kept</p>{gone}out")[0]) == "kept"
+
+
+def test_a_logo_as_heading_and_notices_inside_articles(spark):
+    page = lambda i, top: f"<html><head><title>News {i}</title></head><body>{top}<div class='top'>Welcome</div>%s</body></html>"
+    article = lambda i: f"<article><h1>Title {i}</h1><h2>Sources</h2><p>Own {i}</p><p>Read more with us.</p><ul><li>Join</li></ul></article>"
+    logo = "<header><h1>Site</h1></header>"
+    rows = [(i, "http://a.org", page(i, logo) % article(i)) for i in range(8)]
+    rows += [(10 + i, "http://b.org", page(i, logo) % f"<p>Own {i}</p>") for i in range(8)]
+    rows += [(20 + i, "http://c.org", page(i, logo) % f"<main><p>Own {i}</p><div>Follow</div></main>") for i in range(8)]
+    rows += [(30 + i, "http://d.org", page(i, "<div><h1>Site</h1></div>") % f"<h1>Title {i}</h1><p>Own {i}</p>") for i in range(8)]
+    got = {r["page_id"]: r["text"] for r in H.extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for i in range(8):
+        assert got[i] == f"Title {i}\nSources\nOwn {i}" and got[10 + i] == got[20 + i] == f"Own {i}" and got[30 + i] == f"Title {i}\nOwn {i}"
