@@ -34,9 +34,9 @@ def validity_intervals(entries: DataFrame) -> DataFrame:
     """(list, key, history): for each list and key the intervals [since, until) in which it was listed, in time order.
 
     ``entries`` has list, key, listed (true: added, false: removed) and at. Of entries of one time the removal wins. Entries that repeat the state change nothing;
-    null list, key, listed or at are ignored; until is null while the entry is still active.
+    case counts in the path of a key but not in its host; null list, key, listed or at are ignored; until is null while the entry is still active.
     """
-    dated = entries.select("list", F.lower("key").alias("key"), "listed", "at").dropna().groupBy("list", "key", "at").agg(F.min("listed").alias("listed"))
+    dated = entries.select("list", F.expr("concat(lower(substring_index(key, '/', 1)), substring(key, length(substring_index(key, '/', 1)) + 1))").alias("key"), "listed", "at").dropna().groupBy("list", "key", "at").agg(F.min("listed").alias("listed"))
     order = Window.partitionBy("list", "key").orderBy("at")
     changes = dated.withColumn("before", F.lag("listed", 1, False).over(order)).where("listed != before")
     spans = changes.withColumn("until", F.lead("at").over(order)).where("listed")
