@@ -83,7 +83,8 @@ def _sketches(batches, words: int, k: int):
             sizes.append(len(whole))
             first.append(int(whole.sum().astype(np.int64)))
             second.append(int(np.bitwise_xor.reduce(spread).astype(np.int64)))
-            kept.append(whole[:k].view(np.int64))
+            # with the top bit turned, signed values have the order of the hashes, which the union sketch is cut by
+            kept.append((whole[:k] ^ np.uint64(1 << 63)).view(np.int64))
         columns = [ids, pa.array(sizes, pa.int64()), pa.array(first, pa.int64()), pa.array(second, pa.int64()), pa.array(kept, pa.list_(pa.int64()))]
         yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_shingles", "digest_a", "digest_b", "sketch"])
 
