@@ -6,6 +6,7 @@ import ctypes
 import functools
 import gc
 import tempfile
+import uuid
 from collections.abc import Callable
 
 import pyarrow as pa
@@ -35,6 +36,18 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` as a Parquet table in the shared checkpoint folder: what ``cut`` does, for wide rows of which later steps read few columns."""
+    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
+def small_side(df: DataFrame, row_bytes: int) -> DataFrame:
+    """``df``, a materialised table, for the small side of a join: broadcast if its rows are counted to fit the bound, else left to a shuffle."""
+    return F.broadcast(df) if df.count() * row_bytes <= BROADCAST_BYTES else df
+
+
 def parallelism(df: DataFrame) -> int:
     """Shuffle width for explicit repartitions: the session's setting, so it follows the cluster."""
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))

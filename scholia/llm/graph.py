@@ -56,7 +56,7 @@ def _toward_minimum(edges: DataFrame, large: bool) -> DataFrame:
         moved = joined.where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("low").alias("v"))
     else:
         moved = joined.select(F.col("v").alias("u"), F.col("low").alias("v")).union(least.select("u", F.col("low").alias("v")))
-    return moved.where(F.col("u") != F.col("v")).distinct()
+    return moved.where(F.col("u") != F.col("v"))
 
 
 def connected_components(edges: DataFrame, a: str, b: str, max_rounds: int = 60) -> DataFrame:
@@ -67,11 +67,12 @@ def connected_components(edges: DataFrame, a: str, b: str, max_rounds: int = 60)
     """
     start = edges.select(F.col(a).cast("long").alias("u"), F.col(b).cast("long").alias("v")).where("u is not null and v is not null and u != v")
     current = cut(start.mapInPandas(_contract_locally, "u long, v long"))
+    before = None
     for _ in range(max_rounds):
-        following = cut(_toward_minimum(_toward_minimum(current, large=True), large=False))
-        # stars: every edge goes from a node to a root, and no root is itself hung anywhere
-        roots = following.select(F.col("v").alias("root"))
-        if following.join(roots, following.u == roots.root, "left_semi").isEmpty() and following.groupBy("u").count().where("count > 1").isEmpty():
-            return following.select(F.col("u").alias("node"), F.col("v").alias("component")).union(roots.distinct().select(F.col("root").alias("node"), F.col("root").alias("component")))
-        current = following
+        # a round that changes nothing has left stars: every edge goes from a node to its root
+        now = current.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.pmod(F.xxhash64("v", "u"), F.lit(1 << 30)))).first()
+        if now == before or not now[0]:
+            return current.select(F.col("u").alias("node"), F.col("v").alias("component")).union(current.select("v").distinct().select(F.col("v").alias("node"), F.col("v").alias("component")))
+        before = now
+        current = cut(_toward_minimum(_toward_minimum(current, large=True), large=False).distinct())
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")

@@ -7,6 +7,7 @@ import re
 import numpy as np
 import pytest
 
+from scholia.llm import minhash as M
 from scholia.llm.embed_dedup import embedding_duplicates
 from scholia.llm.graph import connected_components
 from scholia.llm.minhash import near_duplicates, required_overlap, shingle_hashes
@@ -135,3 +136,47 @@ def test_components(spark):
     got = {r["node"]: r["component"] for r in connected_components(spark.createDataFrame(edges, "a long, b long"), "a", "b").collect()}
     assert all(got.get(n, n) == c for n, c in want.items())
     assert connected_components(spark.createDataFrame([], "a long, b long"), "a", "b").count() == 0
+
+
+def shared_passage(copies=0, documents=3000, seed=4):
+    """Texts of 200 words, three in five of them one passage, and near copies of one of them."""
+    rng = random.Random(seed)
+    word = lambda: "".join(rng.choices("abcdefghijklmnop", k=5))
+    passage = [word() for _ in range(120)]
+    texts = [[word() for _ in range(80)] + passage for _ in range(documents)]
+    for _ in range(copies):
+        copy = list(texts[0])
+        for _ in range(rng.randint(0, 4)):
+            copy[rng.randrange(len(copy))] = word()
+        texts.append(copy)
+    return [(i, " ".join(t)) for i, t in enumerate(texts)]
+
+
+def test_a_shared_passage_makes_no_candidates(spark, monkeypatch):
+    seen = []
+    real = M.connected_components
+    monkeypatch.setattr(M, "connected_components", lambda edges, a, b: seen.append(real(edges, a, b)) or seen[-1])
+    got = near_duplicates(spark.createDataFrame(shared_passage(), "doc_id long, text string"))
+    assert got.where("doc_id != component_id").count() == 0
+    assert seen[0].count() == 0  # candidate groups
+
+
+@pytest.mark.parametrize("block", [16, 512])
+def test_large_groups_beside_a_shared_passage(spark, monkeypatch, block):
+    monkeypatch.setattr(M, "BLOCK", block)
+    monkeypatch.setattr(M, "SKETCH_BLOCK", block)
+    texts = shared_passage(copies=120, documents=150)
+    _, want = plain_near(texts, 5, 80)
+    got = near_duplicates(spark.createDataFrame(texts, "doc_id long, text string")).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == want
+
+
+def test_estimates_of_unions():
+    rng = np.random.default_rng(6)
+    for same in (30, 60, 90):
+        pool = rng.choice(1 << 40, 200, replace=False)
+        a, b = np.sort(pool[:100]), np.sort(np.concatenate([pool[:same], pool[100 : 200 - same]]))
+        union = np.union1d(a, b)[:64]
+        shared = len(np.intersect1d(np.intersect1d(a[:64], b[:64]), union))
+        for overlap in (shared, shared + 1):
+            assert M._estimated([a[:64]], [b[:64]], 64, overlap)[0] == (shared >= overlap)
