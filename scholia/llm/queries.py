@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 import public_tokenizers
@@ -55,7 +56,10 @@ def op5_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def packing_parameters() -> dict:
-    return {"ranks_path": public_tokenizers.path("byte_bpe_50k.tiktoken"), "pattern": public_tokenizers.PATTERN, "length": 2048, "end": 0}
+    """The vocabulary's rank file, which gives the ids of its JSON file four times as fast, and the strings that the JSON file adds as tokens."""
+    with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as described:
+        special = {token["content"]: token["id"] for token in json.load(described)["added_tokens"]}
+    return {"ranks_path": public_tokenizers.path("byte_bpe_50k.tiktoken"), "pattern": public_tokenizers.PATTERN, "special": special, "length": 2048, "end": 0}
 
 
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,7 +12,7 @@ from tokenizers import Tokenizer
 
 from scholia.llm import topk
 from scholia.llm.mixing import mix_sources
-from scholia.llm.packing import best_fit_decreasing, pack_documents
+from scholia.llm.packing import best_fit_plan, pack_documents
 from scholia.llm.queries import mixing_parameters, packing_parameters
 from scholia.llm.topk import top_inner_products
 from scholia.llm.urlfilter import filter_urls
@@ -112,23 +112,47 @@ def test_mixing_odd_rows(spark, odd_documents):
     assert mix_sources(odd_documents.limit(0), **mixing_parameters(spark)).count() == 0
 
 
-def test_best_fit_takes_the_tightest_bin():
+def piece_by_piece(lengths, capacity):
+    """How full all bins are by best-fit decreasing, one piece at a time. Of equally full bins either may take a piece."""
+    bins = []
+    for n in sorted(lengths, reverse=True):
+        fits = [(capacity - sum(b), i) for i, b in enumerate(bins) if capacity - sum(b) >= n]
+        if fits:
+            bins[min(fits)[1]].append(n)
+        else:
+            bins.append([n])
+    return Counter(map(sum, bins))
+
+
+def planned(lengths, capacity):
+    counts = np.bincount(lengths, minlength=capacity + 1)
+    plan = best_fit_plan(counts, capacity)
+    bins = defaultdict(dict)
+    for i, row in enumerate(plan):
+        same = i + 1 < len(plan) and plan[i + 1]["length"] == row["length"]
+        for k in range((plan[i + 1]["rank"] if same else counts[row["length"]]) - row["rank"]):
+            held = bins[row["first"] + k // row["each"]]
+            held[row["offset"] + k % row["each"] * row["length"]] = row["length"]
+    for held in bins.values():  # gapless
+        assert sorted(held) == [sum(held[o] for o in held if o < at) for at in sorted(held)]
+    return Counter(int(sum(held.values())) for held in bins.values())
+
+
+def test_the_plan_is_best_fit_piece_by_piece():
     rng = np.random.default_rng(7)
-    for capacity in (16, 64, 2048):
-        lengths = rng.integers(1, capacity + 1, 300)
-        bins, offsets = best_fit_decreasing(lengths, capacity)
-        left: list[int] = []
-        for i in np.argsort(-lengths, kind="stable"):
-            fits = [(room, b) for b, room in enumerate(left) if room >= lengths[i]]
-            if fits:
-                room, b = min(fits)
-                assert room == capacity - offsets[i]
-                left[bins[i]] -= lengths[i]
-            else:
-                assert offsets[i] == 0 and bins[i] == len(left)
-                left.append(capacity - lengths[i])
-        assert min(left) >= 0
-    assert len(best_fit_decreasing(np.empty(0, np.int64), 8)[0]) == 0
+    for capacity in (1, 5, 16, 64, 300):
+        for size in (1, 7, 60, 300):
+            for top in (capacity, max(1, capacity // 3)):
+                lengths = rng.integers(1, top + 1, size)
+                assert planned(lengths, capacity) == piece_by_piece(lengths.tolist(), capacity)
+    assert len(best_fit_plan(np.zeros(9, np.int64), 8)) == 0
+
+
+def test_the_plan_does_not_grow_with_the_pieces():
+    rng = np.random.default_rng(8)
+    few = np.append(0, rng.integers(0, 50, 2047))
+    many = np.append(few * 1000, 0)
+    assert len(best_fit_plan(many, 2048)) < 2 * len(best_fit_plan(np.append(few, 0), 2048)) + 2048
 
 
 def check_packing(rows, texts, length):
@@ -163,6 +187,20 @@ def test_packing_round_trip(documents):
     check_packing(pack_documents(documents, **small).collect(), texts, 64)
 
 
+def test_packing_takes_special_strings_and_ranks_in_buckets(spark, documents, monkeypatch):
+    from scholia.llm import packing
+
+    monkeypatch.setattr(packing, "BUCKET", 50)
+    texts = [(-1, "hello <|endoftext|> world"), (-2, "<|endoftext|>"), (-3, "a<|endoftext|><|endoftext|>b <|endoftext"), *[(r["doc_id"], r["text"]) for r in documents.collect()]]
+    rows = pack_documents(spark.createDataFrame(texts, "doc_id long, text string"), **packing_parameters()).collect()
+    check_packing(rows, texts, 2048)
+    assert {r["doc_id"]: r["length"] for r in rows}[-1] == 5
+    held = defaultdict(list)
+    for r in rows:
+        held[r["sequence_id"]].append(r["length"])
+    assert len(held) == sum(piece_by_piece([r["length"] for r in rows], 2048).values())
+
+
 def test_packing_odd_rows_and_ids(odd_documents):
     got = pack_documents(odd_documents, **packing_parameters(), with_ids=True).collect()
     assert Counter(r["doc_id"] for r in got)[5] == 2 and all(len(r["ids"]) == r["length"] for r in got)
