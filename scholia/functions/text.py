@@ -5,6 +5,8 @@ Patterns are Java regular expressions; ``(?U)`` makes word and space classes Uni
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -28,8 +30,17 @@ TICKED_MARKER = r"(?iu)`(\[(?:B|K|S|BOOKFIGURE|KŞEKİL|FIGURE|ŞEKİL):[^\]`]*\
 SPACE = r"[\s\x1c-\x1f]"
 LINE_BREAK = r"\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029]"
 LEGACY_OPTIONS = {"özet": "summary", "standart": "standard", "derin": "deep", "analoji": "analogy", "örnek": "example", "soru": "quiz", "sözlük": "glossary"}
-ACCENTED = "àáâãäåāăąçćĉċčďèéêëēĕėęěĝğġģĥìíîïĩīĭįĵķĺļľñńņňòóôõöōŏőŕŗřśŝşšţťùúûüũūŭůűųŵýÿŷźżž"
-UNACCENTED = "aaaaaaaaacccccdeeeeeeeeegggghiiiiiiiijklllnnnnoooooooorrrssssttuuuuuuuuuuwyyyzzz"
+
+
+def _accents() -> tuple[str, str]:
+    """Lower-case letters that are a letter a-z with one mark, and those letters."""
+    parts = {c: unicodedata.decomposition(c).split() for c in map(chr, range(0xC0, 0x1F00)) if c == c.lower()}
+    bases = {c: chr(int(p[0], 16)) for c, p in parts.items() if len(p) == 2 and p[0][0] != "<"}
+    known = {c: base for c, base in bases.items() if "a" <= base <= "z"}
+    return "".join(known), "".join(known.values())
+
+
+ACCENTED, UNACCENTED = _accents()
 
 
 def py_strip(c: Column) -> Column:
@@ -210,8 +221,8 @@ def lettered_choices(choices: Column) -> Column:
 
 
 def fold(c: Column) -> Column:
-    """Lower-case and take the accents off Latin letters; combining marks go."""
-    return F.translate(F.regexp_replace(F.lower(c), r"\p{M}+", ""), ACCENTED, UNACCENTED)
+    """Lower-case and take single marks off Latin letters; combining marks go. Texts of one byte a character have none, and skip that."""
+    return F.when(F.octet_length(c) == F.length(c), F.lower(c)).otherwise(F.translate(F.regexp_replace(F.lower(c), r"\p{M}+", ""), ACCENTED, UNACCENTED))
 
 
 def tokenize(c: Column) -> Column:

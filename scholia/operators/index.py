@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scholia.functions import text as T
@@ -11,13 +11,19 @@ from scholia.functions import text as T
 TABLES = ("chunks", "postings", "doc_len", "term_df", "corpus_stats", "figures")
 
 
+def column_tokens(*indexed: str) -> Column:
+    """Tokens of columns one after another, with a null between two columns."""
+    each = [T.tokenize(F.coalesce(c, F.lit(""))) for c in indexed]
+    gap = F.array(F.lit(None).cast("string"))
+    return F.flatten(F.array(*[part for tokens in each for part in (tokens, gap)][:-1]))
+
+
 def postings_of(rows: DataFrame, keys: list[str], *indexed: str, terms: DataFrame | None = None) -> DataFrame:
-    """(keys, term, tf, positions): every term of the indexed columns taken together, with its places in that token sequence.
+    """(keys, term, tf, positions): every term of the indexed columns taken together, with its places in that token sequence. No two columns' tokens are adjacent.
 
     ``terms`` (term) restricts an index that is built for one set of queries to the terms they name, before anything is shuffled.
     """
-    tokens = F.flatten(F.array(*[T.tokenize(F.coalesce(c, F.lit(""))) for c in indexed]))
-    placed = rows.select(*keys, F.posexplode(tokens).alias("pos", "term"))
+    placed = rows.select(*keys, F.posexplode(column_tokens(*indexed)).alias("pos", "term")).where("term is not null")
     if terms is not None:
         placed = placed.join(terms.select("term").distinct(), "term", "left_semi")
     return placed.groupBy(*keys, "term").agg(F.count("*").cast("int").alias("tf"), F.sort_array(F.collect_list("pos")).alias("positions"))

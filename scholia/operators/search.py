@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 
 from scholia.functions import text as T
 from scholia.functions.scalars import figure_area
+from scholia.sources.materialise import materialised
 
-from .index import corpus_stats, document_lengths
+from .index import column_tokens, corpus_stats, document_lengths
 
 K1, B, IDF_FLOOR = 1.2, 0.75, 1e-6
 #: Query terms up to this many rows are broadcast to the postings; more are joined by shuffle.
@@ -51,7 +52,7 @@ def score_queries(index: dict[str, DataFrame], queries: DataFrame, max_terms: in
     hits = phrase_hits(index["postings"], terms, ["book_id", "chunk_id"])
     per_phrase = hits.groupBy("query_id", "book_id", "phrase").agg(F.count("*").alias("df"))
     scored = (
-        hits.join(per_phrase, ["query_id", "book_id", "phrase"]).join(index["corpus_stats"], "book_id").join(index["doc_len"], ["book_id", "chunk_id"])
+        hits.join(per_phrase, ["query_id", "book_id", "phrase"]).join(_few(index["corpus_stats"]), "book_id").join(index["doc_len"], ["book_id", "chunk_id"])
         .withColumn("s", term_score(idf(F.col("n_docs"), F.col("df")), F.col("tf"), F.col("len"), F.col("avg_len")))
     )
     return scored.groupBy("query_id", "book_id", "chunk_id").agg(F.sum("s").alias("score"))
@@ -137,7 +138,11 @@ def snippet(body: Column, terms: Column, width: int = 18) -> Column:
     words = F.filter(F.split(body, r"(?U)\s+"), lambda w: w != "")
 
     def holds(word: Column) -> Column:
-        return F.transform(F.filter(terms, lambda t: F.exists(T.tokenize(word), lambda x: F.when(t["is_prefix"], x.startswith(F.get(T.tokenize(t["term"]), F.lit(0)))).otherwise(F.array_contains(T.tokenize(t["term"]), x)))), lambda t: t["term"])
+        def meets(t: Column, x: Column) -> Column:
+            tokens = T.tokenize(t["term"])
+            return F.array_contains(tokens, x) | (t["is_prefix"] & F.coalesce(x.startswith(F.get(tokens, F.size(tokens) - 1)), F.lit(False)))
+
+        return F.transform(F.filter(terms, lambda t: F.exists(T.tokenize(word), lambda x: meets(t, x))), lambda t: t["term"])
 
     marked = F.transform(words, lambda w: F.struct(w.alias("word"), holds(w).alias("terms")))
 
@@ -154,27 +159,31 @@ def snippet(body: Column, terms: Column, width: int = 18) -> Column:
 
 
 def search_sections(sections: DataFrame, documents: DataFrame, queries: DataFrame, limit: int = 20) -> DataFrame:
-    """Sections of a course in which all terms of a query occur, the last as a prefix, ranked by BM25 over the whole library, with snippets.
+    """Sections of a course in which all terms of a query occur, a phrase as adjacent tokens, the last term as a prefix, ranked by BM25 over the whole library, with snippets.
 
     ``sections`` has document_id, course_id, section, heading, body; ``documents`` id, title, kind; ``queries`` query_id, course_id, text. The prefix
     counts every token that begins with it. The text is only read again for the rows that are shown.
     """
     keys = ["document_id", "section"]
-    terms = queries.select("query_id", "course_id", F.posexplode(T.query_terms_and_prefix(F.coalesce("text", F.lit("")))).alias("n", "t")).select("query_id", "course_id", "n", "t.term", "t.is_prefix")
-    # a term tokenises to one token or, with an underscore, to several: all of them must occur
-    wanted = terms.withColumn("tokens", T.tokenize(F.col("term"))).where("size(tokens) > 0").select("query_id", "course_id", F.posexplode("tokens").alias("k", "token"), F.size("tokens").alias("of"), "n", "is_prefix")
-    wanted = wanted.select("query_id", "course_id", F.concat_ws(".", "n", "k").alias("phrase"), "token", (F.col("is_prefix") & (F.col("k") == F.col("of") - 1)).alias("is_prefix"))
-    need = wanted.groupBy("query_id").agg(F.count("*").alias("needed"))
-    counted = sections.select(*keys, F.explode(F.flatten(F.array(T.tokenize(F.col("heading")), T.tokenize(F.col("body"))))).alias("token")).groupBy(*keys, "token").agg(F.count("*").alias("tf"))
-    exact = counted.join(_few(wanted.where("not is_prefix")), "token").select("query_id", "course_id", "phrase", *keys, "tf")
-    # a prefix is matched on its own length's beginning of a token, so this too is an equi-join
+    terms = queries.select("query_id", "course_id", F.posexplode(T.query_terms_and_prefix(F.coalesce("text", F.lit("")))).alias("phrase", "t")).select("query_id", "course_id", "phrase", "t.term", "t.is_prefix")
+    # a term tokenises to one token or, with an underscore, to several: those must be adjacent
+    parts = terms.withColumn("tokens", T.tokenize(F.col("term"))).where("size(tokens) > 0")
+    wanted = parts.select("query_id", "course_id", "phrase", F.size("tokens").alias("parts"), F.posexplode("tokens").alias("at", "token"), "is_prefix").withColumn("is_prefix", F.expr("is_prefix and at = parts - 1"))
+    need = parts.groupBy("query_id").agg(F.count("*").alias("needed"))
+    # query terms meet the tokens before anything is shuffled; a prefix is matched on its own length's beginning of a token, so that too is an equi-join
+    placed = sections.select(*keys, F.posexplode(column_tokens("heading", "body")).alias("pos", "token")).where("token is not null")
+    shown = ["query_id", "course_id", "phrase", "parts", "at", *keys, "pos"]
+    exact = placed.join(_few(wanted.where("not is_prefix")), "token").select(*shown)
     prefixes = wanted.where("is_prefix").withColumn("size", F.length("token"))
-    sizes = prefixes.select("size").distinct()
-    begun = counted.join(F.broadcast(sizes), F.length("token") >= F.col("size")).withColumn("start", F.expr("substring(token, 1, size)")).groupBy(*keys, F.col("start").alias("token")).agg(F.sum("tf").alias("tf"))
-    prefixed = begun.join(_few(prefixes.drop("size")), "token").select("query_id", "course_id", "phrase", *keys, "tf")
-    hits = exact.unionByName(prefixed)
+    begun = placed.join(F.broadcast(prefixes.select("size").distinct()), F.length("token") >= F.col("size"))  # a row for each length of a prefix
+    prefixed = begun.withColumn("token", F.expr("substring(token, 1, size)")).join(_few(prefixes), ["token", "size"]).select(*shown)
+    met = exact.unionByName(prefixed)
+    single = met.where("parts = 1").groupBy("query_id", "course_id", "phrase", *keys).agg(F.count("*").alias("tf"))
+    # every token votes for the place where its phrase would begin; a place with all votes is an occurrence
+    places = met.where("parts > 1").groupBy("query_id", "course_id", "phrase", "parts", *keys, (F.col("pos") - F.col("at")).alias("start")).agg(F.count_distinct("at").alias("votes")).where("votes = parts")
+    hits = single.unionByName(places.groupBy("query_id", "course_id", "phrase", *keys).agg(F.count("*").alias("tf")))
     df = hits.groupBy("query_id", "phrase").agg(F.count("*").alias("df"))
-    lengths = document_lengths(sections, keys, "heading", "body")
+    lengths = materialised(document_lengths(sections, keys, "heading", "body"))
     stats = corpus_stats(lengths, [])
     inside = hits.join(sections.select(*keys, F.col("course_id").alias("of_course")), keys).where("course_id = of_course")
     scored = (

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from scholia.functions import text as T
 from scholia.operators import chunks as C
 
-from .roles import PAGES_SQL, pages, table
+from .roles import NORMALIZED, PAGES_SQL, SCRUBBED, pages, table
 
 
 def normalize_scrub(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -51,13 +51,9 @@ _WORDS = r"list_filter(string_split_regex(regexp_replace(coalesce(text, ''), '[^
 
 ORACLE_SQL = {
     # the glued-mark step needs a lookbehind, which RE2 lacks: no document has three such marks, and a unit test covers the step
-    "normalize_scrub": r"""
-with n as (
-    select doc_id, trim(regexp_replace(regexp_replace(replace(coalesce(text, ''), chr(13), ''), '[ \t]+', ' ', 'g'), '\n{3,}', chr(10) || chr(10), 'g'), ' ' || chr(9) || chr(10) || chr(11) || chr(12)) as t from documents
-), s as (
-    select doc_id, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(t, '(?:\d{1,2}\.\d{1,2}[ ]\S[^\n]{2,90}?[ ]\d{2,4}\s+){4,}', ' ', 'g'),
-        '(?:\b\d{1,3}\b[ ]+){11,}\b\d{1,3}\b', ' ', 'g'), '(?:\bSP\b[ ]*){2,}', ' ', 'g'), '[ \t]+', ' ', 'g'), ' ' || chr(9) || chr(10) || chr(11) || chr(12)) as clean from n
-)
+    "normalize_scrub": f"""
+with n as (select doc_id, {NORMALIZED.format("coalesce(text, '')")} as t from documents),
+s as (select doc_id, {SCRUBBED.format("t")} as clean from n)
 select doc_id, md5(clean) as digest, cast(length(clean) as integer) as n_chars, cast(floor(length(clean) / 3.5) as integer) as tokens from s
 """,
     "query_terms_or": f"""

@@ -16,7 +16,7 @@ from .roles import TOKENS, slides, table
 
 def _chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").where("doc_id is not null")
-    page = F.col("doc_id").cast("int")
+    page = F.col("doc_id")
     return docs.select(F.lit("library").alias("book_id"), F.col("doc_id").alias("chunk_id"), F.coalesce("text", F.lit("")).alias("text"), F.lit("").alias("section_title"), page.alias("page_start"), page.alias("page_end"), F.concat(F.lit("p. "), page.cast("string")).alias("citation"))
 
 
@@ -26,7 +26,10 @@ def _items(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _index(spark: SparkSession, sf_dir: str, queries: DataFrame) -> dict[str, DataFrame]:
     terms = queries.select(F.explode(T.query_terms_or(F.coalesce("text", F.lit("")))).alias("t")).select(F.explode(T.tokenize(F.col("t"))).alias("term"))
-    return I.build_bm25_index(_chunks(spark, sf_dir), terms=terms)
+    index = I.build_bm25_index(_chunks(spark, sf_dir), terms=terms)
+    # lengths serve scores and statistics, so texts are tokenised for them once
+    lengths = materialised(index["doc_len"])
+    return index | {"doc_len": lengths, "corpus_stats": I.corpus_stats(lengths, ["book_id"])}
 
 
 def term_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,12 +64,13 @@ def collect_chunks_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("deck_id", "position", F.col("chunk_id").alias("doc_id"))
 
 
-def _prefix_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _prefix_search(spark: SparkSession, sf_dir: str, phrase: bool = False) -> DataFrame:
+    """Search by a benchmark item's first long word and the beginning of its second; or by both as a phrase whose end is a prefix."""
     docs = table(spark, sf_dir, "documents").where("doc_id is not null and source is not null")
     sections = docs.select(F.col("doc_id").alias("document_id"), F.col("source").alias("course_id"), F.lit(0).alias("section"), F.substring_index(F.coalesce("text", F.lit("")), "\n", 1).alias("heading"), F.coalesce("text", F.lit("")).alias("body"))
     documents = docs.select(F.col("doc_id").alias("id"), F.concat(F.lit("Document "), F.col("doc_id").cast("string")).alias("title"), F.when(F.col("doc_id") % 2 == 0, "note").otherwise("practice").alias("kind"))
     words = F.filter(F.split(F.lower("text"), "[^a-z]+"), lambda w: F.length(w) > 3)
-    query = F.concat_ws(" ", words[0], F.substring(words[1], 1, 3))
+    query = F.concat_ws("_", words[0], F.substring(words[1], 1, 3)) if phrase else F.concat_ws(" ", words[0], F.substring(words[1], 1, 3))
     queries = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.concat(F.lit("src"), (F.col("item_id") % 20).cast("string")).alias("course_id"), query.alias("text"))
     return S.search_sections(sections, documents, queries)
 
@@ -75,6 +79,10 @@ def search_all_terms_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _prefix_search(spark, sf_dir).select("query_id", "rank", "document_id", "document_title", "document_kind", F.round("score", 4).alias("score"))
 
 
+def search_phrase_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _prefix_search(spark, sf_dir, phrase=True).select("query_id", "rank", "document_id", F.round("score", 4).alias("score"))
+
+
 def search_snippet(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _prefix_search(spark, sf_dir).select("query_id", "rank", "document_id", "snippet", T.escape_snippet(F.col("snippet")).alias("escaped"))
 
@@ -87,14 +95,14 @@ def extractive_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     cards = N.topic_cards(decks).withColumn("book_id", F.lit("library"))
     index = _index(spark, sf_dir, cards.select(F.col("query").alias("text")))
     # aligning and retrieving both score the cards, so what they read is made once
-    index |= {name: materialised(index[name]) for name in ("postings", "doc_len", "corpus_stats")}
+    index |= {name: materialised(index[name]) for name in ("postings", "corpus_stats")}
     requests = N.prepare_requests(decks, cards.select("deck_id", "book_id").distinct(), index, limit=3)
     return N.extractive_sections(requests).select("deck_id", "section_index", "title", "markdown", "citations", "slide_first", "slide_last")
 
 
 QUERIES = {
     "term_stats": term_stats, "corpus_stats": corpus_stats, "bm25_topk": bm25_topk, "bm25_range_fallback": bm25_range_fallback, "collect_chunks_cap": collect_chunks_cap,
-    "search_all_terms_prefix": search_all_terms_prefix, "search_snippet": search_snippet, "extractive_notes": extractive_notes,
+    "search_all_terms_prefix": search_all_terms_prefix, "search_phrase_prefix": search_phrase_prefix, "search_snippet": search_snippet, "extractive_notes": extractive_notes,
 }
 
 _SCORED = rf"""
@@ -153,5 +161,23 @@ sc as (
     from hit h join df on df.item_id = h.item_id and df.k = h.k join lens l on l.doc_id = h.doc_id, stats where h.source = h.course_id group by h.item_id, h.doc_id),
 r as (select s.*, row_number() over (partition by query_id order by round(score, 6) desc, doc_id) as rank from sc s join need n on n.item_id = s.query_id where found = needed)
 select query_id, cast(rank as integer) as rank, doc_id as document_id, 'Document ' || cast(doc_id as varchar) as document_title, case when doc_id % 2 = 0 then 'note' else 'practice' end as document_kind, round(score, 4) as score from r where rank <= 20
+""",
+    "search_phrase_prefix": f"""
+with d as (select doc_id, source, coalesce(text, '') as text from documents where doc_id is not null and source is not null),
+c as (select doc_id, source, {TOKENS.format("split_part(text, chr(10), 1)")} as h, {TOKENS.format("text")} as b from d),
+lens as (select doc_id, len(h) + len(b) as len from c), stats as (select count(*) as n_docs, avg(len) as avg_len from lens),
+toks as (select doc_id, source, 0 as col, unnest(h) as term, generate_subscripts(h, 1) as pos from c union all select doc_id, source, 1, unnest(b), generate_subscripts(b, 1) from c),
+w as (select item_id, 'src' || cast(item_id % 20 as varchar) as course_id, list_filter(string_split_regex(lower(text), '[^a-z]+'), lambda w: length(w) > 3) as w from benchmark),
+q as (select item_id, course_id, w[1] as a, substring(w[2], 1, 3) as p from w),
+hit as (
+    select q.item_id, q.course_id, 1 as k, x.doc_id, x.source, count(*) as tf
+    from q join toks x on x.term = q.a join toks y on y.doc_id = x.doc_id and y.col = x.col and y.pos = x.pos + 1 and starts_with(y.term, q.p) group by q.item_id, q.course_id, x.doc_id, x.source
+), df as (select item_id, k, count(*) as df from hit group by item_id, k),
+sc as (
+    select h.item_id as query_id, h.doc_id, count(*) as found,
+        sum(case when ln((n_docs - df + 0.5) / (df + 0.5)) > 0 then ln((n_docs - df + 0.5) / (df + 0.5)) else 1e-6 end * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / avg_len))) as score
+    from hit h join df on df.item_id = h.item_id and df.k = h.k join lens l on l.doc_id = h.doc_id, stats where h.source = h.course_id group by h.item_id, h.doc_id),
+r as (select *, row_number() over (partition by query_id order by round(score, 6) desc, doc_id) as rank from sc)
+select query_id, cast(rank as integer) as rank, doc_id as document_id, round(score, 4) as score from r where rank <= 20
 """,
 }

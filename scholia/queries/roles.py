@@ -59,8 +59,16 @@ ranges as (
     from outline o join counts c on o.book_id = c.book_id)"""
 
 SLIDES_SQL = r"""slides as (
-    select conv_id as deck_id, cast(turn + 1 as integer) as number, substring(split_part(coalesce(text, ''), chr(10), 1), 1, 60) as title,
+    select conv_id as deck_id, cast(turn + 1 as integer) as number, split_part(coalesce(text, ''), chr(10), 1) as title,
         regexp_replace(coalesce(text, ''), '^[^\n]*\n?', '') as text, length(coalesce(text, '')) % 5 = 0 as is_visual
     from conversations where conv_id is not null and turn is not null)"""
 
 TOKENS = r"regexp_extract_all(strip_accents(lower({})), '[\p{{L}}\p{{N}}]+')"
+
+_BLANK = "' ' || chr(9) || chr(10) || chr(11) || chr(12)"
+#: Normalised and scrubbed text in SQL, of the expression that stands for {}.
+NORMALIZED = rf"trim(regexp_replace(regexp_replace(replace({{}}, chr(13), ''), '[ \t]+', ' ', 'g'), '\n{{{{3,}}}}', chr(10) || chr(10), 'g'), {_BLANK})"
+SCRUBBED = (
+    r"trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace({}, '(?:\d{{1,2}}\.\d{{1,2}}[ ]\S[^\n]{{2,90}}?[ ]\d{{2,4}}\s+){{4,}}', ' ', 'g'),"
+    rf" '(?:\b\d{{{{1,3}}}}\b[ ]+){{{{11,}}}}\b\d{{{{1,3}}}}\b', ' ', 'g'), '(?:\bSP\b[ ]*){{{{2,}}}}', ' ', 'g'), '[ \t]+', ' ', 'g'), {_BLANK})"
+)

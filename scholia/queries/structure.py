@@ -10,7 +10,7 @@ from scholia.operators import layout as L
 from scholia.operators import sections as S
 from scholia.plans import requests as R
 
-from .roles import OUTLINE_SQL, PAGES_SQL, SLIDES_SQL, long_slides, outline, page_counts, pages, slides, table
+from .roles import NORMALIZED, OUTLINE_SQL, PAGES_SQL, SCRUBBED, SLIDES_SQL, long_slides, outline, page_counts, pages, slides, table
 
 
 def outline_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -77,7 +77,7 @@ QUERIES = {
 _MAP = "covered as (select book_id, unnest(generate_series(page_start, page_end)) as page_no, title, level, ordinal from ranges where page_end >= page_start), pmap as (select book_id, page_no, title from (select *, row_number() over (partition by book_id, page_no order by level desc, ordinal desc) as n from covered) where n = 1)"
 
 _LONG = r"""slides as (
-    select book_id as deck_id, page_no as number, case when page_no % 9 = 5 then 'Today: next' else substring(split_part(text, chr(10), 1), 1, 40) end as title, substring(text, 1, 200) as text from pages)"""
+    select book_id as deck_id, page_no as number, case when page_no % 9 = 5 then 'Today: next' else split_part(text, chr(10), 1) end as title, text from pages)"""
 
 _DIVIDERS = r"""bodies as (select *, trim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) as body from slides),
 marked as (select deck_id, number, title, text, regexp_matches(lower(title), '^\s*(today|outline|agenda|roadmap|plan|bugün|i̇çerik)[:\s]') or (length(body) > 40 and count(*) over (partition by deck_id, body) >= 2) as is_divider from bodies)"""
@@ -104,6 +104,39 @@ g as (select *, count(title) over (partition by book_id order by page_no) as grp
 s as (select book_id, page_no, coalesce(max(title) over (partition by book_id, grp), first_title, '') as section_title from g),
 l as (select *, lag(section_title) over (partition by book_id order by page_no) as before from s)
 select book_id, page_no, section_title, cast(sum(case when before is not null and before <> section_title then 1 else 0 end) over (partition by book_id order by page_no) as integer) as run_id from l
+""",
+    # a recursive walk over each run's pages: the row of a page holds the open text after it and the chunk that it closed
+    "chunk_pages": rf"""
+with recursive {OUTLINE_SQL}, {_MAP},
+normal as (select book_id, page_no, {NORMALIZED.format("text")} as t from pages),
+clean as (select book_id, page_no, {SCRUBBED.format("t")} as text from normal),
+j as (select p.book_id, p.page_no, p.text, m.title, f.title as first_title from clean p left join pmap m on p.book_id = m.book_id and p.page_no = m.page_no left join pmap f on p.book_id = f.book_id and f.page_no = 1 where p.text <> ''),
+g as (select *, count(title) over (partition by book_id order by page_no) as grp from j),
+s as (select book_id, page_no, text, coalesce(max(title) over (partition by book_id, grp), first_title, '') as section_title from g),
+l as (select *, lag(section_title) over (partition by book_id order by page_no) as before from s),
+r as (select *, sum(case when before is not null and before <> section_title then 1 else 0 end) over (partition by book_id order by page_no) as run_id from l),
+n as (select *, row_number() over (partition by book_id, run_id order by page_no) as k, count(*) over (partition by book_id, run_id) as of from r),
+e as (select book_id, run_id, min(section_title) as section_title, lead(min(page_no)) over (partition by book_id order by run_id) - 1 as ends from n group by book_id, run_id),
+walk as (
+    select book_id, run_id, cast(0 as bigint) as k, cast(null as varchar) as open, cast(0 as bigint) as size, cast(0 as integer) as since, cast(null as varchar) as made, cast(0 as integer) as made_from, cast(0 as integer) as made_to
+    from e where not regexp_matches(lower(section_title), '^\s*(contents|index|bibliography|preface|about the authors?|copyright|title page|cover|dedication|acknowledg\w*|list of (figures|tables)|references)\b')
+    union all
+    select book_id, run_id, k, case when not full_now then longer when length(tidy) < 200 then null else right(tidy, 472) end, case when not full_now then size when length(tidy) < 200 then 0 else least(472, length(tidy)) end,
+        case when full_now then page_no else since end, case when full_now and length(tidy) >= 200 then tidy end, since, page_no
+    from (
+        select *, size >= 3150 as full_now, {NORMALIZED.format("longer")} as tidy from (
+            select n.book_id, n.run_id, n.k, n.page_no, concat_ws(chr(10), w.open, n.text) as longer, w.size + length(n.text) as size, case when w.open is null then n.page_no else w.since end as since
+            from walk w join n on n.book_id = w.book_id and n.run_id = w.run_id and n.k = w.k + 1
+        )
+    )
+), last as (select walk.*, {NORMALIZED.format("walk.open")} as tidy from walk where open is not null and k = (select max(of) from n where n.book_id = walk.book_id and n.run_id = walk.run_id)),
+made as (
+    select book_id, run_id, k as seq, made as text, made_from as page_start, made_to as page_end from walk where made is not null
+    union all
+    select t.book_id, t.run_id, t.k + 1, t.tidy, t.since, coalesce(e.ends, c.page_count) from last t join e on e.book_id = t.book_id and e.run_id = t.run_id join counts c on c.book_id = t.book_id where length(t.tidy) >= 200
+), numbered as (select m.*, e.section_title, cast(row_number() over (partition by m.book_id order by m.run_id, m.seq) - 1 as integer) as chunk_no from made m join e on e.book_id = m.book_id and e.run_id = m.run_id)
+select book_id, 'c' || lpad(cast(chunk_no as varchar), 5, '0') as chunk_id, chunk_no, text, section_title, cast(page_start as integer) as page_start, cast(page_end as integer) as page_end, cast(floor(length(text) / 3.5) as integer) as token_estimate,
+    section_title || ', p. ' || case when page_start = page_end then cast(page_start as varchar) else page_start || '-' || page_end end as citation from numbered
 """,
     "toc_outline": f"""
 with {OUTLINE_SQL}, n as (select *, row_number() over (partition by book_id order by ordinal) as k from ranges where level <= 1)

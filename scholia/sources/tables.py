@@ -1,6 +1,6 @@
 """Sources and sinks.
 
-An index is a folder of Parquet tables partitioned by book, each write in its own revision, and a manifest that names the revision: the manifest row is written
+An index is a folder of Parquet tables in ranges of (book, chunk), each write in its own revision, and a manifest that names the revision: the manifest row is written
 last, so a build that fails half-way is never read.
 """
 
@@ -14,7 +14,9 @@ from pyspark.sql.types import StructType
 
 from scholia.functions import text as T
 from scholia.functions.scalars import safe_key
-from scholia.operators.index import build_bm25_index
+from scholia.operators.index import build_bm25_index, corpus_stats, term_df
+
+from .materialise import materialised
 
 #: Version of the index contents; another version means a rebuild.
 INDEX_VERSION = "4"
@@ -49,26 +51,27 @@ def load_exam_text(pages: DataFrame, exams: DataFrame) -> DataFrame:
     return exams.select("exam_id").join(joined, "exam_id", "left").select("exam_id", F.coalesce(text, F.lit("")).alias("exam_text"))
 
 
-def outline_schema(depth: int) -> str:
-    """DDL of outline nodes nested ``depth`` deep."""
-    node = "struct<title:string,page_idx:int>"
-    for _ in range(depth - 1):
-        node = f"struct<title:string,page_idx:int,children:array<{node}>>"
-    return f"array<{node}>"
-
-
-def read_outline(books: DataFrame, column: str = "outline", depth: int = 4) -> DataFrame:
-    """(book_id, ordinal, title, level, page_idx): nested outline JSON flattened depth first, down to ``depth`` levels."""
-    nodes = books.select("book_id", F.from_json(column, outline_schema(depth)).alias("nodes"), F.array().cast("array<int>").alias("path"))
-    levels = []
-    for level in range(depth):
-        opened = nodes.select("book_id", "path", F.posexplode("nodes").alias("at", "n")).withColumn("path", F.concat("path", F.array("at")))
-        levels.append(opened.select("book_id", "path", F.col("n.title").alias("title"), F.lit(level).alias("level"), F.col("n.page_idx").alias("page_idx")))
-        if level < depth - 1:
-            nodes = opened.select("book_id", "path", F.col("n.children").alias("nodes")).where("nodes is not null")
-    flat = levels[0]
-    for more in levels[1:]:
-        flat = flat.unionByName(more)
+def read_outline(books: DataFrame, column: str = "outline") -> DataFrame:
+    """(book_id, ordinal, title, level, page_idx): nested outline JSON flattened depth first, however deep it is.
+
+    Children stay JSON text until their level is opened, so the number of passes is the depth of the deepest outline. Nodes without a title or page aren't
+    returned, but their children are.
+    """
+    nodes = books.select("book_id", F.col(column).alias("json"), F.array().cast("array<int>").alias("path"))
+    flat = None
+    level = 0
+    while True:
+        # a list of nodes is read as texts, each node by its own fields
+        opened = materialised(nodes.select("book_id", "path", F.posexplode(F.from_json("json", "array<string>")).alias("at", "node")).select("book_id", F.concat("path", F.array("at")).alias("path"), "node"))
+        if opened.isEmpty():
+            break
+        fields = F.from_json("node", "title string, page_idx int")
+        shown = opened.select("book_id", "path", fields.alias("n")).select("book_id", "path", "n.title", F.lit(level).alias("level"), "n.page_idx")
+        flat = shown if flat is None else flat.union(shown)
+        nodes = opened.select("book_id", F.get_json_object("node", "$.children").alias("json"), "path").where("json is not null")
+        level += 1
+    if flat is None:
+        return books.select("book_id", F.lit(0).alias("ordinal"), F.lit("").alias("title"), F.lit(0).alias("level"), F.lit(0).alias("page_idx")).limit(0)
     ordinal = F.row_number().over(Window.partitionBy("book_id").orderBy("path")) - 1
     return flat.withColumn("ordinal", ordinal).where("trim(title) != '' and page_idx is not null").select("book_id", "ordinal", "title", "level", "page_idx")
 
@@ -94,13 +97,28 @@ def manifest(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_index(chunks: DataFrame, path: str, books: DataFrame | None = None, figures: DataFrame | None = None, version: str = INDEX_VERSION) -> str:
-    """Build and write the index of ``chunks`` and return its revision. Tables first, manifest last."""
+    """Build and write the index of ``chunks`` and return its revision. Tables first, manifest last.
+
+    Each table is made from tables that are written already, so pages are cleaned and chunked once and texts are tokenised twice (for postings and lengths). Files hold ranges of
+    books and chunks: a book's rows lie together, and one large book is many files.
+    """
     revision = uuid.uuid4().hex
-    tables = build_bm25_index(chunks)
+    spark = chunks.sparkSession
+    keys = ["book_id", "chunk_id"]
+
+    def write(name: str, table: DataFrame, ranges: list[str]) -> DataFrame:
+        target = f"{path}/{name}/revision={revision}"
+        table.repartitionByRange(*ranges).sortWithinPartitions(*ranges).write.parquet(target)
+        return spark.read.schema(table.schema).parquet(target)
+
+    chunks = write("chunks", chunks, keys)
+    index = build_bm25_index(chunks)
+    postings = write("postings", index["postings"], ["book_id", "term", "chunk_id"])
+    write("term_df", term_df(postings, ["book_id"]), ["book_id", "term"])
+    lengths = write("doc_len", index["doc_len"], keys)
+    write("corpus_stats", corpus_stats(lengths, ["book_id"]), ["book_id"])
     if figures is not None:
-        tables["figures"] = figures
-    for name, table in tables.items():
-        table.write.partitionBy("book_id").parquet(f"{path}/{name}/revision={revision}")
+        write("figures", figures, ["book_id"])
     info = F.to_json(F.struct(*[c for c in (books.columns if books is not None else ["book_id"])]))
     rows = chunks.select("book_id").distinct()
     rows = rows.join(books, "book_id", "left") if books is not None else rows
@@ -152,14 +170,22 @@ def documents_to_json(documents: DataFrame, key: str = "document_id") -> DataFra
     return documents.select(key, F.to_json(F.struct("*")).alias("json"))
 
 
-def documents_from_json(rows: DataFrame, schema: StructType | str) -> DataFrame:
-    """Documents from JSON rows. A row that doesn't parse is dropped; ``rejected_json`` has those."""
-    return rows.select(F.from_json("json", schema, {"mode": "PERMISSIVE"}).alias("d")).where("d is not null").select("d.*")
+def documents_from_json(rows: DataFrame, schema: StructType | str) -> tuple[DataFrame, DataFrame]:
+    """(documents, rejected) from rows with a json column: a row that is null, isn't JSON or doesn't fit the schema is rejected, whole and with all its columns."""
+    ddl = schema if isinstance(schema, str) else ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields)
+    parsed = rows.withColumn("_document", F.from_json("json", f"{ddl}, _corrupt string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}))
+    good = F.col("_document").isNotNull() & F.col("_document._corrupt").isNull()
+    return parsed.where(good).select(F.col("_document").dropFields("_corrupt").alias("_document")).select("_document.*"), parsed.where(~good).drop("_document")
 
 
 def write_markdown(documents: DataFrame, path: str) -> None:
-    """One text file tree partitioned by document id; ``documents`` has document_id and markdown."""
-    documents.select("document_id", F.col("markdown").alias("value")).write.partitionBy("document_id").text(path)
+    """Markdown of all ``documents`` (document_id, markdown) as one Parquet table in ranges of ids: no folder or file for each of them."""
+    documents.select("document_id", "markdown").repartitionByRange("document_id").write.parquet(path)
+
+
+def read_markdown(spark: SparkSession, path: str, document_ids: list[str] | None = None) -> DataFrame:
+    rows = spark.read.parquet(path)
+    return rows if document_ids is None else rows.where(F.col("document_id").isin(document_ids))
 
 
 def reject_reason(kind: Column, name: Column, content: Column, size: Column, kinds: list[str], max_bytes: int) -> Column:

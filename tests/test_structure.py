@@ -2,8 +2,6 @@
 
 import random
 
-from hypothesis import given, settings
-from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from scholia.operators import chunks as C
@@ -74,7 +72,8 @@ def sequential(texts, target, overlap):
             joined = "\n".join(held).strip()
             if len(joined) >= 200:
                 out.append((joined, start, page))
-                held, size, start = [joined[-overlap:]], len(joined[-overlap:]), page
+                tail = joined[-overlap:] if overlap else ""
+                held, size, start = [tail] if tail else [], len(tail), page
             else:
                 held, size = [], 0
     joined = "\n".join(held).strip()
@@ -83,17 +82,23 @@ def sequential(texts, target, overlap):
     return out
 
 
-@settings(max_examples=100, deadline=None)
-@given(st.lists(st.integers(1, 900), min_size=1, max_size=12))
-def test_fold_equals_sequential_reading(sizes):
-    texts = ["".join(random.Random(n).choices("abcdef", k=n)) for n in sizes]
-    assert C.fold_run(texts, list(range(1, len(texts) + 1)), len(texts), 1000, 150, False) == sequential(texts, 1000, 150)
+def packed(spark, runs, target, overlap, drop=False):
+    """Chunks of runs of page texts by pack_run."""
+    df = spark.createDataFrame([(i, [(n, t) for n, t in enumerate(texts, 1)], len(texts)) for i, texts in enumerate(runs)], "i int, run array<struct<page_no:int,text:string>>, last int")
+    found = df.select("i", C.pack_run(F.col("run"), F.col("last"), target, overlap, drop).alias("c")).collect()
+    return [[tuple(c) for c in r["c"]] for r in sorted(found)]
 
 
-def test_tail_only_chunks_can_be_dropped():
-    texts = ["x" * 1200]
-    assert len(C.fold_run(texts, [1], 1, 1000, 300, False)) == 2
-    assert len(C.fold_run(texts, [1], 1, 1000, 300, True)) == 1
+def test_packing_equals_sequential_reading(spark):
+    rng = random.Random(1)
+    runs = [["".join(rng.choices("abcdef", k=rng.randint(1, 900))) for _ in range(rng.randint(1, 12))] for _ in range(200)]
+    for overlap in (150, 0):
+        assert packed(spark, runs, 1000, overlap) == [sequential(texts, 1000, overlap) for texts in runs]
+
+
+def test_tail_only_chunks_can_be_dropped(spark):
+    assert len(packed(spark, [["x" * 1200]], 1000, 300)[0]) == 2
+    assert len(packed(spark, [["x" * 1200]], 1000, 300, True)[0]) == 1
 
 
 def test_scanned_books(spark):
