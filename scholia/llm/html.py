@@ -1,8 +1,11 @@
 """HTML extraction by site template removal.
 
-A page is cut into a tree of block elements. Every block but headings, entries and cells of an article has a digest of its subtree (tag, class and text); Spark counts, for each host,
-in how many different articles a digest occurs, and subtrees that recur across many of a host's articles are its template. They are deleted, with what
-its role already marks as no main text (menus, forms, scripts, notices, adverts, reader comments), and the blocks that are left are joined.
+A page is cut into a tree of block elements, and subtrees have digests. Spark counts, for each host, in how many different articles a digest occurs; subtrees that recur
+across many of a host's articles are its template and are deleted. Outside an article a subtree is known by its structure (menus, adverts and teasers differ in their
+words), inside one by its words too. What a class, id or role calls furniture is deleted where elements of that name recur in a host's articles.
+
+Only elements that the HTML standard itself takes out of the text (scripts, forms, navigation, asides, footers, hidden ones) go without counts. On hosts with too few
+articles to count, names alone decide, and where a page has an article (or main) the text is what stands in it.
 """
 
 from __future__ import annotations
@@ -19,8 +22,8 @@ from pyspark.sql import functions as F
 from .common import BROADCAST_BYTES, cut, trimmed
 
 # Element classes of the HTML standard.
-RAW = {"script", "style", "noscript", "template", "iframe", "noembed", "noframes", "svg", "math", "object", "canvas", "audio", "video", "select", "datalist"}
-DROPPED = RAW | {"head", "nav", "footer", "aside", "form", "button", "dialog", "menu", "textarea", "input", "label", "fieldset"}
+RAW = {"script", "style", "noscript", "template", "iframe", "noembed", "noframes", "svg", "object", "canvas", "audio", "video", "select", "datalist"}
+DROPPED = RAW | {"head", "nav", "footer", "aside", "form", "button", "dialog", "menu", "textarea", "input", "title"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 TEXT_BLOCKS = {"p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "dt", "dd", "blockquote", "pre", "td", "th", "caption", "figcaption", "summary", "tr", "table", "ul", "ol", "dl", "figure", "tbody", "thead", "tfoot"}
 BLOCKS = TEXT_BLOCKS | {"html", "body", "div", "article", "main", "section", "header", "footer", "nav", "aside", "form", "hr", "address", "details", "fieldset", "center", "dialog", "menu", "hgroup", "search", "title", "head"}
@@ -31,12 +34,20 @@ CLOSES_SAME = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"t
 #: Elements that their class or role can mark as furniture, and those that an id can mark: a heading, paragraph or section with an anchor is text.
 CONTAINERS = (BLOCKS - TEXT_BLOCKS - {"html", "body", "article", "main", "title", "head", "hr"}) | {"ul", "ol", "dl", "table", "figure"}
 BY_ID = {"div", "ul", "ol"}
-# Words of class, id and role that mark furniture of a page; a name of several words is furniture if all of them are.
-FURNITURE = re.compile(
-    r"(?<!\S)(?:(?:ads?|advert\w*|banner|sponsor\w*|promo\w*|cookies?|consent|gdpr|notices?|alert|popup|modal|overlay|nav|navbar|navigation|menu|breadcrumbs?|sidebar|side|rail|widget|footer|masthead|site-?header|page-?header|topbar|"
-    r"comments?|comment-?list|responses|replies|disqus|discussion|respond|share|sharing|social|related|recommend\w*|newsletter|subscribe|signup|login|search|toolbar|pagination|pager|skip-?link|complementary|contentinfo|paywall|copyright|legal)(?:[_-](?!\s|$)|(?!\S)))+(?!\S)",
-    re.I,
+
+
+def _named(words: str) -> re.Pattern:
+    """Names that consist of these words alone, between white space."""
+    return re.compile(rf"(?<!\S)(?:(?:{words})(?:[_-](?!\s|$)|(?!\S)))+(?!\S)", re.I)
+
+
+# Words of class, id and role that name furniture of a page; a name of several words is furniture if all of them are. Inside an article only those that no text is called by.
+INSIDE_WORDS = (
+    r"ads?|advert\w*|sponsor\w*|promo\w*|cookies?|consent|gdpr|cookie-?notice|popup|modal|overlay|nav|navbar|navigation|menu|breadcrumbs?|sidebar|widget|footer|masthead|site-?header|page-?header|topbar|"
+    r"comments?|comment-?list|replies|disqus|respond|share|sharing|newsletter|subscribe|signup|login|toolbar|pagination|pager|skip-?link|complementary|contentinfo|paywall"
 )
+INSIDE_FURNITURE = _named(INSIDE_WORDS)
+FURNITURE = _named(INSIDE_WORDS + r"|banner|notices?|alert|side|rail|responses|discussion|social|related|recommend\w*|posts?|search|copyright|legal")
 
 _TOKEN = re.compile(r"<!--(?:>|->|.*?(?:--!?>|\Z))|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
 _ATTRIBUTE = re.compile(r"""(?:^|\s)(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
@@ -46,16 +57,18 @@ _END_OF = {tag: re.compile(rf"</{tag}(?=[\s/>])[^>]*>?", re.I) for tag in RAW |
 class Node:
     """An element: its children are text runs and nodes, in page order."""
 
-    __slots__ = ("tag", "marks", "children", "gone", "inside")
+    __slots__ = ("tag", "marks", "children", "gone", "inside", "named", "holds")
 
-    def __init__(self, tag: str, marks: str = "", gone: bool = False, inside: bool = False):
-        self.tag, self.marks, self.gone, self.inside, self.children = tag, marks, gone, inside, []
+    def __init__(self, tag: str, marks: str = "", gone: bool = False, inside: bool = False, named: bool = False):
+        self.tag, self.marks, self.gone, self.inside, self.named, self.children = tag, marks, gone, inside, named, []
+        self.holds = False  # an article or main
 
 
 def parse(page: str) -> list[Node]:
     """All elements of the page in page order, the root first; stray and missing end tags are handled as browsers do for the common cases.
 
-    An element is ``inside`` if it or one above it is an article or main. The page's header is gone; one inside holds the article's own heading and stays.
+    An element is ``inside`` if it or one above it is an article or main, and ``named`` if its class, id or role calls it furniture. The page's header is gone; one inside
+    holds the article's own heading and stays.
     """
     root = Node("#root")
     nodes = [root]
@@ -99,18 +112,24 @@ def parse(page: str) -> list[Node]:
                 if stack[i].tag == "head":
                     del stack[i:]
                     break
-        marks, gone = "", tag in DROPPED
+        marks, gone, named = "", tag in DROPPED, False
+        inside = stack[-1].inside or tag in ("article", "main")
         if m.group(3):
             found = {a.lower(): b or c or d or "" for a, b, c, d in _ATTRIBUTE.findall(m.group(3))}
             if found:
                 marks = " ".join(found.get(k, "") for k in ("class", "id", "role")).strip()
                 hidden = "hidden" in found or found.get("aria-hidden", "").lower() == "true" or re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", found.get("style", ""), re.I)
                 names = " ".join(found.get(k, "") for k in (("class", "role", "id") if tag in BY_ID else ("class", "role")))
-                gone = gone or bool(hidden) or (tag in CONTAINERS and FURNITURE.search(names) is not None)
-        inside = stack[-1].inside or tag in ("article", "main")
-        node = Node(tag, marks, gone or (tag == "header" and not inside), inside)
+                gone = gone or bool(hidden)
+                named = tag in CONTAINERS and (INSIDE_FURNITURE if inside else FURNITURE).search(names) is not None
+        node = Node(tag, marks, gone or (tag == "header" and not inside), inside, named)
         nodes.append(node)
         stack[-1].children.append(node)
+        if tag in ("article", "main"):
+            for above in reversed(stack):
+                if above.holds:
+                    break
+                above.holds = True
         if tag in VOID:
             continue
         if tag in _END_OF:
@@ -123,12 +142,12 @@ def parse(page: str) -> list[Node]:
     return nodes
 
 
-def candidates(nodes: list[Node]) -> list[tuple[int, Node]]:
-    """Subtrees that a template can consist of, with digests: blocks outside article and main, and inside them containers and whole passages but never headings, entries or cells.
+def candidates(nodes: list[Node]) -> list[tuple[int, bool, Node]]:
+    """Subtrees that a template can consist of: (digest, loose, node). Blocks outside article and main, and inside them containers and whole passages but never headings, entries or cells.
 
-    A digest covers tag, class and the digests of the children. Where a page has an article, what lies outside is hashed by its structure, with like
-    neighbours taken as one (menus differ in their entries); inside it, and on pages without one, texts are hashed as well. Children come first, so
-    a page costs its size.
+    A digest covers tag, class and the digests of the children. Where a page has an article, what lies outside is known by its structure alone, with like neighbours
+    taken as one; inside it, and on pages without one, by its texts as well. Named furniture has a second digest, of its name. Structure and names are ``loose``: elements share them that
+    don't share a word. Children come first, so a page costs its size.
     """
     whole = not any(n.inside for n in nodes)
     digests: dict[int, int] = {}
@@ -141,39 +160,39 @@ def candidates(nodes: list[Node]) -> list[tuple[int, Node]]:
             if part and (with_text or not parts or parts[-1] != part):
                 parts.append(part)
         digests[id(node)] = digest = xxhash.xxh3_64_intdigest("\0".join([node.tag, node.marks, *parts])) - (1 << 63)
+        if node.gone or node.holds:
+            continue
+        if node.named:
+            out.append((xxhash.xxh3_64_intdigest("\0".join(["named", node.tag, node.marks])) - (1 << 63), True, node))
         if node.tag in BLOCKS and node.tag not in ("html", "body", "head", "title", "article", "main") and not (node.inside and node.tag in TEXT_BLOCKS - PASSAGES):
-            out.append((digest, node))
+            out.append((digest, not with_text, node))
     return out
 
 
-def main_text(root: Node) -> str:
-    """Blocks that are left, in page order, one a line. Inside an article (or main) alone where the page has one."""
-    articles, stack = [], [root]
+def _children(node: Node) -> list[Node]:
+    return [c for c in reversed(node.children) if isinstance(c, Node) and not c.gone]
+
+
+def articles_of(root: Node) -> list[Node]:
+    """All articles of a page but those inside one another, or its first main, or the page."""
+    found, stack = [], [root]
     while stack:
         node = stack.pop()
-        for c in reversed(node.children):
-            if isinstance(c, Node) and not c.gone:
-                stack.append(c)
         if node.tag == "article":
-            articles.append(node)
-            break
-    if not articles:
-        stack = [root]
-        while stack:
-            node = stack.pop()
-            if node.tag == "main":
-                articles.append(node)
-                break
-            stack.extend(c for c in reversed(node.children) if isinstance(c, Node) and not c.gone)
-    starts = articles or [root]
-    if articles and articles[0].tag == "article":  # further articles beside the first, but not those inside it
-        starts, stack = [], [root]
-        while stack:
-            node = stack.pop()
-            if node.tag == "article":
-                starts.append(node)
-            else:
-                stack.extend(c for c in reversed(node.children) if isinstance(c, Node) and not c.gone)
+            found.append(node)
+        else:
+            stack.extend(_children(node))
+    stack = [] if found else [root]
+    while stack:
+        node = stack.pop()
+        if node.tag == "main":
+            return [node]
+        stack.extend(_children(node))
+    return found or [root]
+
+
+def main_text(*starts: Node) -> str:
+    """Blocks that are left in these subtrees, in page order, one a line."""
     blocks: list[str] = []
     run: list[str] = []
 
@@ -206,6 +225,13 @@ def main_text(root: Node) -> str:
     return "\n".join(blocks)
 
 
+def lone_text(nodes: list[Node]) -> str:
+    """Main text of a page of a host with too few articles to count: names decide, and an article (or main) is all of the text."""
+    for node in nodes:
+        node.gone = node.gone or (node.named and not node.holds)
+    return main_text(*articles_of(nodes[0]))
+
+
 def _article(nodes: list[Node], page: str) -> int:
     """Digest of what tells one article of a host from another: the first headings inside article and main, or else the text there; on a page without
     them its title and first headings. A heading of the page's header or of other furniture (a logo) doesn't count."""
@@ -213,13 +239,13 @@ def _article(nodes: list[Node], page: str) -> int:
     while stack:
         node = stack.pop()
         shown.append(node)
-        stack.extend(c for c in reversed(node.children) if isinstance(c, Node) and not c.gone)
+        stack.extend(_children(node))
     inside = any(n.inside for n in shown)
     parts = [main_text(n) for n in shown if n.tag == "h1" and (n.inside or not inside)]
     if not inside:
         parts += [" ".join("".join(c for c in n.children if isinstance(c, str)).split()) for n in nodes if n.tag == "title"][:1]
     if not any(parts):
-        parts = [main_text(nodes[0]) or page]
+        parts = [main_text(*articles_of(nodes[0])) or page]
     return xxhash.xxh3_64_intdigest("\0".join(parts)) - (1 << 63)
 
 
@@ -230,9 +256,9 @@ def _subtrees(batches):
         for host, page in zip(batch["host"], batch["html"]):
             nodes = parse(page)
             heading = _article(nodes, page)
-            rows.extend((host, d, heading) for d in {d for d, _ in candidates(nodes)})
-            rows.append((host, None, heading))
-        yield pd.DataFrame({"host": [r[0] for r in rows], "digest": pd.array([r[1] for r in rows], "Int64"), "heading": [r[2] for r in rows]})
+            rows.extend((host, d, loose, heading) for d, loose in {(d, loose) for d, loose, _ in candidates(nodes)})
+            rows.append((host, None, False, heading))
+        yield pd.DataFrame({"host": [r[0] for r in rows], "digest": pd.array([r[1] for r in rows], "Int64"), "loose": [r[2] for r in rows], "heading": [r[3] for r in rows]})
 
 
 @trimmed
@@ -241,11 +267,12 @@ def _extracted(batches, others: list[str]):
         texts = []
         for page, template in zip(batch["html"], batch["template"]):
             nodes = parse(page)
-            if template is not None and len(template):
-                known = set(int(x) for x in template)
-                for d, node in candidates(nodes):
-                    if d in known:
-                        node.gone = True
+            if template is None:
+                texts.append(lone_text(nodes))
+                continue
+            known = set(int(x) for x in template)
+            for d, _, node in candidates(nodes):
+                node.gone = node.gone or d in known
             texts.append(main_text(nodes[0]))
         yield batch[others].assign(text=texts, n_chars=[len(t) for t in texts])
 
@@ -255,20 +282,22 @@ def host_of(url: Column) -> Column:
     return F.coalesce(F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?(\[[^\]]*\]|[^/?#:]*)", 1)), F.lit(""))
 
 
-def site_templates(pages: DataFrame, share: float = 0.5, least_articles: int = 5) -> DataFrame:
-    """(host, template): digests of the subtrees that occur in ``share`` of a host's different articles, and in ``least_articles`` at least.
+def site_templates(pages: DataFrame, share: float = 0.5, loose_share: float = 0.02, least_articles: int = 5) -> DataFrame:
+    """(host, template): digests of the subtrees that occur in ``share`` of a host's different articles (``loose_share`` for those by structure or name), and in ``least_articles`` at least.
 
-    ``pages`` has host and html. Counts are of distinct articles by their headings, so copies of one article are one article. A digest needs that share of the
-    articles, so a host has no more of them than an article has subtrees, divided by the share.
+    ``pages`` has host and html. Counts are of distinct articles by their headings, so copies of one article are one article. Hosts of fewer than ``least_articles`` articles
+    have no row, others an empty list if nothing recurs. A digest needs that share of the articles, so a host has no more of them than an article has subtrees, divided by the share.
     """
-    seen = pages.select("host", "html").mapInPandas(_subtrees, "host string, digest long, heading long").distinct()
-    counts = seen.groupBy("host", "digest").agg(F.count("*").alias("articles"))
+    seen = pages.select("host", "html").mapInPandas(_subtrees, "host string, digest long, loose boolean, heading long").distinct()
+    # one pass over the pages: what is too rare for a template goes before the table is written
+    counts = cut(seen.groupBy("host", "digest", "loose").agg(F.count("*").alias("articles")).where(F.col("articles") >= least_articles))
     totals = counts.where("digest is null").select("host", F.col("articles").alias("total"))
-    common = counts.where(f"digest is not null and articles >= {least_articles}").join(totals, "host").where(F.col("articles") >= share * F.col("total"))
-    return common.groupBy("host").agg(F.sort_array(F.collect_list("digest")).alias("template"))
+    common = counts.where("digest is not null").join(totals, "host").where(F.col("articles") >= F.when(F.col("loose"), loose_share).otherwise(share) * F.col("total"))
+    listed = common.groupBy("host").agg(F.array_sort(F.collect_set("digest")).alias("template"))
+    return totals.select("host").join(listed, "host", "left").select("host", F.coalesce("template", F.array().cast("array<long>")).alias("template"))
 
 
-def extract_main_text(pages: DataFrame, share: float = 0.5, least_articles: int = 5) -> DataFrame:
+def extract_main_text(pages: DataFrame, share: float = 0.5, loose_share: float = 0.02, least_articles: int = 5) -> DataFrame:
     """Main text of every row of ``pages`` (page_id, url, html): page_id, url, text (blocks joined by newlines, empty if none), n_chars (its code points).
 
     Null html counts as empty and gives an empty text; a null url has the empty host. Repeated rows are kept and get equal texts. Extra columns are ignored. Whole
@@ -276,7 +305,7 @@ def extract_main_text(pages: DataFrame, share: float = 0.5, least_articles: int
     """
     kinds = dict(pages.dtypes)
     rows = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"), host_of(F.col("url")).alias("host"))
-    templates = cut(site_templates(rows, share, least_articles))
+    templates = cut(site_templates(rows, share, loose_share, least_articles))
     size = templates.agg(F.sum(F.size("template") * 8 + F.octet_length("host") + 32)).first()[0] or 0
     joined = rows.join(F.broadcast(templates) if size <= BROADCAST_BYTES else templates, "host", "left").select("page_id", "url", "html", "template")
     return joined.mapInPandas(partial(_extracted, others=["page_id", "url"]), f"page_id {kinds['page_id']}, url string, text string, n_chars long")

@@ -152,10 +152,10 @@ FURNISHED = """<!doctype html><html><head><title>T</title><style>p{}</style></he
 
 
 def test_main_text_of_a_furnished_page():
-    assert H.main_text(H.parse(FURNISHED)[0]) == "Head & line\nOne two three four\nFive six\na\nb\nc1\nc2\ntail"
+    assert H.lone_text(H.parse(FURNISHED)) == "Head & line\nOne two three four\nFive six\na\nb\nc1\nc2\ntail"
     for broken in ("", "<", "<p", "plain", "<div><p>x", "</div></p>x", "<script>", "<!-- x", "<a href='>'>x</a>", "<article>" * 3000 + "deep" + "</article>" * 3000):
-        assert isinstance(H.main_text(H.parse(broken)[0]), str)
-    assert H.main_text(H.parse("<div>" * 5000 + "deep")[0]) == "deep"
+        assert isinstance(H.lone_text(H.parse(broken)), str)
+    assert H.lone_text(H.parse("<div>" * 5000 + "deep")) == "deep"
 
 
 def test_templates_are_what_recurs_across_articles_of_a_host(spark):

@@ -6,9 +6,9 @@ from scholia.llm import html as H
 def test_anchors_and_names_inside_an_article_are_text():
     body = "<section id='discussion'><h2 id='side-effects'>Side</h2><p class='legal'>law</p></section><h3 id='related-work'>Rel</h3><div id='search-algorithms'>alg</div><div class='search-tree'>tree</div>"
     for page in (f"<article>{body}</article>", f"<body>{body}</body>"):
-        assert H.main_text(H.parse(page)[0]) == "Side\nlaw\nRel\nalg\ntree"
+        assert H.lone_text(H.parse(page)) == "Side\nlaw\nRel\nalg\ntree"
     for gone in ("<div class='x ad'>", "<div id='comments'>", "<div class='cookie-notice'>", "<ul class='pagination'>", "<section class='comment-list'>", "<div class='newsletter'>", "<div role='navigation'>", "<div class='site-header'>"):
-        assert H.main_text(H.parse(f"<article><p>kept</p>{gone}out")[0]) == "kept"
+        assert H.lone_text(H.parse(f"<article><p>kept</p>{gone}out")) == "kept"
 
 
 def test_a_logo_as_heading_and_notices_inside_articles(spark):
@@ -22,3 +22,40 @@ def test_a_logo_as_heading_and_notices_inside_articles(spark):
     got = {r["page_id"]: r["text"] for r in H.extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     for i in range(8):
         assert got[i] == f"Title {i}\nSources\nOwn {i}" and got[10 + i] == got[20 + i] == f"Own {i}" and got[30 + i] == f"Title {i}\nOwn {i}"
+
+
+def test_an_article_keeps_what_only_sounds_like_furniture():
+    page = "<article><h1>Side effects</h1><div class='search-results'><p>Body</p></div><p class='legal'>Law text</p><div class='legal-analysis'>Case</div><section class='search'>Trees</section><math>x</math> <label>l</label><fieldset>f</fieldset></article>"
+    assert H.lone_text(H.parse(page)) == "Side effects\nBody\nLaw text\nCase\nTrees\nx l\nf"
+
+
+def test_counts_alone_tell_furniture(spark):
+    """Pages without articles, telling tags or telling names: only what recurs goes. Rare names stay where a host can be counted."""
+    page = lambda i: f"<html><body><div class='q1'><span>Our site</span><div>Home</div></div><div class='q2'><h1>Title {i}</h1><div>First {i}</div><div>Second {i}</div></div><div class='q3'>All rights {'kept' if i % 2 else 'held'}</div></body></html>"
+    rows = [(i, "http://plain.org/a", page(i)) for i in range(12)] + [(50, "http://few.org/a", page(0))]
+    # with articles, what stands outside is known by its structure: other words, or other numbers of like entries, don't hide it; text that doesn't recur stays
+    with_article = lambda i: f"<body><div class='m'>{'<a>x</a>' * (i % 3 + 1)}</div><article><h1>Title {i}</h1><p>Own {i}</p></article><div class='z'><b>Word {i}</b></div>{'<p>Late addition</p>' if i == 3 else ''}</body>"
+    rows += [(100 + i, "http://art.org/a", with_article(i)) for i in range(12)]
+    # names count as well: adverts of other words in every article go, a name that one article has stays
+    named = lambda i: f"<article><h1>Title {i}</h1><div class='ad'>Buy {i}</div><p>Own {i}</p>{'<div class=share>Shares of the firm</div>' if i == 3 else ''}</article>"
+    rows += [(200 + i, "http://ads.org/a", named(i)) for i in range(12)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in H.extract_main_text(pages).collect()}
+    for i in range(12):
+        assert got[i] == f"Title {i}\nFirst {i}\nSecond {i}"
+        assert got[100 + i] == f"Title {i}\nOwn {i}" + ("\nLate addition" if i == 3 else "")
+        assert got[200 + i] == f"Title {i}\nOwn {i}" + ("\nShares of the firm" if i == 3 else "")
+    assert got[50] == "Our site\nHome\nTitle 0\nFirst 0\nSecond 0\nAll rights held"
+
+
+def test_templates_decide_on_the_table(spark):
+    """Without templates the adverts of hosts that can be counted would stay."""
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    rows = pages.select("html", H.host_of(pages.url).alias("host"))
+    templates = {r["host"]: r["template"] for r in H.site_templates(rows).collect()}
+    changed = counted = 0
+    for r in rows.collect():
+        if r["host"] in templates:
+            counted += 1
+            changed += H.main_text(H.parse(r["html"])[0]) != H.lone_text(H.parse(r["html"]))
+    assert counted > 100 and changed == counted
