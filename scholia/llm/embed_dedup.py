@@ -18,20 +18,26 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, parallelism, trimmed
+from .common import cut, small_side, trimmed
 from .graph import connected_components, unite
 
-#: Vectors on either side of one task's comparison, and of one matrix product inside it.
-HOME_CHUNK, SENT_CHUNK, TILE = 4096, 8192, 1024
+#: Bytes of vectors on either side of one chunk pair, and vectors in one matrix product inside it.
+CHUNK_BYTES, TILE = 8 << 20, 1024
+
+
+def usable_or_zero(vector: str) -> F.Column:
+    """Vectors that are not null or empty and whose components are all finite."""
+    return F.expr(f"coalesce(size({vector}) > 0 and forall({vector}, x -> x is not null and not isnan(x) and abs(x) < double('infinity')), false)")
 
 
 def usable(vector: str) -> F.Column:
-    """Vectors that take part: not null or empty, all components finite, not all zero."""
-    return F.expr(f"coalesce(size({vector}) > 0 and forall({vector}, x -> x is not null and not isnan(x) and abs(x) < double('infinity')) and exists({vector}, x -> x != 0), false)")
+    """Of those, the vectors that have a direction."""
+    return usable_or_zero(vector) & F.expr(f"exists({vector}, x -> x != 0)")
 
 
 def _unit(rows) -> np.ndarray:
     x = np.array(list(rows), np.float64)
+    x = x / np.abs(x).max(axis=1, keepdims=True)  # squares of very large or small components neither overflow nor vanish
     return x / np.sqrt((x * x).sum(axis=1))[:, None]
 
 
@@ -52,7 +58,7 @@ def _homes(batches, pivots: np.ndarray):
             x = _unit(part["embedding"])
             d = _distances(x, pivots)
             home = d.argmin(axis=1)
-            yield pd.DataFrame({"vec_id": part["vec_id"].to_numpy(), "copies": part["copies"].to_numpy(), "unit": [row.tobytes() for row in x], "home": home, "away": d[np.arange(len(d)), home]})
+            yield pd.DataFrame({"class": part["class"].to_numpy(), "copies": part["copies"].to_numpy(), "unit": [row.tobytes() for row in x], "home": home, "away": d[np.arange(len(d)), home]})
 
 
 def _in_reach(part: pd.DataFrame, pivots: np.ndarray, radii: np.ndarray, reach: float) -> np.ndarray:
@@ -84,7 +90,7 @@ def _replicas(batches, pivots: np.ndarray, radii: np.ndarray, chunks: np.ndarray
     for batch in batches:
         for low in range(0, len(batch), TILE):
             part = batch.iloc[low : low + TILE]
-            ids, home = part["vec_id"].to_numpy(np.int64), part["home"].to_numpy(np.int64)
+            ids, home = part["class"].to_numpy(np.int64), part["home"].to_numpy(np.int64)
             salt = (ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)
             row, task, side = [], [], []
             r, c = np.nonzero(_in_reach(part, pivots, radii, reach))
@@ -96,14 +102,14 @@ def _replicas(batches, pivots: np.ndarray, radii: np.ndarray, chunks: np.ndarray
             for i in range(int(sent_chunks[home].max(initial=1))):
                 m = np.flatnonzero(sent_chunks[home] > i)
                 row.append(m), task.append((home[m] << 40) + (h[m] << 20) + i), side.append(np.zeros(len(m), np.int64))
-            out = part[["vec_id", "copies", "unit"]].iloc[np.concatenate(row)].reset_index(drop=True)
+            out = part[["class", "copies", "unit"]].iloc[np.concatenate(row)].reset_index(drop=True)
             yield out.assign(task=np.concatenate(task), side=np.concatenate(side))
 
 
 def _join_chunk(rows: pd.DataFrame, least: float) -> pd.DataFrame:
     """Links of one chunk pair: (a, a, n) counts linked copies of vector a; (a, b, 0) is an edge of the spanning forest."""
     side = rows["side"].to_numpy()
-    ids, copies, x = rows["vec_id"].to_numpy(np.int64), rows["copies"].to_numpy(np.int64), _matrix(rows["unit"])
+    ids, copies, x = rows["class"].to_numpy(np.int64), rows["copies"].to_numpy(np.int64), _matrix(rows["unit"])
     home, sent = np.flatnonzero(side == 0), np.flatnonzero(side > 0)
     names, at = np.unique(ids, return_inverse=True)
     labels, n = np.arange(len(names)), np.zeros(len(names), np.int64)
@@ -126,31 +132,37 @@ def _join_chunk(rows: pd.DataFrame, least: float) -> pd.DataFrame:
     return pd.DataFrame({"a": np.concatenate([names[some], names[moved]]), "b": np.concatenate([names[some], names[labels[moved]]]), "n": np.concatenate([n[some], np.zeros(len(moved), np.int64)])})
 
 
-def embedding_duplicates(embeddings: DataFrame, cosine: float = 0.9, vectors_per_cell: int = 4096, max_pivots: int = 1024, seed: str = "pivots") -> DataFrame:
+def embedding_duplicates(embeddings: DataFrame, cosine: float = 0.9, vectors_per_cell: int = 8192, max_pivots: int = 1024, seed: str = "pivots") -> DataFrame:
     """Groups of ``embeddings`` (vec_id, embedding) linked by cosine similarity >= ``cosine`` in double precision.
 
     Returns one row per input row: vec_id, n_links (other vectors linked directly), component_id (smallest vec_id that links reach, itself
     included), kept (vec_id is its component's id).
 
     Vectors that are null, empty, zero or hold null or non-finite components link with nothing. All vectors that take part must have one
-    length; another length raises. Equal vectors are joined once and count with their multiplicity; rows that repeat a vec_id count as vectors of
-    their own. Rows with a null vec_id are returned with no links and kept. Extra columns are ignored.
+    length; another length raises. Equal vectors are one class, joined once and counted with its multiplicity. Rows that repeat a vec_id are vectors of
+    their own, each with its own links. Rows with a null vec_id are returned with no links and kept. Extra columns are ignored.
 
-    Pivots are the vectors of smallest hash, one for every ``vectors_per_cell`` distinct vectors and ``max_pivots`` at most: a documented bound on
+    Pivots are the vectors of smallest hash, one for every ``vectors_per_cell`` classes and ``max_pivots`` at most: a documented bound on
     what the driver holds (max_pivots x dimension doubles). They only steer the partitioning; the join is exact with any pivots.
     """
     reach = math.sqrt(max(0.0, 2 - 2 * cosine))
-    rows = embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
-    good = rows.where(usable("embedding") & F.col("vec_id").isNotNull())
-    classes = cut(good.groupBy("embedding").agg(F.min("vec_id").alias("vec_id"), F.count("*").alias("copies")))
-    shape = classes.agg(F.count("*"), F.min(F.size("embedding")), F.max(F.size("embedding"))).first()
+    given = embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
+    rows = cut(given.select("vec_id", F.when(usable("embedding") & F.col("vec_id").isNotNull(), F.col("embedding")).alias("embedding"), F.monotonically_increasing_id().alias("row")))
+    good = rows.where("embedding is not null")
+    # a class is known by one of its rows; only vectors of several rows need a join
+    several = cut(good.groupBy("embedding").agg(F.min("row").alias("first"), F.count("*").alias("copies")).where("copies > 1"))
+    shape = good.agg(F.count("*"), F.min(F.size("embedding")), F.max(F.size("embedding"))).first()
     if shape[0] and shape[1] != shape[2]:
         raise ValueError(f"vectors of {shape[1]} and {shape[2]} components")
-    wanted = int(min(max_pivots, max(1, shape[0] // vectors_per_cell)))
-    chosen = classes.select("vec_id", "embedding").orderBy(F.xxhash64("vec_id", F.lit(seed)), "vec_id").limit(wanted).collect()
+    joined_rows = good.join(small_side(several, 16 * (shape[1] or 1) + 64), "embedding", "left").withColumn("class", F.coalesce("first", "row"))
+    members = cut(joined_rows.select("row", "vec_id", "class"))
+    classes = joined_rows.where("class = row").select("class", F.coalesce("copies", F.lit(1)).cast("long").alias("copies"), "embedding")
+    total = members.where("class = row").count()
+    wanted = int(min(max_pivots, max(1, total // vectors_per_cell)))
+    chosen = classes.select("class", "embedding").orderBy(F.xxhash64("embedding", F.lit(seed)), "class").limit(wanted).collect()
     pivots = _unit(r["embedding"] for r in chosen) if chosen else np.zeros((1, 1))
 
-    placed = cut(classes.mapInPandas(partial(_homes, pivots=pivots), "vec_id long, copies long, unit binary, home int, away double"))
+    placed = cut(classes.mapInPandas(partial(_homes, pivots=pivots), "class long, copies long, unit binary, home int, away double"))
     radii, held = np.zeros(len(pivots)), np.zeros(len(pivots), np.int64)
     for r in placed.groupBy("home").agg(F.max("away").alias("radius"), F.count("*").alias("n")).collect():  # a row per pivot
         radii[r["home"]], held[r["home"]] = r["radius"], r["n"]
@@ -158,21 +170,18 @@ def embedding_duplicates(embeddings: DataFrame, cosine: float = 0.9, vectors_per
     sent = np.zeros(len(pivots), np.int64)
     for r in placed.mapInPandas(partial(_reach_counts, pivots=pivots, radii=radii, reach=reach), "home int, sent long").groupBy("home").agg(F.sum("sent").alias("sent")).collect():
         sent[r["home"]] = r["sent"]
-    chunks, sent_chunks = np.maximum(1, -(-held // HOME_CHUNK)), np.maximum(1, -(-sent // SENT_CHUNK))
-    tasks = placed.mapInPandas(partial(_replicas, pivots=pivots, radii=radii, chunks=chunks, sent_chunks=sent_chunks, reach=reach), "vec_id long, copies long, unit binary, task long, side int")
-    joined = cut(
-        tasks.repartition(max(parallelism(rows), int((chunks * sent_chunks).sum())), "task")
-        .groupBy("task")
-        .applyInPandas(lambda part: _join_chunk(part, cosine), "a long, b long, n long")
-    )
-    counts = joined.groupBy(F.col("a").alias("class")).agg(F.sum("n").alias("n"))
-    members = good.join(classes.select("embedding", F.col("vec_id").alias("class")), "embedding").select("vec_id", "class")
-    found = connected_components(joined.select("a", "b").union(members.select("vec_id", "class")), "a", "b")
-    linked = members.join(counts, "class").select("vec_id", (F.col("n") - 1).alias("n_links"))
-    # rows that repeat a vec_id differ in their vectors at most, so links are added up by id and once for each row
-    by_id = linked.groupBy("vec_id").agg(F.max("n_links").alias("n_links"))
+    chunk = max(256, CHUNK_BYTES // (8 * pivots.shape[1]))
+    chunks, sent_chunks = np.maximum(1, -(-held // chunk)), np.maximum(1, -(-sent // chunk))
+    # chunk pairs are groups of bounded size inside as many partitions as the cluster has set
+    tasks = placed.mapInPandas(partial(_replicas, pivots=pivots, radii=radii, chunks=chunks, sent_chunks=sent_chunks, reach=reach), "class long, copies long, unit binary, task long, side int")
+    joined = cut(tasks.groupBy("task").applyInPandas(lambda part: _join_chunk(part, cosine), "a long, b long, n long"))
+    counts = joined.where("n > 0").groupBy(F.col("a").alias("class")).agg(F.sum("n").alias("n"))
+    found = connected_components(joined.where("n = 0"), "a", "b").select(F.col("node").alias("class"), F.col("component").alias("root"))
+    known = cut(members.join(counts, "class", "left").join(found, "class", "left").select("row", "vec_id", F.coalesce(F.col("n") - 1, F.lit(0)).alias("n_links"), F.coalesce("root", "class").alias("root")))
+    names = known.groupBy("root").agg(F.min("vec_id").alias("component_id"))
+    linked = known.join(small_side(names, 64), "root").select("row", "n_links", "component_id")
     return (
-        rows.select("vec_id").join(by_id, "vec_id", "left").join(found.select(F.col("node").alias("vec_id"), F.col("component").alias("component_id")), "vec_id", "left")
+        rows.select("row", "vec_id").join(linked, "row", "left")
         .select("vec_id", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
         .withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
     )

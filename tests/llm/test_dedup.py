@@ -128,6 +128,21 @@ def test_odd_vectors_link_with_nothing(spark):
     assert embedding_duplicates(df.limit(0)).count() == 0
 
 
+def test_repeated_ids_with_other_vectors(spark, monkeypatch):
+    from scholia.llm import embed_dedup
+
+    a, b, c = [1.0, 0.0, 0.0], [0.0, 1.0, 0.0], [0.0, 0.0, 1.0]
+    rows = [(1, a), (2, a), (3, a), (1, b), (4, b), (5, b), (5, b), (6, c), (1, None)]
+    got = sorted((r["vec_id"], r["n_links"], r["component_id"], r["kept"]) for r in embedding_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect())
+    assert got == sorted([(1, 2, 1, True), (2, 2, 1, False), (3, 2, 1, False), (1, 3, 1, True), (4, 3, 1, False), (5, 3, 1, False), (5, 3, 1, False), (6, 0, 6, True), (1, 0, 1, True)])
+    with pytest.raises(ValueError, match="2 and 3 components"):
+        embedding_duplicates(spark.createDataFrame([(1, a), (2, [1.0, 2.0])], "vec_id long, embedding array<double>"))
+    monkeypatch.setattr(embed_dedup, "CHUNK_BYTES", 8 * 16 * 8)  # chunks of the least size
+    huge = [(1, [1e200, 1e199]), (2, [1e200, 1.1e199]), (3, [1e-200, 1e-201]), (4, [1e-200, -1e-200])]
+    found = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in embedding_duplicates(spark.createDataFrame(huge, "vec_id long, embedding array<double>")).collect()}
+    assert found == {1: (2, 1), 2: (2, 1), 3: (2, 1), 4: (0, 4)}
+
+
 def test_components(spark):
     rng = random.Random(8)
     edges = [(rng.randrange(400), rng.randrange(400)) for _ in range(150)] + [(i, i + 1) for i in range(1000, 1100)] + [(5, 5), (None, 3), (7, None)]
