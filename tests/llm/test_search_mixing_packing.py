@@ -28,9 +28,11 @@ def plain_top(rows, k):
     return out
 
 
-@pytest.mark.parametrize("block", [8192, 16])
-def test_top_products_equal_brute_force(spark, monkeypatch, block):
-    monkeypatch.setattr(topk, "BLOCK", block)
+@pytest.mark.parametrize("cell,block,buckets", [(8192, 1024, 256), (16, 4, 256), (4, 3, 5)])
+def test_top_products_equal_brute_force(spark, monkeypatch, cell, block, buckets):
+    monkeypatch.setattr(topk, "CELL", cell)
+    monkeypatch.setattr(topk, "QUERIES", block)
+    monkeypatch.setattr(topk, "BUCKETS", buckets)
     rng = np.random.default_rng(3)
     rows = [(i, [float(np.float32(x)) for x in rng.normal(size=8) * rng.choice([0.1, 1.0, 5.0])]) for i in range(120)] + [(200 + i, [1.0] * 8) for i in range(8)] + [(300, [0.0] * 8), (305, [0.0] * 8)]
     got = defaultdict(list)
@@ -39,6 +41,30 @@ def test_top_products_equal_brute_force(spark, monkeypatch, block):
     assert got == plain_top(rows, 5)
 
 
+def test_many_buckets_are_one_small_plan(spark, monkeypatch):
+    monkeypatch.setattr(topk, "CELL", 2)
+    monkeypatch.setattr(topk, "QUERIES", 40)
+    monkeypatch.setattr(topk, "BUCKETS", 2000)
+    rng = np.random.default_rng(4)
+    lengths = np.exp(rng.normal(size=4000) * 1.5)
+    rows = [(i, [float(x) for x in v / np.linalg.norm(v) * n]) for i, (v, n) in enumerate(zip(rng.normal(size=(4000, 4)), lengths))]
+    asked = F.col("vec_id") % 100 == 0
+    got = defaultdict(list)
+    for r in top_inner_products(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), asked).orderBy("query_id", "rank").collect():
+        got[r["query_id"]].append((r["vec_id"], r["score"]))
+    v = np.floor(256 * np.array([x for _, x in rows])).astype(np.int64)
+    for q in range(0, 4000, 100):
+        scores = v @ v[q]
+        order = [c for c in np.lexsort((np.arange(4000), -scores)).tolist() if c != q][:5]
+        assert got[q] == [(c, int(scores[c])) for c in order]
+
+
+def test_mixed_lengths_raise(spark):
+    rows = spark.createDataFrame([(0, [1.0, 2.0]), (1, [1.0])], "vec_id long, embedding array<double>")
+    with pytest.raises(ValueError, match="1 and 2 components"):
+        top_inner_products(rows, F.col("vec_id") % 5 == 0)
+
+
 def test_odd_vectors_and_large_integers(spark):
     nan = float("nan")
     rows = [(0, [1.0, 2.0], "a"), (1, [None, 1.0], "a"), (2, [nan, 1.0], "a"), (3, None, "a"), (5, [8e6, 8e6], "a"), (6, [8e6, -8e6], None), (None, [9.0, 9.0], "a")]
