@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import ctypes
 import functools
-import gc
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -55,7 +54,6 @@ def parallelism(df: DataFrame) -> int:
 
 def release_memory() -> None:
     """Give freed memory back to the system. Python workers outlive their tasks, and what an idle one holds is missing elsewhere in its executor."""
-    gc.collect()
     pa.default_memory_pool().release_unused()
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
     if trim is not None:

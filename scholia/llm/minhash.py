@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, parallelism, small_side, stored, trimmed
+from .common import cut, small_side, stored, trimmed
 from .graph import connected_components, unite
 
 #: Classes in one block of a candidate group, and values of all its sets on average; a task holds two blocks at a time.
@@ -221,6 +221,23 @@ def _sketch_links(rows: pd.DataFrame, percent: int, k: int, overlap: int) -> pd.
     return _forest(ids, np.concatenate(a), np.concatenate(b))
 
 
+@trimmed
+def _passing(batches, percent: int, k: int, overlap: int):
+    """Pairs whose sketches pass: full ones by the estimate; if both are whole sets they are compared as such."""
+    for batch in batches:
+        na, nb = batch["n_a"].to_numpy(np.int64), batch["n_b"].to_numpy(np.int64)
+        passed = np.zeros(len(batch), bool)
+        full = np.flatnonzero((na > k) & (nb > k))
+        for low in range(0, len(full), 4096):
+            at = full[low : low + 4096]
+            passed[at] = _estimated([batch["sketch_a"].iloc[i] for i in at], [batch["sketch_b"].iloc[i] for i in at], k, overlap)
+        for i in np.flatnonzero((na <= k) | (nb <= k)):
+            shared = len(np.intersect1d(batch["sketch_a"].iloc[i], batch["sketch_b"].iloc[i], assume_unique=True))
+            whole = na[i] <= k and nb[i] <= k
+            passed[i] = 100 * shared >= percent * (na[i] + nb[i] - shared) if whole else shared >= min(overlap, math.ceil(percent / 100 * min(na[i], nb[i])))
+        yield batch.loc[passed, ["a", "b"]]
+
+
 @trimmed
 def _compare_blocks(batches, decide):
     """Walk a task's rows, sorted by block pair, and compare each block pair once its rows are complete."""
@@ -239,7 +256,7 @@ def _compare_blocks(batches, decide):
 
 def _compared(rows: DataFrame, decide) -> DataFrame:
     """(u, v, main) from rows (pair, side, rep, n_shingles, values), each pair of blocks in one place."""
-    dealt = rows.select("pair", "side", "rep", "n_shingles", "values").repartition(parallelism(rows), "pair").sortWithinPartitions("pair")
+    dealt = rows.select("pair", "side", "rep", "n_shingles", "values").repartition("pair").sortWithinPartitions("pair")
     return dealt.mapInPandas(partial(_compare_blocks, decide=decide), "u long, v long, main boolean")
 
 
@@ -272,17 +289,10 @@ def _candidate_groups(classes: DataFrame, k: int, indexed: int, percent: int) ->
     anchored = long_lists.where("rep != anchor").select(F.col("rep").alias("a"), F.col("anchor").alias("b"))
 
     def side(name: str) -> DataFrame:
-        return classes.select(F.col("rep").alias(name), F.col("n_shingles").alias(f"n{name}"), F.col("sketch").alias(f"s{name}"))
-
-    # full sketches: of the k smallest values of the union, how many lie in both; if a sketch is a whole set it is compared as one
-    cutoff = F.expr(f"element_at(slice(sort_array(array_union(sa, sb)), 1, {k}), -1)")
-    passed = F.expr(
-        f"case when na <= {k} and nb <= {k} then 100 * size(both) >= {percent} * (na + nb - size(both))"
-        f" when na < {k} or nb < {k} then size(both) >= least({overlap}, ceil({similarity} * least(na, nb)))"
-        f" else size(filter(both, x -> x <= cutoff)) >= {overlap} end"
-    )
-    met = pairs.union(anchored).distinct().join(side("a"), "a").join(side("b"), "b").withColumn("both", F.array_intersect("sa", "sb")).where(F.size("both") > 0)
-    estimated = cut(met.withColumn("cutoff", cutoff).where(passed).select("a", "b"))
+        return classes.select(F.col("rep").alias(name), F.col("n_shingles").alias(f"n_{name}"), F.col("sketch").alias(f"sketch_{name}"))
+
+    met = pairs.union(anchored).distinct().join(side("a"), "a").join(side("b"), "b")
+    estimated = cut(met.mapInPandas(partial(_passing, percent=percent, k=k, overlap=overlap), "a long, b long"))
 
     # the rest of a long list: members that don't pass with its anchor
     rest = cut(long_lists.where("rep != anchor").join(estimated.select(F.col("a").alias("rep"), F.col("b").alias("anchor")), ["rep", "anchor"], "left_anti").select("value", "rep", "n_shingles"))
