@@ -6,7 +6,6 @@ each; inside a family every pair of languages has its own SVM and the languages
 
 from __future__ import annotations
 
-import re
 from functools import partial
 
 import numpy as np
@@ -32,7 +31,8 @@ FAMILIES = {
 }
 _FAMILY_OF = {code: family for family, codes in FAMILIES.items() for code in codes}
 
-_LETTER = re.compile(r"[^\W\d_]")
+#: A letter, for training and prediction alike: only texts that hold one have a language.
+LETTER = r"\p{L}"
 # bytes that stay: a-z and all bytes of longer UTF-8 sequences
 _KEPT = np.array([97 <= b <= 122 or b >= 128 for b in range(256)])
 
@@ -132,11 +132,10 @@ def _predictions(batches, model: Model):
     for batch in batches:
         for low in range(0, len(batch), _CHUNK):
             part = batch.iloc[low : low + _CHUNK]
-            texts = [t if isinstance(t, str) and _LETTER.search(t) else None for t in part["text"]]
-            known = np.array([t is not None for t in texts], bool)
+            known = part["lettered"].to_numpy(bool)
             names, scores = np.full(len(part), "und", object), np.zeros(len(part))
             if known.any():
-                names[known], scores[known] = model.predict(trigram_features([t for t in texts if t is not None]))
+                names[known], scores[known] = model.predict(trigram_features(list(part["text"][known])))
             yield part[["doc_id", "held_out"]].assign(lang_pred=names, score=scores)
 
 
@@ -147,7 +146,7 @@ def train(labelled: DataFrame, documents_in_all: int = 1200) -> Model:
     share = max(2, documents_in_all // max(1, len(totals)))
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id", F.lit("sample")), "doc_id")
     # narrow rows are ranked, and of a large language only about twice as many as are wanted
-    likely = rows.where(likely_sampled(F.col("lang"), totals, share)).where(F.col("text").rlike("\\p{L}"))
+    likely = rows.where(likely_sampled(F.col("lang"), totals, share)).where(F.col("text").rlike(LETTER))
     picked = likely.select("doc_id", "lang").withColumn("n", F.row_number().over(order)).where(F.col("n") <= share).select("doc_id", "lang").distinct()
     sample = rows.join(F.broadcast(picked), ["doc_id", "lang"], "left_semi")  # at most documents_in_all narrow rows
     found = sample.select("lang", "text").mapInPandas(_sampled_features, "lang string, x binary").limit(2 * documents_in_all).collect()
@@ -168,4 +167,5 @@ def identify_languages(documents: DataFrame, held_out: F.Column, documents_in_al
     model = train(rows.where(~F.col("held_out")), documents_in_all)
     release_memory()  # of the sample, on the driver
     kind = dict(documents.dtypes)["doc_id"]
-    return rows.select("doc_id", "text", "held_out").mapInPandas(partial(_predictions, model=model), f"doc_id {kind}, held_out boolean, lang_pred string, score double")
+    lettered = F.coalesce(F.col("text").rlike(LETTER), F.lit(False)).alias("lettered")
+    return rows.select("doc_id", "text", "held_out", lettered).mapInPandas(partial(_predictions, model=model), f"doc_id {kind}, held_out boolean, lang_pred string, score double")
