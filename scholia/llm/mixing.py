@@ -70,14 +70,14 @@ def mix_sources(
 
     ``levels`` names the tree's levels from the top with the columns that place a document; ``tokens`` is a document's size (null or negative: 0). The budget is
     ``budget`` tokens, or ``budget_share`` of all tokens. Returns a row for every document and epoch in which it is taken: the columns named in ``keep``,
-    the levels, epoch (from 0), n_tokens, and leaf_quota.
+    the levels, epoch (from 0), n_tokens, and leaf_quota. Where a kept column has such a name, the level is called ``<name>_level`` and the others ``taken_<name>``.
 
     A leaf's document is taken in an epoch if the tokens before it in that epoch's order lie below what the leaf still owes, so a leaf exceeds its quota by less than one
     document. Null levels are a leaf of their own. Documents without tokens cost nothing and are taken wherever their place in the order lies below the quota; repeated rows
     are documents of their own, and their order among themselves doesn't matter, as they are equal. A leaf whose documents all have no tokens has no quota and gives none. An empty table or a budget of 0 gives no rows.
     """
     names = list(levels)
-    placed = documents.select(*keep, *[F.coalesce(c.cast("string"), F.lit(NULL)).alias(f"_{n}") for n, c in levels.items()], F.greatest(F.lit(0), F.coalesce(tokens, F.lit(0))).cast("long").alias("n_tokens"), F.xxhash64(*[F.col(c) for c in keep], F.lit(seed)).alias("_key"))
+    placed = documents.select(F.struct(*keep).alias("_kept"), *[F.coalesce(c.cast("string"), F.lit(NULL)).alias(f"_{n}") for n, c in levels.items()], F.greatest(F.lit(0), F.coalesce(tokens, F.lit(0))).cast("long").alias("n_tokens"), F.xxhash64(*[F.col(c) for c in keep], F.lit(seed)).alias("_key"))
     own = [f"_{n}" for n in names]
     leaves = cut(placed.groupBy(*own).agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("rows")))
     total = leaves.agg(F.sum("tokens")).first()[0] or 0
@@ -97,7 +97,8 @@ def mix_sources(
     starts = sums.withColumn("before", F.coalesce(F.sum("in_bucket").over(ahead), F.lit(0)))
     located = part.join(F.broadcast(starts) if few_buckets else starts, [*own, "epoch", "bucket"])
     shown = [F.when(F.col(f"_{n}") != NULL, F.col(f"_{n}")).alias(n if n not in keep else f"{n}_level") for n in names]
-    out = [*keep, *shown, "epoch", "n_tokens", F.col("quota").alias("leaf_quota")]
+    own_names = [F.col(c).alias(n if n not in keep else f"taken_{n}") for c, n in (("epoch", "epoch"), ("n_tokens", "n_tokens"), ("quota", "leaf_quota"))]
+    out = [*[F.col("_kept")[c].alias(c) for c in keep], *shown, *own_names]
     inside = located.where("before + in_bucket <= owed")  # buckets that end below the quota need no order inside
     inner = Window.partitionBy(*own, "epoch", "bucket").orderBy("order", "n_tokens").rowsBetween(Window.unboundedPreceding, -1)
     edge = located.where("before < owed and before + in_bucket > owed").withColumn("at", F.col("before") + F.coalesce(F.sum("n_tokens").over(inner), F.lit(0))).where("at < owed")

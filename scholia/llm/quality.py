@@ -148,5 +148,5 @@ def grade_documents(documents: DataFrame, ratings: DataFrame, grade_count: int =
     """
     model = train(documents, ratings, grade_count, documents_per_grade)
     release_memory()  # of the sample, on the driver
-    rows = documents.select(*dict.fromkeys([*keep, "text"])).withColumn("_graded", _grader(model)(F.col("text")))
-    return rows.select(*keep, "_graded.expected_grade", "_graded.tail_probability")
+    graded = documents.select(F.struct(*keep).alias("kept"), _grader(model)(F.col("text")).alias("graded"))
+    return graded.select("kept.*", "graded.expected_grade", "graded.tail_probability")

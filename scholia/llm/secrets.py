@@ -182,10 +182,11 @@ def scan_secrets(documents: DataFrame, fdr: float = 0.1, least_run: int = 20, ke
     repeated rows get equal results, and extra columns pass through only if kept. The scan runs twice where texts are kept (once for the
     histogram), else its per-row result is materialised once.
     """
-    text = F.coalesce(F.col("text"), F.lit(""))
+    text = F.coalesce(F.col("_text"), F.lit(""))
     texts = "text" in keep
-    scanned = _scanned(documents.select(*dict.fromkeys([*keep, "text"])), text, least_run)
-    scanned = scanned if texts else cut(scanned.select(*keep, *[F.transform(c, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))).alias(c) for c in ("_assign", "_access", "_hex")], "_runs"))
+    held = [f"_kept{i}" for i in range(len(keep))]  # kept columns can have any names
+    scanned = _scanned(documents.select(*[F.col(c).alias(h) for c, h in zip(keep, held)], F.col("text").alias("_text")), text, least_run)
+    scanned = scanned if texts else cut(scanned.select(*held, *[F.transform(c, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))).alias(c) for c in ("_assign", "_access", "_hex")], "_runs"))
     thresholds = random_run_thresholds(scanned, fdr)
     if thresholds:
         lowest = F.create_map(*[x for k, v in sorted(thresholds.items()) for x in (F.lit(k), F.lit(v))])
@@ -199,7 +200,7 @@ def scan_secrets(documents: DataFrame, fdr: float = 0.1, least_run: int = 20, ke
 
     parts = [ranked(spans, kind) for kind, spans in enumerate((F.col("_assign"), F.col("_access"), F.col("_hex"), accepted))]
     names = F.array(*map(F.lit, KINDS))
-    return scanned.select(*keep, F.transform(F.array_sort(F.concat(*parts)), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.element_at(names, s["rank"] + 1).alias("kind"))).alias("secrets"))
+    return scanned.select(*[F.col(h).alias(c) for c, h in zip(keep, held)], F.transform(F.array_sort(F.concat(*parts)), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.element_at(names, s["rank"] + 1).alias("kind"))).alias("secrets"))
 
 
 def redact(text: Column, secrets: Column, mark: str = "[SECRET]") -> Column:
