@@ -250,3 +250,39 @@ def test_url_lists_hold_from_their_entry_to_their_removal(spark):
     for r in got:
         assert r["lists"] == cases[r["page_id"]][2] and r["kept"] == (not r["lists"]), r
     assert filter_urls(captures.limit(0), entries).count() == 0 and filter_urls(captures, entries.limit(0)).where("kept").count() == len(got)
+
+
+def test_a_leaf_takes_the_prefix_of_its_seeded_order(spark, documents, monkeypatch):
+    from scholia.llm import mixing
+
+    monkeypatch.setattr(mixing, "BUCKET", 16)
+    parameters = mixing_parameters(spark) | {"budget_share": 0.7, "seed": 11}
+    mixed = mix_sources(documents, **parameters).collect()
+    levels = parameters["levels"]
+    key = F.xxhash64("doc_id", F.lit(11))
+    rows = documents.select("doc_id", parameters["tokens"].cast("long").alias("n"), *[c.cast("string").alias(n) for n, c in levels.items()], *[F.xxhash64(key, F.lit(e), F.lit(11)).alias(f"order{e}") for e in (0, 1)]).collect()
+    leaves, taken, quota = defaultdict(list), defaultdict(list), {}
+    for r in rows:
+        leaves[tuple(r[n] for n in levels)].append(r)
+    for r in mixed:
+        leaf = tuple(r[n] for n in levels)
+        quota[leaf] = r["leaf_quota"]
+        taken[leaf].append((r["epoch"], r["doc_id"]))
+    for leaf, members in leaves.items():
+        total, want, left = sum(r["n"] or 0 for r in members), [], quota.get(leaf, 0)
+        buckets = -(-len(members) // 16)
+        for epoch in (0, 1):
+            before = 0
+            for r in sorted(members, key=lambda r: (((r[f"order{epoch}"] % (1 << 64)) >> 40) % buckets, r[f"order{epoch}"])):
+                if before < left:
+                    want.append((epoch, r["doc_id"]))
+                before += r["n"] or 0
+            left -= total
+        assert sorted(taken[leaf]) == sorted(want)
+
+
+def test_mixing_keeps_columns_of_any_name(spark, documents):
+    odd = documents.select("doc_id", "text", "lang", "source", *[F.lit(i).alias(n) for i, n in enumerate(["n_tokens", "epoch", "quota", "bucket", "order", "_key", "leaf_quota"])])
+    got = mix_sources(odd, **mixing_parameters(spark), keep=tuple(odd.columns))
+    assert got.select("n_tokens", "epoch", "quota", "bucket", "order", "_key", "leaf_quota").distinct().collect() == [(0, 1, 2, 3, 4, 5, 6)]
+    assert {"taken_n_tokens", "taken_epoch", "taken_leaf_quota", "lang_level"} <= set(got.columns)

@@ -2,15 +2,20 @@
 
 import hashlib
 import html as entities
+import itertools
+import math
 import random
 import re
 import string
+import unicodedata
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from scholia.llm import html as H
+from scholia.llm import langid as L
+from scholia.llm import quality as Q
 from scholia.llm import secrets as S
 from scholia.llm.langid import identify_languages
 from scholia.llm.quality import grade_documents
@@ -233,3 +238,115 @@ def test_empty_pipeline(spark, tmp_path, sf_dir):
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_queries_run(spark, sf_dir, name):
     assert QUERIES[name](spark, sf_dir).count() > 0
+
+
+def test_letters_decide_what_has_a_language(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text", "lang")
+    odd = [(10**6 + i, t, None) for i, t in enumerate(["½ ² ①", "1 2 3 !?", "٣٤", "ª", "日本", "ǅ", "ʰ", "_", "Ⅷ"])]
+    got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in identify_languages(docs.union(spark.createDataFrame(odd, "doc_id long, text string, lang string")), held_out()).collect()}
+    for i, text, _ in odd:
+        assert (got[i] == ("und", 0.0)) == (not any(unicodedata.category(c).startswith("L") for c in text)), text
+
+
+def test_votes_equal_plain_votes():
+    rng = np.random.default_rng(3)
+    languages = np.array(["en", "de", "nl", "fr", "es", "xx"] * 20, object)
+    x = rng.normal(size=(120, L.DIMENSIONS)).astype(np.float32) * 0.1
+    x[np.arange(120), np.arange(120) % 6] += 1
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    model = L.Model(x, languages)
+    asked = (x + rng.normal(size=x.shape) * 0.02).astype(np.float32)
+    names, scores = model.predict(asked)
+    for v, name, score in zip(asked, names, scores):
+        margins = [float(v @ w[:-1] + w[-1]) for w in model.between]
+        kin = max(range(len(margins)), key=lambda i: margins[i])
+        members = model.members[model.families[kin]]
+        votes = {a: [0, 0.0, math.inf] for a in members}
+        for a, b in itertools.combinations(members, 2):
+            m = float(v @ model.pairs[a, b][:-1] + model.pairs[a, b][-1])
+            for who, signed in ((a, m), (b, -m)):
+                votes[who] = [votes[who][0] + (signed > 0), votes[who][1] + signed, min(votes[who][2], signed)]
+        best = max(members, key=lambda a: (votes[a][0], votes[a][1]))
+        second = sorted(margins)[-2]
+        want = 1 / (1 + math.exp(-2 * (margins[kin] - second))) / (1 + math.exp(-4 * votes[best][2]))
+        assert name == best and abs(score - want) < 1e-4
+
+
+def test_the_svm_is_at_its_optimum():
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(80, 6)).astype(np.float32)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    positive = x[:, 0] + 0.5 * x[:, 1] + 0.2 * rng.normal(size=80) > 0.1
+
+    def loss(w):
+        total = 0.0
+        for row, p in zip(x.astype(float), positive):
+            y = 1 if p else -1
+            total += max(0.0, 1 - y * (row @ w[:-1] + w[-1])) ** 2 * 0.5 / (positive.sum() if p else (~positive).sum())
+        return total + 1e-3 / 2 * float(w @ w)
+
+    w = L.linear_svm(x, positive, rounds=400).astype(float)
+    assert all(loss(w + d) >= loss(w) - 1e-5 for d in rng.normal(size=(200, 7)) * np.exp(rng.uniform(-6, 0, (200, 1))))
+
+
+def test_the_regression_is_at_its_optimum():
+    """Against the penalised likelihood of the cumulative-link model, row by row."""
+    rng = random.Random(6)
+    words = {0: "awful broken spam hate".split(), 1: "plain middling fair some".split(), 2: "lucid careful sound deep".split()}
+    grades = np.array([rng.choice([0, 1, 1, 2, 2, 2]) for _ in range(90)])
+    texts = [" ".join(rng.choice(words[g] if rng.random() < 0.7 else words[rng.randrange(3)]) for _ in range(5)) for g in grades]
+    rows, weights, penalty = [Q.features(t) for t in texts], np.array([1.0 + (g == 0) for g in grades]), 5e-3
+    model = Q.Model(rows, grades, weights, 3, penalty=penalty, rounds=1500)
+    seen = np.bincount(np.concatenate([i for i, _ in rows]), minlength=Q.DIMENSIONS)
+    assert (np.flatnonzero(model.weights) <= np.flatnonzero(seen >= 3).max()).all() and not model.weights[seen < 3].any()
+
+    def at_most(threshold, score):
+        return 1 / (1 + math.exp(score - threshold))
+
+    def loss(w, cuts):
+        total = 0.0
+        for (index, values), g, weight in zip(rows, grades, weights / weights.sum()):
+            score = sum(float(w[i]) * float(v) for i, v in zip(index, values))
+            p = (1.0 if g == 2 else at_most(cuts[g], score)) - (0.0 if g == 0 else at_most(cuts[g - 1], score))
+            total -= weight * math.log(p)
+        return total + penalty / 2 * float((w.astype(float) ** 2).sum())
+
+    least = loss(model.weights, model.thresholds)
+    used, step = np.flatnonzero(seen >= 3), np.random.default_rng(7)
+    assert model.thresholds[0] < model.thresholds[1] and least < loss(np.zeros(Q.DIMENSIONS), np.array([-1.0, 0.0]))
+    for size in (1e-2, 1e-1, 1):
+        for _ in range(15):
+            w = model.weights.copy()
+            w[used] += step.normal(size=len(used)) * size / math.sqrt(len(used))
+            assert loss(w, model.thresholds + step.normal(size=2) * size * 0.1) >= least - 1e-4
+    for text, (index, values) in list(zip(texts, rows))[:20]:
+        above = [1 - at_most(c, float(model.weights[index] @ values)) for c in model.thresholds]
+        expected, tail = model.predict(text)
+        assert abs(expected - sum(above)) < 1e-6 and abs(tail - above[1]) < 1e-6
+
+
+def test_thresholds_of_random_runs_equal_a_plain_rule(spark):
+    rng = random.Random(8)
+    runs = [(rng.choice(["a:1", "b:2", "c:1"]), min(S.BINS - 1, int(S.BINS * rng.random() ** rng.choice([1, 1, 0.3])))) for _ in range(4000)]
+    df = spark.createDataFrame([([(0, 9, s, b) for s, b in runs[i : i + 7]],) for i in range(0, 4000, 7)], "_runs array<struct<start:int,end:int,stratum:string,bin:int>>")
+    for fdr in (0.05, 0.1, 0.5):
+        want = {}
+        for stratum in "a:1", "b:2", "c:1":
+            bins = [b for s, b in runs if s == stratum]
+            null = 2 * sum(b >= S.BINS // 2 for b in bins)  # runs of words fill the lower bins, random ones all alike
+            for low in range(S.BINS):
+                above = sum(b >= low for b in bins)
+                if above and above - null * (1 - low / S.BINS) <= fdr * above:
+                    want[stratum] = low
+                    break
+        assert S.random_run_thresholds(df, fdr) == want
+
+
+def test_kept_columns_can_have_any_name(spark):
+    row = (1, "some text token=abcdefghijkl", 5, 6, 7, 8, "x")
+    names = ["_graded", "_assign", "_runs", "kept", "_text"]
+    df = spark.createDataFrame([row], "doc_id long, text string, _graded int, _assign int, _runs int, kept int, _text string")
+    got = S.scan_secrets(df, keep=tuple(df.columns)).first()
+    assert tuple(got[: len(row)]) == row and len(got["secrets"]) == 1
+    graded = grade_documents(df, spark.createDataFrame([(1, 2)], "doc_id long, grade int"), keep=("doc_id", *names)).first()
+    assert [graded[n] for n in names] == list(row[2:])
