@@ -111,7 +111,7 @@ def retrieve_figures(figures: DataFrame, hits: DataFrame, limit: int = 6) -> Dat
     found = figures_for_pages(figures.select("book_id", "number", "caption", "page", "bbox"), hits.select("query_id", "book_id", "rank", "page_start", "page_end"))
     first = found.groupBy("query_id", "book_id", "number").agg(F.min_by(F.struct("caption", "page", "bbox"), F.struct("rank", "page")).alias("f"), F.min(F.struct("rank", "page")).alias("seen"))
     sized = first.withColumn("area", figure_area(F.col("f.bbox")))
-    order = Window.partitionBy("query_id").orderBy(F.col("area").desc(), "seen", "number")
+    order = Window.partitionBy("query_id").orderBy(F.col("area").desc(), "seen", "number", "book_id")
     return sized.withColumn("figure_rank", F.row_number().over(order)).where(F.col("figure_rank") <= limit).select("query_id", "book_id", "number", "f.caption", "f.page", "f.bbox", "area", "figure_rank")
 
 

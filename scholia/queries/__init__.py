@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import corpus, estimates, jobs, maintenance, retrieval, structure
+from . import corpus, estimates, jobs, layouts, maintenance, retrieval, structure
 
-_MODULES = (corpus, structure, retrieval, maintenance, estimates, jobs)
+_MODULES = (corpus, structure, layouts, retrieval, maintenance, estimates, jobs)
 
 QUERIES = {name: query for module in _MODULES for name, query in module.QUERIES.items()}
 ORACLE_SQL = {name: sql for module in _MODULES for name, sql in module.ORACLE_SQL.items()}
