@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from scholia.operators import library as L
 
@@ -81,9 +82,61 @@ def public_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.public_documents(d, _courses(spark, sf_dir)).select("id", "course_id", "course_name", "pdf_path")
 
 
+def course_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Half the customers are known courses; the rest arrive, some with blank names; then names and notes are patched."""
+    c = _courses(spark, sf_dir).withColumn("note", F.lit("n"))
+    arriving = c.where("id % 2 = 1").withColumn("name", F.when(F.col("id") % 7 == 0, " ").otherwise(F.concat(F.lit("  "), "name", F.lit(" "))))
+    kept, rejected = L.append_courses(c.where("id % 2 = 0"), arriving)
+    patches = c.where("id % 3 = 0").select("id", F.when(F.col("id") % 6 == 0, "renamed").alias("name"), F.lit("patched").alias("note"))
+    return L.patch_courses(kept, patches).withColumn("error", F.lit("")).unionByName(rejected.select("id", "name", "note", "error"))
+
+
+def public_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = _documents(spark, sf_dir).select("id", "is_public")
+    flags = d.where("id % 5 = 0").select("id", F.lit(True).alias("is_public")).union(d.where("id % 1000 = 1").select(-F.col("id"), F.lit(True)))
+    patched, unknown = L.patch_flags(d, flags)
+    return patched.withColumn("known", F.lit(True)).unionByName(unknown.select("id", F.lit(None).cast("boolean").alias("is_public"), F.lit(False).alias("known")))
+
+
+def newest_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 25 newest documents, and in each course its newest one."""
+    d = _documents(spark, sf_dir).select("id", "course_id", "created_at")
+    top = L.listed(d, 25).select("id", F.lit("recent").alias("list"))
+    return top.union(L.newest(d, ["course_id"], "created_at", "id").select("id", F.lit("of its course")))
+
+
+def document_deletion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.col("id").cast("string")
+    d = _documents(spark, sf_dir).select("id", F.concat(text, F.lit(".pdf")).alias("pdf_path"), F.when(F.col("id") % 2 == 0, F.concat(text, F.lit(".md"))).alias("md_path"), F.lit(None).cast("string").alias("doc_path"), F.when(F.col("id") % 3 == 0, F.concat(text, F.lit(".html"))).alias("html_path"))
+    sections = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("document_id"), "l_linenumber")
+    kept, rows, paths = L.delete_documents(d, sections, d.where("id % 4 = 1").select("id"))
+    return kept.select(F.lit("document").alias("what"), F.col("id").cast("string").alias("value")).union(rows.groupBy("document_id").count().select(F.lit("search rows"), F.concat_ws(":", F.col("document_id").cast("string"), F.col("count").cast("string")))).union(paths.select(F.lit("path"), "path"))
+
+
+def evolved_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Old rows without the later columns, brought to the schema twice."""
+    schema = T.StructType([T.StructField("id", T.LongType()), T.StructField("kind", T.StringType()), T.StructField("duration", T.DoubleType()), T.StructField("is_public", T.BooleanType())])
+    old = _documents(spark, sf_dir).select(F.col("id").cast("string").alias("id"), "is_public", "price")
+    defaults = {"kind": "note", "duration": 0.0}
+    return L.evolve_schema(L.evolve_schema(old, schema, defaults), schema, defaults)
+
+
+def request_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as requests for materials and options."""
+    m = _materials(spark, sf_dir)
+    wanted = m.select((F.col("id") * 10).alias("request_id"), F.when(F.col("id") % 5 == 0, F.col("course_id") + 1).otherwise(F.col("course_id")).alias("course_id"), F.when(F.col("id") % 7 == 0, "exam").otherwise(F.col("kind")).alias("kind"), F.when(F.col("id") % 11 == 0, -F.col("id")).otherwise(F.col("id")).alias("material_id"))
+    owned = L.ownership_errors(wanted, m, m.where("sha < 'e'").select("sha"))
+    i = F.col("request_id") / 10
+    asked = owned.select(
+        "request_id", "error", F.when(i % 4 == 0, "other").otherwise("api").alias("backend"), F.when(i % 3 == 0, "deepest").otherwise("deep").alias("depth"), F.when(i % 5 == 0, F.array(F.lit("quiz"), F.lit("song"))).otherwise(F.array(F.lit("quiz"))).alias("extras"), (i % 50).cast("int").alias("count")
+    )
+    return L.option_errors(asked, ("api", "cli"), ("summary", "deep"), ("quiz",)).select("request_id", F.coalesce("error", F.lit("")).alias("error"), F.array_join("errors", "; ").alias("errors"))
+
+
 QUERIES = {
     "course_counts": course_counts, "material_dedup": material_dedup, "blob_gc": blob_gc, "upsert_preserve_flag": upsert_preserve_flag, "replace_by_key": replace_by_key,
     "cascade_delete": cascade_delete, "set_null_delete": set_null_delete, "material_usage_or": material_usage_or, "public_documents": public_documents,
+    "course_changes": course_changes, "public_flags": public_flags, "newest_documents": newest_documents, "document_deletion": document_deletion, "evolved_documents": evolved_documents, "request_errors": request_errors,
 }
 
 _M = "m as (select o_orderkey as id, o_custkey as course_id, case o_orderkey % 3 when 0 then 'lecture' when 1 then 'book' else 'exam' end as kind, md5(cast(o_orderkey % 5000 as varchar)) as sha from orders)"
@@ -123,4 +176,24 @@ with u as (select l_partkey as k from lineitem union all select l_suppkey from l
 select p_partkey as id, coalesce(n, 0) as uses from part left join c on p_partkey = k
 """,
     "public_documents": f"with {_D} select d.id, d.course_id, c_name as course_name, cast(d.id as varchar) || '.pdf' as pdf_path from d join customer on c_custkey = course_id where is_public and d.id % 2 = 0",
+    "course_changes": """
+with c as (select c_custkey as id, case when c_custkey % 2 = 1 and c_custkey % 7 = 0 then '' else c_name end as name, c_custkey % 2 = 1 and c_custkey % 7 = 0 as bad from customer)
+select id, case when not bad and id % 6 = 0 then 'renamed' else name end as name, case when not bad and id % 3 = 0 then 'patched' else 'n' end as note, case when bad then 'empty name' else '' end as error from c
+""",
+    "public_flags": f"with {_D} select id, is_public or id % 5 = 0 as is_public, true as known from d union all select -id, null, false from d where id % 1000 = 1",
+    "newest_documents": """
+select id, 'recent' as list from (select o_orderkey as id from orders order by o_orderdate desc, o_orderkey limit 25)
+union all select id, 'of its course' from (select o_orderkey as id, row_number() over (partition by o_custkey order by o_orderdate desc, o_orderkey desc) as n from orders) where n = 1
+""",
+    "document_deletion": """
+select 'document' as what, cast(o_orderkey as varchar) as value from orders where o_orderkey % 4 <> 1
+union all select 'search rows', l_orderkey || ':' || count(*) from lineitem where l_orderkey not in (select o_orderkey from orders where o_orderkey % 4 = 1) group by l_orderkey
+union all select 'path', o_orderkey || '.pdf' from orders where o_orderkey % 4 = 1 union all select 'path', o_orderkey || '.md' from orders where o_orderkey % 4 = 1 and o_orderkey % 2 = 0 union all select 'path', o_orderkey || '.html' from orders where o_orderkey % 4 = 1 and o_orderkey % 3 = 0
+""",
+    "evolved_documents": f"with {_D} select id, 'note' as kind, cast(0 as double) as duration, is_public from d",
+    "request_errors": f"""
+with {_M}, w as (select id, course_id, kind, sha, case when id % 5 = 0 then course_id + 1 else course_id end as wanted_course, case when id % 7 = 0 then 'exam' else kind end as wanted_kind from m)
+select id * 10 as request_id, case when id % 11 = 0 and id > 0 then 'unknown material' when wanted_kind <> kind then 'wrong kind' when wanted_course <> course_id then 'other course' when sha >= 'e' then 'file missing' else '' end as error,
+    concat_ws('; ', case when id % 4 = 0 then 'backend other' end, case when id % 3 = 0 then 'depth deepest' end, case when id % 50 > 40 then 'count ' || id % 50 end, case when id % 5 = 0 then 'extra song' end) as errors from w
+""",
 }

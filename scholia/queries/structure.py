@@ -94,20 +94,8 @@ def _long(rest: str) -> str:
     return f"with {PAGES_SQL}, {_LONG}, {_DIVIDERS}, {_BUILT} {rest}"
 
 
-ORACLE_SQL = {
-    "outline_ranges": f"with {OUTLINE_SQL} select book_id, ordinal, title, level, page_start, page_end from ranges",
-    "page_section_map": f"with {OUTLINE_SQL}, {_MAP} select book_id, cast(page_no as integer) as page_no, title from pmap",
-    "section_runs": f"""
-with {OUTLINE_SQL}, {_MAP},
-j as (select p.book_id, p.page_no, m.title, f.title as first_title from pages p left join pmap m on p.book_id = m.book_id and p.page_no = m.page_no left join pmap f on p.book_id = f.book_id and f.page_no = 1 where p.text <> ''),
-g as (select *, count(title) over (partition by book_id order by page_no) as grp from j),
-s as (select book_id, page_no, coalesce(max(title) over (partition by book_id, grp), first_title, '') as section_title from g),
-l as (select *, lag(section_title) over (partition by book_id order by page_no) as before from s)
-select book_id, page_no, section_title, cast(sum(case when before is not null and before <> section_title then 1 else 0 end) over (partition by book_id order by page_no) as integer) as run_id from l
-""",
-    # a recursive walk over each run's pages: the row of a page holds the open text after it and the chunk that it closed
-    "chunk_pages": rf"""
-with recursive {OUTLINE_SQL}, {_MAP},
+#: Chunks of all books: a recursive walk over each run's pages, in which the row of a page holds the open text after it and the chunk that it closed.
+CHUNKS_SQL = rf"""{OUTLINE_SQL}, {_MAP},
 normal as (select book_id, page_no, {NORMALIZED.format("text")} as t from pages),
 clean as (select book_id, page_no, {SCRUBBED.format("t")} as text from normal),
 j as (select p.book_id, p.page_no, p.text, m.title, f.title as first_title from clean p left join pmap m on p.book_id = m.book_id and p.page_no = m.page_no left join pmap f on p.book_id = f.book_id and f.page_no = 1 where p.text <> ''),
@@ -134,10 +122,23 @@ made as (
     select book_id, run_id, k as seq, made as text, made_from as page_start, made_to as page_end from walk where made is not null
     union all
     select t.book_id, t.run_id, t.k + 1, t.tidy, t.since, coalesce(e.ends, c.page_count) from last t join e on e.book_id = t.book_id and e.run_id = t.run_id join counts c on c.book_id = t.book_id where length(t.tidy) >= 200
-), numbered as (select m.*, e.section_title, cast(row_number() over (partition by m.book_id order by m.run_id, m.seq) - 1 as integer) as chunk_no from made m join e on e.book_id = m.book_id and e.run_id = m.run_id)
-select book_id, 'c' || lpad(cast(chunk_no as varchar), 5, '0') as chunk_id, chunk_no, text, section_title, cast(page_start as integer) as page_start, cast(page_end as integer) as page_end, cast(floor(length(text) / 3.5) as integer) as token_estimate,
-    section_title || ', p. ' || case when page_start = page_end then cast(page_start as varchar) else page_start || '-' || page_end end as citation from numbered
+), numbered as (select m.*, e.section_title, cast(row_number() over (partition by m.book_id order by m.run_id, m.seq) - 1 as integer) as chunk_no from made m join e on e.book_id = m.book_id and e.run_id = m.run_id),
+chunks as (select book_id, 'c' || lpad(cast(chunk_no as varchar), 5, '0') as chunk_id, chunk_no, text, section_title, cast(page_start as integer) as page_start, cast(page_end as integer) as page_end, cast(floor(length(text) / 3.5) as integer) as token_estimate,
+    section_title || ', p. ' || case when page_start = page_end then cast(page_start as varchar) else page_start || '-' || page_end end as citation from numbered)"""
+
+
+ORACLE_SQL = {
+    "outline_ranges": f"with {OUTLINE_SQL} select book_id, ordinal, title, level, page_start, page_end from ranges",
+    "page_section_map": f"with {OUTLINE_SQL}, {_MAP} select book_id, cast(page_no as integer) as page_no, title from pmap",
+    "section_runs": f"""
+with {OUTLINE_SQL}, {_MAP},
+j as (select p.book_id, p.page_no, m.title, f.title as first_title from pages p left join pmap m on p.book_id = m.book_id and p.page_no = m.page_no left join pmap f on p.book_id = f.book_id and f.page_no = 1 where p.text <> ''),
+g as (select *, count(title) over (partition by book_id order by page_no) as grp from j),
+s as (select book_id, page_no, coalesce(max(title) over (partition by book_id, grp), first_title, '') as section_title from g),
+l as (select *, lag(section_title) over (partition by book_id order by page_no) as before from s)
+select book_id, page_no, section_title, cast(sum(case when before is not null and before <> section_title then 1 else 0 end) over (partition by book_id order by page_no) as integer) as run_id from l
 """,
+    "chunk_pages": f"with recursive {CHUNKS_SQL} select * from chunks",
     "toc_outline": f"""
 with {OUTLINE_SQL}, n as (select *, row_number() over (partition by book_id order by ordinal) as k from ranges where level <= 1)
 select book_id, string_agg(repeat('  ', level) || title || '  (s. ' || page_start || '-' || page_end || ')', chr(10) order by k) as outline from n where k <= 5 group by book_id
