@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from scholia.functions import text as T
 from scholia.functions.scalars import CACHE_READ_RATE, CACHE_WRITE_RATE, token_cost
+from scholia.sources.materialise import few
 
 # Constants of the projection.
 SECONDS_PER_SECTION = {"api": 30.0, "cli": 190.0, "codex": 190.0, "demo": 1.0}
@@ -24,7 +25,7 @@ def usage_totals(usage: DataFrame, *keys: str) -> DataFrame:
 def usage_costs(usage: DataFrame, prices: DataFrame) -> DataFrame:
     """``usage`` (model and four counters) with cost; prices (model, input_price, output_price) are one row for each model, an unknown model costs 0."""
     cost = token_cost(F.col("input_tokens"), F.col("output_tokens"), F.col("cache_creation_tokens"), F.col("cache_read_tokens"), F.col("input_price"), F.col("output_price"))
-    return usage.join(F.broadcast(prices), "model", "left").withColumn("cost", cost).drop("input_price", "output_price")
+    return usage.join(few(prices), "model", "left").withColumn("cost", cost).drop("input_price", "output_price")
 
 
 def section_seconds(documents: DataFrame, limit: int = 10) -> DataFrame:
@@ -56,7 +57,7 @@ def project_notes(decks: DataFrame, timing: DataFrame, prices: tuple[float, floa
     ``decks`` has deck_id, backend, sections, limit_sections (null: all), context_tokens, system_tokens, exam_chars, section_tokens (of the sections taken), visual_slides,
     image_tokens (mean per visual slide), avg_chunk (null: not indexed), figures (whether figures are scanned); ``timing`` is ``seconds_per_section``.
     """
-    rows = decks.join(F.broadcast(timing), "backend", "left")
+    rows = decks.join(few(timing), "backend", "left")
     n = F.greatest(F.lit(1), F.least("sections", F.coalesce("limit_sections", "sections")))
     rows = rows.withColumn("n", n).withColumn("prefix", F.col("context_tokens") + F.col("system_tokens") + F.floor(F.least("exam_chars", F.lit(EXAM_CHARS)) / T.CHARS_PER_TOKEN))
     rows = rows.withColumn("cache_write", F.col("prefix").cast("double")).withColumn("cache_read", (F.col("prefix") * (F.col("n") - 1)).cast("double"))
@@ -80,7 +81,7 @@ def project_practice(decks: DataFrame, runs: DataFrame, prices: tuple[float, flo
     """
     medians = runs.where("kind = 'practice'").groupBy("backend").agg(F.median("seconds").alias("per_question"))
     fallback = F.create_map(*[F.lit(x) for pair in SECONDS_PER_PRACTICE.items() for x in pair])
-    rows = decks.join(F.broadcast(medians), "backend", "left").withColumn("questions", F.when(F.col("count") > 0, F.col("count")).otherwise(ASSUMED_QUESTIONS))
+    rows = decks.join(few(medians), "backend", "left").withColumn("questions", F.when(F.col("count") > 0, F.col("count")).otherwise(ASSUMED_QUESTIONS))
     excerpts = F.least(2 * F.col("sections"), F.lit(24)) * F.coalesce("avg_chunk", F.lit(float(CHUNK_TOKENS)))
     rows = rows.withColumn("input", F.col("system_tokens") + F.col("slide_tokens") + F.floor(F.least("exam_chars", F.lit(EXAM_CHARS)) / T.CHARS_PER_TOKEN) + excerpts).withColumn("output", (F.col("questions") * OUTPUT_PER_QUESTION).cast("double"))
     cost = (F.col("input") * prices[0] + F.col("output") * prices[1] + (F.col("slide_tokens") + CHEAP_INPUT) * cheap[0] + CHEAP_OUTPUT * cheap[1]) / 1e6

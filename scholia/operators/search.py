@@ -11,13 +11,11 @@ from pyspark.sql import functions as F
 
 from scholia.functions import text as T
 from scholia.functions.scalars import figure_area
-from scholia.sources.materialise import materialised
+from scholia.sources.materialise import few, materialised
 
 from .index import column_tokens, corpus_stats, document_lengths
 
 K1, B, IDF_FLOOR = 1.2, 0.75, 1e-6
-#: Query terms up to this many rows are broadcast to the postings; more are joined by shuffle.
-BROADCAST_TERMS = 200_000
 
 
 def idf(n_docs: Column, df: Column) -> Column:
@@ -29,19 +27,14 @@ def term_score(idf_value: Column, tf: Column, length: Column, avg_len: Column) -
     return idf_value * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / avg_len))
 
 
-def _few(df: DataFrame, rows: int = BROADCAST_TERMS) -> DataFrame:
-    """Broadcast a table of query terms if counting shows that it is small."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
-
-
 def phrase_hits(postings: DataFrame, terms: DataFrame, keys: list[str]) -> DataFrame:
     """(query_id, term, keys, tf) of query terms that tokenise to one token or to a phrase of adjacent ones (an underscore separates tokens)."""
     parts = terms.withColumn("tokens", T.tokenize(F.col("term"))).where("size(tokens) > 0")
     single = parts.where("size(tokens) = 1").select("query_id", "book_id", F.col("term").alias("phrase"), F.col("tokens")[0].alias("term"))
-    found = postings.join(_few(single), ["book_id", "term"]).select("query_id", "phrase", *keys, "tf")
+    found = postings.join(few(single), ["book_id", "term"]).select("query_id", "phrase", *keys, "tf")
     phrases = parts.where("size(tokens) > 1").select("query_id", "book_id", F.col("term").alias("phrase"), F.size("tokens").alias("_n"), F.posexplode("tokens").alias("_at", "term"))
     # every token votes for the place where the phrase would begin; a place with all votes is an occurrence
-    starts = postings.join(_few(phrases), ["book_id", "term"]).select("query_id", "phrase", *keys, "_n", "_at", F.explode("positions").alias("_pos")).withColumn("_start", F.col("_pos") - F.col("_at"))
+    starts = postings.join(few(phrases), ["book_id", "term"]).select("query_id", "phrase", *keys, "_n", "_at", F.explode("positions").alias("_pos")).withColumn("_start", F.col("_pos") - F.col("_at"))
     whole = starts.groupBy("query_id", "phrase", *keys, "_n", "_start").agg(F.count_distinct("_at").alias("_votes")).where("_votes = _n")
     return found.unionByName(whole.groupBy("query_id", "phrase", *keys).agg(F.count("*").cast("int").alias("tf")))
 
@@ -52,7 +45,7 @@ def score_queries(index: dict[str, DataFrame], queries: DataFrame, max_terms: in
     hits = phrase_hits(index["postings"], terms, ["book_id", "chunk_id"])
     per_phrase = hits.groupBy("query_id", "book_id", "phrase").agg(F.count("*").alias("df"))
     scored = (
-        hits.join(per_phrase, ["query_id", "book_id", "phrase"]).join(_few(index["corpus_stats"]), "book_id").join(index["doc_len"], ["book_id", "chunk_id"])
+        hits.join(per_phrase, ["query_id", "book_id", "phrase"]).join(few(index["corpus_stats"]), "book_id").join(index["doc_len"], ["book_id", "chunk_id"])
         .withColumn("s", term_score(idf(F.col("n_docs"), F.col("df")), F.col("tf"), F.col("len"), F.col("avg_len")))
     )
     return scored.groupBy("query_id", "book_id", "chunk_id").agg(F.sum("s").alias("score"))
@@ -173,10 +166,10 @@ def search_sections(sections: DataFrame, documents: DataFrame, queries: DataFram
     # query terms meet the tokens before anything is shuffled; a prefix is matched on its own length's beginning of a token, so that too is an equi-join
     placed = sections.select(*keys, F.posexplode(column_tokens("heading", "body")).alias("pos", "token")).where("token is not null")
     shown = ["query_id", "course_id", "phrase", "parts", "at", *keys, "pos"]
-    exact = placed.join(_few(wanted.where("not is_prefix")), "token").select(*shown)
+    exact = placed.join(few(wanted.where("not is_prefix")), "token").select(*shown)
     prefixes = wanted.where("is_prefix").withColumn("size", F.length("token"))
-    begun = placed.join(F.broadcast(prefixes.select("size").distinct()), F.length("token") >= F.col("size"))  # a row for each length of a prefix
-    prefixed = begun.withColumn("token", F.expr("substring(token, 1, size)")).join(_few(prefixes), ["token", "size"]).select(*shown)
+    begun = placed.join(few(prefixes.select("size").distinct()), F.length("token") >= F.col("size"))  # a row for each length of a prefix
+    prefixed = begun.withColumn("token", F.expr("substring(token, 1, size)")).join(few(prefixes), ["token", "size"]).select(*shown)
     met = exact.unionByName(prefixed)
     single = met.where("parts = 1").groupBy("query_id", "course_id", "phrase", *keys).agg(F.count("*").alias("tf"))
     # every token votes for the place where its phrase would begin; a place with all votes is an occurrence

@@ -5,6 +5,10 @@ from __future__ import annotations
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: Narrow tables of up to this many rows are broadcast; larger ones are joined by shuffle.
+BROADCAST_ROWS = 200_000
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -23,3 +27,8 @@ def materialised(df: DataFrame) -> DataFrame:
     """``df`` checkpointed in the shared folder."""
     shared_folder(df.sparkSession)
     return df.checkpoint()
+
+
+def few(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """A narrow table for the small side of a join, broadcast if counting shows that it is small."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df

@@ -34,23 +34,49 @@ def live_text(events: DataFrame) -> DataFrame:
     return deltas.groupBy("job_id", "section_index").agg(F.array_join(F.transform(ordered, lambda x: x["text"]), "").alias("text"))
 
 
-def _buffered(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Keep a section's deltas by seq and emit the text so far; state ends an hour after the last delta."""
+def _patched(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """What a batch changes in a section's text: the place from which it differs, and the new text from there on.
+
+    State is the number of characters that can't change any more and the deltas after them: those that the watermark hasn't passed, since a later delta may still have to
+    stand before them. It ends an hour after the last event, or ten minutes after the section's or the stream's end.
+    """
     if state.hasTimedOut:
         state.remove()
         return
-    deltas = dict(zip(*state.get)) if state.exists else {}
+    settled, seqs, texts, times, done = state.get if state.exists else (0, [], [], [], False)
+    held = {s: (t, at) for s, t, at in zip(seqs, texts, times)}
+    first = None
     for batch in batches:
-        deltas.update(zip(batch["seq"].astype(int).tolist(), batch["text"]))
-    ordered = sorted(deltas.items())
-    state.update(([s for s, _ in ordered], [t for _, t in ordered]))
-    state.setTimeoutDuration(3_600_000)
-    yield pd.DataFrame({"job_id": [key[0]], "section_index": [key[1]], "text": ["".join(t for _, t in ordered)]})
+        done = done or bool((batch["type"] != DELTA).any())
+        for s, t, at in zip(batch["seq"].astype(int).tolist(), batch["text"].fillna(""), batch["at"]):
+            if s in held:
+                continue
+            held[s] = (t, int(at.timestamp() * 1000) if at is not None and at == at else 0)
+            first = s if first is None else min(first, s)
+    order = sorted(held)
+    if first is not None and any(held[s][0] for s in order if s >= first):
+        start = settled + sum(len(held[s][0]) for s in order if s < first)
+        yield pd.DataFrame({"job_id": [key[0]], "section_index": [key[1]], "from_char": [start], "text": ["".join(held[s][0] for s in order if s >= first)]})
+    passed = state.getCurrentWatermarkMs()
+    while order and held[order[0]][1] < passed:
+        settled += len(held[order.pop(0)][0])
+    state.update((settled, order, [held[s][0] for s in order], [held[s][1] for s in order], done))
+    state.setTimeoutDuration(600_000 if done else 3_600_000)
 
 
 def stream_live_text(events: DataFrame) -> DataFrame:
-    deltas = events.where(F.col("type") == DELTA).select("job_id", "section_index", "seq", "text")
-    return deltas.groupBy("job_id", "section_index").applyInPandasWithState(_buffered, "job_id string, section_index int, text string", "seqs array<bigint>, texts array<string>", "update", GroupStateTimeout.ProcessingTimeTimeout)
+    """(job_id, section_index, from_char, text): patches of the sections' texts, each replacing all from its place on. ``events`` come from ``deduplicated``, whose watermark bounds the state."""
+    wanted = events.where(F.col("type").isin(DELTA, "section:done")).select("job_id", "section_index", "seq", "type", F.when(F.col("type") == DELTA, F.col("text")).otherwise("").alias("text"), "at")
+    return wanted.groupBy("job_id", "section_index").applyInPandasWithState(
+        _patched, "job_id string, section_index int, from_char bigint, text string", "settled bigint, seqs array<bigint>, texts array<string>, times array<bigint>, done boolean", "append", GroupStateTimeout.ProcessingTimeTimeout
+    )
+
+
+def apply_patches(patches: DataFrame, order: str) -> DataFrame:
+    """(job_id, section_index, text) from stored patches in the order in which they came (column ``order``)."""
+    listed = F.array_sort(F.collect_list(F.struct(order, "from_char", "text")))
+    text = F.aggregate(listed, F.lit(""), lambda acc, p: F.concat(F.substring(acc, F.lit(1), p["from_char"].cast("int")), p["text"]))
+    return patches.groupBy("job_id", "section_index").agg(text.alias("text"))
 
 
 def job_state(events: DataFrame) -> DataFrame:
