@@ -16,10 +16,11 @@ from functools import partial
 
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import BROADCAST_BYTES, cut, trimmed
+from .urlfilter import host as host_of
 
 # Element classes of the HTML standard.
 RAW = {"script", "style", "noscript", "template", "iframe", "noembed", "noframes", "svg", "object", "canvas", "audio", "video", "select", "datalist"}
@@ -277,11 +278,6 @@ def _extracted(batches, others: list[str]):
         yield batch[others].assign(text=texts, n_chars=[len(t) for t in texts])
 
 
-def host_of(url: Column) -> Column:
-    """Lower-cased host of a URL without user and port; empty where there is none."""
-    return F.coalesce(F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?(\[[^\]]*\]|[^/?#:]*)", 1)), F.lit(""))
-
-
 def site_templates(pages: DataFrame, share: float = 0.5, loose_share: float = 0.02, least_articles: int = 5) -> DataFrame:
     """(host, template): digests of the subtrees that occur in ``share`` of a host's different articles (``loose_share`` for those by structure or name), and in ``least_articles`` at least.
 

@@ -14,7 +14,8 @@ from .common import BROADCAST_BYTES, cut
 
 
 def host(url: Column) -> Column:
-    return F.coalesce(F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1)), F.lit(""))
+    """Lower-cased host of a URL without user and port, in brackets where it is a numeric address; empty where there is none."""
+    return F.coalesce(F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?(\[[^\]]*\]|[^/?#:]*)", 1)), F.lit(""))
 
 
 def match_keys(url: Column) -> Column:
