@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, trimmed
+from .common import cut, parallelism, trimmed
 
 
 def unite(labels: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -47,7 +47,7 @@ def _contract_locally(batches):
 def _toward_minimum(edges: DataFrame, large: bool) -> DataFrame:
     """One star step. large: every node's larger neighbours are hung on its neighbourhood's minimum; small: its smaller ones."""
     if large:
-        around = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        around = edges.select(F.inline(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))))
     else:
         around = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
     least = around.groupBy("u").agg(F.min("v").alias("low")).select("u", F.least("u", "low").alias("low"))
@@ -55,7 +55,7 @@ def _toward_minimum(edges: DataFrame, large: bool) -> DataFrame:
     if large:
         moved = joined.where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("low").alias("v"))
     else:
-        moved = joined.select(F.col("v").alias("u"), F.col("low").alias("v")).union(least.select("u", F.col("low").alias("v")))
+        moved = joined.select(F.inline(F.array(F.struct(F.col("v").alias("u"), F.col("low").alias("v")), F.struct("u", F.col("low").alias("v")))))
     return moved.where(F.col("u") != F.col("v"))
 
 
@@ -66,7 +66,8 @@ def connected_components(edges: DataFrame, a: str, b: str, max_rounds: int = 60)
     without edges don't appear. Raises if the rounds don't converge (they are logarithmic in the longest path).
     """
     start = edges.select(F.col(a).cast("long").alias("u"), F.col(b).cast("long").alias("v")).where("u is not null and v is not null and u != v")
-    current = cut(start.mapInPandas(_contract_locally, "u long, v long"))
+    # as many tasks as a shuffle has: what unions of small tables add contracts in one place
+    current = cut(start.coalesce(parallelism(edges)).mapInPandas(_contract_locally, "u long, v long"))
     before = None
     for _ in range(max_rounds):
         # a round that changes nothing has left stars: every edge goes from a node to its root

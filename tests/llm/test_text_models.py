@@ -227,6 +227,14 @@ def test_repeated_rows_leave_one_in_the_pipeline(spark, odd_documents, sf_dir):
     assert sorted(i for i in ids if i) == [1, 2, 3, 5, 6, 7] and None in ids
 
 
+def test_of_rows_that_repeat_an_id_the_smallest_stays(spark, sf_dir):
+    import corpus_pipeline as P
+
+    rows = [(1, "b text", "en", "s", 6), (1, "a text", "fr", "s", 6), (1, "a text", "en", "t", 6), (2, None, None, None, None), (2, "z", "en", "s", 1), (None, "free", "en", "s", 4), (None, "free", "en", "s", 4)]
+    got = dict(P.STAGES)["near_dedup"](spark, spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars int"), sf_dir)
+    assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, [(1, "a text", "en", "t", 6), (2, None, None, None, None), (None, "free", "en", "s", 4), (None, "free", "en", "s", 4)]))
+
+
 def test_empty_pipeline(spark, tmp_path, sf_dir):
     import corpus_pipeline as P
 
