@@ -160,6 +160,24 @@ from built b join g on b.deck_id = g.deck_id and b.section_index = g.section_ind
 , p as (select deck_id, number, section_index, count(*) over (partition by deck_id, section_index) as n, row_number() over (partition by deck_id, section_index order by number) - 1 as pos from built),
 q as (select *, floor(pos / ceil(n / ceil(n / 3.0))) as part from p)
 select deck_id, cast(dense_rank() over (partition by deck_id order by section_index, part) - 1 as integer) as section_index, number from q
+"""),
+    "section_decks": _long("""
+, tot as (select deck_id, count(*) as n from marked group by deck_id), cnt as (select deck_id, max(section_index) + 1 as k from built group by deck_id),
+flat as (select tot.deck_id from tot left join cnt on cnt.deck_id = tot.deck_id where tot.n > 10 and coalesce(k, 0) <= 1),
+chosen as (
+    select deck_id, number, section_index from built where deck_id not in (select deck_id from flat)
+    union all select deck_id, number, (row_number() over (partition by deck_id order by number) - 1) // 6 from marked where not is_divider and deck_id in (select deck_id from flat)
+), sizes as (select deck_id, section_index, count(*) as n from chosen group by deck_id, section_index),
+f as (select *, first_value(n) over (partition by deck_id order by section_index) as n0, row_number() over (partition by deck_id order by section_index) as place from sizes),
+o as (select *, place = 1 or (n >= 2 and not (place = 2 and n0 < 2)) as opens from f),
+g as (select *, sum(case when opens then 1 else 0 end) over (partition by deck_id order by section_index) as grp from o),
+merged as (select c.deck_id, c.number, g.grp from chosen c join g on g.deck_id = c.deck_id and g.section_index = c.section_index),
+p as (select *, count(*) over (partition by deck_id, grp) as n, row_number() over (partition by deck_id, grp order by number) - 1 as pos from merged),
+q as (select *, floor(pos / ceil(n / ceil(n / 8.0))) as part from p),
+d as (select deck_id, number, dense_rank() over (partition by deck_id order by grp, part) - 1 as section_index from q)
+select d.deck_id, cast(d.section_index as integer) as section_index, min(d.number) as first_slide, max(d.number) as last_slide, cast(count(*) as integer) as n_slides,
+    cast(sum(length('--- Slide ' || d.number || case when m.title <> '' then ': ' || m.title else '' end || ' ---' || chr(10) || m.text)) + 2 * (count(*) - 1) as integer) as raw_chars, cast(count(*) filter (where m.title <> '') as integer) as n_titles
+from d join marked m on m.deck_id = d.deck_id and m.number = d.number group by d.deck_id, d.section_index
 """),
     "fallback_sections": f"with {SLIDES_SQL}, {_DIVIDERS} select deck_id, cast((row_number() over (partition by deck_id order by number) - 1) // 3 as integer) as section_index, number from marked where not is_divider",
     "gap_cluster": """

@@ -100,18 +100,19 @@ def write_index(chunks: DataFrame, path: str, books: DataFrame | None = None, fi
     """Build and write the index of ``chunks`` and return its revision. Tables first, manifest last.
 
     Each table is made from tables that are written already, so pages are cleaned and chunked once and texts are tokenised twice (for postings and lengths). Files hold ranges of
-    books and chunks: a book's rows lie together, and one large book is many files.
+    books and chunks: a book's rows lie together, and one large book is many files. Chunks are written as they come, books apart, since finding ranges would read them twice.
     """
     revision = uuid.uuid4().hex
     spark = chunks.sparkSession
     keys = ["book_id", "chunk_id"]
 
-    def write(name: str, table: DataFrame, ranges: list[str]) -> DataFrame:
+    def write(name: str, table: DataFrame, order: list[str], ranges: bool = True) -> DataFrame:
         target = f"{path}/{name}/revision={revision}"
-        table.repartitionByRange(*ranges).sortWithinPartitions(*ranges).write.parquet(target)
+        placed = table.repartitionByRange(*order) if ranges else table
+        placed.sortWithinPartitions(*order).write.parquet(target)
         return spark.read.schema(table.schema).parquet(target)
 
-    chunks = write("chunks", chunks, keys)
+    chunks = write("chunks", chunks, keys, ranges=False)
     index = build_bm25_index(chunks)
     postings = write("postings", index["postings"], ["book_id", "term", "chunk_id"])
     write("term_df", term_df(postings, ["book_id"]), ["book_id", "term"])

@@ -150,6 +150,44 @@ def test_index_is_read_only_when_complete_and_current(spark, tmp_path):
     assert T.pending_books(pages.select("book_id"), T.manifest(spark, path), version="5").count() == 2
 
 
+def test_pages_are_read_once_for_a_whole_index(spark, tmp_path):
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def counted(text):
+        seen.add(1)
+        return text
+
+    pages = spark.createDataFrame([("b", i, f"page {i} " * 100) for i in range(1, 5)], "book_id string, page_no int, text string").withColumn("text", counted.asNondeterministic()("text"))
+    sections = spark.createDataFrame([("b", 0, "A", 0, 1, 4)], "book_id string, ordinal int, title string, level int, page_start int, page_end int")
+    index = T.load_or_build(spark, str(tmp_path / "index"), pages, sections)
+    assert seen.value == 4 and index["chunks"].count() == 1 and set(index) >= {"chunks", "postings", "doc_len", "term_df", "corpus_stats"}
+
+
+def test_rows_that_are_no_documents_are_rejected(spark):
+    rows = spark.createDataFrame([(1, '{"a": 1, "b": [1, 2], "c": {"d": "x"}}'), (2, "not json"), (3, '{"a": "text"}'), (4, None), (5, '{"b": []}'), (6, '{"a": 2, "b": 7}'), (7, "")], "k int, json string")
+    good, bad = T.documents_from_json(rows, "a int, b array<int>, c struct<d:string>")
+    assert [tuple(r) for r in good.orderBy("a").collect()] == [(None, [], None), (1, [1, 2], ("x",))]
+    assert {r["k"] for r in bad.collect()} == {2, 3, 4, 6, 7} and bad.columns == ["k", "json"]
+    again, none = T.documents_from_json(T.documents_to_json(good.withColumn("document_id", F.lit(1))), "a int, b array<int>, c struct<d:string>")
+    assert again.exceptAll(good).count() == 0 and none.count() == 0
+
+
+def test_outlines_of_any_depth(spark):
+    node = '{"title":"leaf","page_idx":9}'
+    for depth in range(8):
+        node = f'{{"title":"n{depth}","page_idx":{depth},"children":[{node}]}}'
+    flat = T.read_outline(spark.createDataFrame([("b", f"[{node}]"), ("c", None), ("d", "[]")], "book_id string, outline string")).orderBy("ordinal").collect()
+    assert [(r["book_id"], r["title"], r["level"]) for r in flat] == [("b", f"n{7 - i}", i) for i in range(8)] + [("b", "leaf", 8)]
+    assert T.read_outline(spark.createDataFrame([("c", None)], "book_id string, outline string")).count() == 0
+
+
+def test_markdown_is_one_table(spark, tmp_path):
+    T.write_markdown(spark.createDataFrame([("a", "# A"), ("b", "# B\n")], "document_id string, markdown string"), str(tmp_path / "m"))
+    assert [r["markdown"] for r in T.read_markdown(spark, str(tmp_path / "m"), ["b"]).collect()] == ["# B\n"]
+    assert not [p for p in (tmp_path / "m").iterdir() if p.is_dir()]
+
+
 def test_sources(spark, tmp_path):
     (tmp_path / "f.pdf").write_bytes(b"%PDF-1")
     blob = T.read_blobs(spark, str(tmp_path)).first()
