@@ -9,7 +9,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .conversations import damaged, repair_report
 from .embed_dedup import embedding_duplicates
+from .forest import nearest_neighbours
 from .html import extract_main_text
 from .langid import identify_languages
 from .minhash import near_duplicates
@@ -19,6 +21,7 @@ from .quality import grade_documents
 from .secrets import scan_secrets
 from .topk import top_inner_products
 from .urlfilter import filter_urls, host
+from .whitening import whiten_embeddings
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -107,6 +110,19 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_main_text(_table(spark, sf_dir, "pages"))
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conversations = _table(spark, sf_dir, "conversations")
+    return repair_report(conversations, damaged(conversations))
+
+
+def op12_forest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest_neighbours(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10)
+
+
+def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten_embeddings(_table(spark, sf_dir, "embeddings"), components=32).withColumn("deviation", F.col("deviation").try_cast("long"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_embedding_dedup": op1_embedding_dedup,
     "op2_source_mixing": op2_source_mixing,
@@ -118,6 +134,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_grade": op8_quality_grade,
     "op9_secret_scan": op9_secret_scan,
     "op10_html_extraction": op10_html_extraction,
+    "op11_conversation_repair": op11_conversation_repair,
+    "op12_forest_neighbours": op12_forest_neighbours,
+    "op13_embedding_whitening": op13_embedding_whitening,
 }
 
 #: DuckDB SQL for the queries that SQL can express; the others are held against brute force in tests/llm.
