@@ -1,5 +1,10 @@
 """What belongs to an article stays, whatever its anchors are called."""
 
+import re
+from collections import Counter
+
+import pytest
+
 from scholia.llm import html as H
 
 
@@ -52,10 +57,79 @@ def test_templates_decide_on_the_table(spark):
     """Without templates the adverts of hosts that can be counted would stay."""
     pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
     rows = pages.select("html", H.host_of(pages.url).alias("host"))
-    templates = {r["host"]: r["template"] for r in H.site_templates(rows).collect()}
+    templates = {r["host"]: r["template"] for r in H.site_templates(rows).collect() if not r["by_name"]}
     changed = counted = 0
     for r in rows.collect():
         if r["host"] in templates:
             counted += 1
             changed += H.main_text(H.parse(r["html"])[0]) != H.lone_text(H.parse(r["html"]))
+            nodes = H.parse(r["html"])
+            for d, _, node in H.candidates(nodes):
+                node.gone = node.gone or d in templates[r["host"]]
+            assert H.main_text(nodes[0]) == H.lone_text(H.parse(r["html"])), "counts alone tell what names tell"
     assert counted > 100 and changed == counted
+
+
+ODD = {
+    "attribute values": ("<article data-title='The hidden river' data-x=class=ad><p title='a hidden gem' aria-label='style=display:none'>One</p><p data-id=comments>Two</p></article>", "One\nTwo"),
+    "a form round the page": ("<form id=aspnetForm action='/x'><div><input value=v><label>Search</label></div><article><h1>Head</h1><p>Body</p></article><select><option>o</select></form><form><p>Write to us</p><label>Mail</label></form>", "Head\nBody"),
+    "a form round a page without article": ("<form><label>Find</label><h1>Head</h1><p>Body</p><button>Go</button></form>", "Head\nBody"),
+    "stray quotes": ("<article><p title=it's>One</p><p class=a\"b>Two</p><p>it's</p><a href=x'y>three</a><p \">Four</p></article>", "One\nTwo\nit's\nthree\nFour"),
+    "quoted brackets": ("<article><p title='a > b' data-y=\"</p><p>\">One</p><br/><img alt='>'/>x</article>", "One\nx"),
+    "comments": ("<article><p>One</p><section id='comments'><p>c</p></section><div class='user-comments'>d</div><div class='reader_comments x'>e</div><ul class='article-replies'><li>f</ul></article>", "One"),
+    "states that name comments": ("<body><div class='has-comments'><p>One</p></div><div class='no-comments page'>Two</div></body>", "One\nTwo"),
+    "hidden": ("<article><p hidden>a</p><p hidden=''>b</p><p style='color:red; display : none'>c</p><p aria-hidden=true>d</p><p HIDDEN CLASS=x>e</p><p style='--hidden:1'>One</p></article>", "One"),
+    "repeated attributes": ("<article><div class=a class=ad>One</div><div id='x' class='&#97;d'>no</div></article>", "One"),
+    "unfinished tags": ("<article><p>One</p><p title='never closed>Two</p></article>", "One"),
+}
+
+
+@pytest.mark.parametrize("case", sorted(ODD))
+def test_odd_markup(case):
+    page, text = ODD[case]
+    assert H.lone_text(H.parse(page)) == text
+
+
+def test_notices_outside_articles_go_on_counted_hosts(spark):
+    rows = [(i, "http://n.org", f"<div class='m1'>M</div>{'<div class=notice>one-off notice</div>' if i == 3 else ''}<article><h1>T{i}</h1><p>Own {i}</p><div class='user-comments'>Nice {i}</div></article>") for i in range(8)]
+    got = {r["page_id"]: r["text"] for r in H.extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {i: f"T{i}\nOwn {i}" for i in range(8)}
+
+
+def test_small_hosts_are_counted_by_domain_then_together(spark):
+    page = lambda i, top: f"<div class='q'>{top}</div><div class='z'><h1>Title {i}</h1><div>Own {i}</div></div>"
+    rows = [(i, f"http://u{i}.blog.org/", page(i, "Hosted by Blog")) for i in range(6)] + [(20 + i, f"http://s{i}.net/", page(20 + i, "We value your privacy")) for i in range(6)] + [(40, "http://alone.com/", page(40, "Alone"))]
+    got = {r["page_id"]: r["text"] for r in H.extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {r[0]: f"Title {r[0]}\nOwn {r[0]}" if r[0] < 40 else "Alone\nTitle 40\nOwn 40" for r in rows}
+
+
+def counted_by_hand(pages, share=0.5, loose_share=0.02, least=5):
+    """Templates by dictionaries: host, then domain, then all, each over the pages that the one before has too few of."""
+    seen = {}
+    for url, page in pages:
+        host = re.match(r"https?://([^/?#:]*)", url or "").group(1).lower() if re.match(r"https?://", url or "") else ""
+        nodes = H.parse(page or "")
+        seen.setdefault(host, {}).setdefault(H._article(nodes, page or ""), set()).update((d, loose) for d, loose, _ in H.candidates(nodes))
+    out, left = {}, dict.fromkeys(seen)
+    for level in (lambda h: h, lambda h: ".".join(h.split(".")[-2:]), lambda h: "*"):
+        sites = {}
+        for host in left:
+            for article, digests in seen[host].items():
+                sites.setdefault(level(host), {}).setdefault(article, set()).update(digests)
+        for host in list(left):
+            articles = sites[level(host)]
+            if len(articles) >= least:
+                counts = Counter(d for digests in articles.values() for d in digests)
+                out[host] = ({d for (d, loose), n in counts.items() if n >= least and n >= (loose_share if loose else share) * len(articles)}, level(host) != host)
+        left = {h: None for h in left if h not in out}
+    return out | {h: (set(), True) for h in left}
+
+
+def test_counting_equals_dictionaries(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select("url", "html")
+    extra = [(f"http://h{i}.{'few.org' if i % 2 else f'd{i}.net'}/", f"<div class=m>Menu</div><div><h1>T {i}</h1><p>{'same' if i % 3 else i}</p></div>") for i in range(14)]
+    extra += [("http://h1.few.org/", "<h1>T 1</h1>"), ("", "<p>x</p>")]
+    table = pages.union(spark.createDataFrame(extra, "url string, html string"))
+    want = counted_by_hand([tuple(r) for r in table.collect()])
+    got = {r["host"]: (set(r["template"]), r["by_name"]) for r in H.site_templates(table.select("html", H.host_of(table.url).alias("host"))).collect()}
+    assert got == want and any(t for t, by_name in want.values() if by_name)
