@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import stored
 
 # The three known shapes, in the order in which spans of one start are listed.
 ASSIGN = r"""((?:[pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY]))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -48,23 +48,83 @@ BINS = 50
 _NO_SPANS = "cast(array() as array<struct<start:int,end:int,found:string>>)"
 
 
-def _located(text: Column, pattern: str, needs: Column, group: int | None = None, least: int = 0) -> Column:
-    """All leftmost non-overlapping matches as (start, end, found), in code points; those whose group is shorter than ``least`` dropped.
+def _let(value: Column, body) -> Column:
+    """body(value), with the value computed once however often body uses it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _blocks(items: Column, state: Column, following) -> Column:
+    """items cut into blocks of about the root of their number, each with the state that ``following(state, item)`` has reached before it.
+
+    Appending to an array copies it. States are appended once a block here, and what a block makes is gathered in arrays of its length, so n items cost n^1.5 copies and not n^2.
+    """
+
+    def cut_up(v: Column) -> Column:
+        width = v["width"]
+
+        def step(acc: Column, x: Column) -> Column:
+            marks = F.when(acc["i"] % width == 0, F.concat(acc["marks"], F.array(acc["state"]))).otherwise(acc["marks"])
+            return F.struct((acc["i"] + 1).alias("i"), following(acc["state"], x).alias("state"), marks.alias("marks"))
+
+        start = F.struct(F.lit(0).alias("i"), state.alias("state"), F.slice(F.array(state), 1, 0).alias("marks"))
+        marks = F.aggregate(v["items"], start, step, lambda acc: acc["marks"])
+        return F.transform(marks, lambda m, i: F.struct(m.alias("state"), F.slice(v["items"], i * width + 1, width).alias("items")))
+
+    return _let(F.struct(items.alias("items"), F.greatest(F.lit(1), F.ceil(F.sqrt(F.size(items)))).cast("int").alias("width")), cut_up)
+
+
+def _before(items: Column, state: Column, following) -> Column:
+    """(item, state) for every item: the state that ``following`` has reached before it."""
+
+    def within(block: Column) -> Column:
+        def step(acc: Column, x: Column) -> Column:
+            return F.struct(following(acc["state"], x).alias("state"), F.concat(acc["out"], F.array(F.struct(x.alias("item"), acc["state"].alias("state")))).alias("out"))
+
+        none = F.slice(F.transform(block["items"], lambda x: F.struct(x.alias("item"), block["state"].alias("state"))), 1, 0)
+        return F.aggregate(block["items"], F.struct(block["state"].alias("state"), none.alias("out")), step, lambda acc: acc["out"])
+
+    return F.flatten(F.transform(_blocks(items, state, following), within))
+
+
+def _located(text: Column, pattern: str, needs: Column, group: int | None = None, least: int = 0, found: bool = False) -> Column:
+    """All leftmost non-overlapping matches as (start, end, found), in code points; those whose group is shorter than ``least`` dropped. found is null unless asked for.
 
     Matches and the gaps between them alternate, so running lengths give the places.
     """
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    value = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else found
-    parts = F.zip_with(F.zip_with(F.slice(F.split(text, pattern, -1), F.lit(1), F.size(found)), found, lambda g, m: F.struct(g.alias("gap"), m.alias("found"))), value, lambda x, v: F.struct(x["gap"].alias("gap"), x["found"].alias("found"), v.alias("value")))
+    matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    values = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else None
 
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + F.length(x["gap"])
-        end = start + F.length(x["found"])
-        one = F.array(F.struct(start.alias("start"), end.alias("end"), x["found"].alias("found")))
-        return F.struct(end.alias("at"), F.when(F.length(x["value"]) >= least, F.concat(acc["spans"], one)).otherwise(acc["spans"]).alias("spans"))
+    def measured(m: Column) -> Column:
+        gaps = F.zip_with(F.slice(F.split(text, pattern, -1), F.lit(1), F.size(m)), m, lambda g, x: F.struct(F.length(g).alias("gap"), F.length(x).alias("size"), (x if found else F.lit(None).cast("string")).alias("found")))
+        return F.zip_with(gaps, values if group else m, lambda x, v: F.struct(x["gap"].alias("gap"), x["size"].alias("size"), x["found"].alias("found"), (F.length(v) >= least).alias("long")))
 
-    places = F.aggregate(parts, F.struct(F.lit(0).alias("at"), F.expr(_NO_SPANS).alias("spans")), step, lambda acc: acc["spans"])
-    return F.when(needs, places).otherwise(F.expr(_NO_SPANS))
+    placed = F.filter(_before(_let(matches, measured), F.lit(0), lambda at, x: at + x["gap"] + x["size"]), lambda p: p["item"]["long"])
+    spans = F.transform(placed, lambda p: F.struct((p["state"] + p["item"]["gap"]).alias("start"), (p["state"] + p["item"]["gap"] + p["item"]["size"]).alias("end"), p["item"]["found"].alias("found")))
+    return F.when(needs, spans).otherwise(F.expr(_NO_SPANS))
+
+
+def _distinct(spans: Column) -> Column:
+    """Distinct spans by start and end."""
+    ordered = F.array_sort(spans)
+    last = F.struct(F.lit(-1).alias("start"), F.lit(-1).alias("end"))
+    kept = F.filter(_before(ordered, last, lambda _, x: F.struct(x["start"].alias("start"), x["end"].alias("end"))), lambda p: (p["state"]["start"] != p["item"]["start"]) | (p["state"]["end"] != p["item"]["end"]))
+    return F.transform(kept, lambda p: p["item"])
+
+
+def _longest(spans: Column) -> Column:
+    """Distinct spans that no other one holds, by start."""
+    ordered = F.array_sort(spans, lambda a, b: F.when(a["start"] != b["start"], a["start"] - b["start"]).otherwise(b["end"] - a["end"]))
+    return F.transform(F.filter(_before(ordered, F.lit(-1), lambda far, x: F.greatest(far, x["end"])), lambda p: p["state"] < p["item"]["end"]), lambda p: p["item"])
+
+
+def _apart(spans: Column, base: Column) -> Column:
+    """Spans that touch none of the base spans: no base span before them reaches into them, and none after starts in them."""
+    far = 1 << 30
+    marked = F.concat(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), F.lit(0).alias("fixed"), s.alias("span"))), F.transform(base, lambda s: F.struct(s["start"].alias("start"), F.lit(1).alias("fixed"), s.alias("span"))))
+    ahead = _before(F.array_sort(marked, lambda a, b: a["start"] - b["start"]), F.lit(-1), lambda end, x: F.greatest(end, F.when(x["fixed"] == 1, x["span"]["end"]).otherwise(-1)))
+    back = _before(F.reverse(ahead), F.lit(far), lambda low, x: F.least(low, F.when(x["item"]["fixed"] == 1, x["item"]["start"]).otherwise(far)))
+    clear = F.filter(back, lambda p: (p["item"]["item"]["fixed"] == 0) & (p["item"]["state"] <= p["item"]["item"]["start"]) & (p["state"] >= p["item"]["item"]["span"]["end"]))
+    return F.when((F.size(base) > 0) & (F.size(spans) > 0), F.reverse(F.transform(clear, lambda p: p["item"]["item"]["span"]))).otherwise(spans)
 
 
 def _normal_tail(z: Column) -> Column:
@@ -82,11 +142,6 @@ def _upper(z: Column) -> Column:
     return F.greatest(F.lit(1e-12), F.when(z >= 0, _normal_tail(F.abs(z))).otherwise(1 - _normal_tail(F.abs(z))))
 
 
-def _let(value: Column, body) -> Column:
-    """body(value), with the value computed once however often body uses it."""
-    return F.element_at(F.transform(F.array(value), body), 1)
-
-
 def _sum(values: Column, of) -> Column:
     return F.aggregate(values, F.lit(0.0), lambda acc, x: acc + of(x))
 
@@ -151,14 +206,19 @@ def _scanned(documents: DataFrame, text: Column, least_run: int) -> DataFrame:
     """All rows with base spans (assign, access, hex) and tested pieces of runs that no base span touches."""
     assigns = text.rlike("[:=]") & text.rlike(ASSIGN)
     out = documents.withColumns({"_assign": _located(text, ASSIGN, assigns, 2, 8), "_access": _located(text, ACCESS, text.contains("AKIA")), "_hex": _located(text, HEX, text.rlike(HEX))})
-    runs = f"[{RUN_CHARACTERS}]{{{least_run},}}"
-    # '=' is in a piece only as padding at the end of its run
-    pieces = [f"(?=[{RUN_CHARACTERS}]{{{least_run}}})[{kind}]+(?:={{1,{PADDING}}}(?![{RUN_CHARACTERS}]))?" for kind in PIECES]
-    located = F.array_distinct(F.concat(*[_located(text, piece, text.rlike(runs), least=least_run) for piece in pieces]))
-    out = out.withColumn("_runs", F.filter(located, lambda c: F.length(F.rtrim(c["found"], F.lit("="))) >= 2))
+    # runs are found once; pieces are cut out of them alone. '=' is in a piece only as padding at the end of its run
+    run = f"[{RUN_CHARACTERS}]{{{least_run},}}"
+    pieces = [f"[{kind}]+(?:={{1,{PADDING}}}$)?" for kind in PIECES]
+
+    def cut_out(r: Column) -> Column:
+        shifted = [F.transform(_located(r["found"], piece, F.lit(True), least=least_run, found=True), lambda p: F.struct((p["start"] + r["start"]).alias("start"), (p["end"] + r["start"]).alias("end"), p["found"].alias("found"))) for piece in pieces]
+        whole = F.array(F.struct(r["start"].alias("start"), r["end"].alias("end"), r["found"].alias("found")))
+        return F.when(r["found"].rlike("^[A-Za-z0-9]+$"), whole).otherwise(_distinct(F.concat(*shifted)))
+
+    located = F.flatten(F.transform(_located(text, run, text.rlike(run), found=True), cut_out))
     base = F.concat("_assign", "_access", "_hex")
-    apart = F.filter("_runs", lambda c: ~F.exists(base, lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"])))
-    return out.withColumn("_runs", apart).withColumn("_runs", F.when(F.size("_runs") > 0, _tested(F.col("_runs"))).otherwise(F.expr("cast(array() as array<struct<start:int,end:int,stratum:string,bin:int>>)")))
+    out = out.withColumn("_runs", F.filter(located, lambda c: F.length(F.rtrim(c["found"], F.lit("="))) >= 2)).withColumn("_runs", _apart(F.col("_runs"), base))
+    return out.withColumn("_runs", F.when(F.size("_runs") > 0, _tested(F.col("_runs"))).otherwise(F.expr("cast(array() as array<struct<start:int,end:int,stratum:string,bin:int>>)")))
 
 
 def random_run_thresholds(scanned: DataFrame, fdr: float) -> dict[str, int]:
@@ -179,19 +239,18 @@ def scan_secrets(documents: DataFrame, fdr: float = 0.1, least_run: int = 20, ke
     Spans are in code points, end exclusive, ordered by start and then kind (assign, access, hex, random). Assignments need a value of 8
     characters, access keys 16 characters and hexadecimal runs 32; random runs need ``least_run`` characters (padding counts), no overlap with
     a known shape, and a battery p-value above their stratum's threshold; of accepted pieces of which one holds the other, the longer is the span. Null and empty texts have no spans. Rows are never dropped or merged:
-    repeated rows get equal results, and extra columns pass through only if kept. The scan runs twice where texts are kept (once for the
-    histogram), else its per-row result is materialised once.
+    repeated rows get equal results, and extra columns pass through only if kept; an empty table gives no rows. The scan runs once: what it finds is written beside the kept columns, and the
+    thresholds are taken from there. Texts of any number of matches cost little more than their length (see ``_blocks``).
     """
     text = F.coalesce(F.col("_text"), F.lit(""))
-    texts = "text" in keep
     held = [f"_kept{i}" for i in range(len(keep))]  # kept columns can have any names
     scanned = _scanned(documents.select(*[F.col(c).alias(h) for c, h in zip(keep, held)], F.col("text").alias("_text")), text, least_run)
-    scanned = scanned if texts else cut(scanned.select(*held, *[F.transform(c, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))).alias(c) for c in ("_assign", "_access", "_hex")], "_runs"))
+    scanned = stored(scanned.select(*held, *[F.transform(c, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))).alias(c) for c in ("_assign", "_access", "_hex")], "_runs"))
     thresholds = random_run_thresholds(scanned, fdr)
     if thresholds:
         lowest = F.create_map(*[x for k, v in sorted(thresholds.items()) for x in (F.lit(k), F.lit(v))])
         accepted = F.filter("_runs", lambda r: F.coalesce(r["bin"] >= F.element_at(lowest, r["stratum"]), F.lit(False)))
-        accepted = _let(accepted, lambda a: F.filter(a, lambda r: ~F.exists(a, lambda o: (o["start"] <= r["start"]) & (r["end"] <= o["end"]) & (o["end"] - o["start"] > r["end"] - r["start"]))))
+        accepted = F.when(F.size(accepted) > 1, _longest(accepted)).otherwise(accepted)
     else:
         accepted = F.slice("_runs", 1, 0)
 
@@ -204,13 +263,23 @@ def scan_secrets(documents: DataFrame, fdr: float = 0.1, least_run: int = 20, ke
 
 
 def redact(text: Column, secrets: Column, mark: str = "[SECRET]") -> Column:
-    """The text with every span replaced by ``mark``; spans that overlap are replaced as one. Null stays null."""
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    """The text with every span replaced by ``mark``; spans that overlap are replaced as one. Null stays null.
+
+    The text is cut block by block, then span by span, since finding a place in a text takes its length.
+    """
+    spans = _blocks(secrets, F.lit(0), lambda at, s: F.greatest(at, s["end"]))
+
+    def replaced(block: Column) -> Column:
+        def cut_out(b: Column) -> Column:
+            def piece(p: Column) -> Column:
+                gap = F.substring(b["text"], p["state"] - b["at"] + 1, p["item"]["start"] - p["state"])
+                return F.when(p["item"]["start"] >= p["state"], F.concat(gap, F.lit(mark))).otherwise("")
+
+            return F.array_join(F.transform(_before(b["items"], b["at"], lambda at, s: F.greatest(at, s["end"])), piece), "")
 
-    def step(acc: Column, s: Column) -> Column:
-        fresh = s["start"] >= acc["at"]
-        gap = F.substring(text, acc["at"] + 1, s["start"] - acc["at"])
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(fresh, F.concat(acc["out"], gap, F.lit(mark))).otherwise(acc["out"]).alias("out"))
+        end = F.greatest(block["state"], F.array_max(F.transform(block["items"], lambda s: s["end"])))
+        return _let(F.struct(block["state"].alias("at"), block["items"].alias("items"), F.substring(text, block["state"] + 1, end - block["state"]).alias("text")), cut_out)
 
-    rebuilt = F.aggregate(secrets, start, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
+    last = F.array_max(F.transform(secrets, lambda s: s["end"]))
+    rebuilt = F.concat(F.array_join(F.transform(spans, replaced), ""), F.substring(text, last + 1, F.length(text)))
     return F.when(F.size(secrets) > 0, rebuilt).otherwise(text)
