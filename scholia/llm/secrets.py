@@ -70,7 +70,7 @@ def _blocks(items: Column, state: Column, following) -> Column:
         marks = F.aggregate(v["items"], start, step, lambda acc: acc["marks"])
         return F.transform(marks, lambda m, i: F.struct(m.alias("state"), F.slice(v["items"], i * width + 1, width).alias("items")))
 
-    return _let(F.struct(items.alias("items"), F.greatest(F.lit(1), F.ceil(F.sqrt(F.size(items)))).cast("int").alias("width")), cut_up)
+    return _let(items, lambda held: _let(F.struct(held.alias("items"), F.greatest(F.lit(1), F.ceil(F.sqrt(F.size(held)))).cast("int").alias("width")), cut_up))
 
 
 def _before(items: Column, state: Column, following) -> Column:
@@ -207,7 +207,7 @@ def _scanned(documents: DataFrame, text: Column, least_run: int) -> DataFrame:
     assigns = text.rlike("[:=]") & text.rlike(ASSIGN)
     out = documents.withColumns({"_assign": _located(text, ASSIGN, assigns, 2, 8), "_access": _located(text, ACCESS, text.contains("AKIA")), "_hex": _located(text, HEX, text.rlike(HEX))})
     # runs are found once; pieces are cut out of them alone. '=' is in a piece only as padding at the end of its run
-    run = f"[{RUN_CHARACTERS}]{{{least_run},}}"
+    run = f"(?<![{RUN_CHARACTERS}])[{RUN_CHARACTERS}]{{{least_run},}}+"  # whole runs alone: inside a word no match is begun
     pieces = [f"[{kind}]+(?:={{1,{PADDING}}}$)?" for kind in PIECES]
 
     def cut_out(r: Column) -> Column:
