@@ -1,16 +1,13 @@
 """The job event feed: history, live text, state, durations, progress; on streams and, with the same functions, on batches.
 
-Events have job_id, seq, type, at, section_index, text, detail, error. On a stream pass them through ``deduplicated`` first: it bounds state by a watermark.
+Events have job_id, seq, type, at, section_index, text, detail, error. On a stream pass them through ``deduplicated`` first: it bounds state by a watermark. These functions
+keep a row of state for each job on an endless stream; those of ``scholia.streaming.live`` let go of jobs that have ended.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 DELTA = "section:delta"
 EVENT_SCHEMA = "job_id string, seq bigint, type string, at timestamp, section_index int, text string, detail string, error string"
@@ -28,50 +25,12 @@ def event_history(events: DataFrame, jobs: DataFrame | None = None) -> DataFrame
 
 
 def live_text(events: DataFrame) -> DataFrame:
-    """(job_id, section_index, text): deltas joined in order of seq. For batches; ``stream_live_text`` is the streaming twin."""
+    """(job_id, section_index, text): deltas joined in order of seq. For batches; ``scholia.streaming.live.stream_live_text`` is the streaming twin."""
     deltas = events.where(F.col("type") == DELTA)
     ordered = F.array_sort(F.collect_list(F.struct("seq", "text")))
     return deltas.groupBy("job_id", "section_index").agg(F.array_join(F.transform(ordered, lambda x: x["text"]), "").alias("text"))
 
 
-def _patched(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """What a batch changes in a section's text: the place from which it differs, and the new text from there on.
-
-    State is the number of characters that can't change any more and the deltas after them: those that the watermark hasn't passed, since a later delta may still have to
-    stand before them. It ends an hour after the last event, or ten minutes after the section's or the stream's end.
-    """
-    if state.hasTimedOut:
-        state.remove()
-        return
-    settled, seqs, texts, times, done = state.get if state.exists else (0, [], [], [], False)
-    held = {s: (t, at) for s, t, at in zip(seqs, texts, times)}
-    first = None
-    for batch in batches:
-        done = done or bool((batch["type"] != DELTA).any())
-        for s, t, at in zip(batch["seq"].astype(int).tolist(), batch["text"].fillna(""), batch["at"]):
-            if s in held:
-                continue
-            held[s] = (t, int(at.timestamp() * 1000) if at is not None and at == at else 0)
-            first = s if first is None else min(first, s)
-    order = sorted(held)
-    if first is not None and any(held[s][0] for s in order if s >= first):
-        start = settled + sum(len(held[s][0]) for s in order if s < first)
-        yield pd.DataFrame({"job_id": [key[0]], "section_index": [key[1]], "from_char": [start], "text": ["".join(held[s][0] for s in order if s >= first)]})
-    passed = state.getCurrentWatermarkMs()
-    while order and held[order[0]][1] < passed:
-        settled += len(held[order.pop(0)][0])
-    state.update((settled, order, [held[s][0] for s in order], [held[s][1] for s in order], done))
-    state.setTimeoutDuration(600_000 if done else 3_600_000)
-
-
-def stream_live_text(events: DataFrame) -> DataFrame:
-    """(job_id, section_index, from_char, text): patches of the sections' texts, each replacing all from its place on. ``events`` come from ``deduplicated``, whose watermark bounds the state."""
-    wanted = events.where(F.col("type").isin(DELTA, "section:done")).select("job_id", "section_index", "seq", "type", F.when(F.col("type") == DELTA, F.col("text")).otherwise("").alias("text"), "at")
-    return wanted.groupBy("job_id", "section_index").applyInPandasWithState(
-        _patched, "job_id string, section_index int, from_char bigint, text string", "settled bigint, seqs array<bigint>, texts array<string>, times array<bigint>, done boolean", "append", GroupStateTimeout.ProcessingTimeTimeout
-    )
-
-
 def apply_patches(patches: DataFrame, order: str) -> DataFrame:
     """(job_id, section_index, text) from stored patches in the order in which they came (column ``order``)."""
     listed = F.array_sort(F.collect_list(F.struct(order, "from_char", "text")))
@@ -98,11 +57,6 @@ def job_progress(events: DataFrame) -> DataFrame:
     return events.groupBy("job_id").agg(F.count_if(F.col("type") == "section:start").alias("sections_started"), F.count_if(F.col("type") == "section:done").alias("sections_done"), F.max(F.when(F.col("detail").isNotNull(), F.struct("seq", "detail")))["detail"].alias("last_detail"))
 
 
-def record_finished(write: Callable[[DataFrame, int], None]) -> Callable[[DataFrame, int], None]:
-    """A foreachBatch function that hands finished jobs to ``write``, each job once in a batch. Writes are by job id, so a batch that is replayed changes nothing."""
-
-    def run(batch: DataFrame, batch_id: int) -> None:
-        finished = batch.where(F.col("type").isin("job:done", "job:failed")).groupBy("job_id").agg(F.max(F.struct("seq", "type", "at", "error")).alias("last"))
-        write(finished.select("job_id", F.col("last.type").alias("type"), F.col("last.at").alias("ended_at"), F.col("last.error").alias("error")), batch_id)
-
-    return run
+def job_board(events: DataFrame) -> DataFrame:
+    """State, duration and progress of every job in one row. For batches; ``scholia.streaming.live.stream_job_board`` is the streaming twin."""
+    return job_state(events).join(job_duration(events), "job_id").join(job_progress(events), "job_id")

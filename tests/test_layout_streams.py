@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from scholia.operators import layout as L
 from scholia.streaming import jobs as J
+from scholia.streaming import live as V
 
 WORDS = "doc_id string, page_no int, text string, x0 double, x1 double, top double, bottom double, size double"
 OBJECTS = "doc_id string, page_no int, kind string, x0 double, x1 double, top double, bottom double"
@@ -101,55 +102,11 @@ def test_stream_equals_batch(spark, tmp_path):
 
 
 def test_streamed_text_equals_batch(spark, tmp_path):
-    got = streamed(spark, tmp_path, lambda e: J.stream_live_text(J.deduplicated(e)), "append", repeat=True)
+    got = streamed(spark, tmp_path, lambda e: V.stream_live_text(J.deduplicated(e)), "append", repeat=True)
     patches = spark.createDataFrame([(i, *r) for i, r in enumerate(got)], "n int, job_id string, section_index int, from_char long, text string")
     assert sorted(map(tuple, J.apply_patches(patches, "n").collect())) == sorted(map(tuple, J.live_text(spark.createDataFrame(feed(), J.EVENT_SCHEMA)).collect()))
 
 
-class State:
-    """A group's state without a stream."""
-
-    hasTimedOut, exists, watermark = False, False, 0
-
-    @property
-    def get(self):
-        return self.value
-
-    def getCurrentWatermarkMs(self):
-        return self.watermark
-
-    def update(self, value):
-        self.exists, self.value = True, value
-
-    def setTimeoutDuration(self, ms):
-        self.timeout = ms
-
-
-def test_patches_are_as_long_as_what_is_new():
-    state, shown = State(), ""
-    stamp = lambda n: pd.Timestamp(1_000_000 + 1000 * n, unit="ms", tz="UTC")
-    rounds = [[0, 1, 2], [4, 5], [3], [6], [8], [7, 9], []]
-    sent = 0
-    for i, seqs in enumerate(rounds):
-        rows = pd.DataFrame({"seq": seqs, "type": [J.DELTA] * len(seqs), "text": [f"<{n}>" for n in seqs], "at": [stamp(n) for n in seqs]})
-        for out in J._patched(("j", 0), iter([rows]), state):
-            assert len(out) == 1
-            shown = shown[: out["from_char"][0]] + out["text"][0]
-            sent += len(out["text"][0])
-        state.watermark = 1_000_000 + 1000 * (i - 1) if i < 4 else 1_000_000 + 1000 * 7
-    assert shown == "".join(f"<{n}>" for n in range(10)) and sent < 2 * len(shown)
-    assert state.value[1] == [7, 8, 9] and state.timeout == 3_600_000
-    list(J._patched(("j", 0), iter([pd.DataFrame({"seq": [10], "type": ["section:done"], "text": [""], "at": [stamp(10)]})]), state))
-    assert state.timeout == 600_000
-
-
 def test_stream_drops_repeated_events(spark, tmp_path):
     got = streamed(spark, tmp_path, lambda e: J.event_history(J.deduplicated(e)), "append", repeat=True)
     assert len(got) == len([r for r in feed() if r[2] != J.DELTA])
-
-
-def test_finished_jobs_are_recorded_once(spark):
-    seen = []
-    J.record_finished(lambda df, i: seen.extend((r["job_id"], r["type"]) for r in df.collect()))(spark.createDataFrame(feed(), J.EVENT_SCHEMA), 0)
-    assert sorted(seen) == [("a", "job:done"), ("b", "job:failed")]
-    assert spark.range(1).select(F.lit(1)).count() == 1
