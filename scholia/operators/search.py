@@ -11,9 +11,8 @@ from pyspark.sql import functions as F
 
 from scholia.functions import text as T
 from scholia.functions.scalars import figure_area
-from scholia.sources.materialise import few, materialised
+from scholia.sources.materialise import few
 
-from .index import column_tokens, corpus_stats, document_lengths
 
 K1, B, IDF_FLOOR = 1.2, 0.75, 1e-6
 
@@ -124,69 +123,78 @@ def search_books(index: dict[str, DataFrame], queries: DataFrame, limit: int = 5
 
 
 def snippet(body: Column, terms: Column, width: int = 18) -> Column:
-    """A window of ``width`` tokens around the most distinct terms, earliest first, with hits in <mark> and an ellipsis where text is cut off.
+    """A window of ``width`` words around the most distinct terms, earliest first, with hits in <mark> and an ellipsis where text is cut off.
 
-    ``terms`` is array<struct<term, is_prefix>>. Windows begin at a hit, a little before it if it is late in the text.
+    ``terms`` is array<struct<term, is_prefix>>. Windows begin two words before a hit, but not before the text and not so late that it ends inside them. Every word is tokenised once; one pass over the words
+    keeps the last place of each term, from which the distinct terms of the window that ends there are counted.
     """
-    words = F.filter(F.split(body, r"(?U)\s+"), lambda w: w != "")
 
-    def holds(word: Column) -> Column:
-        def meets(t: Column, x: Column) -> Column:
-            tokens = T.tokenize(t["term"])
-            return F.array_contains(tokens, x) | (t["is_prefix"] & F.coalesce(x.startswith(F.get(tokens, F.size(tokens) - 1)), F.lit(False)))
+    def holds(word: Column, wanted: Column) -> Column:
+        """Whether each term is in a word: array<boolean>."""
+
+        def of(tokens: Column) -> Column:
+            def meets(t: Column) -> Column:
+                begins = F.exists(tokens, lambda x: F.coalesce(x.startswith(F.get(t["tokens"], F.size(t["tokens"]) - 1)), F.lit(False)))
+                return F.coalesce(F.arrays_overlap(tokens, t["tokens"]) | (t["is_prefix"] & begins), F.lit(False))
 
-        return F.transform(F.filter(terms, lambda t: F.exists(T.tokenize(word), lambda x: meets(t, x))), lambda t: t["term"])
+            return F.transform(wanted, meets)
 
-    marked = F.transform(words, lambda w: F.struct(w.alias("word"), holds(w).alias("terms")))
+        return F.get(F.transform(F.array(T.tokenize(word)), of), F.lit(0))
 
     def built(m: Column) -> Column:
         n = F.size(m)
-        hits = F.filter(F.transform(m, lambda x, i: F.when(F.size(x["terms"]) > 0, i)), lambda i: i.isNotNull())
-        starts = F.transform(hits, lambda i: F.greatest(F.lit(0), F.least(i - 2, n - width)))
-        ranked = F.transform(starts, lambda s: F.struct((-F.size(F.array_distinct(F.flatten(F.transform(F.slice(m, s + 1, F.lit(width)), lambda x: x["terms"]))))).alias("d"), s.alias("s")))
-        start = F.coalesce(F.get(F.array_sort(ranked), F.lit(0))["s"], F.lit(0))
-        shown = F.transform(F.slice(m, start + 1, F.lit(width)), lambda x: F.when(F.size(x["terms"]) > 0, F.concat(F.lit("<mark>"), x["word"], F.lit("</mark>"))).otherwise(x["word"]))
-        return F.concat(F.when(start > 0, "…").otherwise(""), F.array_join(shown, " "), F.when(start + width < n, "…").otherwise(""))
+        hit = lambda at: F.coalesce(F.exists(F.get(m, at)["holds"], lambda h: h), F.lit(False))
+        # a window may begin two words before a hit; the first and the last window stand for all that would begin outside
+        latest = F.greatest(F.lit(0), n - width)
+
+        def step(acc: Column, x: Column) -> Column:
+            i, begin = acc["i"], F.greatest(F.lit(0), acc["i"] - width + 1)
+            last = F.zip_with(acc["last"], x["holds"], lambda at, h: F.when(h, i).otherwise(at))
+            distinct = F.size(F.filter(last, lambda at: at >= begin))
+            early = (begin == 0) & (hit(F.lit(0)) | hit(F.lit(1)) | hit(F.lit(2)))
+            late = (begin == latest) & F.exists(F.slice(m, F.greatest(F.lit(1), n - width + 3), F.lit(width)), lambda y: F.exists(y["holds"], lambda h: h))
+            counts = ((i == width - 1) | (i > width - 1) | (i == n - 1)) & (hit(begin + 2) | early | late) & (distinct > acc["most"])
+            return F.struct((i + 1).alias("i"), last.alias("last"), F.when(counts, distinct).otherwise(acc["most"]).alias("most"), F.when(counts, begin).otherwise(acc["start"]).alias("start"))
+
+        none = F.transform(terms, lambda t: F.lit(-1))
+        start = F.aggregate(m, F.struct(F.lit(0).alias("i"), none.alias("last"), F.lit(0).alias("most"), F.lit(0).alias("start")), step, lambda acc: acc["start"])
+
+        def shown(s: Column) -> Column:
+            window = F.transform(F.slice(m, s + 1, F.lit(width)), lambda x: F.when(F.exists(x["holds"], lambda h: h), F.concat(F.lit("<mark>"), x["word"], F.lit("</mark>"))).otherwise(x["word"]))
+            return F.concat(F.when(s > 0, "…").otherwise(""), F.array_join(window, " "), F.when(s + width < n, "…").otherwise(""))
+
+        return F.get(F.transform(F.array(start), shown), F.lit(0))
+
+    words = F.filter(F.split(body, r"(?U)\s+"), lambda w: w != "")
+
+    def whole(wanted: Column) -> Column:
+        marked = F.transform(words, lambda w: F.struct(w.alias("word"), holds(w, wanted).alias("holds")))
+        return F.get(F.transform(F.array(marked), built), F.lit(0))
+
+    tokenised = F.transform(terms, lambda t: F.struct(T.tokenize(t["term"]).alias("tokens"), t["is_prefix"].alias("is_prefix")))
+    return F.get(F.transform(F.array(tokenised), whole), F.lit(0))
 
-    return F.get(F.transform(F.array(marked), built), F.lit(0))
 
+def titled(found: DataFrame, documents: DataFrame) -> DataFrame:
+    """Rows found (document_id, ...) with the title and kind of their document (id, title, kind)."""
+    return found.join(documents.select(F.col("id").alias("document_id"), F.col("title").alias("document_title"), F.col("kind").alias("document_kind")), "document_id")
 
-def search_sections(sections: DataFrame, documents: DataFrame, queries: DataFrame, limit: int = 20) -> DataFrame:
+
+def with_snippets(found: DataFrame, sections: DataFrame, queries: DataFrame) -> DataFrame:
+    """Rows found (query_id, document_id, section, ...) with heading and snippet: only here are texts read again."""
+    keys = ["document_id", "section"]
+    shown = found.join(sections.select(*keys, "heading", "body"), keys).join(queries.select("query_id", T.query_terms_and_prefix(F.coalesce("text", F.lit(""))).alias("terms")), "query_id")
+    return shown.withColumn("snippet", snippet(F.col("body"), F.col("terms"))).drop("body", "terms")
+
+
+def search_sections(index: dict[str, DataFrame], sections: DataFrame, documents: DataFrame, queries: DataFrame, limit: int = 20) -> DataFrame:
     """Sections of a course in which all terms of a query occur, a phrase as adjacent tokens, the last term as a prefix, ranked by BM25 over the whole library, with snippets.
 
-    ``sections`` has document_id, course_id, section, heading, body; ``documents`` id, title, kind; ``queries`` query_id, course_id, text. The prefix
-    counts every token that begins with it. The text is only read again for the rows that are shown.
+    ``index`` is the stored index of ``sections`` (document_id, course_id, section, heading, body) over heading and body; ``documents`` has id, title, kind; ``queries`` query_id, course_id, text. The prefix
+    counts every token that begins with it.
     """
-    keys = ["document_id", "section"]
-    terms = queries.select("query_id", "course_id", F.posexplode(T.query_terms_and_prefix(F.coalesce("text", F.lit("")))).alias("phrase", "t")).select("query_id", "course_id", "phrase", "t.term", "t.is_prefix")
-    # a term tokenises to one token or, with an underscore, to several: those must be adjacent
-    parts = terms.withColumn("tokens", T.tokenize(F.col("term"))).where("size(tokens) > 0")
-    wanted = parts.select("query_id", "course_id", "phrase", F.size("tokens").alias("parts"), F.posexplode("tokens").alias("at", "token"), "is_prefix").withColumn("is_prefix", F.expr("is_prefix and at = parts - 1"))
-    need = parts.groupBy("query_id").agg(F.count("*").alias("needed"))
-    # query terms meet the tokens before anything is shuffled; a prefix is matched on its own length's beginning of a token, so that too is an equi-join
-    placed = sections.select(*keys, F.posexplode(column_tokens("heading", "body")).alias("pos", "token")).where("token is not null")
-    shown = ["query_id", "course_id", "phrase", "parts", "at", *keys, "pos"]
-    exact = placed.join(few(wanted.where("not is_prefix")), "token").select(*shown)
-    prefixes = wanted.where("is_prefix").withColumn("size", F.length("token"))
-    begun = placed.join(few(prefixes.select("size").distinct()), F.length("token") >= F.col("size"))  # a row for each length of a prefix
-    prefixed = begun.withColumn("token", F.expr("substring(token, 1, size)")).join(few(prefixes), ["token", "size"]).select(*shown)
-    met = exact.unionByName(prefixed)
-    single = met.where("parts = 1").groupBy("query_id", "course_id", "phrase", *keys).agg(F.count("*").alias("tf"))
-    # every token votes for the place where its phrase would begin; a place with all votes is an occurrence
-    places = met.where("parts > 1").groupBy("query_id", "course_id", "phrase", "parts", *keys, (F.col("pos") - F.col("at")).alias("start")).agg(F.count_distinct("at").alias("votes")).where("votes = parts")
-    hits = single.unionByName(places.groupBy("query_id", "course_id", "phrase", *keys).agg(F.count("*").alias("tf")))
-    df = hits.groupBy("query_id", "phrase").agg(F.count("*").alias("df"))
-    lengths = materialised(document_lengths(sections, keys, "heading", "body"))
-    stats = corpus_stats(lengths, [])
-    inside = hits.join(sections.select(*keys, F.col("course_id").alias("of_course")), keys).where("course_id = of_course")
-    scored = (
-        inside.join(df, ["query_id", "phrase"]).join(lengths, keys).crossJoin(F.broadcast(stats))  # one row of statistics
-        .withColumn("s", term_score(idf(F.col("n_docs"), F.col("df")), F.col("tf"), F.col("len"), F.col("avg_len")))
-        .groupBy("query_id", *keys).agg(F.sum("s").alias("score"), F.count("*").alias("found"))
-        .join(need, "query_id").where("found = needed")
-    )
-    order = Window.partitionBy("query_id").orderBy(F.round("score", 6).desc(), *keys)
-    top = scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit).drop("found", "needed")
-    shown = top.join(sections.select(*keys, "heading", "body"), keys).join(queries.select("query_id", T.query_terms_and_prefix(F.col("text")).alias("terms")), "query_id")
-    titled = shown.join(documents.select(F.col("id").alias("document_id"), F.col("title").alias("document_title"), F.col("kind").alias("document_kind")), "document_id")
-    return titled.select("query_id", "rank", "score", "document_id", "document_title", "document_kind", "section", "heading", snippet(F.col("body"), F.col("terms")).alias("snippet"))
+    from .blockmax import all_terms_top
+
+    found = all_terms_top(index, queries.withColumn("scope", F.lit("")), limit).drop("course_id", "scope", "len", "ord")
+    named = titled(with_snippets(found, sections, queries), documents)
+    return named.select("query_id", "rank", "score", "document_id", "document_title", "document_kind", "section", "heading", "snippet")

@@ -6,10 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scholia.functions import text as T
+from scholia.operators import blockmax as X
 from scholia.operators import index as I
 from scholia.operators import search as S
 from scholia.plans import notes as N
-from scholia.sources.materialise import materialised
+from scholia.sources.materialise import materialised, shared_folder
+from scholia.sources.tables import files_signature, load_or_build_search
 
 from .roles import TOKENS, slides, table
 
@@ -32,6 +34,37 @@ def _index(spark: SparkSession, sf_dir: str, queries: DataFrame) -> dict[str, Da
     return index | {"doc_len": lengths, "corpus_stats": I.corpus_stats(lengths, ["book_id"])}
 
 
+def _library(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """The stored index of all documents as chunks; the first query of a session over these files builds it, the others read it."""
+    rows = _chunks(spark, sf_dir).withColumnRenamed("book_id", "scope")
+    path = f"{shared_folder(spark)}/library-index-{files_signature(table(spark, sf_dir, 'documents'))}"
+    return load_or_build_search(rows, path, ["chunk_id"], ["text", "section_title"], ["page_start", "page_end"])
+
+
+def _sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").where("doc_id is not null and source is not null")
+    return docs.select(F.col("doc_id").alias("document_id"), F.col("source").alias("course_id"), F.lit(0).alias("section"), F.substring_index(F.coalesce("text", F.lit("")), "\n", 1).alias("heading"), F.coalesce("text", F.lit("")).alias("body"))
+
+
+def _section_index(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    path = f"{shared_folder(spark)}/section-index-{files_signature(table(spark, sf_dir, 'documents'))}"
+    return load_or_build_search(_sections(spark, sf_dir).withColumn("scope", F.lit("")), path, ["document_id", "section"], ["heading", "body"], ["course_id"])
+
+
+def library_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Terms of the stored library index; builds it if need be."""
+    return _library(spark, sf_dir)["dictionary"].select("term", "df")
+
+
+def section_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Terms of the stored index of sections, headings included; builds it if need be."""
+    return _section_index(spark, sf_dir)["dictionary"].select("term", "df")
+
+
+def _scoped(items: DataFrame) -> DataFrame:
+    return items.withColumnRenamed("book_id", "scope")
+
+
 def term_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     tokens = table(spark, sf_dir, "documents").where("doc_id is not null").select("doc_id", F.explode(T.tokenize(F.coalesce("text", F.lit("")))).alias("term"))
     tf = tokens.groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
@@ -45,7 +78,7 @@ def corpus_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = _items(spark, sf_dir)
-    hits = S.top_hits(S.score_queries(_index(spark, sf_dir, items), items), 6)
+    hits = X.bm25_top(_library(spark, sf_dir), _scoped(items), 6)
     return hits.select("query_id", "rank", F.col("chunk_id").alias("doc_id"), F.round("score", 4).alias("score"))
 
 
@@ -53,7 +86,7 @@ def bm25_range_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = _items(spark, sf_dir)
     lo = F.when(F.col("query_id") % 4 == 0, -10).otherwise(F.col("query_id") * 7)
     ranges = items.select("query_id", lo.cast("int").alias("page_start"), F.when(F.col("query_id") % 4 == 0, -5).otherwise(lo + 60).cast("int").alias("page_end"), F.when(F.col("query_id") % 5 == 0, "low").otherwise("medium").alias("confidence"))
-    hits = S.retrieve(_index(spark, sf_dir, items), items, ranges)
+    hits = X.retrieve_ranged(_library(spark, sf_dir), _scoped(items), ranges)
     return hits.select("query_id", "rank", F.col("chunk_id").alias("doc_id"), F.round("score", 4).alias("score"), "in_range")
 
 
@@ -64,27 +97,34 @@ def collect_chunks_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("deck_id", "position", F.col("chunk_id").alias("doc_id"))
 
 
-def _prefix_search(spark: SparkSession, sf_dir: str, phrase: bool = False) -> DataFrame:
-    """Search by a benchmark item's first long word and the beginning of its second; or by both as a phrase whose end is a prefix."""
-    docs = table(spark, sf_dir, "documents").where("doc_id is not null and source is not null")
-    sections = docs.select(F.col("doc_id").alias("document_id"), F.col("source").alias("course_id"), F.lit(0).alias("section"), F.substring_index(F.coalesce("text", F.lit("")), "\n", 1).alias("heading"), F.coalesce("text", F.lit("")).alias("body"))
-    documents = docs.select(F.col("doc_id").alias("id"), F.concat(F.lit("Document "), F.col("doc_id").cast("string")).alias("title"), F.when(F.col("doc_id") % 2 == 0, "note").otherwise("practice").alias("kind"))
+def _prefix_queries(spark: SparkSession, sf_dir: str, phrase: bool = False) -> DataFrame:
+    """A benchmark item's first long word and the beginning of its second; or both as a phrase whose end is a prefix."""
     words = F.filter(F.split(F.lower("text"), "[^a-z]+"), lambda w: F.length(w) > 3)
     query = F.concat_ws("_", words[0], F.substring(words[1], 1, 3)) if phrase else F.concat_ws(" ", words[0], F.substring(words[1], 1, 3))
-    queries = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.concat(F.lit("src"), (F.col("item_id") % 20).cast("string")).alias("course_id"), query.alias("text"))
-    return S.search_sections(sections, documents, queries)
+    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.concat(F.lit("src"), (F.col("item_id") % 20).cast("string")).alias("course_id"), query.alias("text"))
+
+
+def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").where("doc_id is not null and source is not null")
+    return docs.select(F.col("doc_id").alias("id"), F.concat(F.lit("Document "), F.col("doc_id").cast("string")).alias("title"), F.when(F.col("doc_id") % 2 == 0, "note").otherwise("practice").alias("kind"))
+
+
+def _found(spark: SparkSession, sf_dir: str, phrase: bool = False) -> DataFrame:
+    return X.all_terms_top(_section_index(spark, sf_dir), _prefix_queries(spark, sf_dir, phrase).withColumn("scope", F.lit("")))
 
 
 def search_all_terms_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _prefix_search(spark, sf_dir).select("query_id", "rank", "document_id", "document_title", "document_kind", F.round("score", 4).alias("score"))
+    named = S.titled(_found(spark, sf_dir), _documents(spark, sf_dir))
+    return named.select("query_id", "rank", "document_id", "document_title", "document_kind", F.round("score", 4).alias("score"))
 
 
 def search_phrase_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _prefix_search(spark, sf_dir, phrase=True).select("query_id", "rank", "document_id", F.round("score", 4).alias("score"))
+    return _found(spark, sf_dir, phrase=True).select("query_id", "rank", "document_id", F.round("score", 4).alias("score"))
 
 
 def search_snippet(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _prefix_search(spark, sf_dir).select("query_id", "rank", "document_id", "snippet", T.escape_snippet(F.col("snippet")).alias("escaped"))
+    found = S.with_snippets(_found(spark, sf_dir), _sections(spark, sf_dir), _prefix_queries(spark, sf_dir))
+    return found.select("query_id", "rank", "document_id", "snippet", T.escape_snippet(F.col("snippet")).alias("escaped"))
 
 
 def extractive_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -101,7 +141,7 @@ def extractive_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
-    "term_stats": term_stats, "corpus_stats": corpus_stats, "bm25_topk": bm25_topk, "bm25_range_fallback": bm25_range_fallback, "collect_chunks_cap": collect_chunks_cap,
+    "library_dictionary": library_dictionary, "section_dictionary": section_dictionary, "term_stats": term_stats, "corpus_stats": corpus_stats, "bm25_topk": bm25_topk, "bm25_range_fallback": bm25_range_fallback, "collect_chunks_cap": collect_chunks_cap,
     "search_all_terms_prefix": search_all_terms_prefix, "search_phrase_prefix": search_phrase_prefix, "search_snippet": search_snippet, "extractive_notes": extractive_notes,
 }
 
@@ -121,6 +161,12 @@ scored as (
     from q join post p on q.term = p.term join df on df.term = p.term join lens l on l.doc_id = p.doc_id, stats group by q.item_id, p.doc_id)"""
 
 ORACLE_SQL = {
+    "library_dictionary": f"""
+select term, count(distinct doc_id) as df from (select doc_id, unnest({TOKENS.format("coalesce(text, '')")}) as term from documents where doc_id is not null) group by term
+""",
+    "section_dictionary": f"""
+select term, count(distinct doc_id) as df from (select doc_id, unnest({TOKENS.format("split_part(coalesce(text, ''), chr(10), 1) || ' ' || coalesce(text, '')")}) as term from documents where doc_id is not null and source is not null) group by term
+""",
     "term_stats": f"""
 with t as (select doc_id, unnest({TOKENS.format("coalesce(text, '')")}) as term from documents where doc_id is not null), c as (select doc_id, term, count(*) as tf from t group by doc_id, term)
 select term, count(*) as df, cast(sum(tf) as bigint) as total, max(tf) as max_tf from c group by term

@@ -159,6 +159,24 @@ def load_or_build(spark: SparkSession, path: str, pages: DataFrame, sections: Da
     return read_index(spark, path, version)
 
 
+def files_signature(rows: DataFrame) -> str:
+    """What tells whether the files behind a table have changed: their paths, sizes and times, as one number."""
+    files = rows.select("_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time").distinct()
+    return "{:016x}".format((files.agg(F.bit_xor(F.xxhash64("*"))).first()[0] or 0) & (1 << 64) - 1)
+
+
+def load_or_build_search(rows: DataFrame, path: str, keys: list[str], fields: list[str], keep: list[str] | None = None) -> dict[str, DataFrame]:
+    """The stored search index of ``rows`` under ``path``, built if it isn't there. A build is visible by its last table alone, and one that was broken off is built under a new name."""
+    from scholia.operators.blockmax import read_search_index, write_search_index
+
+    spark = rows.sparkSession
+    if not _exists(spark, f"{path}/complete"):
+        revision = f"{path}/{uuid.uuid4().hex}"
+        write_search_index(rows, revision, keys, fields, keep)
+        spark.createDataFrame([(revision,)], "revision string").write.mode("overwrite").parquet(f"{path}/complete")
+    return read_search_index(spark, spark.read.parquet(f"{path}/complete").first()["revision"])
+
+
 def book_lookup(index: dict[str, DataFrame], book_id: str, chunk_id: str | None = None, number: str | None = None) -> DataFrame:
     """Chunks of a book, one chunk, or one figure, by key."""
     if number is not None:

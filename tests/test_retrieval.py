@@ -6,6 +6,7 @@ from collections import Counter
 
 from pyspark.sql import functions as F
 
+from scholia.operators import blockmax as X
 from scholia.operators import index as I
 from scholia.operators import search as S
 
@@ -104,14 +105,15 @@ def test_figures_by_area_on_pages_of_hits(spark):
     assert [r["number"] for r in found] == ["1.2", "1.1"]
 
 
-def test_section_search_needs_all_terms_with_a_prefix(spark):
+def test_section_search_needs_all_terms_with_a_prefix(spark, tmp_path):
     sections = spark.createDataFrame(
         [("d1", "k", 0, "Integers", "Two's complement numbers are signed and the complement is found by adding one to the inverted bits of a number"), ("d1", "k", 1, "Floats", "Signed zero exists"), ("d2", "other", 0, "Integers", "complement of two signed")],
         "document_id string, course_id string, section int, heading string, body string",
     )
     documents = spark.createDataFrame([("d1", "Doc one", "note"), ("d2", "Doc two", "note")], "id string, title string, kind string")
     q = spark.createDataFrame([(1, "k", "signed compl"), (2, "k", "signed missing"), (3, "k", "!!!"), (4, "k", "zero")], "query_id long, course_id string, text string")
-    found = S.search_sections(sections, documents, q).orderBy("query_id").collect()
+    X.write_search_index(sections.withColumn("scope", F.lit("")), str(tmp_path / "i"), ["document_id", "section"], ["heading", "body"], ["course_id"])
+    found = S.search_sections(X.read_search_index(spark, str(tmp_path / "i")), sections, documents, q).orderBy("query_id").collect()
     assert [(r["query_id"], r["document_id"], r["section"]) for r in found] == [(1, "d1", 0), (4, "d1", 1)]
     assert "<mark>complement</mark>" in found[0]["snippet"] and "<mark>signed</mark>" in found[0]["snippet"] and found[0]["snippet"].endswith("…")
     assert found[0]["document_title"] == "Doc one"
