@@ -112,13 +112,6 @@ def coerce_question(item: Column) -> Column:
     return F.when(valid & (F.trim(fields["prompt"][1]) != ""), built)
 
 
-def usage_of_event(line: Column) -> Column:
-    """Token usage in one line of an event log: the last object on the known nestings that has input and output tokens, or null."""
-    paths = ("$.usage", "$.message.usage", "$.response.usage", "$.payload.usage", "$.payload.info.total_token_usage", "$.info.total_token_usage", "$.turn.usage", "$")
-    found = [F.from_json(F.get_json_object(line, p), "input_tokens long, output_tokens long, cached_input_tokens long") for p in paths]
-    return F.coalesce(*[F.when(u["input_tokens"].isNotNull() & u["output_tokens"].isNotNull(), u) for u in found])
-
-
 def safe_key(key: Column) -> Column:
     """Whether a storage key is relative and stays inside its root."""
     k = F.replace(key, F.lit("\\"), F.lit("/"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from scholia.functions import text as T
 from scholia.functions.scalars import CACHE_READ_RATE, CACHE_WRITE_RATE, token_cost
-from scholia.sources.materialise import few
+from scholia.sources.materialise import few, materialised
 
 # Constants of the projection.
 SECONDS_PER_SECTION = {"api": 30.0, "cli": 190.0, "codex": 190.0, "demo": 1.0}
@@ -91,3 +91,45 @@ def project_practice(decks: DataFrame, runs: DataFrame, prices: tuple[float, flo
         "deck_id", "backend", "questions", "input", "output", F.when(F.col("backend").isin(*SUBSCRIPTIONS), 0.0).otherwise(F.bround(cost, 3)).alias("cost"),
         seconds.alias("seconds"), F.when(F.col("per_question").isNotNull(), "history").otherwise("estimate").alias("seconds_source"),
     )
+
+
+#: A JSON text that can hold a usage object names both of its counters.
+_NAMES_BOTH = "contains({0}, '\"input_tokens\"') and contains({0}, '\"output_tokens\"')"
+
+
+def usage_of_logs(lines: DataFrame) -> DataFrame:
+    """(log_id, input_tokens, output_tokens, cache_read_tokens, calls): the last object of a log, at any depth, that has input and output tokens. ``lines`` has log_id, line_no, line.
+
+    Objects are visited in the order of the text, an object before what it holds. Lines that aren't JSON are passed over; a log without such an object has zeros. Descends level by level, one job
+    for each, and only into values that name both counters.
+    """
+    level = lines.select("log_id", "line_no", F.lit("").alias("kind"), F.array().cast("array<int>").alias("path"), F.col("line").alias("json")).where(_NAMES_BOTH.format("line"))
+    level = level.withColumn("kind", F.schema_of_variant(F.try_parse_json("json"))).where("kind is not null")
+    seen = None
+    while True:
+        level = materialised(level.where("kind like 'OBJECT%' or kind like 'ARRAY%'"))
+        if not level.limit(1).count():
+            break
+        objects = level.where("kind like 'OBJECT%'").withColumn("fields", F.from_json("json", "map<string,string>"))
+        has = objects.where(F.array_contains(F.map_keys("fields"), "input_tokens") & F.array_contains(F.map_keys("fields"), "output_tokens")).select("log_id", F.struct("line_no", "path").alias("at"), "fields")
+        best = has.groupBy("log_id").agg(F.max_by("fields", "at").alias("fields"), F.max("at").alias("at"))
+        seen = best if seen is None else seen.unionByName(best)
+        # texts keep the order of keys, variants tell an object from a string that looks like one
+        members = objects.select("log_id", "line_no", "path", F.map_values("fields").alias("texts"), F.map_values(F.from_json("json", "map<string,variant>")).alias("values"))
+        items = level.where("kind like 'ARRAY%'").select("log_id", "line_no", "path", F.from_json("json", "array<string>").alias("texts"), F.from_json("json", "array<variant>").alias("values"))
+        both = members.unionByName(items).select("log_id", "line_no", "path", F.posexplode(F.arrays_zip("texts", "values")).alias("i", "x"))
+        level = both.where(_NAMES_BOTH.format("x.texts")).select("log_id", "line_no", F.schema_of_variant("x.values").alias("kind"), F.concat("path", F.array("i")).alias("path"), F.col("x.texts").alias("json"))
+    logs = lines.select("log_id").distinct()
+    if seen is None:
+        last = logs.withColumn("fields", F.lit(None).cast("map<string,string>"))
+    else:
+        last = logs.join(seen.groupBy("log_id").agg(F.max_by("fields", "at").alias("fields")), "log_id", "left")
+
+    def counter(*names: str) -> F.Column:
+        """The first of the names that the object has, even if it is null there."""
+        value = F.lit(None).cast("string")
+        for name in reversed(names):
+            value = F.when(F.array_contains(F.map_keys("fields"), name), F.element_at("fields", name)).otherwise(value)
+        return F.coalesce(value.try_cast("double").cast("long"), F.lit(0))
+
+    return last.select("log_id", counter("input_tokens").alias("input_tokens"), counter("output_tokens").alias("output_tokens"), counter("cached_input_tokens", "cache_read_input_tokens").alias("cache_read_tokens"), F.lit(1).cast("long").alias("calls"))

@@ -20,25 +20,32 @@ USAGE = "struct<input_tokens:bigint,output_tokens:bigint,cache_creation_tokens:b
 ALIGNMENT = "deck_id string, section_index int, book_sections array<string>, page_start int, page_end int, confidence string"
 
 
-def generate(df: DataFrame, request_col: str, fn: Callable[[list[str]], list[tuple[str, dict]]]) -> DataFrame:
+COUNTERS = ("input_tokens", "output_tokens", "cache_creation_tokens", "cache_read_tokens", "calls")
+
+
+def answers_of(texts: list[str], fn: Callable[[list[str]], list[tuple[str, dict]]]) -> list[tuple[str, str | None, dict]]:
+    """(text, error, usage) of each request: a batch that raises is asked again one by one, and a request that raises has an error."""
+    try:
+        return [(text, None, {n: int(usage.get(n, 0)) for n in COUNTERS}) for text, usage in fn(texts)]
+    except Exception as failed:  # noqa: BLE001  whatever a generator raises becomes this row's error
+        if len(texts) > 1:
+            return [one for text in texts for one in answers_of([text], fn)]
+        return [("", f"{type(failed).__name__}: {failed}", dict.fromkeys(COUNTERS, 0))]
+
+
+def generate(df: DataFrame, request_col: str, fn: Callable[[list[str]], list[tuple[str, dict]]], ledger: str | None = None) -> DataFrame:
     """``df`` with ``generated`` struct<text, error, usage>: ``fn`` gets a batch of requests and returns (text, usage counters) for each.
 
-    A batch that raises is retried request by request, and a request that raises becomes an error, so others go on.
+    A batch that raises is retried request by request, and a request that raises becomes an error, so others go on. With ``ledger`` (a folder) answers are kept there and asked for once; see ``plans.ledger``.
     """
-    def called(texts: list[str]) -> list[tuple[str, str | None, dict]]:
-        try:
-            return [(text, None, usage) for text, usage in fn(texts)]
-        except Exception as failed:  # noqa: BLE001  whatever a generator raises becomes this row's error
-            if len(texts) > 1:
-                return [one for text in texts for one in called([text])]
-            return [("", f"{type(failed).__name__}: {failed}", {})]
+    if ledger is not None:
+        from scholia.plans.ledger import generate_once
 
-    names = ("input_tokens", "output_tokens", "cache_creation_tokens", "cache_read_tokens", "calls")
+        return generate_once(df, request_col, fn, ledger)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            out = called(list(batch[request_col])) if len(batch) else []
-            yield batch.assign(generated=[{"text": t, "error": e, "usage": {n: int(u.get(n, 0)) for n in names}} for t, e, u in out])
+            yield batch.assign(generated=[{"text": t, "error": e, "usage": u} for t, e, u in answers_of(list(batch[request_col]), fn)] if len(batch) else [])
 
     columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
     return df.mapInPandas(run, f"{columns}, generated struct<text:string,error:string,usage:{USAGE}>")
@@ -98,9 +105,9 @@ def extractive_sections(requests: DataFrame) -> DataFrame:
     return requests.select("deck_id", "section_index", title.alias("title"), markdown.alias("markdown"), cited.alias("citations"), F.col("first_slide").alias("slide_first"), F.col("last_slide").alias("slide_last"), F.lit(None).cast("string").alias("error"))
 
 
-def expand_sections(requests: DataFrame, fn: Callable[[list[str]], list[tuple[str, dict]]]) -> DataFrame:
+def expand_sections(requests: DataFrame, fn: Callable[[list[str]], list[tuple[str, dict]]], ledger: str | None = None) -> DataFrame:
     """Section texts by the caller's generator, all sections of all decks in one job; a failure is an error row."""
-    out = generate(requests.select("deck_id", "section_index", "first_slide", "last_slide", F.coalesce("card_title", F.lit("")).alias("title"), F.coalesce(F.transform("chunks", lambda c: c["citation"]), F.array().cast("array<string>")).alias("citations"), "request"), "request", fn)
+    out = generate(requests.select("deck_id", "section_index", "first_slide", "last_slide", F.coalesce("card_title", F.lit("")).alias("title"), F.coalesce(F.transform("chunks", lambda c: c["citation"]), F.array().cast("array<string>")).alias("citations"), "request"), "request", fn, ledger)
     return out.select("deck_id", "section_index", "title", F.col("generated.text").alias("markdown"), "citations", F.col("first_slide").alias("slide_first"), F.col("last_slide").alias("slide_last"), F.col("generated.error").alias("error"), F.col("generated.usage").alias("usage"))
 
 
@@ -120,10 +127,10 @@ def prepare_requests(sections: DataFrame, decks: DataFrame, index: dict[str, Dat
     return requests.join(cards.select(*keys, F.col("title").alias("card_title")), keys, "left")
 
 
-def retry_failed(sections: DataFrame, requests: DataFrame, fn: Callable[[list[str]], list[tuple[str, dict]]]) -> DataFrame:
+def retry_failed(sections: DataFrame, requests: DataFrame, fn: Callable[[list[str]], list[tuple[str, dict]]], ledger: str | None = None) -> DataFrame:
     """``sections`` (document_id, ...) after generating only the failed ones again; a document never gets worse. ``requests`` are keyed by deck_id = document_id."""
     failed = sections.where("error is not null and error != ''").select(F.col("document_id").alias("deck_id"), "section_index")
-    again = expand_sections(requests.join(failed, ["deck_id", "section_index"], "left_semi"), fn).withColumnRenamed("deck_id", "document_id")
+    again = expand_sections(requests.join(failed, ["deck_id", "section_index"], "left_semi"), fn, ledger).withColumnRenamed("deck_id", "document_id")
     return results.merge_retry(sections, again.select(*sections.columns))
 
 

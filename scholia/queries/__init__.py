@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import corpus, estimates, exports, jobs, layouts, maintenance, retrieval, structure
+from . import corpus, estimates, exports, generation, jobs, layouts, maintenance, retrieval, structure
 
-_MODULES = (corpus, structure, layouts, retrieval, maintenance, estimates, exports, jobs)
+_MODULES = (corpus, structure, layouts, retrieval, maintenance, estimates, exports, jobs, generation)
 
 QUERIES = {name: query for module in _MODULES for name, query in module.QUERIES.items()}
 ORACLE_SQL = {name: sql for module in _MODULES for name, sql in module.ORACLE_SQL.items()}

@@ -63,7 +63,7 @@ def exam_search_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _generated(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = F.col("number")
-    return slides(spark, sf_dir).select(F.col("deck_id").alias("document_id"), F.lit("c").alias("course_id"), n.alias("section_index"), F.when(n % 4 == 0, "").otherwise(F.substring("title", 1, 20)).alias("title"), F.concat(F.lit("[BOOKFIGURE: 1."), (n % 3).cast("string"), F.lit("]\n[KŞEKİL: 2."), n.cast("string"), F.lit("]")).alias("markdown"), n.alias("slide_first"), (n + 1).alias("slide_last"), F.when(n % 3 == 0, "TimeoutError: late").alias("error"), F.concat(F.lit("b"), (F.col("deck_id") % 2).cast("string")).alias("book_id"))
+    return slides(spark, sf_dir).select(F.col("deck_id").alias("document_id"), F.lit("c").alias("course_id"), n.alias("section_index"), F.when(n % 4 == 0, "").otherwise(F.col("title")).alias("title"), F.concat(F.lit("[BOOKFIGURE: 1."), (n % 3).cast("string"), F.lit("]\n[KŞEKİL: 2."), n.cast("string"), F.lit("]")).alias("markdown"), n.alias("slide_first"), (n + 1).alias("slide_last"), F.when(n % 3 == 0, "TimeoutError: late").alias("error"), F.concat(F.lit("b"), (F.col("deck_id") % 2).cast("string")).alias("book_id"))
 
 
 def section_contents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -88,7 +88,7 @@ def resolved_figures(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def exam_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").where("conv_id is not null and turn is not null")
-    return tables.load_exam_text(turns.where("turn > 0").select(F.col("conv_id").alias("exam_id"), F.col("turn").alias("page_no"), F.coalesce("text", F.lit("")).alias("text")), turns.select(F.col("conv_id").alias("exam_id")).distinct())
+    return tables.load_exam_text(turns.select(F.col("conv_id").alias("exam_id"), F.col("turn").alias("page_no"), F.coalesce("text", F.lit("")).alias("text")), turns.select(F.col("conv_id").alias("exam_id")).distinct())
 
 
 def nested_outlines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -138,9 +138,9 @@ def chunk_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _offered(spark: SparkSession, sf_dir: str, keys: list[str]) -> DataFrame:
-    """Every deck's first two turns as excerpts; for sections, those of the turn itself where it is even."""
-    rows = slides(spark, sf_dir).where("number <= 2") if keys == ["deck_id"] else slides(spark, sf_dir).where("number % 2 = 0")
-    return R.offered_chunks(rows.select("deck_id", F.col("number").alias("section_index"), F.col("number").alias("rank"), F.concat(F.lit("Part, p. "), F.col("number").cast("string")).alias("citation"), F.substring("title", 1, 30).alias("text")), keys)
+    """Every deck's turns as excerpts; for sections, the turn itself where its number is even."""
+    rows = slides(spark, sf_dir) if keys == ["deck_id"] else slides(spark, sf_dir).where("number % 2 = 0")
+    return R.offered_chunks(rows.select("deck_id", F.col("number").alias("section_index"), F.col("number").alias("rank"), F.concat(F.lit("Part, p. "), F.col("number").cast("string")).alias("citation"), F.col("title").alias("text")), keys)
 
 
 def practice_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -150,15 +150,19 @@ def practice_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.practice_request(rows, titles, exams, _offered(spark, sf_dir, ["deck_id"]).where("deck_id % 2 = 0"), count=7)
 
 
-def section_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every turn as a section of its own."""
+def section_request_rows(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(sections with their requests, cards): every turn as a section of its own."""
     rows = slides(spark, sf_dir)
     slide = F.array(F.struct("number", "title", "text", "is_visual"))
     sections = rows.select("deck_id", F.col("number").alias("section_index"), F.col("number").alias("first_slide"), F.col("number").alias("last_slide"), T.raw_text(slide).alias("raw_text"), slide.alias("slides"))
-    cards = rows.where("number % 3 != 0").select("deck_id", F.col("number").alias("section_index"), F.substring("title", 1, 10).alias("title"), F.when(F.col("number") % 2 == 1, F.array(F.lit("gap one"), F.lit("gap two"))).alias("gaps"))
+    cards = rows.where("number % 3 != 0").select("deck_id", F.col("number").alias("section_index"), "title", F.when(F.col("number") % 2 == 1, F.array(F.lit("gap one"), F.lit("gap two"))).alias("gaps"))
     figures = R.offered_figures(rows.where("number % 5 = 1").select("deck_id", F.col("number").alias("section_index"), F.lit(1).alias("figure_rank"), F.lit("3.4").alias("number"), F.when(F.col("number") == 1, "A drawing").otherwise("").alias("caption"), F.col("number").alias("page")), ["deck_id", "section_index"])
     made = R.section_request(sections, cards, _offered(spark, sf_dir, ["deck_id", "section_index"]), figures, language="Turkish", depth="derin", extras=("örnek", "quiz", "none"))
-    return made.select("deck_id", "section_index", "request")
+    return made, cards
+
+
+def section_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return section_request_rows(spark, sf_dir)[0].select("deck_id", "section_index", "request")
 
 
 def usage_and_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -187,7 +191,7 @@ _QUESTIONS = f"""{SLIDES_SQL}, q as (
     from slides)"""
 
 _GENERATED = f"""{SLIDES_SQL}, g as (
-    select deck_id as document_id, number as section_index, case when number % 4 = 0 then '' else substring(title, 1, 20) end as title, '[BOOKFIGURE: 1.' || number % 3 || ']' || chr(10) || '[KŞEKİL: 2.' || number || ']' as markdown,
+    select deck_id as document_id, number as section_index, case when number % 4 = 0 then '' else title end as title, '[BOOKFIGURE: 1.' || number % 3 || ']' || chr(10) || '[KŞEKİL: 2.' || number || ']' as markdown,
         number as slide_first, number + 1 as slide_last, number % 3 = 0 as failed, 'b' || deck_id % 2 as book_id from slides)"""
 
 _W = R.DEFAULT_WORDING
@@ -240,7 +244,7 @@ select s.document_id, s.number, cast(case when f.number is null then 0 else row_
 """,
     "exam_texts": """
 with c as (select conv_id as exam_id, turn, trim(coalesce(text, ''), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) as t from conversations where conv_id is not null and turn is not null)
-select exam_id, coalesce(left(string_agg(t, chr(10) || chr(10) order by turn) filter (where turn > 0 and t <> ''), 20000), '') as exam_text from c group by exam_id
+select exam_id, coalesce(left(string_agg(t, chr(10) || chr(10) order by turn) filter (where t <> ''), 20000), '') as exam_text from c group by exam_id
 """,
     "nested_outlines": f"with {OUTLINE_SQL} select book_id, cast(ordinal as integer) as ordinal, title, cast(level as integer) as level, cast(page_idx as integer) as page_idx from outline",
     "json_round_trip": """
@@ -263,7 +267,7 @@ select stats.book_id, n_docs, avg_len, terms, postings, stats.chunks, tokens fro
 """,
     "practice_requests": f"""
 with {SLIDES_SQL}, b as (select deck_id, string_agg('### Slide ' || number || ': ' || title || case when text <> '' then chr(10) || text else '' end || chr(10), chr(10) order by number) as body from slides where number % 4 <> 3 group by deck_id),
-c as (select deck_id, string_agg('### [B: Part, p. ' || number || ']' || chr(10) || substring(title, 1, 30) || chr(10), chr(10) order by number) as chunks from slides where number <= 2 and deck_id % 2 = 0 group by deck_id),
+c as (select deck_id, string_agg('### [B: Part, p. ' || number || ']' || chr(10) || title || chr(10), chr(10) order by number) as chunks from slides where deck_id % 2 = 0 group by deck_id),
 t as (select distinct deck_id from slides)
 select t.deck_id, concat_ws(chr(10), '# COURSE: Deck ' || t.deck_id || chr(10) || chr(10) || '## SCOPE' || chr(10) || '{_W.scope}' || chr(10), body, '## FORMAT' || chr(10) || '{_W.form}' || chr(10) || case when t.deck_id % 3 = 0 then 'Old paper' else '(no text)' end || chr(10),
     '## ACCURACY' || chr(10) || case when chunks is not null then '{_W.support}' || chr(10) || chunks else '{_W.no_support}' || chr(10) end, '## Task' || chr(10) || 'Write exactly 7 questions.' || chr(10) || 'Write in English.') as request
@@ -272,9 +276,9 @@ from t left join b on b.deck_id = t.deck_id left join c on c.deck_id = t.deck_id
     "section_requests": f"""
 with {SLIDES_SQL}
 select deck_id, number as section_index, concat_ws(chr(10),
-    '# SECTION: ' || case when number % 3 <> 0 then substring(title, 1, 10) else '' end || chr(10) || 'Slides ' || number || '–' || number || '.' || chr(10) || chr(10) || '## Slides' || chr(10) || '--- Slide ' || number || case when title <> '' then ': ' || title else '' end || ' ---' || chr(10) || text || chr(10),
+    '# SECTION: ' || case when number % 3 <> 0 then title else '' end || chr(10) || 'Slides ' || number || '–' || number || '.' || chr(10) || chr(10) || '## Slides' || chr(10) || '--- Slide ' || number || case when title <> '' then ': ' || title else '' end || ' ---' || chr(10) || text || chr(10),
     case when number % 3 <> 0 and number % 2 = 1 then '## Points to explain' || chr(10) || '- gap one' || chr(10) || '- gap two' || chr(10) end,
-    '## Excerpts' || chr(10) || case when number % 2 = 0 then '### [B: Part, p. ' || number || ']' || chr(10) || substring(title, 1, 30) || chr(10) else '{_W.no_support}' || chr(10) end,
+    '## Excerpts' || chr(10) || case when number % 2 = 0 then '### [B: Part, p. ' || number || ']' || chr(10) || title || chr(10) else '{_W.no_support}' || chr(10) end,
     case when number % 5 = 1 then '## Figures' || chr(10) || '{_W.figures}' || chr(10) || '- `3.4` — ' || case when number = 1 then 'A drawing' else '(no caption)' end || ' (p. ' || number || ')' || chr(10) end,
     case when is_visual then 'Images of slides ' || number || ' are attached.' end,
     '## Instructions' || chr(10) || '{_W.depths["deep"]}' || chr(10) || '{_W.extras["example"]}' || chr(10) || '{_W.extras["quiz"]}' || chr(10) || '{_W.language % "Turkish"}' || chr(10) || '{_W.closing}') as request from slides

@@ -88,6 +88,14 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
 
 
+def children(spark: SparkSession, path: str) -> list[str]:
+    """Folders and files right under a folder; none if it isn't there."""
+    if not _exists(spark, path):
+        return []
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return sorted(s.getPath().toString() for s in target.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(target))
+
+
 def manifest(spark: SparkSession, path: str) -> DataFrame:
     """Newest manifest row of every book; empty if nothing has been built."""
     if not _exists(spark, f"{path}/manifest"):

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from scholia.operators.library import newest, replace_by_key, upsert_documents
 from scholia.operators.results import note_search_rows
-from scholia.sources.tables import _exists
+from scholia.sources.tables import children
 
 LEDGER = "batch_id bigint, documents bigint, search_rows bigint"
 
@@ -24,7 +24,8 @@ def finished_runs(events: DataFrame) -> DataFrame:
 
 
 def recorded_batches(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(LEDGER).parquet(f"{path}/ledger") if _exists(spark, f"{path}/ledger") else spark.createDataFrame([], LEDGER)
+    lines = children(spark, f"{path}/ledger")  # named one by one: Spark takes two reads of one folder for the same table, even if one is older
+    return spark.read.schema(LEDGER).parquet(*lines) if lines else spark.createDataFrame([], LEDGER)
 
 
 def record_runs(path: str, runs: Callable[[SparkSession], DataFrame], sections: Callable[[SparkSession], DataFrame], courses: Callable[[SparkSession], DataFrame]) -> Callable[[DataFrame, int], None]:
@@ -59,7 +60,7 @@ def recorded_library(spark: SparkSession, path: str, documents: DataFrame, doc_s
 
     def recorded(name: str) -> DataFrame:
         # folders that no ledger line names are what a broken batch has left
-        return spark.read.option("basePath", f"{path}/{name}").parquet(f"{path}/{name}").withColumn("batch", F.col("batch").cast("long")).join(known, "batch", "left_semi").drop("batch")
+        return spark.read.option("basePath", f"{path}/{name}").parquet(*children(spark, f"{path}/{name}")).withColumn("batch", F.col("batch").cast("long")).join(known, "batch", "left_semi").drop("batch")
 
     latest = newest(recorded("documents"), ["id"], "run")
     merged = upsert_documents(documents, latest.withColumnRenamed("run", "_run"), order="_run")

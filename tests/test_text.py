@@ -114,10 +114,19 @@ def test_salvaged_json(spark):
     assert one(spark, S.salvage_json(F.col("t"), schema), t="nothing here") is None
 
 
-def test_usage_of_event(spark):
-    found = one(spark, S.usage_of_event(F.col("t")), t='{"type":"done","usage":{"input_tokens":5,"output_tokens":2,"cached_input_tokens":1}}')
-    assert (found["input_tokens"], found["output_tokens"], found["cached_input_tokens"]) == (5, 2, 1)
-    assert one(spark, S.usage_of_event(F.col("t")), t='{"type":"x"}') is None
+def test_usage_of_logs(spark):
+    from scholia.operators.estimate import usage_of_logs
+
+    deep = '{"a": [0, {"b": {"c": {"d": {"input_tokens": 5, "output_tokens": 2, "cached_input_tokens": 1}}}}]}'
+    rows = [
+        (1, 1, deep), (2, 1, '{"usage": {"input_tokens": 1, "output_tokens": 1, "sub": {"input_tokens": 8, "output_tokens": 9, "cache_read_input_tokens": 3}}, "other": 1}'), (3, 1, deep), (3, 2, "{broken"), (3, 3, '{"type": "x"}'),
+        (4, 1, '{"z": {"input_tokens": 1, "output_tokens": 1}, "a": {"input_tokens": 2, "output_tokens": 2, "cached_input_tokens": null, "cache_read_input_tokens": 4}}'), (5, 1, None), (6, 1, '"{\\"input_tokens\\":1,\\"output_tokens\\":1}"'),
+        (7, 2, '{"input_tokens": 1, "output_tokens": 1}'), (7, 1, '{"input_tokens": 9, "output_tokens": 9}'),
+    ]
+    got = {r["log_id"]: tuple(r)[1:] for r in usage_of_logs(spark.createDataFrame(rows, "log_id int, line_no int, line string")).collect()}
+    assert got == {1: (5, 2, 1, 1), 2: (8, 9, 3, 1), 3: (5, 2, 1, 1), 4: (2, 2, 0, 1), 5: (0, 0, 0, 1), 6: (0, 0, 0, 1), 7: (1, 1, 0, 1)}
+    assert usage_of_logs(spark.createDataFrame([], "log_id int, line_no int, line string")).count() == 0
+
 
 
 def test_python_strip_agrees(spark):
