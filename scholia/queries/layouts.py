@@ -31,7 +31,7 @@ def _objects(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _figures(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A line item is a drawing on a supplier's page; its order is its cluster."""
-    items = table(spark, sf_dir, "lineitem").where("l_linenumber <= 3")
+    items = table(spark, sf_dir, "lineitem")
     top, x0 = (F.col("l_orderkey") % 600).cast("double"), (F.col("l_partkey") % 300).cast("double")
     box = F.struct(x0.alias("x0"), top.alias("top"), (x0 + F.col("l_quantity") * 4).alias("x1"), (top + F.col("l_linenumber") * 25.0).alias("bottom"))
     caption = F.when(F.col("l_orderkey") % 3 == 0, "").otherwise(F.concat(F.lit("Item "), F.col("l_orderkey").cast("string")))
@@ -70,21 +70,26 @@ def latest_figures(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def captioned_figures(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whole figure search: a document of ten words or more is a page with a drawing of ten strokes, a caption below it and small labels above; every seventh has no caption."""
-    docs = table(spark, sf_dir, "documents").where("doc_id is not null").select("doc_id", F.filter(F.split(F.coalesce("text", F.lit("")), r"[ \t\n\r]+"), lambda w: w != "").alias("w")).where("size(w) >= 10")
+    """Whole figure search: a document is a page with a drawing of ten strokes, its whole text as the caption, and a small label above the drawing. Every seventh has no caption.
+
+    Captions stand below the drawing in two lines, or, in every third document, beside it in one that runs into the drawing; what lies left of it is the caption. Long ones leave the page.
+    """
+    docs = table(spark, sf_dir, "documents").where("doc_id is not null").select("doc_id", (F.col("doc_id") % 3 == 1).alias("beside"), F.filter(F.split(F.coalesce("text", F.lit("")), r"[ \t\n\r]+"), lambda w: w != "").alias("w"))
     page = F.lit(0).alias("page_no")
     head = F.when(F.col("doc_id") % 7 == 0, F.lit("Table")).otherwise(F.lit("Figure"))
     number = F.concat((F.col("doc_id") % 9 + 1).cast("string"), F.lit("."), (F.col("doc_id") % 50).cast("string"))
-    caption = F.concat(F.array(head, number), F.slice("w", 1, 4))
+    half = F.ceil(F.size("w") / 2).cast("int")
 
-    def words(texts: F.Column, top: float, size: float, x0: float = 100.0) -> DataFrame:
-        w = docs.select("doc_id", F.posexplode(texts).alias("i", "text"))
+    def words(rows: DataFrame, texts: F.Column, top: float, size: float, x0: float) -> DataFrame:
+        w = rows.select("doc_id", F.posexplode(texts).alias("i", "text"))
         return w.select("doc_id", page, "text", (x0 + 40.0 * F.col("i")).alias("x0"), (x0 + 35.0 + 40.0 * F.col("i")).alias("x1"), F.lit(top).alias("top"), F.lit(top + 8).alias("bottom"), F.lit(size).alias("size"))
 
-    # the caption, its second line, a label above the drawing, and running text in a larger font far below
-    all_words = words(caption, 330.0, 8.0).unionByName(words(F.slice("w", 5, 2), 342.0, 8.0)).unionByName(words(F.slice("w", 7, 1), 185.0, 7.0, 60.0)).unionByName(words(F.slice("w", 8, 3), 500.0, 11.0))
-    strokes = docs.select("doc_id", F.explode(F.sequence(F.lit(0), F.lit(9))).alias("k"))
-    objects = strokes.select("doc_id", page, F.lit("line").alias("kind"), (90.0 + F.col("k")).alias("x0"), (200.0 + F.col("doc_id") % 100 + F.col("k")).alias("x1"), (200.0 + 10.0 * F.col("k")).alias("top"), (205.0 + 10.0 * F.col("k")).alias("bottom"))
+    below, beside = docs.where("not beside"), docs.where("beside")
+    named, label = F.array(head, number), F.array(F.lit("label"))
+    all_words = words(below, F.concat(named, F.slice("w", 1, half)), 330.0, 8.0, 100.0).unionByName(words(below, F.slice("w", half + 1, F.size("w")), 342.0, 8.0, 100.0)).unionByName(words(beside, F.concat(named, "w"), 230.0, 8.0, 20.0))
+    all_words = all_words.unionByName(words(below, label, 185.0, 7.0, 60.0)).unionByName(words(beside, label, 185.0, 7.0, 310.0)).unionByName(words(docs, F.array(F.lit("running"), F.lit("text")), 500.0, 11.0, 100.0))
+    strokes = docs.select("doc_id", F.when(F.col("beside"), 210.0).otherwise(0.0).alias("shift"), F.explode(F.sequence(F.lit(0), F.lit(9))).alias("k"))
+    objects = strokes.select("doc_id", page, F.lit("line").alias("kind"), (90.0 + F.col("shift") + F.col("k")).alias("x0"), (200.0 + F.col("shift") + F.col("doc_id") % 100 + F.col("k")).alias("x1"), (200.0 + 10.0 * F.col("k")).alias("top"), (205.0 + 10.0 * F.col("k")).alias("bottom"))
     boxes = docs.select("doc_id", page, F.lit(10.0).alias("x0"), F.lit(20.0).alias("y0"), F.lit(610.0).alias("x1"), F.lit(820.0).alias("y1"))
     return _flat(L.find_figures(all_words, objects, boxes), "doc_id", "number", "caption")
 
@@ -124,7 +129,7 @@ _OBJECTS = """o as (
 _FIGURES = """f as (
     select l_suppkey as doc_id, cast(l_partkey % 40 as integer) as page_no, '1.' || l_linenumber as number, l_orderkey as cluster_id, case when l_orderkey % 3 = 0 then '' else 'Item ' || l_orderkey end as caption,
         cast(l_partkey % 300 as double) as x0, cast(l_orderkey % 600 as double) as top, l_partkey % 300 + l_quantity * 4 as x1, cast(l_orderkey % 600 as double) + l_linenumber * 25.0::double as bottom
-    from lineitem where l_linenumber <= 3)"""
+    from lineitem)"""
 
 _LATEST = "p as (select *, row_number() over (partition by doc_id, page_no, number order by cluster_id desc) as n from f), l as (select *, row_number() over (partition by doc_id, number order by page_no desc) as m from p where n = 1)"
 
@@ -165,12 +170,14 @@ m as (
 select doc_id, page_no, number, caption, round(x0, 4) as x0, round(top, 4) as top, round(x1, 4) as x1, round(bottom, 4) as bottom from e where z = 1
 """,
     "latest_figures": f"with {_FIGURES}, {_LATEST} select doc_id as book_id, number, caption, page_no as page, round(x0, 4) as x0, round(top, 4) as top, round(x1, 4) as x1, round(bottom, 4) as bottom from l where m = 1",
-    # the cluster spans 200 to 295; the label above it lies inside its columns, the caption's two lines widen the box
+    # drawings span 200 to 295; boxes are the drawing, its caption and the label above, padded by 10 and cut to the page of 600
     "captioned_figures": r"""
-with d as (select doc_id, list_filter(string_split_regex(coalesce(text, ''), '[ \t\n\r]+'), lambda w: w <> '') as w from documents where doc_id is not null)
-select doc_id, (doc_id % 9 + 1) || '.' || (doc_id % 50) as number, trim(array_to_string(w[1:6], ' '), ' .') as caption,
-    least(90, 60)::double - 10 - 10 as x0, 185.0::double - 20 - 10 as top, greatest(209 + doc_id % 100, 100 + 35 + 40 * 5)::double - 10 + 10 as x1, 350.0::double - 20 + 10 as bottom
-from d where len(w) >= 10 and doc_id % 7 <> 0
+with d as (select doc_id, doc_id % 3 = 1 as beside, list_filter(string_split_regex(coalesce(text, ''), '[ \t\n\r]+'), lambda w: w <> '') as w from documents where doc_id is not null), n as (select *, len(w) as n from d)
+select doc_id, (doc_id % 9 + 1) || '.' || (doc_id % 50) as number, trim(array_to_string(case when beside then w[1:5] else w end, ' '), ' .') as caption,
+    case when beside then 0.0::double else 40.0::double end as x0, 155.0::double as top,
+    least(600.0::double, case when beside then greatest(419 + doc_id % 100, 55 + 40 * (n + 1)) else greatest(209 + doc_id % 100, 135 + 40 * (cast(ceil(n / 2) as bigint) + 1)) end::double) as x1,
+    case when beside then 285.0::double when n > 1 then 340.0::double else 328.0::double end as bottom
+from n where doc_id % 7 <> 0
 """,
     "figures_of_hits": f"""
 with {_FIGURES}, {_LATEST}, g as (select * from l where m = 1),

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from scholia.operators import library as L
+from scholia.sources import library_copy as C
+from scholia.sources import tables as S
 
 from .roles import table
 
@@ -66,6 +68,30 @@ def cascade_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
+def _filed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(documents with files, materials, files): paths of any depth, some missing from the listing, some empty, sizes by line items."""
+    n = F.col("o_orderkey")
+    path = lambda folder, ending: F.concat(F.lit(folder), (n % 4000).cast("string"), F.lit(ending))
+    d = table(spark, sf_dir, "orders").select(n.alias("id"), F.col("o_custkey").alias("course_id"), path("out/", ".pdf").alias("pdf_path"), F.when(n % 3 == 0, path("", ".md")).alias("md_path"), F.when(n % 4 == 0, path("a\\b/", ".json")).otherwise("").alias("doc_path"), F.lit(None).cast("string").alias("html_path"))
+    m = _materials(spark, sf_dir).where("id % 4 = 0")
+    listed = d.select(F.explode(F.array("pdf_path", "md_path", "doc_path")).alias("name")).where("name != ''").union(m.select(F.concat(F.substring("sha", 1, 16), F.lit(".pdf")))).distinct()
+    return d, m, listed.where("not name like '%77.md'").select("name", (F.length("name") * 100_000).alias("size"))
+
+
+def rekeyed_library(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents of a library copy under their new keys."""
+    d, m, _ = _filed(spark, sf_dir)
+    return C.rekeyed(d, m, "copy")[0]
+
+
+def library_preflight(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a copy of the library would move, and what stands against it."""
+    d, m, files = _filed(spark, sf_dir)
+    found = C.preflight(C.rekeyed(d, m, "copy")[1], files, 1_100_000)
+    rows = S.library_report({"documents": d, "materials": m}, files, {"documents": "md_path"}, 900_000)
+    return found.unionByName(rows.withColumn("fact", F.concat(F.lit("md "), "fact"))).select("fact", F.round("value", 4).alias("value"))
+
+
 def set_null_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
     m, d = _materials(spark, sf_dir), _documents(spark, sf_dir)
     _, cleared, _ = L.delete_materials(m, d, m.where("id % 6 = 1").select("id"))
@@ -142,7 +168,31 @@ QUERIES = {
 _M = "m as (select o_orderkey as id, o_custkey as course_id, case o_orderkey % 3 when 0 then 'lecture' when 1 then 'book' else 'exam' end as kind, md5(cast(o_orderkey % 5000 as varchar)) as sha from orders)"
 _D = "d as (select o_orderkey as id, o_custkey as course_id, case when o_orderstatus = 'F' then 'practice' else 'note' end as kind, round(o_totalprice, 2) as price, o_orderkey % 3 = 0 as is_public from orders)"
 
+QUERIES |= {"rekeyed_library": rekeyed_library, "library_preflight": library_preflight}
+
+_FILED = r"""d as (
+    select o_orderkey as id, o_custkey as course_id, 'out/' || o_orderkey % 4000 || '.pdf' as pdf_path, case when o_orderkey % 3 = 0 then o_orderkey % 4000 || '.md' end as md_path, case when o_orderkey % 4 = 0 then 'a\b/' || o_orderkey % 4000 || '.json' else '' end as doc_path from orders
+), k as (
+    select *, 'documents/' || id || '/' || substring(sha256('copy' || chr(0) || id), 1, 32) || '/' as root from d
+), m as (select o_orderkey as id, md5(cast(o_orderkey % 5000 as varchar)) as sha from orders where o_orderkey % 4 = 0),
+u as (
+    select root || o_pdf as key, pdf_path as source from (select *, id % 4000 || '.pdf' as o_pdf from k) union all select root || md_path, md_path from k where md_path is not null
+    union all select root || id % 4000 || '.json', doc_path from k where doc_path <> '' union all select distinct 'materials/' || sha || '.pdf', substring(sha, 1, 16) || '.pdf' from m
+), f as (select distinct source as name, length(source) * 100000 as size from u where source not like '%77.md')"""
+
 ORACLE_SQL = {
+    "rekeyed_library": f"""
+with {_FILED}
+select id, course_id, root || id % 4000 || '.pdf' as pdf_path, case when md_path is not null then root || md_path end as md_path, case when doc_path <> '' then root || id % 4000 || '.json' else '' end as doc_path, cast(null as varchar) as html_path from k
+""",
+    "library_preflight": f"""
+with {_FILED}, j as (select u.*, f.size from u left join f on f.name = u.source)
+select 'files' as fact, cast(count(distinct key) as double) as value from j union all select 'missing', count(*) filter (where size is null) from j union all select 'oversized', count(*) filter (where size > 1100000) from j
+union all select 'megabytes', round(sum(size) / 1e6, 4) from j union all select 'clashes', count(*) from (select key from u group by key having count(distinct source) > 1)
+union all select 'md rows:documents', count(*) from d union all select 'md rows:materials', count(*) from m
+union all select 'md missing files', count(*) from (select distinct md_path from d where md_path is not null and md_path not in (select name from f))
+union all select 'md oversized files', count(*) from f where name in (select md_path from d) and size > 900000 union all select 'md megabytes', round(sum(size) / 1e6, 4) from f where name in (select md_path from d)
+""",
     "course_counts": f"""
 with {_M}, {_D}
 select c_custkey as id, c_name as name, (select count(*) from m where course_id = c_custkey and kind = 'lecture') as lectures, (select count(*) from m where course_id = c_custkey and kind = 'book') as books,

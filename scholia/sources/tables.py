@@ -6,8 +6,13 @@ last, so a build that fails half-way is never read.
 
 from __future__ import annotations
 
+import hashlib
 import uuid
+from collections.abc import Iterator
+from urllib.parse import quote
 
+import pandas as pd
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -22,6 +27,8 @@ from .materialise import materialised
 INDEX_VERSION = "4"
 EXAM_CHARS = 20_000
 MAX_FILES, MAX_MEGABYTES = 20, 200
+#: Files beyond this size are hashed as streams.
+STREAM_FROM = 64 << 20
 MANIFEST = "book_id string, index_version string, complete boolean, revision string, book_json string, built_at timestamp"
 
 
@@ -36,11 +43,32 @@ def number_pages(documents: DataFrame, book: str = "source", order: str = "doc_i
     return documents.select(F.col(book).alias("book_id"), place.alias("page_no"), F.coalesce("text", F.lit("")).alias("text"))
 
 
-def read_blobs(spark: SparkSession, path: str) -> DataFrame:
-    """(name, size, sha, short_key) of files, by content."""
+def _hashed(batches: Iterator[pd.DataFrame], block: int) -> Iterator[pd.DataFrame]:
+    """SHA-256 of files, a block in memory at a time."""
+    for batch in batches:
+        out = []
+        for path in batch["path"]:
+            local = path.startswith(("file:", "/"))
+            store, name = (fs.LocalFileSystem(), "/" + path.removeprefix("file:").lstrip("/")) if local else fs.FileSystem.from_uri(quote(path, safe=":/@"))
+            digest = hashlib.sha256()
+            with store.open_input_stream(name) as f:
+                while part := f.read(block):
+                    digest.update(part)
+            out.append(digest.hexdigest())
+        yield batch.assign(sha=out)
+
+
+def read_blobs(spark: SparkSession, path: str, stream_from: int = STREAM_FROM, block: int = 8 << 20) -> DataFrame:
+    """(name, size, sha, short_key) of files, by content.
+
+    The listing reads no contents. Files of up to ``stream_from`` bytes are read as rows by Spark; larger ones, which needn't fit a row, are streamed by tasks in blocks, through a file system that Arrow knows. Spark's listing leaves out
+    files without a byte, which the library doesn't take either.
+    """
     files = spark.read.format("binaryFile").load(path)
-    sha = F.sha2("content", 256)
-    return files.select(T.safe_name(F.col("path")).alias("name"), F.col("length").alias("size"), sha.alias("sha"), F.substring(sha, 1, 16).alias("short_key"))
+    small = files.where(F.col("length") <= stream_from).select("path", "length", F.sha2("content", 256).alias("sha"))
+    listed = files.where(F.col("length") > stream_from).select("path", "length")
+    large = listed.repartition("path").mapInPandas(lambda batches: _hashed(batches, block), "path string, length long, sha string")
+    return small.unionByName(large).select(T.safe_name(F.col("path")).alias("name"), F.col("length").alias("size"), "sha", F.substring("sha", 1, 16).alias("short_key"))
 
 
 def load_exam_text(pages: DataFrame, exams: DataFrame) -> DataFrame:
@@ -249,18 +277,3 @@ def library_report(tables: dict[str, DataFrame], files: DataFrame, references: d
     for f in facts[1:]:
         out = out.union(f)
     return out
-
-
-def export_library(tables: dict[str, DataFrame], target: str, files: DataFrame, references: dict[str, str], max_bytes: int, apply: bool = False) -> DataFrame:
-    """Copy a library's tables to an empty ``target`` after a preflight; without ``apply`` only report. Raises if the preflight or the target objects."""
-    report = library_report(tables, files, references, max_bytes)
-    if apply:
-        facts = {r["fact"]: r["value"] for r in report.collect()}
-        if facts["missing files"] or facts["oversized files"]:
-            raise ValueError(f"library isn't complete: {facts}")
-        for name in tables:
-            if _exists(files.sparkSession, f"{target}/{name}"):
-                raise ValueError(f"target already has {name}")
-        for name, table in tables.items():
-            table.write.mode("errorifexists").parquet(f"{target}/{name}")
-    return report

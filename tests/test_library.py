@@ -200,15 +200,3 @@ def test_sources(spark, tmp_path):
     assert [(r["title"], r["level"], r["page_idx"]) for r in flat] == [("A", 0, 0), ("A1", 1, 1), ("B", 0, 5)]
     good, bad = T.validate_manifest(spark.createDataFrame([("x", "a.pdf", 10), ("x", "../b.pdf", 10), ("y", "c.pdf", 10**9)], "batch_id string, name string, size long"))
     assert [r["name"] for r in good.collect()] == ["a.pdf"] and {r["error"] for r in bad.collect()} == {"unsafe name", "batch too large"}
-
-
-def test_export_checks_before_it_copies(spark, tmp_path):
-    tables = {"documents": spark.createDataFrame([("a", "a.pdf"), ("b", "gone.pdf")], "id string, pdf_path string")}
-    files = spark.createDataFrame([("a.pdf", 2_000_000)], "name string, size long")
-    report = {r["fact"]: r["value"] for r in T.export_library(tables, str(tmp_path / "t"), files, {"documents": "pdf_path"}, 10**7).collect()}
-    assert report == {"rows:documents": 2.0, "missing files": 1.0, "oversized files": 0.0, "megabytes": 2.0}
-    try:
-        T.export_library(tables, str(tmp_path / "t"), files, {"documents": "pdf_path"}, 10**7, apply=True)
-        raise AssertionError("a missing file must stop the copy")
-    except ValueError:
-        pass
