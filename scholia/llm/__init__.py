@@ -1,4 +1,4 @@
-"""Training-data operators: the ten corpus operators and the queries that apply them.
+"""Training-data operators: the thirteen corpus operators and the queries that apply them.
 
 Nothing else in the library imports this subpackage; it can be removed whole.
 """

@@ -165,6 +165,51 @@ m as (
 k as (select page_id, key from (select page_id, key, row_number() over (partition by page_id order by length(key) desc, key) as n from m) where n = 1)
 select p.page_id, p.url, p.fetched_at, coalesce(g.lists, '') as lists, k.key as matched_key, g.lists is null as kept
 from p left join g on p.page_id = g.page_id left join k on p.page_id = k.page_id
+""",
+    # crc32 bit by bit; then the cheapest and least repair up to each row by state, (cost, edits, lines), with insertions after every step
+    "op11_conversation_repair": r"""
+with recursive bytes as (
+    select distinct coalesce(cast(conv_id as varchar), ' ') || ':' || coalesce(cast(turn as varchar), ' ') as key from conversations
+), crc as (
+    select key, list_reduce(list_prepend(4294967295::bigint, list_transform(string_split(key, ''), lambda c: cast(ascii(c) as bigint))), lambda a, b:
+        list_reduce([xor(a, b), 1, 1, 1, 1, 1, 1, 1, 1], lambda x, y: case when x % 2 = 1 then xor(x // 2, 3988292384) else x // 2 end)) as c from bytes
+), kinds as (select key, xor(c, 4294967295) % 20 as kind from crc),
+damaged as (
+    select conv_id, turn, case when kind = 4 then 'user' else coalesce(role, ' ') end as role,
+        case when kind = 1 then '' when kind = 2 then regexp_replace(coalesce(text, ' '), '[.!?]', '', 'g') else coalesce(text, ' ') end as text, unnest(case when kind = 3 then [0, 1] else [0] end) as copy
+    from conversations join kinds on key = coalesce(cast(conv_id as varchar), ' ') || ':' || coalesce(cast(turn as varchar), ' ') where kind <> 0
+), placed as (
+    select *, row_number() over (partition by conv_id order by turn nulls first, role, hash(text), text, copy) as n, count(*) over (partition by conv_id) as total,
+        regexp_replace(text, '[\x20\x09-\x0D]+$', '') as bare from damaged
+), faults as (
+    select *, case when bare = '' then 'blank' when row_number() over (partition by conv_id, role, text order by n) > 1 then 'duplicate' when right(bare, 1) not in ('.', '!', '?') then 'truncated' else '' end as fault,
+        substring(role, 1, 1) as i, lag(substring(role, 1, 1)) over (partition by conv_id order by n) as before from placed
+), rows as (
+    select conv_id, n, total, role, text, i, fault in ('blank', 'duplicate') as must, case when fault = 'truncated' then 3 else 0 end as extra from faults
+), start as (
+    -- states: 0 nothing yet, 1 after the system row, 2 after a user, 3 after an assistant; each the cheapest and then least (cost, edits, lines)
+    select distinct conv_id, 0 as n, total, {'c': 0, 'a': '', 't': ''} as s0, {'c': 1000000, 'a': '', 't': ''} as s1, {'c': 3, 'a': 'I', 't': chr(10) || 'user:'} as s2, {'c': 6, 'a': 'II', 't': chr(10) || 'user:' || chr(10) || 'assistant:'} as s3 from rows
+), walk as (
+    select * from start
+    union all
+    select conv_id, n, total, d0, d1, least(d2, {'c': least(d0, d1, d3).c + 3, 'a': least(d0, d1, d3).a || 'I', 't': least(d0, d1, d3).t || chr(10) || 'user:'}) as s2,
+        least(d3, {'c': least(d2, {'c': least(d0, d1, d3).c + 3, 'a': least(d0, d1, d3).a || 'I', 't': least(d0, d1, d3).t || chr(10) || 'user:'}).c + 3, 'a': least(d2, {'c': least(d0, d1, d3).c + 3, 'a': least(d0, d1, d3).a || 'I', 't': least(d0, d1, d3).t || chr(10) || 'user:'}).a || 'I', 't': least(d2, {'c': least(d0, d1, d3).c + 3, 'a': least(d0, d1, d3).a || 'I', 't': least(d0, d1, d3).t || chr(10) || 'user:'}).t || chr(10) || 'assistant:'}) as s3
+    from (
+        select w.conv_id, r.n, w.total, {'c': s0.c + 4, 'a': s0.a || 'D', 't': s0.t} as d0,
+            least({'c': s1.c + 4, 'a': s1.a || 'D', 't': s1.t}, case when i = 's' and not must then {'c': s0.c + extra, 'a': s0.a || 'K', 't': s0.t || chr(10) || role || ':' || text} else {'c': 1000000, 'a': '', 't': ''} end) as d1,
+            least({'c': s2.c + 4, 'a': s2.a || 'D', 't': s2.t}, case when must then {'c': 1000000, 'a': '', 't': ''} else least({'c': s0.c + extra + case when i = 'u' then 0 else 3 end, 'a': s0.a || case when i = 'u' then 'K' else 'R' end, 't': s0.t || chr(10) || case when i = 'u' then role else 'user' end || ':' || text},
+                {'c': s1.c + extra + case when i = 'u' then 0 else 3 end, 'a': s1.a || case when i = 'u' then 'K' else 'R' end, 't': s1.t || chr(10) || case when i = 'u' then role else 'user' end || ':' || text},
+                {'c': s3.c + extra + case when i = 'u' then 0 else 3 end, 'a': s3.a || case when i = 'u' then 'K' else 'R' end, 't': s3.t || chr(10) || case when i = 'u' then role else 'user' end || ':' || text}) end) as d2,
+            least({'c': s3.c + 4, 'a': s3.a || 'D', 't': s3.t}, case when must then {'c': 1000000, 'a': '', 't': ''} else {'c': s2.c + extra + case when i = 'a' then 0 else 3 end, 'a': s2.a || case when i = 'a' then 'K' else 'R' end, 't': s2.t || chr(10) || case when i = 'a' then role else 'assistant' end || ':' || text} end) as d3
+        from walk w join rows r on r.conv_id is not distinct from w.conv_id and r.n = w.n + 1
+    )
+), ended as (select conv_id, least(s0, s3) as best from walk where n = total),
+summed as (
+    select conv_id, coalesce(max(turn) - min(turn) + 1 - count(distinct turn), 0) as gaps, count(*) filter (where fault = 'blank') as blank, count(*) filter (where fault = 'duplicate') as duplicate, count(*) filter (where fault = 'truncated') as truncated,
+        count(*) filter (where before is not null and before || i not in ('su', 'ua', 'au')) as illegal from faults group by conv_id
+)
+select o.conv_id, coalesce(gaps, 0) as gaps, coalesce(blank, 0) as blank, coalesce(duplicate, 0) as duplicate, coalesce(truncated, 0) as truncated, coalesce(illegal, 0) as illegal, cast(coalesce(best.c, 0) as bigint) as cost, coalesce(best.a, '') as audit, sha256(coalesce(substring(best.t, 2), '')) as repaired_sha256
+from (select distinct conv_id from conversations) o left join summed s on s.conv_id is not distinct from o.conv_id left join ended e on e.conv_id is not distinct from o.conv_id
 """,
     "op3_exact_topk": """
 with v as (
