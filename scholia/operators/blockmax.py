@@ -35,8 +35,9 @@ def write_search_index(rows: DataFrame, path: str, keys: list[str], fields: list
     """
     spark = rows.sparkSession
     order = ["scope", *keys]
-    tokens = rows.select(*order, *(keep or []), column_tokens(*fields).alias("tokens"))
-    tokens.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("at", F.monotonically_increasing_id()).write.parquet(f"{path}/tokens")
+    # tokens are made behind the exchange: finding its ranges runs what stands before it twice
+    ranged = rows.select(*order, *(keep or []), *fields).repartitionByRange(*order).sortWithinPartitions(*order).withColumn("at", F.monotonically_increasing_id())
+    ranged.select(*order, *(keep or []), "at", column_tokens(*fields).alias("tokens")).write.parquet(f"{path}/tokens")
     placed = spark.read.parquet(f"{path}/tokens")
     part, index = F.shiftright("at", 33), F.col("at").bitwiseAND((1 << 33) - 1)
     held = {r["p"]: r["n"] for r in placed.groupBy(part.alias("p")).agg((F.max(index) + 1).alias("n")).collect()}  # a row for each partition
@@ -53,8 +54,11 @@ def write_search_index(rows: DataFrame, path: str, keys: list[str], fields: list
     postings = each.groupBy("scope", "term", "ord", "len").agg(F.count("*").cast("int").alias("tf"), F.sort_array(F.collect_list("pos")).alias("positions"))
     scored = postings.join(few(stats.select("scope", "avg_len")), "scope").withColumn("impact", _impact(F.col("tf"), F.col("len"), F.col("avg_len")))
     # a block's postings of one term are bounded by its rows
-    blocks = scored.groupBy("scope", "term", F.expr(f"ord div {BLOCK_ROWS}").alias("block")).agg(F.max("impact").alias("top"), F.count("*").alias("n"), F.sort_array(F.collect_list(F.struct("ord", "tf", "impact", "positions"))).alias("p"))
-    blocks.repartitionByRange("scope", "term", "block").sortWithinPartitions("scope", "term", "block").write.parquet(f"{path}/blocks")
+    blocks = scored.groupBy("scope", "term", F.expr(f"ord div {BLOCK_ROWS}").alias("block")).agg(F.max("impact").alias("top"), F.count("*").alias("n"), F.sort_array(F.collect_list(F.struct("ord", "tf", "impact", "positions"))).alias("x"))
+    # places are a column of their own: only phrases read them
+    blocks = blocks.select("scope", "term", "block", "top", "n", F.transform("x", lambda x: x.dropFields("positions")).alias("p"), F.col("x.positions").alias("places"))
+    # every file is sorted by term, so a scan for some terms skips most of each
+    blocks.sortWithinPartitions("scope", "term", "block").write.parquet(f"{path}/blocks")
     terms = spark.read.parquet(f"{path}/blocks").groupBy("scope", "term").agg(F.sum("n").alias("df"))
     terms.withColumn("head", F.substring("term", 1, HEAD)).repartitionByRange("scope", "term").sortWithinPartitions("scope", "term").write.parquet(f"{path}/dictionary")
 
@@ -86,9 +90,9 @@ def _of_terms(blocks: DataFrame, terms: DataFrame) -> DataFrame:
 
 def _phrases(blocks: DataFrame, wanted: DataFrame) -> DataFrame:
     """(query_id, slot, ord, tf) of phrases: ``wanted`` has query_id, slot, parts, at, scope, term, one row for each token of a phrase (several where its last token is a prefix)."""
-    met = _of_terms(blocks, wanted).join(few(wanted), ["scope", "term"]).select("query_id", "slot", "parts", "at", F.explode("p").alias("x"))
+    met = _of_terms(blocks, wanted).join(few(wanted), ["scope", "term"]).select("query_id", "slot", "parts", "at", F.explode(F.arrays_zip("p", "places")).alias("x"))
     # every token votes for the place where its phrase would begin; a place with all votes is an occurrence
-    begun = met.select("query_id", "slot", "parts", "at", "x.ord", F.explode("x.positions").alias("pos")).withColumn("start", F.col("pos") - F.col("at"))
+    begun = met.select("query_id", "slot", "parts", "at", "x.p.ord", F.explode("x.places").alias("pos")).withColumn("start", F.col("pos") - F.col("at"))
     whole = begun.groupBy("query_id", "slot", "parts", "ord", "start").agg(F.count_distinct("at").alias("votes")).where("votes = parts")
     return whole.groupBy("query_id", "slot", "ord").agg(F.count("*").cast("int").alias("tf"))
 
@@ -131,8 +135,7 @@ class BlockSearch:
 
     def scores(self, pairs: DataFrame) -> DataFrame:
         """(query_id, ord, score) of all rows in these (query_id, block) that hold a term."""
-        held = self.blocks.select("scope", "term", "block", F.transform("p", lambda x: F.struct(x["ord"].alias("ord"), x["impact"].alias("impact"))).alias("p"))
-        met = held.join(few(self.terms), ["scope", "term"]).join(few(pairs), ["query_id", "block"]).select("query_id", "weight", F.explode("p").alias("x"))
+        met = self.blocks.select("scope", "term", "block", "p").join(few(self.terms), ["scope", "term"]).join(few(pairs), ["query_id", "block"]).select("query_id", "weight", F.explode("p").alias("x"))
         parts = met.select("query_id", "x.ord", (F.col("weight") * F.col("x.impact")).alias("s"))
         if self.extra is not None:
             parts = parts.unionByName(self.extra.join(few(pairs), ["query_id", "block"]).select("query_id", "ord", "s"))
@@ -189,23 +192,26 @@ def all_terms_top(index: dict[str, DataFrame], queries: DataFrame, limit: int =
     The rows of the prefix are found first; the other terms are read only in the blocks of those that belong to the course. Statistics are of the whole scope.
     """
     last = F.max("slot").over(Window.partitionBy("query_id"))
-    slots = materialised(_slots(queries, T.query_terms_and_prefix(F.coalesce("text", F.lit("")))).withColumn("leads", F.col("is_prefix") | (F.size("tokens") > 1) | (F.col("slot") == last)))
+    leads = F.col("is_prefix") | (F.size("tokens") > 1) | (F.col("slot") == last)
+    slots = _slots(queries, T.query_terms_and_prefix(F.coalesce("text", F.lit("")))).withColumn("leads", leads).withColumn("key", F.concat_ws(" ", "scope", F.col("is_prefix").cast("string"), F.array_join("tokens", " ")))
+    slots = materialised(slots.join(few(queries.select("query_id", "course_id")), "query_id"))
     need = slots.groupBy("query_id").agg(F.count("*").alias("needed"))
-    each = slots.select("query_id", "scope", "slot", F.size("tokens").alias("parts"), "is_prefix", "leads", F.posexplode("tokens").alias("at", "token"))
+    # prefixes and phrases lead: their rows are made from postings, since no df is stored for them. A query without any is led by its last term. Queries share what is the same in them
+    leading = slots.where("leads").select(F.col("key").alias("query_id"), "scope", F.lit(0).alias("slot"), "tokens", "is_prefix").distinct()
+    each = leading.select("query_id", "scope", "slot", F.size("tokens").alias("parts"), "is_prefix", F.posexplode("tokens").alias("at", "token"))
     begun = each.where("is_prefix and at = parts - 1").withColumnRenamed("token", "prefix")
     widened = terms_of_prefixes(index["dictionary"], begun).select("query_id", "scope", "slot", "parts", "at", "term")
-    whole = each.where("not (is_prefix and at = parts - 1)").select("query_id", "scope", "slot", "parts", "at", F.col("token").alias("term"), "leads")
-    # prefixes and phrases lead: their rows are made from postings, since no df is stored for them. A query without any is led by its last term
-    made = materialised(widened.unionByName(whole.where("leads").drop("leads")))
-    lone = _of_terms(index["blocks"], made.where("parts = 1")).join(few(made.where("parts = 1")), ["scope", "term"]).select("query_id", "slot", F.explode("p").alias("x"))
+    whole = each.where("not (is_prefix and at = parts - 1)").select("query_id", "scope", "slot", "parts", "at", F.col("token").alias("term"))
+    made = materialised(widened.unionByName(whole))
+    lone = _of_terms(index["blocks"], made.where("parts = 1")).select("scope", "term", "p").join(few(made.where("parts = 1")), ["scope", "term"]).select("query_id", "slot", F.explode("p").alias("x"))
     hits = lone.groupBy("query_id", "slot", "x.ord").agg(F.sum("x.tf").cast("int").alias("tf"))
     if made.where("parts > 1").limit(1).count():
         hits = hits.unionByName(_phrases(index["blocks"], made.where("parts > 1")))
-    of_slot = slots.select("query_id", "scope", "slot")
+    led = slots.where("leads").select("query_id", "slot", "key", "course_id")
     course = index["rows"].select("ord", F.col("course_id").alias("of_course"))
-    weighed = _weighted(index, materialised(hits), of_slot).join(few(queries.select("query_id", "course_id")), "query_id").join(course, "ord").where("course_id = of_course").select("query_id", "slot", "ord", "s")
-    weighed = materialised(weighed)
-    exact = whole.where("not leads")
+    scored = _weighted(index, materialised(hits), leading.select("query_id", "scope", "slot")).select(F.col("query_id").alias("key"), "ord", "s").join(course, "ord")
+    weighed = materialised(scored.join(few(led), "key").where("course_id = of_course").select("query_id", "slot", "ord", "s"))
+    exact = slots.where("not leads").select("query_id", "scope", "slot", F.col("tokens")[0].alias("term"))
     known = _of_terms(index["dictionary"], exact).join(few(exact), ["scope", "term"]).join(few(index["stats"]), "scope").select("query_id", "slot", "scope", "term", idf(F.col("n_docs"), F.col("df")).alias("weight"))
     known = materialised(known)
     rows = weighed.select("query_id", "ord").distinct()
