@@ -24,6 +24,8 @@ from .embed_dedup import usable
 
 #: Rows of a cell and queries of a block (what one group holds), queries in one product, and rows that a shelf is planned for.
 CELL, BLOCK, TILE, SHELF = 8192, 2048, 256, 4096
+#: Bytes of the fitting sample, as doubles.
+SAMPLE_BYTES = 64 << 20
 #: A leaf's share of the fitting sample is at least so many rows, so that medians mean something.
 FITTED = 32
 
@@ -185,7 +187,7 @@ def nearest_neighbours(vectors: DataFrame, is_query: Column, k: int = 10, trees:
 
     The search is approximate: ``trees`` trees with leaves of about ``leaf_rows`` rows; a query ends where the queue's bound exceeds ``share`` * depth / dimensions of the squared distance of its k-th
     neighbour within the ``first`` leaves of one tree (a neighbour's difference has about depth / dimensions of its square within a tree's directions). That rule doesn't depend on the table's size, and
-    no number of candidates is fixed. Splits are fitted on a sample by hash of about ``sample_rows`` vectors at most, which bounds the depth (``FITTED`` sample rows a leaf); beyond it leaves grow. All rows are indexed.
+    no number of candidates is fixed. Splits are fitted on a sample by hash of about ``sample_rows`` vectors (and ``SAMPLE_BYTES``) at most, which bounds the depth (``FITTED`` sample rows a leaf); beyond it leaves grow. All rows are indexed.
 
     Vectors that are null, empty, zero or hold null or non-finite components take no part, nor do rows without vec_id. All vectors that take part must have one length; another raises. An
     empty table gives no rows; extra columns are ignored. Equal vectors are searched once, and of the rows of one vector those are kept as candidates that some answer can hold: k of the smallest
@@ -211,8 +213,8 @@ def nearest_neighbours(vectors: DataFrame, is_query: Column, k: int = 10, trees:
     if shortest != longest:
         raise ValueError(f"vectors of {shortest // np.dtype(kind).itemsize} and {longest // np.dtype(kind).itemsize} components")
     d = longest // np.dtype(kind).itemsize
-    # the sample is a bounded number of rows by hash
-    rate = min(1.0, sample_rows / total)
+    # the sample is a bounded number of rows, and of bytes, by hash
+    rate = min(1.0, min(sample_rows, SAMPLE_BYTES // (8 * d)) / total)
     picked = candidates.where(F.pmod(F.xxhash64("v", F.lit(seed)), F.lit(1 << 30)) < int(rate * (1 << 30))).select("v").collect()
     sample = _floats(pd.Series([r["v"] for r in picked] or [candidates.first()["v"]]), kind)
     depth = int(np.clip(np.ceil(np.log2(max(1.0, total / leaf_rows))), 1, max(1, min(d, np.log2(max(2, len(sample) / FITTED)))))) if total > 1 else 1
