@@ -117,7 +117,7 @@ def practice_states(spark: SparkSession, sf_dir: str) -> DataFrame:
 def quoted_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The audit's quotes: of the questions that name a model, those whose words aren't in the paper."""
     q = _questions(spark, sf_dir)
-    exams = q.select("exam_id").distinct().select("exam_id", F.concat(F.lit("Paper: Old question 5, Old question "), (F.col("exam_id") % 2 * 10).cast("string")).alias("exam_text"))
+    exams = q.select("exam_id").distinct().select("exam_id", F.concat(F.lit("Paper: Old question "), F.when(F.col("exam_id") % 2 == 1, "5").otherwise("7")).alias("exam_text"))
     none = slides(spark, sf_dir).where("false").select(F.col("deck_id").alias("document_id"), F.col("number").alias("section_index"), F.col("title").alias("markdown"), F.col("title").alias("citation"))
     found = X.grounding_audit(none.drop("citation"), none.drop("markdown"), none.select("document_id", F.col("citation").alias("number")), q, exams)
     return found.select("document_id", "section_index", "problem", "value")
@@ -208,7 +208,7 @@ with {SLIDES_SQL}, d as (select deck_id, count(*) filter (where deck_id % 7 <> 6
 select deck_id, case when error is null then 'ok' else 'failed' end as status, error, questions from d
 """,
     "quoted_questions": f"""
-with {SLIDES_SQL}, q as (select deck_id, number, 'Old question ' || number as quote, 'Paper: Old question 5, Old question ' || deck_id % 2 * 10 as paper from slides where number % 5 = 0)
+with {SLIDES_SQL}, q as (select deck_id, number, 'Old question ' || number as quote, 'Paper: Old question ' || case when deck_id % 2 = 1 then '5' else '7' end as paper from slides where number % 5 = 0)
 select deck_id as document_id, number as section_index, 'quote not in exam' as problem, ' ' || quote || ' ' as value from q where not contains(paper, quote)
 """,
     "log_usage": """

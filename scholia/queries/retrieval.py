@@ -160,6 +160,25 @@ scored as (
         sum(case when ln((n_docs - df + 0.5) / (df + 0.5)) > 0 then ln((n_docs - df + 0.5) / (df + 0.5)) else 1e-6 end * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / avg_len))) as score
     from q join post p on q.term = p.term join df on df.term = p.term join lens l on l.doc_id = p.doc_id, stats group by q.item_id, p.doc_id)"""
 
+_ALL_TERMS = f"""
+with d as (select doc_id, source, coalesce(text, '') as text from documents where doc_id is not null and source is not null),
+toks as (select doc_id, source, {TOKENS.format("split_part(text, chr(10), 1) || ' ' || text")} as t from d),
+lens as (select doc_id, len(t) as len from toks), stats as (select count(*) as n_docs, avg(len) as avg_len from lens),
+post as (select doc_id, source, term, count(*) as tf from (select doc_id, source, unnest(t) as term from toks) group by doc_id, source, term),
+b as (select item_id, 'src' || cast(item_id % 20 as varchar) as course_id, list_filter(string_split_regex(lower(text), '[^a-z]+'), lambda w: length(w) > 3) as w from benchmark),
+q as (select item_id, course_id, w[1] as a, substring(w[2], 1, 3) as p from b),
+one as (select item_id, course_id, 1 as k, a as term, false as is_prefix from q where a <> p union all select item_id, course_id, 2, p, true from q),
+hit as (select o.item_id, o.course_id, o.k, p.doc_id, p.source, sum(p.tf) as tf from one o join post p on (case when o.is_prefix then starts_with(p.term, o.term) else p.term = o.term end) group by o.item_id, o.course_id, o.k, p.doc_id, p.source),
+df as (select item_id, k, count(*) as df from hit group by item_id, k), need as (select item_id, count(*) as needed from one group by item_id),
+sc as (
+    select h.item_id as query_id, h.doc_id, count(*) as found,
+        sum(case when ln((n_docs - df + 0.5) / (df + 0.5)) > 0 then ln((n_docs - df + 0.5) / (df + 0.5)) else 1e-6 end * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / avg_len))) as score
+    from hit h join df on df.item_id = h.item_id and df.k = h.k join lens l on l.doc_id = h.doc_id, stats where h.source = h.course_id group by h.item_id, h.doc_id),
+r as (select s.*, row_number() over (partition by query_id order by round(score, 6) desc, doc_id) as rank from sc s join need n on n.item_id = s.query_id where found = needed)"""
+
+#: White space as Unicode has it.
+_SPACE = r"[\s\x0b\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
+
 ORACLE_SQL = {
     "library_dictionary": f"""
 select term, count(distinct doc_id) as df from (select doc_id, unnest({TOKENS.format("coalesce(text, '')")}) as term from documents where doc_id is not null) group by term
@@ -192,21 +211,24 @@ n as (select deck_id, doc_id, cast(row_number() over (partition by deck_id order
 select deck_id, position, doc_id from n where position <= 24
 """,
     "search_all_terms_prefix": f"""
-with d as (select doc_id, source, coalesce(text, '') as text from documents where doc_id is not null and source is not null),
-toks as (select doc_id, source, {TOKENS.format("split_part(text, chr(10), 1) || ' ' || text")} as t from d),
-lens as (select doc_id, len(t) as len from toks), stats as (select count(*) as n_docs, avg(len) as avg_len from lens),
-post as (select doc_id, source, term, count(*) as tf from (select doc_id, source, unnest(t) as term from toks) group by doc_id, source, term),
-b as (select item_id, 'src' || cast(item_id % 20 as varchar) as course_id, list_filter(string_split_regex(lower(text), '[^a-z]+'), lambda w: length(w) > 3) as w from benchmark),
-q as (select item_id, course_id, w[1] as a, substring(w[2], 1, 3) as p from b),
-one as (select item_id, course_id, 1 as k, a as term, false as is_prefix from q where a <> p union all select item_id, course_id, 2, p, true from q),
-hit as (select o.item_id, o.course_id, o.k, p.doc_id, p.source, sum(p.tf) as tf from one o join post p on (case when o.is_prefix then starts_with(p.term, o.term) else p.term = o.term end) group by o.item_id, o.course_id, o.k, p.doc_id, p.source),
-df as (select item_id, k, count(*) as df from hit group by item_id, k), need as (select item_id, count(*) as needed from one group by item_id),
-sc as (
-    select h.item_id as query_id, h.doc_id, count(*) as found,
-        sum(case when ln((n_docs - df + 0.5) / (df + 0.5)) > 0 then ln((n_docs - df + 0.5) / (df + 0.5)) else 1e-6 end * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / avg_len))) as score
-    from hit h join df on df.item_id = h.item_id and df.k = h.k join lens l on l.doc_id = h.doc_id, stats where h.source = h.course_id group by h.item_id, h.doc_id),
-r as (select s.*, row_number() over (partition by query_id order by round(score, 6) desc, doc_id) as rank from sc s join need n on n.item_id = s.query_id where found = needed)
+{_ALL_TERMS}
 select query_id, cast(rank as integer) as rank, doc_id as document_id, 'Document ' || cast(doc_id as varchar) as document_title, case when doc_id % 2 = 0 then 'note' else 'practice' end as document_kind, round(score, 4) as score from r where rank <= 20
+""",
+    "search_snippet": f"""{_ALL_TERMS},
+found as (
+    select r.query_id, r.rank, r.doc_id, q.a, q.p, list_filter(string_split_regex(d.text, '{_SPACE}'), lambda x: x <> '') as words from r join q on q.item_id = r.query_id join d on d.doc_id = r.doc_id where r.rank <= 20
+), m as (
+    select *, len(words) as n, list_transform(list_transform(words, lambda x: {TOKENS.format("x")}), lambda t: {{'a': a <> p and list_contains(t, a), 'p': len(list_filter(t, lambda y: starts_with(y, p))) > 0}}) as h from found
+), s as (select distinct query_id, doc_id, greatest(0, least(i - 3, n - 18)) as start from (select query_id, doc_id, n, h, unnest(generate_series(1, n)) as i from m) where h[i].a or h[i].p),
+c as (
+    select m.*, s.start, row_number() over (partition by m.query_id, m.doc_id order by cast(len(list_filter(h[s.start + 1:s.start + 18], lambda x: x.a)) > 0 as integer) + cast(len(list_filter(h[s.start + 1:s.start + 18], lambda x: x.p)) > 0 as integer) desc, s.start) as z
+    from s join m on m.query_id = s.query_id and m.doc_id = s.doc_id
+), t as (
+    select query_id, rank, doc_id, case when start > 0 then '…' else '' end || array_to_string(list_transform(range(start + 1, least(n, start + 18) + 1), lambda k: case when h[k].a or h[k].p then '<mark>' || words[k] || '</mark>' else words[k] end), ' ')
+        || case when start + 18 < n then '…' else '' end as snippet from c where z = 1
+)
+select query_id, cast(rank as integer) as rank, doc_id as document_id, snippet,
+    replace(replace(replace(replace(replace(replace(replace(snippet, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&#x27;'), '&lt;mark&gt;', '<mark>'), '&lt;/mark&gt;', '</mark>') as escaped from t
 """,
     "search_phrase_prefix": f"""
 with d as (select doc_id, source, coalesce(text, '') as text from documents where doc_id is not null and source is not null),
