@@ -7,11 +7,15 @@ score so far. Prefixes are looked up in the dictionary, by equality on a term's
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from scholia.functions import text as T
-from scholia.sources.materialise import few, materialised
+from scholia.sources.materialise import BROADCAST_ROWS, few, materialised
 
 from .index import column_tokens
 from .search import K1, B, idf, usable_range
@@ -21,6 +25,9 @@ BLOCK_ROWS, HEAD, SEEDS = 128, 2, 4
 TABLES = ("rows", "stats", "dictionary", "blocks")
 #: Up to so many wanted terms are given to the scan as a filter, so that it skips what lies between them.
 PUSHED_TERMS = 2000
+#: Tokens that a task groups into blocks at a time (one block more at most).
+GROUPED_TOKENS = 1 << 20
+_BLOCKS = "term string, block long, top double, n long, p array<struct<ord:bigint,tf:int,impact:double>>, places array<array<int>>"
 
 
 def _impact(tf: Column, length: Column, avg_len: Column) -> Column:
@@ -28,35 +35,85 @@ def _impact(tf: Column, length: Column, avg_len: Column) -> Column:
     return tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / avg_len))
 
 
+def _grouped(rows: pa.Table) -> pa.RecordBatch:
+    """Postings of whole blocks: ``rows`` (scope, ord, len, avg_len, tokens) in order of ord."""
+    tokens = rows["tokens"].combine_chunks()
+    flat, lengths = tokens.flatten(), tokens.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+    row = np.repeat(np.arange(len(tokens)), lengths)
+    pos = np.arange(len(flat)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+    terms, scopes = flat.dictionary_encode(), rows["scope"].combine_chunks().dictionary_encode()
+    held = flat.is_valid().to_numpy(zero_copy_only=False)
+    row, pos = row[held], pos[held].astype(np.int32)
+    term = terms.indices.drop_null().to_numpy().astype(np.int64)
+    ords = rows["ord"].to_numpy()
+    first = ords[0] // BLOCK_ROWS if len(ords) else 0
+    key = ((ords // BLOCK_ROWS - first)[row] * len(scopes.dictionary) + scopes.indices.to_numpy()[row]) * max(1, len(terms.dictionary)) + term
+    order = np.argsort(key, kind="stable")  # rows and places stay in order
+    key, row, pos, term = key[order], row[order], pos[order], term[order]
+    posting = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (row[1:] != row[:-1])][: len(key)])
+    tf = np.diff(np.r_[posting, len(key)])
+    of, block_key = row[posting], key[posting]
+    block = np.flatnonzero(np.r_[True, block_key[1:] != block_key[:-1]][: len(block_key)])
+    impact = _impact(tf, rows["len"].to_numpy()[of], rows["avg_len"].to_numpy()[of])
+    ends = pa.array(np.r_[block, len(of)].astype(np.int32))
+    listed = pa.StructArray.from_arrays([pa.array(ords[of]), pa.array(tf.astype(np.int32)), pa.array(impact)], ["ord", "tf", "impact"])
+    places = pa.ListArray.from_arrays(pa.array(np.r_[posting, len(key)].astype(np.int32)), pa.array(pos))
+    lead = of[block]
+    return pa.RecordBatch.from_arrays(
+        [
+            scopes.dictionary.take(pa.array(scopes.indices.to_numpy()[lead])), terms.dictionary.take(pa.array(term[posting[block]])), pa.array(ords[lead] // BLOCK_ROWS),
+            pa.array(np.maximum.reduceat(impact, block) if len(block) else np.zeros(0)), pa.array(np.diff(np.r_[block, len(of)]).astype(np.int64)), pa.ListArray.from_arrays(ends, listed), pa.ListArray.from_arrays(ends, places),
+        ],
+        ["scope", "term", "block", "top", "n", "p", "places"],
+    )
+
+
+def _in_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Blocks of a task's rows, a bounded number of tokens at a time; a block that isn't complete waits for the next batch."""
+    waiting = None
+    for batch in batches:
+        rows = pa.Table.from_batches([batch])
+        rows = rows if waiting is None else pa.concat_tables([waiting, rows])
+        block = rows["ord"].to_numpy() // BLOCK_ROWS
+        starts = np.flatnonzero(np.r_[True, block[1:] != block[:-1]][: len(block)])
+        size = np.cumsum(np.r_[0, rows["tokens"].combine_chunks().value_lengths().fill_null(0).to_numpy(zero_copy_only=False)])
+        begin = 0
+        for end in starts[1:]:
+            if size[end] - size[begin] >= GROUPED_TOKENS or end == starts[-1]:
+                yield _grouped(rows.slice(begin, end - begin))
+                begin = end
+        waiting = rows.slice(begin)
+    if waiting is not None and len(waiting):
+        yield _grouped(waiting)
+
+
 def write_search_index(rows: DataFrame, path: str, keys: list[str], fields: list[str], keep: list[str] | None = None) -> None:
     """Build the index of ``rows`` (scope, the keys, the text fields, columns to keep) under ``path``. Statistics and terms belong to a scope: a book, or a library as a whole.
 
-    Texts are tokenised once. The tokens are written in order of their rows; lengths, postings and the dictionary are made from what is written.
+    Texts are tokenised once. The tokens are written in order of their rows; lengths, postings and the dictionary are made from what is written. Rows of a block lie in one file, so postings are grouped where
+    they are read and never shuffled. Numbers of rows rise with their keys; a file begins with a new block, so some numbers stay unused.
     """
     spark = rows.sparkSession
     order = ["scope", *keys]
     # tokens are made behind the exchange: finding its ranges runs what stands before it twice
     ranged = rows.select(*order, *(keep or []), *fields).repartitionByRange(*order).sortWithinPartitions(*order).withColumn("at", F.monotonically_increasing_id())
-    ranged.select(*order, *(keep or []), "at", column_tokens(*fields).alias("tokens")).write.parquet(f"{path}/tokens")
+    ranged.select(*order, *(keep or []), "at", column_tokens(*fields).alias("tokens")).withColumn("len", F.size(F.array_compact("tokens"))).write.parquet(f"{path}/tokens")
     placed = spark.read.parquet(f"{path}/tokens")
     part, index = F.shiftright("at", 33), F.col("at").bitwiseAND((1 << 33) - 1)
     held = {r["p"]: r["n"] for r in placed.groupBy(part.alias("p")).agg((F.max(index) + 1).alias("n")).collect()}  # a row for each partition
     starts, total = [], 0
     for p in range(max(held, default=0) + 1):
         starts.append(total)
-        total += held.get(p, 0)
-    numbered = placed.withColumn("ord", F.element_at(F.array(*map(F.lit, starts)), (part + 1).cast("int")).cast("long") + index).withColumn("len", F.size(F.array_compact("tokens")))
+        total += -(-held.get(p, 0) // BLOCK_ROWS) * BLOCK_ROWS
+    numbered = placed.withColumn("ord", F.element_at(F.array(*map(F.lit, starts)), (part + 1).cast("int")).cast("long") + index)
     numbered.select("ord", *order, *(keep or []), "len").write.parquet(f"{path}/rows")
     sizes = spark.read.parquet(f"{path}/rows")
     sizes.groupBy("scope").agg(F.count("*").alias("n_docs"), F.avg("len").alias("avg_len")).write.parquet(f"{path}/stats")
     stats = spark.read.parquet(f"{path}/stats")
-    each = numbered.select("scope", "ord", "len", F.posexplode("tokens").alias("pos", "term")).where("term is not null")
-    postings = each.groupBy("scope", "term", "ord", "len").agg(F.count("*").cast("int").alias("tf"), F.sort_array(F.collect_list("pos")).alias("positions"))
-    scored = postings.join(few(stats.select("scope", "avg_len")), "scope").withColumn("impact", _impact(F.col("tf"), F.col("len"), F.col("avg_len")))
-    # a block's postings of one term are bounded by its rows
-    blocks = scored.groupBy("scope", "term", F.expr(f"ord div {BLOCK_ROWS}").alias("block")).agg(F.max("impact").alias("top"), F.count("*").alias("n"), F.sort_array(F.collect_list(F.struct("ord", "tf", "impact", "positions"))).alias("x"))
+    scored = numbered.join(few(stats.select("scope", "avg_len")), "scope").select("scope", F.col("ord").cast("long").alias("ord"), F.col("len").cast("long").alias("len"), "avg_len", "tokens")
+    # a file that is read by several tasks may cut a block in two: both parts count, and the bounds of both are added
+    blocks = scored.mapInArrow(_in_blocks, f"scope {scored.schema['scope'].dataType.simpleString()}, {_BLOCKS}")
     # places are a column of their own: only phrases read them
-    blocks = blocks.select("scope", "term", "block", "top", "n", F.transform("x", lambda x: x.dropFields("positions")).alias("p"), F.col("x.positions").alias("places"))
     # every file is sorted by term, so a scan for some terms skips most of each
     blocks.sortWithinPartitions("scope", "term", "block").write.parquet(f"{path}/blocks")
     terms = spark.read.parquet(f"{path}/blocks").groupBy("scope", "term").agg(F.sum("n").alias("df"))
@@ -88,13 +145,28 @@ def _of_terms(blocks: DataFrame, terms: DataFrame) -> DataFrame:
     return blocks.where(F.col("term").isin(names)) if len(names) <= PUSHED_TERMS else blocks
 
 
-def _phrases(blocks: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(query_id, slot, ord, tf) of phrases: ``wanted`` has query_id, slot, parts, at, scope, term, one row for each token of a phrase (several where its last token is a prefix)."""
-    met = _of_terms(blocks, wanted).join(few(wanted), ["scope", "term"]).select("query_id", "slot", "parts", "at", F.explode(F.arrays_zip("p", "places")).alias("x"))
-    # every token votes for the place where its phrase would begin; a place with all votes is an occurrence
-    begun = met.select("query_id", "slot", "parts", "at", "x.p.ord", F.explode("x.places").alias("pos")).withColumn("start", F.col("pos") - F.col("at"))
-    whole = begun.groupBy("query_id", "slot", "parts", "ord", "start").agg(F.count_distinct("at").alias("votes")).where("votes = parts")
-    return whole.groupBy("query_id", "slot", "ord").agg(F.count("*").cast("int").alias("tf"))
+def _of_prefixes(blocks: DataFrame, prefixes: DataFrame) -> DataFrame:
+    """Blocks of the terms that begin with ``prefixes`` (scope, prefix and other columns). The prefixes go to the blocks, not the terms they stand for: those grow with the vocabulary."""
+    return terms_of_prefixes(blocks.withColumn("head", F.substring("term", 1, HEAD)), prefixes)
+
+
+def _phrases(met: DataFrame) -> DataFrame:
+    """(query_id, slot, ord, tf) of phrases: ``met`` has query_id, slot, parts, at, p, places, the blocks of each token of a phrase (of several terms where its last token is a prefix)."""
+    each = met.select("query_id", "slot", "parts", "at", F.explode(F.arrays_zip("p", "places")).alias("x"))
+    # every token votes for the place where its phrase would begin; a place holds one token, so a place with all votes is an occurrence
+    votes = each.select("query_id", "slot", "parts", F.col("x.p.ord").alias("ord"), F.transform("x.places", lambda pos: pos - F.col("at")).alias("starts"))
+    cast = votes.groupBy("query_id", "slot", "parts", "ord").agg(F.sort_array(F.flatten(F.collect_list("starts"))).alias("s")).where("size(s) >= parts")
+    whole = F.expr("size(filter(s, (x, i) -> i + parts <= size(s) and get(s, i + parts - 1) = x))")
+    return cast.select("query_id", "slot", "ord", whole.alias("tf")).where("tf > 0")
+
+
+def _within(met: DataFrame, pairs: DataFrame) -> DataFrame:
+    """``met`` in these (query_id, block) if so few that they can be broadcast, else all of it: postings never move to meet pairs. Whatever is read beyond them is left out afterwards."""
+    return met.join(F.broadcast(pairs), ["query_id", "block"]) if _is_few(pairs) else met
+
+
+def _is_few(rows: DataFrame) -> bool:
+    return rows.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
 
 
 def _slots(queries: DataFrame, terms: Column) -> DataFrame:
@@ -125,7 +197,8 @@ class BlockSearch:
         self.extra = None
         if several.limit(1).count():
             of_slot = several.select("query_id", "scope", "slot").distinct()
-            self.extra = materialised(_weighted(index, _phrases(index["blocks"], several), of_slot).withColumn("block", F.expr(f"ord div {BLOCK_ROWS}")))
+            met = _of_terms(index["blocks"], several).join(few(several), ["scope", "term"])
+            self.extra = materialised(_weighted(index, _phrases(met), of_slot).withColumn("block", F.expr(f"ord div {BLOCK_ROWS}")))
         self.blocks = _of_terms(index["blocks"], self.terms)
         bounds = self.blocks.select("scope", "term", "block", "top").join(few(self.terms), ["scope", "term"]).select("query_id", "block", (F.col("weight") * F.col("top")).alias("most"))
         if self.extra is not None:
@@ -133,12 +206,14 @@ class BlockSearch:
         #: (query_id, block, bound): no row of the block can score more than bound
         self.bounds = materialised(bounds.groupBy("query_id", "block").agg(F.sum("most").alias("bound")))
 
-    def scores(self, pairs: DataFrame) -> DataFrame:
-        """(query_id, ord, score) of all rows in these (query_id, block) that hold a term."""
-        met = self.blocks.select("scope", "term", "block", "p").join(few(self.terms), ["scope", "term"]).join(few(pairs), ["query_id", "block"]).select("query_id", "weight", F.explode("p").alias("x"))
-        parts = met.select("query_id", "x.ord", (F.col("weight") * F.col("x.impact")).alias("s"))
-        if self.extra is not None:
-            parts = parts.unionByName(self.extra.join(few(pairs), ["query_id", "block"]).select("query_id", "ord", "s"))
+    def scores(self, pairs: DataFrame | None = None) -> DataFrame:
+        """(query_id, ord, score) of all rows in these (query_id, block), or in all, that hold a term. A file's terms of a row are added before anything is shuffled."""
+        met, extra = self.blocks.select("scope", "term", "block", "p").join(few(self.terms), ["scope", "term"]), self.extra
+        if pairs is not None:
+            met, extra = met.join(few(pairs), ["query_id", "block"]), extra if extra is None else extra.join(few(pairs), ["query_id", "block"])
+        parts = met.select("query_id", "weight", F.explode("p").alias("x")).select("query_id", "x.ord", (F.col("weight") * F.col("x.impact")).alias("s"))
+        if extra is not None:
+            parts = parts.unionByName(extra.select("query_id", "ord", "s"))
         return parts.groupBy("query_id", "ord").agg(F.sum("s").alias("score"))
 
     def top(self, limit: int, ranges: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
@@ -151,8 +226,7 @@ class BlockSearch:
             spans = self.index["rows"].groupBy(F.expr(f"ord div {BLOCK_ROWS}").alias("block")).agg(F.min("page_start").alias("first"), F.max("page_end").alias("last"))
             bounds = bounds.join(few(ranges), "query_id").join(spans, "block").where("last >= lo and first <= hi").select("query_id", "block", "bound")
 
-        def scored(pairs: DataFrame) -> DataFrame:
-            found = self.scores(pairs)
+        def in_ranges(found: DataFrame) -> DataFrame:
             if ranges is None:
                 return found
             pages = self.index["rows"].select("ord", "page_start", "page_end")
@@ -160,13 +234,20 @@ class BlockSearch:
 
         best = Window.partitionBy("query_id").orderBy(F.col("bound").desc(), "block")
         first = materialised(bounds.withColumn("n", F.row_number().over(best)).where(F.col("n") <= SEEDS).select("query_id", "block", "bound"))
-        seeds = materialised(scored(first.select("query_id", "block")))
+        seeds = materialised(in_ranges(self.scores(first.select("query_id", "block"))))
         order = Window.partitionBy("query_id").orderBy(F.round("score", 6).desc(), "ord")
         reached = seeds.withColumn("rank", F.row_number().over(order)).where(F.col("rank") == limit).select("query_id", F.col("score").alias("least"))
         # a score that rounds to the same six decimals may still win by its smaller row
         left = bounds.join(first.select("query_id", "block"), ["query_id", "block"], "left_anti").join(few(reached), "query_id", "left").where("least is null or bound >= least - 0.000002")
         rest = materialised(left.select("query_id", "block"))
-        found = seeds.unionByName(scored(rest)).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit)
+        if _is_few(rest):
+            more = self.scores(rest)
+        else:
+            # so many blocks aren't sent to the postings, nor postings to them: all are scored, and rows that are seeds or stay below the k-th score so far fall away
+            rest = bounds.select("query_id", "block").join(first.select("query_id", "block"), ["query_id", "block"], "left_anti")
+            scored = self.scores().join(few(reached), "query_id", "left").where("least is null or score >= least - 0.000002")
+            more = scored.withColumn("block", F.expr(f"ord div {BLOCK_ROWS}")).join(few(first.select("query_id", "block")), ["query_id", "block"], "left_anti").select("query_id", "ord", "score")
+        found = seeds.unionByName(in_ranges(more)).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit)
         joined = first.select("query_id", "block").unionByName(rest).groupBy("query_id").agg(F.count("*").alias("read"))
         return found, bounds.groupBy("query_id").agg(F.count("*").alias("blocks")).join(joined, "query_id")
 
@@ -197,16 +278,19 @@ def all_terms_top(index: dict[str, DataFrame], queries: DataFrame, limit: int =
     slots = materialised(slots.join(few(queries.select("query_id", "course_id")), "query_id"))
     need = slots.groupBy("query_id").agg(F.count("*").alias("needed"))
     # prefixes and phrases lead: their rows are made from postings, since no df is stored for them. A query without any is led by its last term. Queries share what is the same in them
-    leading = slots.where("leads").select(F.col("key").alias("query_id"), "scope", F.lit(0).alias("slot"), "tokens", "is_prefix").distinct()
+    leading = materialised(slots.where("leads").select(F.col("key").alias("query_id"), "scope", F.lit(0).alias("slot"), "tokens", "is_prefix").distinct())
     each = leading.select("query_id", "scope", "slot", F.size("tokens").alias("parts"), "is_prefix", F.posexplode("tokens").alias("at", "token"))
     begun = each.where("is_prefix and at = parts - 1").withColumnRenamed("token", "prefix")
-    widened = terms_of_prefixes(index["dictionary"], begun).select("query_id", "scope", "slot", "parts", "at", "term")
     whole = each.where("not (is_prefix and at = parts - 1)").select("query_id", "scope", "slot", "parts", "at", F.col("token").alias("term"))
-    made = materialised(widened.unionByName(whole))
-    lone = _of_terms(index["blocks"], made.where("parts = 1")).select("scope", "term", "p").join(few(made.where("parts = 1")), ["scope", "term"]).select("query_id", "slot", F.explode("p").alias("x"))
-    hits = lone.groupBy("query_id", "slot", "x.ord").agg(F.sum("x.tf").cast("int").alias("tf"))
-    if made.where("parts > 1").limit(1).count():
-        hits = hits.unionByName(_phrases(index["blocks"], made.where("parts > 1")))
+
+    def met(columns: list[str], parts: str) -> DataFrame:
+        shown = index["blocks"].select("scope", "term", "block", *columns)
+        named = _of_terms(shown, whole.where(parts)).join(few(whole.where(parts)), ["scope", "term"])
+        return _of_prefixes(shown, begun.where(parts)).select("query_id", "slot", "parts", "at", *columns).unionByName(named.select("query_id", "slot", "parts", "at", *columns))
+
+    hits = met(["p"], "parts = 1").select("query_id", "slot", F.explode("p").alias("x")).groupBy("query_id", "slot", "x.ord").agg(F.sum("x.tf").cast("int").alias("tf"))
+    if leading.where("size(tokens) > 1").limit(1).count():
+        hits = hits.unionByName(_phrases(met(["p", "places"], "parts > 1")))
     led = slots.where("leads").select("query_id", "slot", "key", "course_id")
     course = index["rows"].select("ord", F.col("course_id").alias("of_course"))
     scored = _weighted(index, materialised(hits), leading.select("query_id", "scope", "slot")).select(F.col("query_id").alias("key"), "ord", "s").join(course, "ord")
@@ -216,7 +300,7 @@ def all_terms_top(index: dict[str, DataFrame], queries: DataFrame, limit: int =
     known = materialised(known)
     rows = weighed.select("query_id", "ord").distinct()
     pairs = rows.select("query_id", F.expr(f"ord div {BLOCK_ROWS}").alias("block")).distinct()
-    met = _of_terms(index["blocks"], known).join(few(known), ["scope", "term"]).join(few(materialised(pairs)), ["query_id", "block"]).select("query_id", "slot", "weight", F.explode("p").alias("x"))
+    met = _within(_of_terms(index["blocks"], known).select("scope", "term", "block", "p").join(few(known), ["scope", "term"]), materialised(pairs)).select("query_id", "slot", "weight", F.explode("p").alias("x"))
     others = met.select("query_id", "slot", "x.ord", (F.col("weight") * F.col("x.impact")).alias("s")).join(rows, ["query_id", "ord"], "left_semi")
     summed = weighed.unionByName(others.select("query_id", "slot", "ord", "s")).groupBy("query_id", "ord").agg(F.sum("s").alias("score"), F.count("*").alias("found"))
     order = Window.partitionBy("query_id").orderBy(F.round("score", 6).desc(), "ord")

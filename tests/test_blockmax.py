@@ -101,3 +101,32 @@ def test_snippets_equal_windows(spark):
     for width in (18, 4):
         got = {r["i"]: r["s"] for r in rows.select("i", S.snippet(F.col("body"), listed, width).alias("s")).collect()}
         assert got == {i: plain_snippet(b, terms, width) for i, b in enumerate(bodies)}
+
+
+def test_many_blocks_are_scored_without_meeting_pairs(spark, library, monkeypatch):
+    """Where too many blocks are left to broadcast, all postings are scored where they are; results stay."""
+    chunks, index = library
+    q = cards(spark).withColumnRenamed("book_id", "scope")
+    same = lambda df: sorted((r["query_id"], r["rank"], r["chunk_id"], round(r["score"], 5)) for r in df.collect())
+    want = same(X.bm25_top(index, q, 2))
+    monkeypatch.setattr(X, "SEEDS", 1)
+    monkeypatch.setattr(X, "BROADCAST_ROWS", 0)
+    assert same(X.bm25_top(index, q, 2)) == want
+
+
+def test_a_block_is_grouped_where_it_is_read(spark, library):
+    """All postings of a block lie in one file, so they were never dealt out by term."""
+    _, index = library
+    files = index["blocks"].select("block", F.input_file_name().alias("file")).groupBy("block").agg(F.count_distinct("file").alias("n"))
+    assert files.where("n > 1").count() == 0 and files.count() > 5
+
+
+def test_grouping_goes_on_over_batches():
+    import pyarrow as pa
+
+    rows = [("s", i, 3, 3.0, ["a", None, "b", "a"]) for i in range(X.BLOCK_ROWS + 5)]
+    table = pa.table({n: pa.array(c) for n, c in zip(("scope", "ord", "len", "avg_len", "tokens"), zip(*rows))})
+    made = [r for b in X._in_blocks(iter(table.to_batches(max_chunksize=50))) for r in b.to_pylist()]
+    assert sorted((r["term"], r["block"], r["n"]) for r in made) == [("a", 0, X.BLOCK_ROWS), ("a", 1, 5), ("b", 0, X.BLOCK_ROWS), ("b", 1, 5)]
+    first = next(r for r in made if r["term"] == "a" and r["block"] == 1)
+    assert [p["ord"] for p in first["p"]] == list(range(X.BLOCK_ROWS, X.BLOCK_ROWS + 5)) and first["p"][0]["tf"] == 2 and first["places"][0] == [0, 3]
