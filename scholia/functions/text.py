@@ -131,7 +131,8 @@ def query_terms_or(c: Column, max_terms: int = 24) -> Column:
 def query_terms_and_prefix(c: Column, max_terms: int = 12) -> Column:
     """Terms for precision as array<struct<term, is_prefix>>: all must occur, the last as a prefix. Length is tested after lower-casing."""
     terms = F.slice(F.array_distinct(F.filter(F.transform(_words(c), F.lower), lambda w: F.length(w) > 1)), 1, max_terms)
-    return F.transform(terms, lambda w, i: F.struct(w.alias("term"), (i == F.size(terms) - 1).alias("is_prefix")))
+    # the terms are named first: written out inside the lambda they would be made again for each term
+    return F.get(F.transform(F.array(terms), lambda all_terms: F.transform(all_terms, lambda w, i: F.struct(w.alias("term"), (i == F.size(all_terms) - 1).alias("is_prefix")))), F.lit(0))
 
 
 def is_agenda_title(title: Column) -> Column:

@@ -134,3 +134,10 @@ def test_python_strip_agrees(spark):
     for s in samples:
         got = one(spark, T.py_strip(F.col("t")), t=s)
         assert got == re.sub(r"^\s+|\s+$", "", s)
+
+
+def test_terms_are_made_once(spark):
+    """A text's words are cut once, not again for each term."""
+    rows = spark.createDataFrame([("One two one THREE",), ("",), ("a",)], "text string").select(T.query_terms_and_prefix(F.col("text")).alias("t"))
+    assert rows._jdf.queryExecution().analyzed().toString().count("regexp_replace") == 1
+    assert [[tuple(x) for x in r["t"]] for r in rows.collect()] == [[("one", False), ("two", False), ("three", True)], [], []]
