@@ -107,13 +107,18 @@ def retrieve_figures(figures: DataFrame, hits: DataFrame, limit: int = 6) -> Dat
     return sized.withColumn("figure_rank", F.row_number().over(order)).where(F.col("figure_rank") <= limit).select("query_id", "book_id", "number", "f.caption", "f.page", "f.bbox", "area", "figure_rank")
 
 
+def first_chunks(hits: DataFrame, cap: int = 24) -> DataFrame:
+    """(deck_id, book_id, chunk_id, position) of hits (deck_id, section_index, rank, book_id, chunk_id): each chunk of a deck once, the first ``cap`` in section order."""
+    first = hits.groupBy("deck_id", "book_id", "chunk_id").agg(F.min(F.struct("section_index", "rank")).alias("seen"))
+    order = Window.partitionBy("deck_id").orderBy("seen", "book_id", "chunk_id")
+    return first.withColumn("position", F.row_number().over(order)).where(F.col("position") <= cap).drop("seen")
+
+
 def collect_chunks(index: dict[str, DataFrame], cards: DataFrame, per_section: int = 2, cap: int = 24) -> DataFrame:
     """Chunks for a whole deck: the best ``per_section`` of every section (deck_id, section_index, book_id, text), each once, the first ``cap`` in section order."""
     keyed = cards.withColumn("query_id", F.concat_ws("/", "deck_id", "section_index"))
     hits = top_hits(score_queries(index, keyed), per_section).join(keyed.select("query_id", "deck_id", "section_index"), "query_id")
-    first = hits.groupBy("deck_id", "book_id", "chunk_id").agg(F.min(F.struct("section_index", "rank")).alias("seen"))
-    order = Window.partitionBy("deck_id").orderBy("seen", "book_id", "chunk_id")
-    return first.withColumn("position", F.row_number().over(order)).where(F.col("position") <= cap).drop("seen").join(index["chunks"], ["book_id", "chunk_id"])
+    return first_chunks(hits, cap).join(index["chunks"], ["book_id", "chunk_id"])
 
 
 def search_books(index: dict[str, DataFrame], queries: DataFrame, limit: int = 5) -> DataFrame:

@@ -133,3 +133,10 @@ def test_practice_exam_needs_a_paper_and_questions(spark):
     questions, status = N.practice_exam(slides.withColumn("is_divider", F.lit(False)), X.deck_sections(X.section_deck(slides)), titles, decks, exams, I.build_bm25_index(chunks), answer)
     assert marked.count() == 9 and [(r["deck_id"], r["number"], r["prompt"]) for r in questions.collect()] == [("good", 1, "Why?")]
     assert {r["deck_id"]: (r["status"], r["error"]) for r in status.collect()} == {"good": ("ok", None), "mute": ("failed", "no question was produced"), "bare": ("failed", "the exam has no text")}
+
+
+def test_chunks_of_a_deck_come_from_any_hits(spark):
+    """A deck's chunks are taken from hits, wherever those were scored: each once, in section order, up to the cap."""
+    hits = spark.createDataFrame([("d", 1, 1, "b", 7), ("d", 0, 2, "b", 7), ("d", 0, 1, "b", 9), ("d", 2, 1, "b", 3), ("e", 0, 1, "b", 7)], "deck_id string, section_index int, rank int, book_id string, chunk_id int")
+    got = sorted((r["deck_id"], r["position"], r["chunk_id"]) for r in S.first_chunks(hits, 2).collect())
+    assert got == [("d", 1, 9), ("d", 2, 7), ("e", 1, 7)]
