@@ -141,3 +141,14 @@ def test_terms_are_made_once(spark):
     rows = spark.createDataFrame([("One two one THREE",), ("",), ("a",)], "text string").select(T.query_terms_and_prefix(F.col("text")).alias("t"))
     assert rows._jdf.queryExecution().analyzed().toString().count("regexp_replace") == 1
     assert [[tuple(x) for x in r["t"]] for r in rows.collect()] == [[("one", False), ("two", False), ("three", True)], [], []]
+
+
+def test_pages_are_cleaned_once(spark):
+    """A filter on cleaned text stands above its making, so that texts aren't cleaned for the filter too; cuts are those of the patterns alone."""
+    from scholia.operators.chunks import clean_pages
+
+    texts = ["1.1 Intro 12 1.2 More 13 1.3 Else 14 1.4 Last 15 end", "x " + "12 " * 14 + "y", "a SP SP b", "int,SP xSP ySP z", "plain 3.5 7 8", "٣ " * 13 + "٣", None, " \n "]
+    pages = spark.createDataFrame([("b", i, t) for i, t in enumerate(texts)], "book_id string, page_no int, text string")
+    got = clean_pages(pages).where("text != ''")
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("{11,}") == 1
+    assert {r["page_no"]: r["text"] for r in got.collect()} == {0: "end", 1: "x y", 2: "a b", 3: "int, x y z", 4: "plain 3.5 7 8"}
