@@ -155,3 +155,19 @@ def test_requests_from_a_stored_index_equal_those_from_memory(spark, tmp_path):
     decks = spark.createDataFrame([(1, "k")], "deck_id long, book_id string")
     got, want = (N.prepare_requests(sections, decks, index, limit=3).orderBy("section_index").collect() for index in (stored, I.build_bm25_index(chunks)))
     assert got == want and [len(r["chunks"] or []) for r in got] == [3, 3, 0]
+
+
+def test_postings_are_made_without_moving_tokens(spark, monkeypatch):
+    import pyarrow as pa
+
+    rows = spark.createDataFrame([(1, "a b a", "b c"), (2, None, ""), (3, "c_a c", None)], "id long, text string, title string")
+    made = I.postings_of(rows, ["id"], "text", "title")
+    assert "Exchange" not in made._jdf.queryExecution().executedPlan().toString()
+    got = sorted(tuple(r) for r in made.collect())
+    assert got == [(1, "a", 2, [0, 2]), (1, "b", 2, [1, 4]), (1, "c", 1, [5]), (3, "a", 1, [1]), (3, "c", 2, [0, 2])]
+    named = I.postings_of(rows, ["id"], "text", "title", terms=spark.createDataFrame([("c",), ("c",)], "term string"))
+    assert sorted(tuple(r) for r in named.collect()) == [(1, "c", 1, [5]), (3, "c", 2, [0, 2])]
+    monkeypatch.setattr(I, "GROUPED_TOKENS", 3)
+    batch = pa.RecordBatch.from_pylist([{"id": 1, "tokens": ["x", None, "y", "x"]}, {"id": 2, "tokens": None}, {"id": 3, "tokens": ["y"]}, {"id": 4, "tokens": ["x", "z", "x"]}], schema=pa.schema([("id", pa.int64()), ("tokens", pa.list_(pa.string()))]))
+    parts = list(I._row_postings(iter([batch])))
+    assert len(parts) > 1 and [tuple(r.values()) for part in parts for r in part.to_pylist()] == [(1, "x", 2, [0, 3]), (1, "y", 1, [2]), (3, "y", 1, [0]), (4, "x", 2, [0, 2]), (4, "z", 1, [1])]
