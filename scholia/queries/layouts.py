@@ -13,13 +13,17 @@ from .roles import table
 
 
 def _words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A document is a page with nine words to a line; tops waver inside a line, and the first two lines are larger."""
+    """Pages with their words: a document is a page with nine words to a line; tops waver inside a line, and the first two lines are larger."""
     docs = table(spark, sf_dir, "documents").where("doc_id is not null")
     split = F.filter(F.split(F.coalesce("text", F.lit("")), r"[ \t\n\r]+"), lambda w: w != "")
-    w = docs.select("doc_id", F.posexplode(split).alias("i", "text")).withColumn("line", F.expr("i div 9"))
-    top = 100.0 + 12.0 * F.col("line") + 0.5 * (F.col("i") % 3)
-    size = F.when(F.col("line") == 0, 14.0).when(F.col("line") == 1, F.when(F.col("doc_id") % 2 == 0, 13.5).otherwise(12.0)).otherwise(9.0)
-    return w.select("doc_id", F.lit(0).alias("page_no"), "text", (50.0 * (F.col("i") % 9)).alias("x0"), (50.0 * (F.col("i") % 9) + 40).alias("x1"), top.alias("top"), (top + 9).alias("bottom"), size.alias("size"))
+
+    def word(text: F.Column, i: F.Column) -> F.Column:
+        line = F.floor(i / 9).cast("int")
+        top, x0 = 100.0 + 12.0 * line + 0.5 * (i % 3), 50.0 * (i % 9)
+        size = F.when(line == 0, 14.0).when(line == 1, F.when(F.col("doc_id") % 2 == 0, 13.5).otherwise(12.0)).otherwise(9.0)
+        return F.struct(x0.alias("x0"), (x0 + 40).alias("x1"), top.alias("top"), (top + 9).alias("bottom"), size.alias("size"), text.alias("text"))
+
+    return docs.select("doc_id", F.lit(0).alias("page_no"), F.transform(split, word).alias("words"))
 
 
 def _objects(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -80,14 +84,13 @@ def captioned_figures(spark: SparkSession, sf_dir: str) -> DataFrame:
     number = F.concat((F.col("doc_id") % 9 + 1).cast("string"), F.lit("."), (F.col("doc_id") % 50).cast("string"))
     half = F.ceil(F.size("w") / 2).cast("int")
 
-    def words(rows: DataFrame, texts: F.Column, top: float, size: float, x0: float) -> DataFrame:
-        w = rows.select("doc_id", F.posexplode(texts).alias("i", "text"))
-        return w.select("doc_id", page, "text", (x0 + 40.0 * F.col("i")).alias("x0"), (x0 + 35.0 + 40.0 * F.col("i")).alias("x1"), F.lit(top).alias("top"), F.lit(top + 8).alias("bottom"), F.lit(size).alias("size"))
+    def words(texts: F.Column, top: float, size: float, x0: float) -> F.Column:
+        return F.transform(texts, lambda t, i: F.struct((x0 + 40.0 * i).alias("x0"), (x0 + 35.0 + 40.0 * i).alias("x1"), F.lit(top).alias("top"), F.lit(top + 8).alias("bottom"), F.lit(size).alias("size"), t.alias("text")))
 
-    below, beside = docs.where("not beside"), docs.where("beside")
     named, label = F.array(head, number), F.array(F.lit("label"))
-    all_words = words(below, F.concat(named, F.slice("w", 1, half)), 330.0, 8.0, 100.0).unionByName(words(below, F.slice("w", half + 1, F.size("w")), 342.0, 8.0, 100.0)).unionByName(words(beside, F.concat(named, "w"), 230.0, 8.0, 20.0))
-    all_words = all_words.unionByName(words(below, label, 185.0, 7.0, 60.0)).unionByName(words(beside, label, 185.0, 7.0, 310.0)).unionByName(words(docs, F.array(F.lit("running"), F.lit("text")), 500.0, 11.0, 100.0))
+    below = F.concat(words(F.concat(named, F.slice("w", 1, half)), 330.0, 8.0, 100.0), words(F.slice("w", half + 1, F.size("w")), 342.0, 8.0, 100.0), words(label, 185.0, 7.0, 60.0))
+    beside = F.concat(words(F.concat(named, "w"), 230.0, 8.0, 20.0), words(label, 185.0, 7.0, 310.0))
+    all_words = docs.select("doc_id", page, F.concat(F.when(F.col("beside"), beside).otherwise(below), words(F.array(F.lit("running"), F.lit("text")), 500.0, 11.0, 100.0)).alias("words"))
     strokes = docs.select("doc_id", F.when(F.col("beside"), 210.0).otherwise(0.0).alias("shift"), F.explode(F.sequence(F.lit(0), F.lit(9))).alias("k"))
     objects = strokes.select("doc_id", page, F.lit("line").alias("kind"), (90.0 + F.col("shift") + F.col("k")).alias("x0"), (200.0 + F.col("shift") + F.col("doc_id") % 100 + F.col("k")).alias("x1"), (200.0 + 10.0 * F.col("k")).alias("top"), (205.0 + 10.0 * F.col("k")).alias("bottom"))
     boxes = docs.select("doc_id", page, F.lit(10.0).alias("x0"), F.lit(20.0).alias("y0"), F.lit(610.0).alias("x1"), F.lit(820.0).alias("y1"))

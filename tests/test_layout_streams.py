@@ -128,3 +128,18 @@ def test_lines_of_a_page_take_one_step_a_word():
     none = pa.StructArray.from_arrays([pa.array([None, None, 1.0, 3.0, 3.6, float("nan"), float("nan")], pa.float64()), pa.array([9.0] * 7), pa.array(list("abcdefg"))], ["top", "size", "text"])
     batch = pa.RecordBatch.from_arrays([pa.array([1, 2]), pa.array([0, 0], pa.int32()), pa.ListArray.from_arrays(pa.array([0, 7, 7], pa.int32()), none)], ["doc_id", "page_no", "words"])
     assert pa.Table.from_batches(L._lines_of(iter([batch])))["texts"].to_pylist() == [["a", "b"], ["c", "d"], ["e"], ["f", "g"]]
+
+
+def test_pages_of_words_give_what_single_words_give_without_a_shuffle(spark):
+    words = [(1, 0, t, x, x + 30.0, top, top and top + 8, z) for t, x, top, z in (("Figure", 90.0, 300.0, 8.0), ("6.5", 125.0, 300.4, 8.0), ("A", 160.0, 300.2, 8.0), ("b", 90.0, 312.0, 8.0), ("b", 90.0, 312.0, 8.0), ("big", 125.0, 312.0, 12.0), ("?", 160.0, None, None), ("label", 95.0, 185.0, 7.0))]
+    rows = spark.createDataFrame([*words, (2, 0, "alone", 1.0, 2.0, 3.0, 4.0, 9.0)], "doc_id long, page_no int, text string, x0 double, x1 double, top double, bottom double, size double")
+    pages = rows.groupBy("doc_id", "page_no").agg(F.collect_list(F.struct(*L.WORD)).alias("words")).union(spark.createDataFrame([(3, 0, [])], "doc_id long, page_no int, words array<struct<x0:double,x1:double,top:double,bottom:double,size:double,text:string>>")).localCheckpoint()
+    objects = spark.createDataFrame([(d, 0, "line", 90.0 + k, 200.0 + k, 200.0 + 9 * k, 204.0 + 9 * k) for d in (1, 2, 3) for k in range(10)], "doc_id long, page_no int, kind string, x0 double, x1 double, top double, bottom double")
+    boxes = spark.createDataFrame([(d, 0, 0.0, 0.0, 600.0, 800.0) for d in (1, 2, 3)], "doc_id long, page_no int, x0 double, y0 double, x1 double, y1 double")
+    lines = L.assemble_lines(pages)
+    assert "Exchange" not in lines._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(str, lines.collect())) == sorted(map(str, L.assemble_lines(rows).collect()))
+    assert {(r["doc_id"], r["row"]): r["text"] for r in lines.collect()} == {(1, 100): "Figure 6.5 A", (1, 104): "b b big", (1, None): "?", (1, 62): "label", (2, 1): "alone"}
+    assert sorted(L.extract_title(pages).collect()) == sorted(L.extract_title(rows).collect())
+    found = L.find_figures(pages, objects, boxes).collect()
+    assert found == L.find_figures(rows, objects, boxes).collect() and [(r["number"], r["caption"]) for r in found] == [("6.5", "A b b")]
