@@ -101,16 +101,20 @@ def usage_of_logs(lines: DataFrame) -> DataFrame:
     """(log_id, input_tokens, output_tokens, cache_read_tokens, calls): the last object of a log, at any depth, that has input and output tokens. ``lines`` has log_id, line_no, line.
 
     Objects are visited in the order of the text, an object before what it holds. Lines that aren't JSON are passed over; a log without such an object has zeros. Descends level by level, one job
-    for each, and only into values that name both counters.
+    for each, and only into values that name both counters. What is parsed comes out of a generator: filters on it would parse each text again, once for each mention.
     """
-    level = lines.select("log_id", "line_no", F.lit("").alias("kind"), F.array().cast("array<int>").alias("path"), F.col("line").alias("json")).where(_NAMES_BOTH.format("line"))
-    level = level.withColumn("kind", F.schema_of_variant(F.try_parse_json("json"))).where("kind is not null")
+
+    def parsed(rows: DataFrame, name: str, value: F.Column) -> DataFrame:
+        return rows.select(*[c for c in rows.columns if c != name], F.explode(F.array(value)).alias(name))
+
+    level = lines.select("log_id", "line_no", F.array().cast("array<int>").alias("path"), F.col("line").alias("json")).where(_NAMES_BOTH.format("line"))
+    level = parsed(level, "kind", F.schema_of_variant(F.try_parse_json("json")))
     seen = None
     while True:
         level = materialised(level.where("kind like 'OBJECT%' or kind like 'ARRAY%'"))
         if not level.limit(1).count():
             break
-        objects = level.where("kind like 'OBJECT%'").withColumn("fields", F.from_json("json", "map<string,string>"))
+        objects = parsed(level.where("kind like 'OBJECT%'"), "fields", F.from_json("json", "map<string,string>"))
         has = objects.where(F.array_contains(F.map_keys("fields"), "input_tokens") & F.array_contains(F.map_keys("fields"), "output_tokens")).select("log_id", F.struct("line_no", "path").alias("at"), "fields")
         best = has.groupBy("log_id").agg(F.max_by("fields", "at").alias("fields"), F.max("at").alias("at"))
         seen = best if seen is None else seen.unionByName(best)
@@ -118,7 +122,8 @@ def usage_of_logs(lines: DataFrame) -> DataFrame:
         members = objects.select("log_id", "line_no", "path", F.map_values("fields").alias("texts"), F.map_values(F.from_json("json", "map<string,variant>")).alias("values"))
         items = level.where("kind like 'ARRAY%'").select("log_id", "line_no", "path", F.from_json("json", "array<string>").alias("texts"), F.from_json("json", "array<variant>").alias("values"))
         both = members.unionByName(items).select("log_id", "line_no", "path", F.posexplode(F.arrays_zip("texts", "values")).alias("i", "x"))
-        level = both.where(_NAMES_BOTH.format("x.texts")).select("log_id", "line_no", F.schema_of_variant("x.values").alias("kind"), F.concat("path", F.array("i")).alias("path"), F.col("x.texts").alias("json"))
+        named = both.where(_NAMES_BOTH.format("x.texts")).select("log_id", "line_no", F.concat("path", F.array("i")).alias("path"), F.col("x.texts").alias("json"), F.col("x.values").alias("value"))
+        level = parsed(named, "kind", F.schema_of_variant("value")).drop("value")
     logs = lines.select("log_id").distinct()
     if seen is None:
         last = logs.withColumn("fields", F.lit(None).cast("map<string,string>"))
