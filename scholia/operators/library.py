@@ -7,7 +7,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from scholia.functions.scalars import short_hash
+from scholia.sources.materialise import few
 
+#: A task brings together this many rows on average at most, so that what it sorts and counts doesn't grow with the table.
+TASK_ROWS = 2_000_000
 MATERIAL_KINDS = ("lecture", "book", "exam")
 DOCUMENT_KINDS = ("note", "practice")
 
@@ -109,11 +112,26 @@ def replace_by_key(existing: DataFrame, incoming: DataFrame, key: str) -> DataFr
     return existing.join(incoming.select(key).distinct(), key, "left_anti").unionByName(incoming.select(*existing.columns))
 
 
+def task_partitions(*tables: DataFrame) -> int:
+    """The session's number of shuffle partitions, or as many as leave a task TASK_ROWS rows of the largest table; 0 where one task can take them all."""
+    most = max(t.count() for t in tables)
+    return 0 if most <= TASK_ROWS else max(int(tables[0].sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-most // TASK_ROWS))
+
+
 def delete_documents(documents: DataFrame, doc_sections: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(documents, search rows, output paths to remove)."""
-    gone = documents.join(ids.select("id"), "id", "left_semi")
+    """(documents, search rows, output paths to remove).
+
+    Search rows of large tables come dealt by document into partitions whose number follows the rows: Spark merges partitions by their compressed bytes, and bare ids
+    compress so well that a task would get tens of millions of them.
+    """
+    listed, parts = ids.select("id"), task_partitions(documents, doc_sections)
+    if parts:
+        small = few(listed)
+        listed = small if small is not listed else listed.repartition(parts, "id").hint("merge")
+    gone = documents.join(listed, "id", "left_semi")
     paths = gone.select(F.explode(F.array_compact(F.array("pdf_path", "md_path", "doc_path", "html_path"))).alias("path"))
-    return documents.join(ids.select("id"), "id", "left_anti"), doc_sections.join(ids.select(F.col("id").alias("document_id")), "document_id", "left_anti"), paths
+    rows = doc_sections.join(listed.withColumnRenamed("id", "document_id"), "document_id", "left_anti")
+    return documents.join(listed, "id", "left_anti"), rows.repartition(parts, "document_id") if parts else rows, paths
 
 
 def evolve_schema(df: DataFrame, schema: StructType, defaults: dict[str, object] | None = None) -> DataFrame:

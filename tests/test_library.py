@@ -1,5 +1,6 @@
 """Library maintenance, results, estimates, sources."""
 
+import pytest
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
@@ -200,3 +201,17 @@ def test_sources(spark, tmp_path):
     assert [(r["title"], r["level"], r["page_idx"]) for r in flat] == [("A", 0, 0), ("A1", 1, 1), ("B", 0, 5)]
     good, bad = T.validate_manifest(spark.createDataFrame([("x", "a.pdf", 10), ("x", "../b.pdf", 10), ("y", "c.pdf", 10**9)], "batch_id string, name string, size long"))
     assert [r["name"] for r in good.collect()] == ["a.pdf"] and {r["error"] for r in bad.collect()} == {"unsafe name", "batch too large"}
+
+
+@pytest.mark.parametrize("broadcast", [True, False])
+def test_search_rows_of_deleted_documents_meet_in_small_tasks(spark, monkeypatch, broadcast):
+    monkeypatch.setattr(L, "TASK_ROWS", 500, raising=False)
+    if not broadcast:
+        monkeypatch.setattr(L, "few", lambda df: df, raising=False)
+    documents = spark.range(3000).select("id", *[F.concat(F.col("id").cast("string"), F.lit(e)).alias(f"{e}_path") for e in ("pdf", "md", "doc", "html")])
+    sections = spark.range(12000).select((F.col("id") % 3000).alias("document_id"), F.col("id").alias("row"))
+    kept, rows, paths = L.delete_documents(documents, sections, documents.where("id % 4 = 1").select("id"))
+    assert max(r["count"] for r in rows.groupBy(F.spark_partition_id()).count().collect()) <= 1000
+    assert rows.columns == sections.columns and sorted(r["row"] for r in rows.collect()) == [i for i in range(12000) if i % 3000 % 4 != 1]
+    assert sorted(r["id"] for r in kept.collect()) == [i for i in range(3000) if i % 4 != 1]
+    assert sorted(r["path"] for r in paths.collect()) == sorted(f"{i}{e}" for i in range(1, 3000, 4) for e in ("pdf", "md", "doc", "html"))
