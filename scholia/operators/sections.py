@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from scholia.functions import text as T
@@ -58,11 +58,13 @@ def section_runs(pages: DataFrame, page_map: DataFrame) -> DataFrame:
 
 
 def mark_dividers(slides: DataFrame) -> DataFrame:
-    """``slides`` (deck_id, number, title, text, ...) with is_divider: an agenda title, or a body over 40 characters that repeats in the deck."""
-    body = T.py_strip(F.coalesce("text", F.lit("")))
-    repeats = F.count("*").over(Window.partitionBy("deck_id", body))
-    repeated = (F.length(body) > 40) & (repeats >= 2)
-    return slides.withColumn("is_divider", T.is_agenda_title(F.col("title")) | repeated)
+    """``slides`` (deck_id, number, title, text, ...) with is_divider: an agenda title, or a body over 40 characters that repeats in the deck.
+
+    Long bodies are compared by their SHA-256, so that no second copy of a text is sorted.
+    """
+    key = T.named(T.py_strip(F.coalesce("text", F.lit(""))), lambda body: F.when(F.length(body) > 40, F.sha2(body, 256)).otherwise(body))
+    repeated = (F.length("_body") > 40) & (F.count("*").over(Window.partitionBy("deck_id", "_body")) >= 2)
+    return slides.withColumn("_body", key).withColumn("is_divider", T.is_agenda_title(F.col("title")) | repeated).drop("_body")
 
 
 def build_sections(slides: DataFrame) -> DataFrame:
@@ -70,37 +72,39 @@ def build_sections(slides: DataFrame) -> DataFrame:
     order = Window.partitionBy("deck_id").orderBy("number")
     so_far = order.rowsBetween(Window.unboundedPreceding, 0)
     marked = slides.withColumn("_gap", F.sum(F.col("is_divider").cast("int")).over(so_far)).withColumn("_agenda", F.last(F.when(F.col("is_divider"), F.col("text")), ignorenulls=True).over(so_far))
-    blocks = marked.where("not is_divider").withColumn("section_index", (F.dense_rank().over(Window.partitionBy("deck_id").orderBy("_gap")) - 1).cast("int"))
-    return blocks.withColumn("agenda_context", F.coalesce("_agenda", F.lit(""))).drop("_gap", "_agenda")
+    # blocks are counted where the gap changes, in the order that the rows have already
+    content = marked.where("not is_divider").withColumn("_opens", F.coalesce((F.col("_gap") != F.lag("_gap").over(order)).cast("int"), F.lit(0)))
+    blocks = content.withColumn("section_index", F.sum("_opens").over(so_far).cast("int"))
+    return blocks.withColumn("agenda_context", F.coalesce("_agenda", F.lit(""))).drop("_gap", "_agenda", "_opens")
 
 
-def fallback_sections(slides: DataFrame, size: int = 6) -> DataFrame:
-    """Content slides in blocks of ``size``, without agenda."""
-    order = Window.partitionBy("deck_id").orderBy("number")
-    content = slides.where("not is_divider").withColumn("section_index", F.floor((F.row_number().over(order) - 1) / size).cast("int"))
-    return content.withColumn("agenda_context", F.lit(""))
+def _block(size: int) -> Column:
+    return F.floor((F.row_number().over(Window.partitionBy("deck_id").orderBy("number")) - 1) / size).cast("int")
 
 
-def _sizes(sectioned: DataFrame) -> DataFrame:
-    return sectioned.groupBy("deck_id", "section_index").agg(F.count("*").alias("slide_count"), F.first("agenda_context").alias("agenda"))
+def fallback_sections(slides: DataFrame, size: int = 6) -> DataFrame:
+    """Content slides in blocks of ``size``, without agenda."""
+    return slides.where("not is_divider").withColumn("section_index", _block(size)).withColumn("agenda_context", F.lit(""))
 
 
 def merge_tiny(sectioned: DataFrame, min_slides: int = 2) -> DataFrame:
     """Join sections of fewer than ``min_slides`` slides to the one before; a tiny first section joins the second.
 
     Sizes of whole groups decide: a section opens a group if it is the first, or large enough, unless only the tiny first one stands before it.
+    Everything is windows of a deck in one order, so that slides are neither made nor moved again to learn the sizes.
     """
-    order = Window.partitionBy("deck_id").orderBy("section_index")
-    sizes = _sizes(sectioned).withColumn("_at", F.row_number().over(order) - 1).withColumn("_first", F.first("slide_count").over(order)).withColumn("_first_agenda", F.first("agenda").over(order))
-    opens = (F.col("_at") == 0) | ((F.col("slide_count") >= min_slides) & ~((F.col("_at") == 1) & (F.col("_first") < min_slides)))
-    grouped = sizes.withColumn("_opens", opens).withColumn("new_index", (F.sum(F.col("_opens").cast("int")).over(order) - 1).cast("int"))
-    members = Window.partitionBy("deck_id", "new_index").orderBy("section_index")
+    deck, section = Window.partitionBy("deck_id"), Window.partitionBy("deck_id", "section_index")
+    order = deck.orderBy("section_index", "number")
+    sized = sectioned.withColumn("_head", F.row_number().over(section.orderBy("number")) == 1).withColumn("_n", F.count("*").over(section))
+    placed = sized.withColumn("_at", F.sum(F.col("_head").cast("int")).over(order) - 1).withColumn("_first", F.first("_n").over(order))
+    opens = F.col("_head") & ((F.col("_at") == 0) | ((F.col("_n") >= min_slides) & ~((F.col("_at") == 1) & (F.col("_first") < min_slides))))
+    agenda = F.struct(F.col("agenda_context").alias("agenda"))
+    grouped = placed.withColumn("_opens", opens).withColumn("_group", (F.sum(F.col("_opens").cast("int")).over(order) - 1).cast("int")).withColumn("_lead", F.last(F.when(F.col("_opens"), agenda), ignorenulls=True).over(order)["agenda"])
     # the first member's agenda, or, where a tiny first section met a large second one and has none, the second's
-    second = F.max(F.when(F.col("_at") == 1, F.struct(F.col("slide_count").alias("n"), "agenda"))).over(Window.partitionBy("deck_id", "new_index"))
-    lead_agenda = F.first("agenda").over(members)
-    taken = F.when((F.col("new_index") == 0) & (F.col("_first") < min_slides) & (second["n"] >= min_slides) & (lead_agenda == ""), second["agenda"]).otherwise(lead_agenda)
-    mapping = grouped.select("deck_id", "section_index", "new_index", taken.alias("new_agenda"))
-    return sectioned.join(mapping, ["deck_id", "section_index"]).drop("section_index", "agenda_context").withColumnsRenamed({"new_index": "section_index", "new_agenda": "agenda_context"})
+    second = F.max(F.when(F.col("_head") & (F.col("_at") == 1), F.struct("_n", F.col("agenda_context").alias("agenda")))).over(deck)
+    met = grouped.withColumn("_second", second)
+    taken = F.when((F.col("_group") == 0) & (F.col("_first") < min_slides) & (F.col("_second")["_n"] >= min_slides) & (F.col("_lead") == ""), F.col("_second")["agenda"]).otherwise(F.col("_lead"))
+    return met.withColumns({"agenda_context": taken, "section_index": F.col("_group")}).drop("_head", "_n", "_at", "_first", "_opens", "_group", "_lead", "_second")
 
 
 def split_large(sectioned: DataFrame, max_slides: int = 8) -> DataFrame:
@@ -109,24 +113,23 @@ def split_large(sectioned: DataFrame, max_slides: int = 8) -> DataFrame:
         return sectioned
     section = Window.partitionBy("deck_id", "section_index")
     n, at = F.count("*").over(section), F.row_number().over(section.orderBy("number")) - 1
-    sized = sectioned.withColumn("_n", n).withColumn("_at", at).withColumn("_size", F.ceil(F.col("_n") / F.ceil(F.col("_n") / max_slides)))
-    parts = sized.withColumn("_part", F.floor(F.col("_at") / F.col("_size")))
-    index = F.dense_rank().over(Window.partitionBy("deck_id").orderBy("section_index", "_part")) - 1
-    return parts.withColumn("_index", index.cast("int")).drop("section_index", "_n", "_at", "_size", "_part").withColumnRenamed("_index", "section_index")
+    sized = sectioned.withColumn("_at", at).withColumn("_n", n).withColumn("_starts", F.col("_at") % F.ceil(F.col("_n") / F.ceil(F.col("_n") / max_slides)) == 0)
+    so_far = Window.partitionBy("deck_id").orderBy("section_index", "number").rowsBetween(Window.unboundedPreceding, 0)
+    parts = sized.withColumn("_index", (F.sum(F.col("_starts").cast("int")).over(so_far) - 1).cast("int"))
+    return parts.drop("section_index", "_n", "_at", "_starts").withColumnRenamed("_index", "section_index")
 
 
 def section_deck(slides: DataFrame, max_slides: int = 8) -> DataFrame:
     """Slides with dividers marked, sectioned, tiny sections merged and large ones split, as one composition for all decks.
 
-    Decks of more than ten slides with one section or none are cut into blocks of six instead.
+    Decks of more than ten slides with one section or none are cut into blocks of six instead. No step joins: a deck's slides meet once, and each is read once.
     """
-    marked = mark_dividers(slides)
-    built = build_sections(marked)
-    totals = marked.groupBy("deck_id").agg(F.count("*").alias("_slides"))
-    found = built.groupBy("deck_id").agg((F.max("section_index") + 1).alias("_sections"))
-    flat = totals.join(found, "deck_id", "left").where("_slides > 10 and coalesce(_sections, 0) <= 1").select("deck_id")
-    chosen = built.join(flat, "deck_id", "left_anti").unionByName(fallback_sections(marked).join(flat, "deck_id", "left_semi"))
-    return split_large(merge_tiny(chosen), max_slides)
+    deck = Window.partitionBy("deck_id")
+    built = build_sections(mark_dividers(slides).withColumn("_slides", F.count("*").over(deck)))
+    placed = built.withColumn("_last", F.max("section_index").over(deck)).withColumn("_block", _block(6))
+    flat = (F.col("_slides") > 10) & (F.col("_last") == 0)
+    chosen = placed.withColumns({"section_index": F.when(flat, F.col("_block")).otherwise(F.col("section_index")), "agenda_context": F.when(flat, F.lit("")).otherwise(F.col("agenda_context"))})
+    return split_large(merge_tiny(chosen.drop("_slides", "_last", "_block")), max_slides)
 
 
 def deck_sections(sectioned: DataFrame) -> DataFrame:

@@ -167,3 +167,48 @@ def test_long_deck_without_agenda_falls_back_to_blocks(spark):
     assert whole["raw_text"].startswith("--- Slide 1: t0 ---\ns0\n\n--- Slide 2") and whole["last_slide"] == 6
     facts = S.inspect_deck(sectioned, deck(spark, [("t", "x")] * 14)).first()
     assert (facts["slides"], facts["sections"], facts["visual_slides"]) == (14, 3, 0)
+
+
+def plain_deck(slides):
+    """{number: (section_index, agenda)} of a deck's (title, text) by reading it in order."""
+    bodies = [x.strip() for _, x in slides]
+    blocks, agenda, fresh = [], "", True
+    for number, ((title, text), body) in enumerate(zip(slides, bodies, strict=True), 1):
+        if title.startswith("Today:") or (len(body) > 40 and bodies.count(body) > 1):
+            agenda, fresh = text, True
+            continue
+        if fresh:
+            blocks.append((agenda, []))
+        blocks[-1][1].append(number)
+        fresh = False
+    if len(slides) > 10 and len(blocks) <= 1:
+        content = [n for _, block in blocks for n in block]
+        blocks = [("", content[i : i + 6]) for i in range(0, len(content), 6)]
+    merged = []
+    for i, (agenda, block) in enumerate(blocks):
+        if merged and (len(block) < 2 or len(merged[-1][1]) < 2):
+            kept = agenda if i == 1 and len(block) >= 2 and merged[0][0] == "" else merged[-1][0]
+            merged[-1] = (kept, merged[-1][1] + block)
+        else:
+            merged.append((agenda, block))
+    parts = []
+    for agenda, block in merged:
+        size = -(-len(block) // -(-len(block) // 8))
+        parts += [(agenda, block[i : i + size]) for i in range(0, len(block), size)]
+    return {n: (i, agenda) for i, (agenda, block) in enumerate(parts) for n in block}
+
+
+def test_decks_equal_sequential_sectioning(spark):
+    rng = random.Random(5)
+    decks = {f"d{i}": [(f"t{k}" if rng.random() > rate else "Today: next", rng.choice([f"s{k}", f"s{k}", AGENDA, f" {AGENDA}\n", f"{k} {AGENDA}"]) if rng.random() < 2 * rate else f"s{k}") for k in range(rng.randint(1, 40))] for i in range(60) for rate in [rng.choice([0, 0.05, 0.2, 0.6])]}
+    df = spark.createDataFrame([(name, k, t, x, False) for name, slides in decks.items() for k, (t, x) in enumerate(slides, 1)], "deck_id string, number int, title string, text string, is_visual boolean")
+    got = {}
+    for r in S.section_deck(df).collect():
+        got.setdefault(r["deck_id"], {})[r["number"]] = (r["section_index"], r["agenda_context"])
+    assert got == {name: want for name, slides in decks.items() if (want := plain_deck(slides))}
+
+
+def test_slides_are_read_and_moved_once(spark, tmp_path):
+    deck(spark, [(f"t{i}", f"s{i}") for i in range(14)]).write.parquet(f"{tmp_path}/slides")
+    plan = S.deck_sections(S.section_deck(spark.read.parquet(f"{tmp_path}/slides")))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1 and plan.count("Exchange") == 1
