@@ -114,8 +114,8 @@ def write_search_index(rows: DataFrame, path: str, keys: list[str], fields: list
     # a file that is read by several tasks may cut a block in two: both parts count, and the bounds of both are added
     blocks = scored.mapInArrow(_in_blocks, f"scope {scored.schema['scope'].dataType.simpleString()}, {_BLOCKS}")
     # places are a column of their own: only phrases read them
-    # every file is sorted by term, so a scan for some terms skips most of each
-    blocks.sortWithinPartitions("scope", "term", "block").write.parquet(f"{path}/blocks")
+    # every file is sorted by term, so a scan for some terms skips most of each; scopes are few and tell little, so terms come first
+    blocks.sortWithinPartitions("term", "scope", "block").write.parquet(f"{path}/blocks")
     terms = spark.read.parquet(f"{path}/blocks").groupBy("scope", "term").agg(F.sum("n").alias("df"))
     terms.withColumn("head", F.substring("term", 1, HEAD)).repartitionByRange("scope", "term").sortWithinPartitions("scope", "term").write.parquet(f"{path}/dictionary")
 
